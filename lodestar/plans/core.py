@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from ..operators.intervals import p4_found
+from ..operators.nested import p6_found
 from .registry import Registry
-from .sql_found import P4_FOUND
+from .sql_found import P4_FOUND, P6_FOUND
 
 registry = Registry()
 registry.add("p4_found", p4_found, P4_FOUND)
+registry.add("p6_found", p6_found, P6_FOUND)

@@ -50,3 +50,41 @@ UNION ALL
 SELECT candidate_id, 'gap' AS kind, {_label("e")} AS from_month, {_label("next_s")} AS to_month FROM following
 WHERE next_s IS NOT NULL
 """
+
+
+def _items(value: str) -> str:
+    """DuckDB: the elements of a JSON value as a list; a lone value is a list of one, null is none."""
+    return f"""CASE json_type({value}) WHEN 'ARRAY' THEN from_json({value}, '["JSON"]') WHEN 'NULL' THEN [] ELSE [{value}] END"""
+
+
+P6_FOUND = f"""
+WITH newest AS (
+    SELECT candidate_id, arg_max(payload, updated_at) AS payload FROM candidates GROUP BY candidate_id
+), once AS (
+    SELECT candidate_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM newest
+), parsed AS (
+    SELECT candidate_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS j FROM once
+), profiles AS (
+    SELECT candidate_id, coalesce(j -> '$.data', j) AS p FROM parsed WHERE json_type(j) = 'OBJECT'
+), strategies AS (
+    SELECT candidate_id, unnest(s) AS v, generate_subscripts(s, 1) - 1 AS pos
+    FROM (SELECT candidate_id, {_items("p -> '$.strategies'")} AS s FROM profiles WHERE json_exists(p, '$.strategies'))
+), labelled AS (
+    SELECT candidate_id, v, pos,
+        coalesce(CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' WHEN 'OBJECT' THEN v ->> '$.label' END, '') AS label
+    FROM strategies
+), roles AS (
+    SELECT candidate_id, unnest(s) AS v, generate_subscripts(s, 1) - 1 AS pos
+    FROM (SELECT candidate_id, {_items("p -> '$.employment'")} AS s FROM profiles WHERE json_exists(p, '$.employment'))
+), triggers AS (
+    SELECT candidate_id, pos AS parent_pos, generate_subscripts(s, 1) - 1 AS pos, label
+    FROM (SELECT candidate_id, pos, label, {_items("v -> '$.triggers'")} AS s FROM labelled WHERE json_exists(v, '$.triggers'))
+), highlights AS (
+    SELECT candidate_id, pos AS parent_pos, generate_subscripts(s, 1) - 1 AS pos
+    FROM (SELECT candidate_id, pos, {_items("v -> '$.highlights'")} AS s FROM roles WHERE json_exists(v, '$.highlights'))
+)
+SELECT candidate_id, 'strategy' AS child, CAST(-1 AS INT) AS parent_pos, CAST(pos AS INT) AS pos, label FROM labelled
+UNION ALL SELECT candidate_id, 'trigger', CAST(parent_pos AS INT), CAST(pos AS INT), label FROM triggers
+UNION ALL SELECT candidate_id, 'role', -1, CAST(pos AS INT), '' FROM roles
+UNION ALL SELECT candidate_id, 'highlight', CAST(parent_pos AS INT), CAST(pos AS INT), '' FROM highlights
+"""
