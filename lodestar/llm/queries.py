@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from ..plans.registry import Registry
 from .encoding import p8_ids
+from .leaks import p9_clean, p9_found, p9_passages
 
 registry = Registry()
 registry.add("p8_ids", p8_ids)
+registry.add("p9_found", p9_found)
+registry.add("p9_passages", p9_passages)
+registry.add("p9_clean", p9_clean)
