@@ -5,8 +5,11 @@ from __future__ import annotations
 from ..plans.registry import Registry
 from .encoding import p8_ids
 from .leaks import p9_clean, p9_found, p9_passages
+from .neardup import p1_found, p1_groups
 
 registry = Registry()
+registry.add("p1_found", p1_found)
+registry.add("p1_groups", p1_groups)
 registry.add("p8_ids", p8_ids)
 registry.add("p9_found", p9_found)
 registry.add("p9_passages", p9_passages)
