@@ -56,9 +56,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = max(CHUNK_BYTES + 1, n)
     if size not in _powers:
         _powers.clear()
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, _U64)]).astype(_U64), dtype=_U64)
-            down = np.cumprod(np.concatenate([[1], np.full(size - 1, pow(_BASE, -1, 2**64), _U64)]).astype(_U64), dtype=_U64)
+        up, down = np.full(size, _BASE, _U64), np.full(size, pow(_BASE, -1, 2**64), _U64)
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
         _powers[size] = (up, down)
     return _powers[size]
 
