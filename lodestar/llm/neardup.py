@@ -115,6 +115,11 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return _mix(mixed.sum(axis=2, dtype=_U64) + np.arange(MINIMA // ROWS, dtype=_U64) * _U64(0x9E3779B97F4A7C15))
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """One byte of each minimum, mixed, as minima are small numbers."""
+    return ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
     where, chunk, size = [], [], 0
     for i, t in enumerate(texts):
@@ -156,7 +161,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     own, own_starts = hashes, starts
                 signatures = minima(own, own_starts)
-                keys, sketch = band_keys(signatures).view(np.int64), (signatures >> np.uint32(24)).astype(np.uint8)
+                keys, sketch = band_keys(signatures).view(np.int64), sketches(signatures)
             bands = MINIMA // ROWS
             key_offsets = np.concatenate([[0], np.cumsum(np.where(new, bands, 0))]).astype(np.int32)
             sketch_offsets = np.concatenate([[0], np.cumsum(np.where(new, MINIMA, 0))]).astype(np.int32)
