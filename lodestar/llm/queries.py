@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ..plans.registry import Registry
+from .canonical import p2_found
 from .encoding import p8_ids
 from .leaks import p9_clean, p9_found, p9_passages
 from .neardup import p1_found, p1_groups
+from .splitting import P5_FOUND, p5_found, p5_pieces
 
 registry = Registry()
 registry.add("p1_found", p1_found)
@@ -14,3 +16,6 @@ registry.add("p8_ids", p8_ids)
 registry.add("p9_found", p9_found)
 registry.add("p9_passages", p9_passages)
 registry.add("p9_clean", p9_clean)
+registry.add("p2_found", p2_found)
+registry.add("p5_found", p5_found, P5_FOUND)
+registry.add("p5_pieces", p5_pieces)
