@@ -6,6 +6,7 @@ from ..plans.registry import Registry
 from .canonical import p2_found
 from .encoding import p8_ids
 from .leaks import p9_clean, p9_found, p9_passages
+from .mojibake import p3_found, p3_repairs
 from .neardup import p1_found, p1_groups
 from .splitting import P5_FOUND, p5_found, p5_pieces
 
@@ -19,3 +20,5 @@ registry.add("p9_clean", p9_clean)
 registry.add("p2_found", p2_found)
 registry.add("p5_found", p5_found, P5_FOUND)
 registry.add("p5_pieces", p5_pieces)
+registry.add("p3_found", p3_found)
+registry.add("p3_repairs", p3_repairs)
