@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..plans.registry import Registry
 from .canonical import p2_found
 from .encoding import p8_ids
+from .language import p10_found, p10_passages
 from .leaks import p9_clean, p9_found, p9_passages
 from .mojibake import p3_found, p3_repairs
 from .neardup import p1_found, p1_groups
@@ -22,3 +23,5 @@ registry.add("p5_found", p5_found, P5_FOUND)
 registry.add("p5_pieces", p5_pieces)
 registry.add("p3_found", p3_found)
 registry.add("p3_repairs", p3_repairs)
+registry.add("p10_found", p10_found)
+registry.add("p10_passages", p10_passages)
