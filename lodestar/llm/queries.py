@@ -9,6 +9,7 @@ from .language import p10_found, p10_passages
 from .leaks import p9_clean, p9_found, p9_passages
 from .mojibake import p3_found, p3_repairs
 from .neardup import p1_found, p1_groups
+from .pii import p7_found, p7_redacted
 from .splitting import P5_FOUND, p5_found, p5_pieces
 
 registry = Registry()
@@ -25,3 +26,5 @@ registry.add("p3_found", p3_found)
 registry.add("p3_repairs", p3_repairs)
 registry.add("p10_found", p10_found)
 registry.add("p10_passages", p10_passages)
+registry.add("p7_found", p7_found)
+registry.add("p7_redacted", p7_redacted)
