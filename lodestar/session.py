@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -60,6 +61,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     belongs to the application and is removed with it (see `cleanup`).
     """
     spark = df.sparkSession
+    if not _written:
+        atexit.register(_leave)
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _written.append((spark.sparkContext.applicationId, path))
@@ -69,6 +72,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 _written: list[tuple[str, str]] = []
 
 
+def _leave() -> None:
+    """At the end of the driver's process: remove what is left, where the session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            cleanup(spark)
+        except Exception:  # the JVM may be gone already
+            pass
+
+
 def cleanup(spark: SparkSession, keep_last: int = 0) -> None:
     """Delete what `materialise` wrote for this application, but for the newest `keep_last`."""
     app = spark.sparkContext.applicationId
