@@ -86,8 +86,8 @@ def dense(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: i
                 score = np.round(q @ v.T, 6)
                 keep = min(4 * k, batch.num_rows)
                 top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                out_q = np.repeat(names, keep)
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(own[top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query", "i", "score"])
+                same = batch.schema.field(0).type
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, keep)).cast(same), pa.array(own[top.ravel()]).cast(same), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query", "i", "score"])
 
         part = rows.mapInArrow(run, f"query {kind}, i {kind}, score double")
         parts = part if parts is None else parts.unionByName(part)
