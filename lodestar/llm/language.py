@@ -32,6 +32,8 @@ SPELLINGS = {
 
 #: Labelled texts of each language that the network is trained on: the bound of the labelled sample.
 TRAIN_TEXTS = 220
+#: Longer texts stay out of the labelled sample, and only there.
+TRAIN_CHARS = 50_000
 MIN_WORDS = 25
 #: Positions of a window, and of those on each side that only give context.
 WINDOW, MARGIN = 64, 6
@@ -269,7 +271,7 @@ def _epochs(net: ByteGRU, texts: list[tuple[int, str]], epochs: int, seed: int)
 
 def train(df: DataFrame, key: str, text: str, label: str, texts: int = TRAIN_TEXTS) -> LanguageModel:
     """Fit on at most about `texts` labelled texts of each language, drawn by a hash of the key."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), known_language(F.col(label)).alias("l")).where("l is not null and t is not null")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), known_language(F.col(label)).alias("l")).where("l is not null").where(F.length("t").between(1, TRAIN_CHARS))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row a language
     scale = 1 << 20
     share = F.lit(0)

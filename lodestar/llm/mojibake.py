@@ -23,6 +23,8 @@ from ..tables import load
 
 #: Texts the classifier is trained on, drawn by a hash of their key: the bound of the labelled sample.
 TRAIN_TEXTS = 2_000
+#: Longer texts stay out of the labelled sample, and only there.
+TRAIN_CHARS = 50_000
 BUCKETS = 1 << 15
 SMOOTHING = 0.02
 #: Log likelihood by which a stretch must be likelier garbled than clean.
@@ -285,7 +287,7 @@ def train(df: DataFrame, key: str, text: str, texts: int = TRAIN_TEXTS) -> Class
     """Fit on the words of at most about `texts` texts, drawn by a hash of the key over the whole table."""
     rows = df.count()
     every = max(1, rows // texts)
-    drawn = df.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).where(F.col(text).isNotNull()).select(text).limit(2 * texts)
+    drawn = df.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).where(F.length(text).between(1, TRAIN_CHARS)).select(text).limit(2 * texts)
     words: Counter = Counter()
     for (t,) in drawn.toLocalIterator():
         words.update(wide_words(t))
