@@ -17,14 +17,8 @@ COLUMNS = {
 }
 
 
-#: Arrow batches are bounded by bytes too, so that very long texts can't fill a worker's memory.
-ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read `name` of `sf_dir`; a missing column is reported at once, not inside a later plan."""
-    if spark.conf.get(ARROW_BYTES[0], "") == "":
-        spark.conf.set(*ARROW_BYTES)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     missing = [c for c in COLUMNS.get(name, []) if c not in df.columns]
     if missing:
