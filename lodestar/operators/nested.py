@@ -27,21 +27,37 @@ _SHRED_SCHEMA = (
 )
 
 
+_text = json.encoder.encode_basestring
+_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+
+
 def canonical(value) -> str:
     """JSON text that is equal for equal values: sorted keys, no blanks, no escapes but the needed."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _text(value) if type(value) is str else _encode(value)
 
 
 def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
+def _part(value) -> str:
+    """What a value adds to its parent's form: a scalar itself, a subtree its identity after `#`."""
+    kind = type(value)
+    if kind is str:
+        return _text(value)
+    if kind is dict or kind is list:
+        return "#" + merkle(value)
+    if kind is float and value - value == 0:  # finite
+        return repr(value)
+    return _encode(value)
+
+
 def merkle(value) -> str:
-    """Identity of a subtree: scalars by canonical text, arrays and objects by their parts' identities."""
+    """Identity of a subtree, from its scalars and the identities of its subtrees."""
     if isinstance(value, dict):
-        return _digest("{" + ",".join(f"{canonical(k)}:{merkle(value[k])}" for k in sorted(value)))
+        return _digest("{" + ",".join([f"{_text(k)}:{_part(value[k])}" for k in sorted(value)]))
     if isinstance(value, list):
-        return _digest("[" + ",".join(map(merkle, value)))
+        return _digest("[" + ",".join(map(_part, value)))
     return _digest(canonical(value))
 
 
