@@ -36,7 +36,7 @@ TRAIN_TEXTS = 220
 TRAIN_CHARS = 50_000
 MIN_WORDS = 25
 #: Positions of a window, and of those on each side that only give context.
-WINDOW, MARGIN = 64, 6
+WINDOW, MARGIN = 88, 6
 #: Log cost of changing the language between two words.
 SWITCH = 9.0
 #: Log probability over the second best from which a word is clearly of its language.
@@ -53,19 +53,30 @@ def known_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, text), F.try_element_at(table, head))
 
 
-class Blocks:
-    """Ids of the different blocks of a batch, and their features."""
+class Blocks(dict):
+    """Words by number, and their blocks; a word met for the first time is entered by `__missing__`."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, tuple[int, ...]] = {}
+        super().__init__()
         self.known: dict[bytes, int] = {}
         self.features: list[list[int]] = []
-
-    def of(self, word: str) -> tuple[int, ...]:
+        self.flat: list[int] = []  # block ids of all words, one after the other
+        self.first: list[int] = []
+        self.count: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        blocks = self.of(word)
+        self.first.append(len(self.flat))
+        self.count.append(len(blocks))
+        self.flat += blocks
+        self[word] = n = len(self.first) - 1
+        return n
+
+    def of(self, word: str) -> list[int]:
         """Blocks of a word's letters; a word without ASCII letters has none, as signs and numbers have no language."""
         word = "".join(c for c in word if c.isalpha() or c in "'’")
         if not any(map(str.isascii, word.strip("'’"))):
-            return ()
+            return []
         data = word.encode("utf-8", "surrogatepass").translate(FOLD)
         out = []
         for i in range(0, len(data), BLOCK):
@@ -75,25 +86,24 @@ class Blocks:
                 k = self.known[block] = len(self.features)
                 self.features.append(block_features(block))
             out.append(k)
-        return tuple(out)
-
-    def sequence(self, words: list[str]) -> list[int]:
-        """Block ids of a text's words."""
-        get, out = self.ids.get, []
-        for w in words:
-            b = get(w)
-            if b is None:
-                b = self.ids[w] = self.of(w)
-            out += b
         return out
 
-    def table(self) -> np.ndarray:
-        return np.array(self.features, np.int32)
-
+    def sequences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Block ids of all texts, the number of blocks of each word, and the number of words of each text."""
+        number = self.__getitem__
+        ids, lengths = [], []
+        for t in texts:
+            words = t.split()
+            ids += map(number, words)
+            lengths.append(len(words))
+        word = np.array(ids, np.int64)
+        counts = np.array(self.count, np.int64)[word] if len(word) else np.zeros(0, np.int64)
+        starts = np.cumsum(counts) - counts
+        at = np.repeat(np.array(self.first, np.int64)[word] - starts if len(word) else counts, counts) + np.arange(counts.sum())
+        return np.array(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32), counts, np.array(lengths, np.int64)
 
-def first_blocks(words: list[str], ids: dict[str, tuple[int, ...]]) -> np.ndarray:
-    """Place of each word's first block in the text's sequence."""
-    return np.cumsum([0, *(len(ids[w]) for w in words)])[:-1]
+    def table(self) -> np.ndarray:
+        return np.array(self.features, np.int32).reshape(-1, len(block_features(b"")))
 
 
 class LanguageModel:
@@ -103,19 +113,16 @@ class LanguageModel:
     def log_probabilities(self, texts: list[str]) -> list[np.ndarray]:
         """Log probabilities of the languages for each word (by its first block) of each text."""
         blocks = Blocks()
-        sequences, places = [], []
-        for t in texts:
-            words = t.split()
-            sequences.append(np.array(blocks.sequence(words), np.int32))
-            places.append(first_blocks(words, blocks.ids))
-        lengths = np.array([len(s) for s in sequences])
-        if not lengths.sum():
-            return [np.zeros((0, len(LANGUAGES)), np.float32) for _ in texts]
-        proj = self._inputs(blocks.table())
-        flat = np.concatenate(sequences)
-        logp = self._windows(proj, flat, lengths)
-        begin = np.cumsum([0, *lengths[:-1]])
-        return [_by_word(logp[b : b + n], p) for b, n, p in zip(begin, lengths, places)]
+        flat, counts, words = blocks.sequences(texts)
+        even = np.full((len(counts), len(LANGUAGES)), -np.log(len(LANGUAGES)), np.float32)  # words without a block favour none
+        if len(flat):
+            starts = np.cumsum(counts) - counts
+            text_of = np.repeat(np.arange(len(texts)), words)
+            lengths = np.bincount(text_of, counts, len(texts)).astype(np.int64)
+            logp = self._windows(self._inputs(blocks.table()), flat, lengths)
+            some = counts > 0
+            even[some] = logp[starts[some]]
+        return np.split(even, np.cumsum(words)[:-1]) if len(texts) else []
 
     def _inputs(self, features: np.ndarray) -> dict[str, np.ndarray]:
         parts = [self.net.inputs(features[i : i + 20_000])[1] for i in range(0, len(features), 20_000)]
@@ -148,15 +155,6 @@ class LanguageModel:
         return out
 
 
-def _by_word(logp: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """A row for each word; words without a block favour no language."""
-    ends = np.append(places[1:], len(logp))
-    out = np.full((len(places), len(LANGUAGES)), -np.log(len(LANGUAGES)), np.float32)
-    some = ends > places
-    out[some] = logp[places[some]]
-    return out
-
-
 def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
     """The likeliest language of every word of each text, where each change costs SWITCH.
 
@@ -220,7 +218,7 @@ def _training_windows(blocks: Blocks, texts: list[tuple[int, str]]) -> tuple[np.
     """Windows of block ids (-1: padding) and their texts' languages."""
     rows, langs = [], []
     for lang, t in texts:
-        seq = blocks.sequence(t.split())
+        seq = blocks.sequences([t])[0].tolist()
         for i in range(0, len(seq), WINDOW):
             part = seq[i : i + WINDOW]
             if len(part) >= 8:
@@ -246,6 +244,17 @@ def fit(texts: list[tuple[int, str]], epochs: int = EPOCHS, seed: int = 11) -> L
     return model
 
 
+def _spliced(ids: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Half the windows with a stretch of another one put in, so that the network learns where languages change."""
+    ids, own = ids.copy(), own.copy()
+    partner = rng.permutation(ids.shape[1])
+    for k in np.flatnonzero(rng.random(ids.shape[1]) < 0.5):
+        a = int(rng.integers(0, WINDOW - 8))
+        b = min(WINDOW, a + int(rng.integers(8, WINDOW)))
+        ids[a:b, k], own[a:b, k] = ids[a:b, partner[k]], own[a:b, partner[k]]
+    return ids, own
+
+
 def _epochs(net: ByteGRU, texts: list[tuple[int, str]], epochs: int, seed: int) -> None:
     rng, adam = np.random.default_rng(seed), Adam(net.p, RATE)
     blocks = Blocks()
@@ -260,12 +269,12 @@ def _epochs(net: ByteGRU, texts: list[tuple[int, str]], epochs: int, seed: int)
         order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
-            ids = rows[pick].T
+            ids, own = rows[pick].T, np.broadcast_to(langs[pick], (WINDOW, len(pick)))
+            ids, own = _spliced(ids, own, rng)
             used, local = np.unique(ids, return_inverse=True)
             features = table[np.where(used < 0, len(table) - 1, used)]
-            target = np.broadcast_to(langs[pick], ids.shape)
-            weight = (ids >= 0) * balance[langs[pick]]
-            _, grads = net.gradients(features, local.reshape(ids.shape), target, weight.astype(np.float32))
+            weight = (ids >= 0) * balance[own]
+            _, grads = net.gradients(features, local.reshape(ids.shape), own, weight.astype(np.float32))
             adam.step(grads)
 
 
