@@ -27,7 +27,7 @@ class Request:
 def scorable(spark: SparkSession, sf: str) -> DataFrame:
     """The only columns a gate or scorer reads; an unknown list is empty, an unknown number NULL."""
     listed = lambda df, c, name: df.groupBy("candidate_id").agg(F.array_sort(F.collect_set(c)).alias(name))
-    p = P.profiles(spark, sf).select(*P.SCORABLE)
+    p = P.profiles(spark, sf, *[c for c in P.SCORABLE if c != "candidate_id"])
     p = p.join(listed(P.skills(spark, sf), "skill", "skills"), "candidate_id", "left").join(listed(P.strategies(spark, sf), "strategy", "strategies"), "candidate_id", "left")
     empty = F.array().cast("array<string>")
     return p.select(

@@ -16,7 +16,7 @@ def experience_band(years: Column) -> Column:
 
 def facets(spark: SparkSession, sf: str) -> DataFrame:
     """(`dim`, `value`, `candidate_id`) of every occurrence: two roles at one firm count twice."""
-    p = P.profiles(spark, sf)
+    p = P.profiles(spark, sf, "region", "country", "seniority_level", "approach", "feeder_path", "years_experience")
     one = lambda dim, value, df=p: df.select(F.lit(dim).alias("dim"), value.alias("value"), "candidate_id").where("value is not null")
     parts = [one(c, F.col(c)) for c in ("region", "country", "seniority_level", "approach", "feeder_path")]
     parts.append(one("experience_band", experience_band(F.col("years_experience"))))

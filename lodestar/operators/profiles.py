@@ -14,11 +14,16 @@ SCORABLE = ["candidate_id", "region", "country", "seniority_level", "years_exper
 PROTECTED = ["full_name", "email", "phone", "photo_present", "marital_status", "nationality", "date_of_birth"]
 
 
-def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest row of each candidate: last writer wins, ties by the greater payload."""
+def profiles(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The latest row of each candidate: last writer wins, ties by the greater payload.
+
+    With `columns`, only these are read, and ties go by them: an aggregate over whole rows would
+    keep the scan from leaving out the payload, which is most of the table.
+    """
     df = load(spark, sf, "candidates")
-    columns = [c for c in df.columns if c != "candidate_id"]
-    newest = F.max_by(F.struct(*columns), F.struct("updated_at", "payload")).alias("r")
+    wanted = list(columns) or [c for c in df.columns if c != "candidate_id"]
+    ties = wanted if columns else ["payload"]
+    newest = F.max_by(F.struct(*wanted), F.struct("updated_at", *[t for t in ties if t != "updated_at"])).alias("r")
     return df.groupBy("candidate_id").agg(newest).select("candidate_id", "r.*")
 
 
@@ -32,7 +37,7 @@ def skills(spark: SparkSession, sf: str) -> DataFrame:
     """(`candidate_id`, `skill`, `depth`) of the latest profiles, each once."""
     text = F.get_json_object(profile_json(F.col("payload")), "$.skills")
     items = F.from_json(text, "array<struct<canonical:string,depth:string>>")
-    rows = profiles(spark, sf).select("candidate_id", F.explode(items).alias("x"))
+    rows = profiles(spark, sf, "payload").select("candidate_id", F.explode(items).alias("x"))
     return rows.select("candidate_id", F.col("x.canonical").alias("skill"), F.col("x.depth").alias("depth")).where("skill is not null").distinct()
 
 
@@ -43,7 +48,7 @@ def strategies(spark: SparkSession, sf: str) -> DataFrame:
     # a lone string comes out of get_json_object without its quotes
     lone = F.when(~F.regexp_like(text, F.lit(r"^[\[{]")), F.array(text))
     parts = F.coalesce(lone, F.from_json(listed, "array<string>"))
-    rows = profiles(spark, sf).select("candidate_id", F.explode(parts).alias("x"))
+    rows = profiles(spark, sf, "payload").select("candidate_id", F.explode(parts).alias("x"))
     label = F.when(F.startswith("x", F.lit("{")), F.get_json_object("x", "$.label")).otherwise(F.col("x"))
     return rows.select("candidate_id", label.alias("strategy")).where("strategy is not null and strategy <> ''").distinct()
 

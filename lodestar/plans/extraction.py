@@ -101,7 +101,7 @@ _OVER = ["region", "country", "seniority_level"]
 )
 def corrections_overlay(spark, sf):
     """The latest rows with the last known value of each facet laid over them."""
-    base = P.profiles(spark, sf).select("candidate_id", *_OVER)
+    base = P.profiles(spark, sf, *_OVER)
     return X.overlay(base, load(spark, sf, "candidates"), "candidate_id", _OVER, "updated_at")
 
 

@@ -64,7 +64,7 @@ def coverage_gaps(spark, sf):
     FROM profiles LEFT JOIN strategies USING (candidate_id) GROUP BY ALL ORDER BY n DESC, strategy, region, approach LIMIT 12"""
 )
 def strongest_cells(spark, sf):
-    p = P.profiles(spark, sf).join(P.strategies(spark, sf), "candidate_id", "left")
+    p = P.profiles(spark, sf, "region", "approach").join(P.strategies(spark, sf), "candidate_id", "left")
     cell = [F.coalesce("strategy", F.lit("any")).alias("strategy"), F.coalesce("region", F.lit("unknown")).alias("region"), F.coalesce("approach", F.lit("any")).alias("approach")]
     return p.groupBy(*cell).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "strategy", "region", "approach").limit(12)
 
@@ -76,7 +76,7 @@ _REGIONS = ["apac", "emea", "latam", "north_america", "unknown"]
     f"{ALL} SELECT strategy, " + ", ".join(f"count(*) FILTER (region = '{r}') AS {r}" for r in _REGIONS) + " FROM strategies JOIN profiles USING (candidate_id) GROUP BY 1"
 )
 def coverage_pivot(spark, sf):
-    both = P.strategies(spark, sf).join(P.profiles(spark, sf).select("candidate_id", "region"), "candidate_id")
+    both = P.strategies(spark, sf).join(P.profiles(spark, sf, "region"), "candidate_id")
     return both.groupBy("strategy").pivot("region", _REGIONS).count().na.fill(0)
 
 
@@ -85,7 +85,7 @@ def coverage_pivot(spark, sf):
     count(*) FILTER (years_experience IS NULL) AS unknown_years, sum(needs_review) AS needs_review, sum(is_synthetic) AS synthetic, count(*) FILTER (near_duplicate_of IS NOT NULL) AS near_duplicates FROM profiles"""
 )
 def pool_quality(spark, sf):
-    return P.profiles(spark, sf).agg(
+    return P.profiles(spark, sf, "completeness", "years_experience", "needs_review", "is_synthetic", "near_duplicate_of").agg(
         F.count("*").alias("candidates"), F.round(F.avg("completeness"), 3).alias("mean_completeness"), F.round(F.avg("years_experience"), 3).alias("mean_years"),
         F.count_if(F.col("years_experience").isNull()).alias("unknown_years"), F.sum("needs_review").alias("needs_review"), F.sum("is_synthetic").alias("synthetic"),
         F.count_if(F.col("near_duplicate_of").isNotNull()).alias("near_duplicates"),
@@ -106,7 +106,7 @@ def pool_summary(spark, sf):
 )
 def median_delta(spark, sf):
     """Years over the upper median of the region: the element at half the length, by rank rather than by a collected list."""
-    y = P.profiles(spark, sf).where("years_experience is not null").select("candidate_id", "region", F.col("years_experience").alias("y"))
+    y = P.profiles(spark, sf, "region", "years_experience").where("years_experience is not null").select("candidate_id", "region", F.col("years_experience").alias("y"))
     counts = y.groupBy("region", "y").agg(F.count("*").alias("k"))
     w = Window.partitionBy("region")
     ranked = counts.withColumns({"upto": F.sum("k").over(w.orderBy("y")), "total": F.sum("k").over(w)})
@@ -121,7 +121,7 @@ def skill_depth(spark, sf):
 
 @registry.query(f"WITH {PROFILES} SELECT seniority_level AS label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM profiles GROUP BY 1")
 def primary_label_share(spark, sf):
-    c = P.profiles(spark, sf).groupBy(F.col("seniority_level").alias("label")).agg(F.count("*").alias("n"))
+    c = P.profiles(spark, sf, "seniority_level").groupBy(F.col("seniority_level").alias("label")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over the counts, a row a label
     return c.select("label", "n", F.round(F.col("n") / total, 4).alias("share"))
 
@@ -138,19 +138,19 @@ _RAIL = {"region": ["emea", "apac"], "approach": ["quant", "hybrid"]}
 
 @registry.query(f"WITH {PROFILES} SELECT candidate_id FROM profiles WHERE region IN ('emea', 'apac') AND approach IN ('quant', 'hybrid') AND (years_experience BETWEEN 3 AND 12 OR years_experience IS NULL) AND completeness >= 0.3")
 def filter_rail(spark, sf):
-    return G.filter_rail(P.profiles(spark, sf), _RAIL, years=(3, 12), include_unknown_years=True, min_completeness=0.3).select("candidate_id")
+    return G.filter_rail(P.profiles(spark, sf, "region", "approach", "years_experience", "completeness"), _RAIL, years=(3, 12), include_unknown_years=True, min_completeness=0.3).select("candidate_id")
 
 
 @registry.query(f"WITH {PROFILES} SELECT candidate_id FROM profiles WHERE contains(lower(region), 'merica') AND years_experience >= 5")
 def list_candidates(spark, sf):
     """The listing's filter, in which unknown years fail, unlike in the gate."""
-    return P.profiles(spark, sf).where(F.contains(F.lower("region"), F.lit("merica")) & (F.col("years_experience") >= 5)).select("candidate_id")
+    return P.profiles(spark, sf, "region", "years_experience").where(F.contains(F.lower("region"), F.lit("merica")) & (F.col("years_experience") >= 5)).select("candidate_id")
 
 
 @registry.query(f"WITH {PROFILES} SELECT candidate_id FROM profiles WHERE contains(lower(concat_ws(' ', source_file, region, country, seniority_level, approach, feeder_path)), 'sell_side')")
 def text_row_search(spark, sf):
     joined = F.lower(F.concat_ws(" ", "source_file", "region", "country", "seniority_level", "approach", "feeder_path"))
-    return P.profiles(spark, sf).where(F.contains(joined, F.lit("sell_side"))).select("candidate_id")
+    return P.profiles(spark, sf, "source_file", "region", "country", "seniority_level", "approach", "feeder_path").where(F.contains(joined, F.lit("sell_side"))).select("candidate_id")
 
 
 #: The requisition of the sample queries.
@@ -213,7 +213,7 @@ def scorable_view(spark, sf):
 
 @registry.query(f"WITH {PROFILES} SELECT candidate_id, 'Candidate ' || upper(substr(candidate_id, 1, 8)) AS shown FROM profiles")
 def blind_names(spark, sf):
-    return P.profiles(spark, sf).select("candidate_id", F.concat(F.lit("Candidate "), F.upper(F.substring("candidate_id", 1, 8))).alias("shown"))
+    return load(spark, sf, "candidates").select("candidate_id").distinct().select("candidate_id", F.concat(F.lit("Candidate "), F.upper(F.substring("candidate_id", 1, 8))).alias("shown"))
 
 
 # ------------------------------------------------------------------ scoring

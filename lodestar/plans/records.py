@@ -74,7 +74,7 @@ def event_windows(spark, sf):
 def flat_export(spark, sf):
     """One flat row a candidate without any personal column: values with their status, lists joined."""
     joined = lambda df, c, name: df.groupBy("candidate_id").agg(F.array_join(F.array_sort(F.collect_set(c)), "; ").alias(name))
-    p = P.profiles(spark, sf).join(joined(P.skills(spark, sf), "skill", "skills"), "candidate_id", "left").join(joined(P.strategies(spark, sf), "strategy", "strategies"), "candidate_id", "left")
+    p = P.profiles(spark, sf, "region", "country", "seniority_level", "years_experience").join(joined(P.skills(spark, sf), "skill", "skills"), "candidate_id", "left").join(joined(P.strategies(spark, sf), "strategy", "strategies"), "candidate_id", "left")
     p = p.join(P.roles(spark, sf).groupBy("candidate_id").agg(F.count("*").alias("n_roles")), "candidate_id", "left")
     return p.select(
         "candidate_id", "region", "country", "seniority_level", F.when(F.col("years_experience").isNull(), "missing").otherwise("known").alias("years_status"), "years_experience",

@@ -170,7 +170,7 @@ def label_confidence(spark, sf):
     """Confidence of a label from the rule's hits and the model's own, by which of them there is."""
     text = F.get_json_object(P.profile_json(F.col("payload")), "$.strategies")
     items = F.from_json(F.when(F.startswith(text, F.lit("[")), text), "array<string>")
-    rows = P.profiles(spark, sf).select("candidate_id", F.explode(items).alias("x")).where(F.startswith("x", F.lit("{")))
+    rows = P.profiles(spark, sf, "payload").select("candidate_id", F.explode(items).alias("x")).where(F.startswith("x", F.lit("{")))
     triggers = F.from_json(F.get_json_object("x", "$.triggers"), "array<string>")
     g = rows.select("candidate_id", F.get_json_object("x", "$.label").alias("label"), F.get_json_object("x", "$.confidence").cast("double").alias("model"), F.coalesce(F.size(triggers), F.lit(0)).alias("n"))
     g = g.where("label is not null").groupBy("candidate_id", "label").agg(F.max("model").alias("model"), F.greatest(F.max("n"), F.lit(0)).alias("n"))
@@ -308,7 +308,7 @@ def eval_prf(spark, sf):
     gold = s.groupBy("candidate_id").agg(F.collect_set("skill").alias("g"))
     used = s.where("depth <> 'mentioned'").groupBy("candidate_id").agg(F.collect_set("skill").alias("p"))
     empty = F.array().cast("array<string>")
-    both = P.profiles(spark, sf).select("candidate_id").join(gold, "candidate_id", "left").join(used, "candidate_id", "left")
+    both = load(spark, sf, "candidates").select("candidate_id").distinct().join(gold, "candidate_id", "left").join(used, "candidate_id", "left")
     return both.select("candidate_id", F.coalesce("g", empty).alias("g"), F.coalesce("p", empty).alias("p")).select("candidate_id", *[c.alias(k) for k, c in E.set_scores(F.col("p"), F.col("g")).items()])
 
 
