@@ -254,8 +254,9 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, ref_id: str,
     each broadcast as an index; the best of all blocks counts, under the same threshold and margin.
     """
     distinct = values.select(F.col(value).alias("value")).where(F.regexp_like("value", F.lit(r"\S"))).distinct()
-    # a fixed number of partitions: few bytes a value, but much work, so they must not be coalesced
-    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "value")
+    # few bytes a value, but much work: a fixed number of partitions, which AQE doesn't coalesce. By the
+    # value itself the exchange would be merged with that of the distinct, which it does coalesce.
+    distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
     columns = [F.col(ref_id).cast("int"), F.col(name), F.col(aliases) if aliases else F.array().cast("array<string>")]
     spark, parts = values.sparkSession, []
     for block in _blocks(reference.select(*columns), block_entries):
