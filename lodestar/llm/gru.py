@@ -134,13 +134,16 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
 
-    def step(self, grads: dict[str, np.ndarray], clip: float = 5.0) -> None:
+    def step(self, grads: dict, clip: float = 5.0) -> None:
+        """One step. A gradient may be (rows, values); only these rows and their moments then move."""
         self.t += 1
-        norm = float(np.sqrt(sum((g * g).sum() for g in grads.values())))
+        parts = {k: g if isinstance(g, tuple) else (slice(None), g) for k, g in grads.items()}
+        norm = float(np.sqrt(sum((g * g).sum() for _, g in parts.values())))
         scale = min(1.0, clip / (norm + 1e-9))
-        for k, g in grads.items():
+        for k, (at, g) in parts.items():
             g = g * scale
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            step = self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
-            self.params[k] -= step.astype(np.float32)
+            m = 0.9 * self.m[k][at] + 0.1 * g
+            v = 0.999 * self.v[k][at] + 0.001 * g * g
+            self.m[k][at], self.v[k][at] = m, v
+            step = self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
+            self.params[k][at] -= step.astype(np.float32)
