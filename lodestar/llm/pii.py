@@ -1,10 +1,11 @@
 """Personal information in free text: found by a character-level LSTM with CRF, replaced by placeholders.
 
-All text is scanned for places where personal information can stand at all: an at-sign, many digits
-close together, a number beside a capitalised word, two capitalised words in a row. Windows around
-these are decoded, overlapping ones are reconciled over the whole text, and a found span is then
-fitted to the exact form of its type. The network is trained on spans labelled in a bounded sample:
-known people's names and the written forms of the other types, with names, case and encoding varied.
+Overlapping windows over the whole text are decoded, each giving the tags of its middle, and a found
+span is then fitted to the exact form of its type. The network is trained on spans labelled in a
+bounded sample: known people's names and the written forms of the other types, with names, case and
+encoding varied. Only the draw of training windows without a span looks at what the text holds: places
+where personal information often stands (an at-sign, many digits close together, a number beside a
+capitalised word, two capitalised words in a row) are drawn more often, as they are harder to tell.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ TRAIN_CHARS = 50_000
 EPOCHS, BATCH, RATE = 5, 64, 8e-3
 #: Characters of a window, and of those on each side that only give context.
 WINDOW, MARGIN = 80, 8
-#: Times a word must stand in the sample, never in a name or an address, to need no look.
+#: Shares of the training windows without a span that are drawn: with a trigger near, and others.
+DRAWN_NEAR, DRAWN_FAR = 0.35, 0.08
+#: Times a word must stand in the sample, never in a name or an address, to be plain in the draw.
 PLAIN = 3
-#: Characters around a trigger that are decoded.
+#: Characters around a trigger that count as near.
 REACH = 30
 WORDS = 1 << 14
-#: Buckets of the words that need no look, many more than there are words, so that few share one.
+#: Buckets of the plain words, many more than there are words, so that few share one.
 GATE = 1 << 20
 CHUNK = 1 << 19
 
@@ -190,7 +193,7 @@ class Encoded:
         self.word_of[letter > 0] = np.repeat(self.word, self.last - self.first)
 
     def triggers(self, plain: np.ndarray) -> np.ndarray:
-        """Characters where personal information can stand; `plain`: words that need no look, by hash."""
+        """Characters where personal information often stands, for the draw; `plain`: words never in a name, by hash."""
         k = self.kind
         n = len(k)
         mark = (k & _AT) > 0
@@ -217,7 +220,7 @@ class Encoded:
         run = np.concatenate([[0], np.cumsum(counted)])
         many = keep & (run[np.minimum(a + 18, n)] - run[a] >= 6)
         mark[a[many]] = True
-        # a short number beside a capitalised word, or `rue` or `bis`, unless it is a word that needs no look
+        # a short number beside a capitalised word, or `rue` or `bis`, unless it is a plain word
         up = (k[self.first] & _UPPER) > 0
         safe = plain[self.gate]
         three = self.first[word_len == 3]
@@ -234,7 +237,7 @@ class Encoded:
             before = short & (gap >= 1) & (gap <= 2) & up[prev] & ~safe[prev] & (self.ids[np.maximum(a - 1, 0)] == 32)
             after |= before
         mark[a[after & ~months]] = True
-        # two capitalised words in a row, unless both need no look
+        # two capitalised words in a row, unless both are plain
         if len(self.first) > 1:
             close = self.first[1:] - self.last[:-1]
             joint = up[:-1] & up[1:] & (close <= 2) & ~(safe[:-1] & safe[1:])
@@ -242,22 +245,15 @@ class Encoded:
             mark[self.first[1:][joint]] = True
         return mark
 
-    def windows(self, mark: np.ndarray) -> np.ndarray:
-        """Starts of windows over everything within REACH of a mark: overlapping, so that all has context."""
-        n = len(mark)
-        at = np.flatnonzero(mark)
-        if not len(at):
-            return at
-        cover = np.zeros(n + 1, np.int32)
-        np.add.at(cover, np.maximum(at - REACH, 0), 1)
-        np.add.at(cover, np.minimum(at + REACH, n), -1)
-        inside = np.cumsum(cover[:-1]) > 0
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        core = WINDOW - 2 * MARGIN
-        count = -(-(b - a) // core)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return np.repeat(a, count) + core * step - MARGIN
+    def windows(self) -> np.ndarray:
+        """Starts of overlapping windows, whose middles together are all characters."""
+        return np.arange(-MARGIN, len(self.ids), WINDOW - 2 * MARGIN)
+
+    def near(self, starts: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Whether a trigger is in or near the middle of each window."""
+        n = len(self.ids)
+        run = np.concatenate([[0], np.cumsum(self.triggers(plain))])
+        return run[np.clip(starts + WINDOW - MARGIN + REACH, 0, n)] > run[np.clip(starts + MARGIN - REACH, 0, n)]
 
     def cut(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, words and places (time × batch) of windows."""
@@ -273,16 +269,16 @@ _EDGE = " \t\r\n\xa0,;:|/()[]{}<>\"“”«»•·✉—–*-'’"
 
 
 class Tagger:
-    """Trained network and the words it may pass over."""
+    """The trained network."""
 
-    def __init__(self, net: LstmCrf, plain: np.ndarray) -> None:
-        self.net, self.plain = net, plain
+    def __init__(self, net: LstmCrf) -> None:
+        self.net = net
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, type) of each text."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         enc = Encoded(texts)
-        starts = enc.windows(enc.triggers(self.plain))
+        starts = enc.windows()
         tags = np.zeros(len(enc.ids), np.int8)
         for i in range(0, len(starts), 1536):
             chars, words, where = enc.cut(starts[i : i + 1536])
@@ -428,7 +424,7 @@ def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int
         spans = form_spans(t)
         spans += [s for s in names.spans(t) if all(s[1] <= k[0] or s[0] >= k[1] for k in spans)]
         labelled.append((t, sorted(spans)))
-    # words that need no look: those that stand in the sample often, and never in a name or an address
+    # plain words: those that stand in the sample often, and never in a name or an address
     inside, often = np.zeros(GATE, np.int64), np.zeros(GATE, np.int64)
     for i in range(0, len(labelled), 200):
         part = labelled[i : i + 200]
@@ -441,7 +437,7 @@ def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int
         np.add.at(inside, enc.gate, tag[enc.first])
     plain = (often >= PLAIN) & (inside == 0)
     net = LstmCrf(1 + len(TYPES), CHARS, WORDS)
-    tagger = Tagger(net, plain)
+    tagger = Tagger(net)
     adam = Adam(net.p, RATE)
     for epoch in range(epochs):
         windows: list[tuple[np.ndarray, ...]] = []
@@ -452,13 +448,14 @@ def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int
             tag = np.zeros(len(enc.ids), np.int8)
             for (_, own), b in zip(varied, enc.begin):
                 tag[b : b + len(own)] = own
-            starts = enc.windows(enc.triggers(plain))
-            chars, words, where = enc.cut(starts + rng.integers(-8, 9, len(starts)))
+            starts = enc.windows()
+            starts += rng.integers(-8, 9, len(starts))
+            chars, words, where = enc.cut(starts)
             gold = np.where(where >= 0, tag[np.maximum(where, 0)], 0)
             some = gold.any(axis=0)
             # the rarer types count twice, addresses three times
             rare, place = np.flatnonzero((gold > 2).any(axis=0)), np.flatnonzero((gold == 1 + TYPES.index("address")).any(axis=0))
-            use = np.concatenate([np.flatnonzero(some | (rng.random(len(starts)) < 0.35)), rare, place])
+            use = np.concatenate([np.flatnonzero(some | (rng.random(len(starts)) < np.where(enc.near(starts, plain), DRAWN_NEAR, DRAWN_FAR))), rare, place])
             words = np.where(rng.random(words.shape[1]) < 0.15, 0, words)  # some windows by letters alone
             windows.append((chars[:, use], words[:, use], gold[:, use]))
         chars, words, gold = (np.concatenate(x, axis=1) for x in zip(*windows)) if windows else (np.zeros((WINDOW, 0), int),) * 3

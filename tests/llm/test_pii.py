@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lodestar.llm.lstm_crf import LstmCrf
-from lodestar.llm.pii import TYPES, NameForms, find_pii, fit, form_spans, redact, redact_texts
+from lodestar.llm.pii import MARGIN, TYPES, WINDOW, Encoded, NameForms, find_pii, fit, form_spans, redact, redact_texts
 
 GIVEN = "Ada Bruno Clara Dario Edda Falk Greta Hugo Ilka Jonas Karin Lorenz".split()
 FAMILY = "Brinkmoor Castellay Dornwick Esterhal Fenwyck Galbrand Harrowin Isenford".split()
@@ -117,3 +117,31 @@ def test_tables(spark, tagger):
     red = {(r.doc_id, r.redacted) for r in redact_texts(df, "doc_id", "text", tagger).collect()}
     assert (2, None) in red and (3, "") in red and any(i == 4 and x.endswith("Reported to [NAME] throughout.") for i, x in red)
     assert find_pii(df.limit(0), "doc_id", "text", tagger).count() == 0
+
+
+def test_names_garbled_in_their_first_word():
+    """The letters of a garbled word are parted, so no two capitalised words stand side by side."""
+    given = "Brígida Zélie Thérèse Söhnke Núria Hélène Márta Jürgen".split()
+    names = [f"{g} {f}" for g in given for f in FAMILY]
+    rng = random.Random(3)
+    lines = lambda name: f"the desk reads all notes each week and files them with the others at the end, reported to {name} throughout, and the rates team then goes on as before."
+    tagger = fit(["\n".join(lines(rng.choice(names)) for _ in range(3)) + "\nno person is named in this line of the note" for _ in range(400)], names)
+    wanted = [f"{g} {f}".encode().decode("cp1252", "replace") for g in given for f in FAMILY[:4]]
+    texts = [lines(n) for n in wanted]
+    got = [{t[a:b] for a, b, k in spans if k == "name"} for t, spans in zip(texts, tagger.spans(texts))]
+    assert sum(n in g for n, g in zip(wanted, got)) >= 0.9 * len(wanted), [n for n, g in zip(wanted, got) if n not in g]
+
+
+def test_windows_leave_nothing_out():
+    for n in (0, 1, 63, 64, 65, 1000):
+        enc = Encoded(["x" * n, "", "y" * n])
+        _, _, where = enc.cut(enc.windows())
+        middle = where[MARGIN : WINDOW - MARGIN].ravel()
+        assert sorted(middle[middle >= 0]) == list(range(len(enc.ids)))
+
+
+def test_states_without_gradients_are_the_same():
+    net, rng = LstmCrf(3, 7, 5, hidden=3), np.random.default_rng(1)
+    chars, words = rng.integers(0, 7, (9, 4)), rng.integers(0, 5, (9, 4))
+    for d in "fb":
+        assert np.allclose(net._run(d, chars, words), net._states(d, chars, words), atol=1e-5)
