@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: Query vectors sent to the executors at once.
 QUERY_BLOCK = 4096
+#: Query vectors scored against an Arrow batch at once.
+SCORE_BLOCK = 256
 
 
 def terms(text: Column) -> Column:
@@ -67,8 +70,8 @@ def dense(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: i
     """(`query`, `vec_id`, `score`, `place`): exact inner products of every query row against all rows.
 
     `queries` has the same columns. They are read in blocks, each broadcast; each Arrow batch of
-    vectors gives its own `k` best for each query of the block, and the best of these are kept. NULL
-    vectors take no part.
+    vectors gives its own `k` best for each query of the block, by score rounded to 4 and id as in
+    the end, and the best of these are kept. NULL vectors take no part.
     """
     spark, parts = vectors.sparkSession, None
     kind = vectors.schema[vec_id].dataType.simpleString()
@@ -81,13 +84,14 @@ def dense(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: i
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column(0).to_numpy(zero_copy_only=False)
+                own = batch.column(0)
+                rank = np.empty(batch.num_rows, np.int64)
+                rank[pc.array_sort_indices(own, null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
                 v = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
-                score = np.round(q @ v.T, 6)
-                keep = min(4 * k, batch.num_rows)
-                top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                same = batch.schema.field(0).type
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, keep)).cast(same), pa.array(own[top.ravel()]).cast(same), pa.array(np.take_along_axis(score, top, 1).ravel())], ["query", "i", "score"])
+                for at in range(0, len(q), SCORE_BLOCK):
+                    score = np.round(q[at : at + SCORE_BLOCK] @ v.T, 6)
+                    which, top = _batch_best(score, rank, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at + which]).cast(own.type), own.take(pa.array(top)), pa.array(score[which, top])], ["query", "i", "score"])
 
         part = rows.mapInArrow(run, f"query {kind}, i {kind}, score double")
         parts = part if parts is None else parts.unionByName(part)
@@ -96,6 +100,28 @@ def dense(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: i
     return best(parts.withColumn("score", F.round("score", 4)), "i", k).withColumnRenamed("i", vec_id)
 
 
+def _batch_best(score: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the `k` best of each row of scores: score rounded to 4, then rank.
+
+    Scores have six decimals; they are rounded half away from zero, and NaN comes first, as in Spark.
+    """
+    r = np.abs(score)
+    r *= 1e6
+    np.rint(r, out=r)
+    r += 50
+    r /= 100
+    np.floor(r, out=r)
+    r *= np.sign(score)
+    r[np.isnan(r)] = np.inf
+    keep = min(k, r.shape[1])
+    least = np.partition(r, r.shape[1] - keep, axis=1)[:, r.shape[1] - keep]
+    which, top = np.nonzero(r >= least[:, None])
+    order = np.lexsort((rank[top], -r[which, top], which))
+    which, top = which[order], top[order]
+    first = np.arange(len(which)) - np.searchsorted(which, which) < k
+    return which[first], top[first]
+
+
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, block = [], []
     for i, v in queries.toLocalIterator():

@@ -39,6 +39,27 @@ def test_dense_same_as_numpy(spark):
     assert S.dense(df.limit(0), "id", "v", df.limit(0), 5).count() == 0
 
 
+def test_dense_ties_go_to_the_least_ids(spark):
+    # copies fill most of each batch, in descending order of id; some differ only behind the fourth decimal
+    same = [(i, [1.0, 0.00001 * (i % 3)]) for i in range(3000, 0, -1)]
+    df = spark.createDataFrame([*same, (0, [1.0, 1.0]), (5000, [0.99995, 0.0])], "id int, v array<double>").coalesce(1)
+    got = S.dense(df, "id", "v", df.where("id = 0"), 10).orderBy("place").collect()
+    assert [r.id for r in got] == list(range(10)) and [r.score for r in got][1:] == [1.0] * 9
+    words = df.select(F.format_string("n%05d", "id").alias("id"), "v")
+    got = S.dense(words, "id", "v", words.where("id = 'n00000'"), 10).orderBy("place").collect()
+    assert [r.id for r in got] == [f"n{i:05d}" for i in range(10)]
+
+
+def test_batch_best_rounds_as_spark_does(spark):
+    rng = np.random.default_rng(4)
+    score = np.round(rng.integers(-3000, 3000, (5, 400)) / 2e5, 6)  # many halves of the fourth decimal
+    rank = rng.permutation(400)
+    rows = spark.createDataFrame([(q, int(rank[j]), float(score[q, j])) for q in range(5) for j in range(400)], "query int, i int, score double")
+    want = {(r["query"], r.i) for r in S.best(rows.withColumn("score", F.round("score", 4)), "i", 17).collect()}
+    which, top = S._batch_best(score, rank, 17)
+    assert {(int(q), int(rank[j])) for q, j in zip(which, top)} == want and len(which) == 5 * 17
+
+
 def test_fusion_is_by_rank_only(spark):
     a = spark.createDataFrame([("q", "a", 1, 900.0), ("q", "b", 2, 1.0)], "query string, id string, place int, score double")
     b = spark.createDataFrame([("q", "b", 1, 0.2), ("q", "a", 2, 0.1)], "query string, id string, place int, score double")
