@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.dates import let
 
@@ -16,13 +17,15 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: Query vectors sent to the executors at once.
 QUERY_BLOCK = 4096
+#: Query texts sent to the executors at once, and documents scored against them at once.
+TEXT_BLOCK, DOC_BLOCK = 1024, 2000
 #: Query vectors scored against an Arrow batch at once.
 SCORE_BLOCK = 256
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased runs of letters and digits; the dotted capital I is an i, not one with a mark that would part the word."""
+    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def bm25(docs: DataFrame, doc_id: str, text: Column, queries: list[tuple[str, str]], k: int = 50) -> DataFrame:
@@ -48,6 +51,82 @@ def bm25(docs: DataFrame, doc_id: str, text: Column, queries: list[tuple[str, st
     return best(total, "d", k).withColumnRenamed("d", doc_id)
 
 
+def bm25_rows(docs: DataFrame, doc_id: str, text: Column, queries: DataFrame, query: str, query_text: Column, k: int = 50) -> DataFrame:
+    """`bm25` where queries are rows too: all different terms of a query text count but those of one character.
+
+    Queries are read in blocks; the postings of a block's terms, with their idf, are broadcast. Each
+    Arrow batch gives its `k` best for each query, and the best of these are kept.
+    """
+    spark, parts = docs.sparkSession, None
+    of, to = docs.schema[doc_id].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("d"), terms(F.coalesce(text, F.lit(""))).alias("w")).select("d", "w", F.size("w").alias("len"))
+    n, mean = rows.agg(F.count("*"), F.avg("len")).first()  # two numbers
+    asked = queries.select(F.col(query).alias("q"), F.array_distinct(F.filter(terms(query_text), lambda x: F.length(x) > 1)).alias("ts"))
+    for names, texts in _text_blocks(asked):
+        words = sorted({t for ts in texts for t in ts})
+        if not words:
+            continue
+        own_words = F.broadcast(spark.createDataFrame(pa.table({"t": pa.array(words, pa.string())})))
+        known = dict(rows.select(F.explode(F.array_distinct("w")).alias("t")).join(own_words, "t").groupBy("t").count().collect())  # a row a term of the block
+        number = {t: i for i, t in enumerate(words)}
+        pairs = np.array(sorted((number[t], j) for j, ts in enumerate(texts) for t in ts), np.int64)
+        df = np.array([known.get(t, 0) for t in words], np.float64)
+        idf = np.maximum(1e-6, np.log((n - df + 0.5) / (df + 0.5)))
+        starts = np.searchsorted(pairs[:, 0], np.arange(len(words) + 1))
+        sent = spark.sparkContext.broadcast((names, words, idf, starts, pairs[:, 1].copy()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, words, idf, starts, lists = sent.value
+            vocabulary = pa.array(words, pa.string())
+            for whole in batches:
+                for at in range(0, whole.num_rows, DOC_BLOCK):
+                    batch = whole.slice(at, DOC_BLOCK)
+                    own, m = batch.column(0), batch.num_rows
+                    sizes = batch.column(2).to_numpy().astype(np.int64)
+                    t = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    doc = np.repeat(np.arange(m), sizes)[t >= 0]
+                    cell, tf = np.unique(doc * len(words) + t[t >= 0], return_counts=True)
+                    doc, t = np.divmod(cell, len(words))
+                    weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / (mean or 1.0)))
+                    score = np.zeros((m, len(names)))
+                    edges = np.searchsorted(doc, np.arange(m + 1))
+                    for i in range(m):
+                        a, b = edges[i], edges[i + 1]
+                        count = starts[t[a:b] + 1] - starts[t[a:b]]
+                        total = int(count.sum())
+                        if total:
+                            place = np.arange(total) + np.repeat(starts[t[a:b]] - np.cumsum(count) + count, count)
+                            score[i] = np.bincount(lists[place], np.repeat(weight[a:b], count), len(names))
+                    rank = np.empty(m, np.int64)
+                    rank[pc.array_sort_indices(own, null_placement="at_start").to_numpy()] = np.arange(m)
+                    some = score.T > 0
+                    rounded = np.floor(score.T * 1e4 + 0.5) / 1e4
+                    which, top = _batch_best(np.where(some, rounded, -1.0), rank, k)
+                    hit = some[which, top]
+                    which, top = which[hit], top[hit]
+                    if len(which):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), own.take(pa.array(top)), pa.array(rounded[which, top])], ["query", "d", "score"])
+
+        part = rows.mapInArrow(run, f"query {to}, d {of}, score double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = spark.createDataFrame([], f"query {to}, d {of}, score double")
+    return best(parts, "d", k).withColumnRenamed("d", doc_id)
+
+
+def _text_blocks(asked: DataFrame) -> Iterator[tuple[pa.Array, list[list[str]]]]:
+    """Queries in blocks: their ids, and the terms of each."""
+    ids, block = [], []
+    for q, ts in asked.where(F.size("ts") > 0).toLocalIterator():
+        ids.append(q)
+        block.append(ts)
+        if len(block) == TEXT_BLOCK:
+            yield pa.array(ids), block
+            ids, block = [], []
+    if block:
+        yield pa.array(ids), block
+
+
 def _plain_terms(text: str) -> list[str]:
     """Terms of a query; tokens of one character are left out, at most 32 count."""
     out, word = [], ""
@@ -69,12 +148,14 @@ def best(scored: DataFrame, item: str, k: int) -> DataFrame:
 def dense(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """(`query`, `vec_id`, `score`, `place`): exact inner products of every query row against all rows.
 
-    `queries` has the same columns. They are read in blocks, each broadcast; each Arrow batch of
+    `queries` has columns of the same names; its ids may be of another type. They are read in blocks, each broadcast; each Arrow batch of
     vectors gives its own `k` best for each query of the block, by score rounded to 4 and id as in
     the end, and the best of these are kept. NULL vectors take no part.
     """
     spark, parts = vectors.sparkSession, None
     kind = vectors.schema[vec_id].dataType.simpleString()
+    to = queries.schema[vec_id].dataType.simpleString()
+    asked_type = to_arrow_type(queries.schema[vec_id].dataType)
     rows = vectors.select(F.col(vec_id).alias("i"), F.col(vector).alias("v")).where("v is not null")
     for ids, block in _query_blocks(queries.select(vec_id, vector).where(F.col(vector).isNotNull())):
         sent = spark.sparkContext.broadcast((ids, block))
@@ -91,12 +172,12 @@ def dense(vectors: DataFrame, vec_id: str, vector: str, queries: DataFrame, k: i
                 for at in range(0, len(q), SCORE_BLOCK):
                     score = np.round(q[at : at + SCORE_BLOCK] @ v.T, 6)
                     which, top = _batch_best(score, rank, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at + which]).cast(own.type), own.take(pa.array(top)), pa.array(score[which, top])], ["query", "i", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at + which]).cast(asked_type), own.take(pa.array(top)), pa.array(score[which, top])], ["query", "i", "score"])
 
-        part = rows.mapInArrow(run, f"query {kind}, i {kind}, score double")
+        part = rows.mapInArrow(run, f"query {to}, i {kind}, score double")
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
-        parts = rows.select(F.col("i").alias("query"), "i", F.lit(0.0).alias("score")).where(F.lit(False))
+        parts = rows.select(F.lit(None).cast(to).alias("query"), "i", F.lit(0.0).alias("score")).where(F.lit(False))
     return best(parts.withColumn("score", F.round("score", 4)), "i", k).withColumnRenamed("i", vec_id)
 
 
@@ -163,3 +244,20 @@ def hashed_grams(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFram
     all_grams = let(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9 ]", " "), grams)
     bucket = (F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint") % dim).alias("bucket")
     return df.select(key, F.explode(all_grams).alias("g")).select(key, bucket).groupBy(key, "bucket").agg(F.count("*").alias("n"))
+
+
+def hashed_vectors(grams: DataFrame, key: str, dim: int = 384) -> DataFrame:
+    """(`key`, `v`): the counts of `hashed_grams` as vectors of length 1."""
+    kind = grams.schema[key].dataType.simpleString()
+    lists = grams.groupBy(F.col(key).alias("i")).agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))  # dim entries at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.zeros((batch.num_rows, dim))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+            v[row, batch.column(1).flatten().to_numpy()] = batch.column(2).flatten().to_numpy()
+            v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
+            ends = pa.array(np.arange(0, v.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["i", "v"])
+
+    return lists.mapInArrow(run, f"i {kind}, v array<double>").withColumnRenamed("i", key)

@@ -137,6 +137,75 @@ def hash_embedding_topk(spark, sf):
     return S.best(scored, "chunk_id", 10)
 
 
+# ------------------------------------------------------------------ every hundredth document as a query
+
+_EACH = "SELECT doc_id AS query, coalesce(text, '') AS text FROM documents WHERE doc_id % 100 = 0"
+
+
+def _bm25_rows(docs: str, k: int) -> str:
+    return f"""tok AS (SELECT d, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({docs})), l AS (SELECT d, w, len(w) AS len FROM tok), st AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+    each AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS t FROM ({_EACH})), asked AS (SELECT * FROM each WHERE length(t) > 1),
+    tf AS (SELECT d, len, t, count(*) AS tf FROM (SELECT d, len, unnest(w) AS t FROM l) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+    df AS (SELECT t, greatest(1e-6, ln(((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf GROUP BY 1),
+    sc AS (SELECT query, d, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM st)))), 4) AS score FROM tf JOIN df USING (t) JOIN asked USING (t) GROUP BY ALL),
+    lexical AS (SELECT query, d, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, d) AS INT) AS place FROM sc QUALIFY place <= {k})"""
+
+
+_CHUNK_BM25_ROWS = f"WITH {_CHUNKS}, " + _bm25_rows("SELECT chunk_id AS d, coalesce(text, '') AS t FROM c", 50)
+
+
+def _asked_rows(spark, sf):
+    return load(spark, sf, "documents").where("doc_id % 100 = 0").select("doc_id", "text")
+
+
+def _chunk_hits(c, spark, sf):
+    return S.bm25_rows(c, "chunk_id", F.col("text"), _asked_rows(spark, sf), "doc_id", F.coalesce("text", F.lit("")), 50)
+
+
+@registry.query(_CHUNK_BM25_ROWS + " SELECT query, d AS chunk_id, score, place FROM lexical")
+def bm25_topk_rows(spark, sf):
+    """The chunks nearest to the text of every document whose id is divisible by 100."""
+    return _chunk_hits(_chunks(spark, sf), spark, sf)
+
+
+@registry.query(
+    _CHUNK_BM25_ROWS + """, h AS (SELECT l.query, c.candidate_id, l.d, l.score, row_number() OVER (PARTITION BY query, candidate_id ORDER BY l.score DESC, d) AS r FROM lexical l JOIN c ON c.chunk_id = l.d)
+    SELECT query, candidate_id, max(score) AS score, list(d ORDER BY r) AS items FROM h WHERE r <= 3 GROUP BY 1, 2"""
+)
+def best_chunk_rows(spark, sf):
+    c = _chunks(spark, sf)
+    return S.best_per_entity(_chunk_hits(c, spark, sf).join(c.select("chunk_id", "candidate_id"), "chunk_id"), "chunk_id", "candidate_id")
+
+
+@registry.query(
+    f"""WITH {_bm25_rows("SELECT doc_id AS d, coalesce(text, '') AS t FROM documents", 50)}, {_DENSE},
+    dense AS (SELECT query, vec_id AS d, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM dn QUALIFY place <= 50),
+    f AS (SELECT query, d, round(sum(1 / (60 + place)), 6) AS score FROM (SELECT query, d, place FROM lexical UNION ALL SELECT query, d, place FROM dense) GROUP BY 1, 2)
+    SELECT query, d AS doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, d) AS INT) AS place FROM f QUALIFY place <= 25"""
+)
+def rrf_hybrid_rows(spark, sf):
+    """Both sides asked by every row whose id is divisible by 100: its text and its vector."""
+    docs = load(spark, sf, "documents")
+    lexical = S.bm25_rows(docs, "doc_id", F.col("text"), _asked_rows(spark, sf), "doc_id", F.coalesce("text", F.lit("")), 50)
+    v, q = _vectors(spark, sf)
+    dense = S.dense(v, "vec_id", "embedding", q, 50).select("query", F.col("vec_id").alias("doc_id"), "place")
+    return S.rrf([lexical, dense], "doc_id", 25)
+
+
+@registry.query(
+    f"""WITH {_CHUNKS}, q AS ({_EACH}), gq AS ({_grams(f"SELECT query AS k, {_HASH_TEXT} AS low FROM q")}), gc AS ({_grams(f"SELECT chunk_id AS k, {_HASH_TEXT} AS low FROM c")}),
+    nq AS (SELECT k, sqrt(sum(n * n)) AS size FROM gq GROUP BY 1), nc AS (SELECT k, sqrt(sum(n * n)) AS size FROM gc GROUP BY 1),
+    s AS (SELECT gq.k AS query, gc.k AS chunk_id, sum(gq.n * gc.n) AS dot FROM gq JOIN gc USING (bucket) GROUP BY 1, 2),
+    r AS (SELECT query, chunk_id, CAST(round(CAST(round(dot / (nq.size * nc.size), 6) AS DECIMAL(9, 6)), 4) AS DOUBLE) AS score FROM s JOIN nq ON nq.k = query JOIN nc ON nc.k = chunk_id)
+    SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS INT) AS place FROM r QUALIFY place <= 10"""
+)
+def hash_embedding_topk_rows(spark, sf):
+    """Cosine of hashed words and character groups, asked by every document whose id is divisible by 100."""
+    gc = S.hashed_vectors(S.hashed_grams(_chunks(spark, sf), "chunk_id", "text"), "chunk_id")
+    gq = S.hashed_vectors(S.hashed_grams(_asked_rows(spark, sf), "doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    return S.dense(gc, "chunk_id", "v", gq, 10).where("score > 0")
+
+
 # ------------------------------------------------------------------ vocabulary and votes
 
 _VOCAB = ["python", "pandas", "sql", "scala", "monte carlo", "time series", "factor models", "options pricing", "credit memo", "earnings model", "supplier map", "risk pack", "margin bridge"]

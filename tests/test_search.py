@@ -27,6 +27,31 @@ def test_bm25_edges(spark):
     assert S.bm25(df.limit(0), "id", F.col("t"), [("q", "rare")], 5).count() == 0
 
 
+def test_bm25_of_query_rows(spark):
+    docs = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(40))) for i in range(200)] + [(200, None), (201, "")]
+    df = spark.createDataFrame(docs, "id int, t string")
+    asked = [("a", "w1 w2 w3 w3"), ("long", " ".join(f"w{i}" for i in range(89, -1, -1))), ("short", "x absent"), ("none", None)]
+    got = S.bm25_rows(df, "id", F.col("t"), spark.createDataFrame(asked, "q string, x string"), "q", F.col("x"), 300).collect()
+    # the same as by lists of at most 32 terms, whose scores add up over parts of a query
+    parts = [("a", asked[0][1]), *((f"long{i}", " ".join(asked[1][1].split()[30 * i : 30 * i + 30])) for i in range(3))]
+    want = {}
+    for r in S.bm25(df, "id", F.col("t"), parts, 300).collect():
+        key = (r["query"].rstrip("012"), r.id)
+        want[key] = want.get(key, 0) + r.score
+    have = {(r["query"], r.id): r.score for r in got}
+    assert set(have) == set(want) and all(abs(have[k] - want[k]) < 2e-4 for k in want)
+    assert S.bm25_rows(df, "id", F.col("t"), spark.createDataFrame(asked[2:], "q string, x string"), "q", F.col("x"), 5).count() == 0
+
+
+def test_every_hundredth_document_asks(spark):
+    from lodestar.plans.core import registry
+
+    sf = "/root/testdata/sf0.01"
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 100 = 0 and text rlike '[a-z]{3}'").collect()}
+    for name in ("bm25_topk_rows", "rrf_hybrid_rows", "hash_embedding_topk_rows"):
+        assert ids <= {r["query"] for r in registry.queries[name](spark, sf).select("query").distinct().collect()}, name
+
+
 def test_dense_same_as_numpy(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(300, 8))
