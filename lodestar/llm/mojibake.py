@@ -217,23 +217,26 @@ class Classifier:
 
     def find(self, text: str) -> tuple[Chain, float] | None:
         """The likeliest chain of the text's likeliest garbled stretch, and the log likelihood over clean."""
+        return next(self.chains_of(text), None)
+
+    def chains_of(self, text: str) -> Iterator[tuple[Chain, float]]:
+        """Every verified chain with its log likelihood over clean, the likeliest first."""
         words = wide_words(text)
         scored = [self.score(w) for w in words]
         if not any(s for _, s in scored):
-            return None
+            return
         run = np.cumsum(np.stack([v for v, _ in scored]), axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros(run.shape[1], run.dtype), run[:-1]]), axis=0)
         best = (run - low).max(axis=0)
         for k in np.argsort(-best):
             if best[k] < THRESHOLD:
-                return None
+                return
             chain = self.chains[k]
             end = int((run - low)[:, k].argmax())
             begin = int(np.flatnonzero(np.append(0, run[:end, k]) == low[end, k])[-1]) if end else 0
             stretch = words[begin : end + 1]
             if self.verified(chain, stretch):
-                return chain, float(best[k])
-        return None
+                yield chain, float(best[k])
 
     def verified(self, chain: Chain, words: list[str]) -> bool:
         """Strict decodability. A chain from UTF-8 must decode some word; as the others decode nearly
@@ -262,23 +265,31 @@ class Classifier:
     def repair(self, text: str) -> tuple[str, list[str]]:
         """The text with every stretch restored whose chain can be inverted, and the chains used."""
         used: list[str] = []
-        for _ in range(4):  # a text may hold stretches of several chains
-            found = self.find(text)
-            if not found or found[0].read == LOST:
-                break
-            chain = found[0]
-            swap: dict[str, str] = {}
-            for w in set(wide_words(text)):
-                vector, _ = self.score(w)
-                if vector[self.chains.index(chain)] > 0:
-                    fixed = WIDE.sub(lambda m: chain.restore(m[0]) or m[0], w)
-                    if fixed != w:
-                        swap[w] = fixed
-            if not swap:
-                break
-            text = re.sub(r"[^ \t\r\n]+", lambda m: swap.get(m[0], m[0]), text)
+        seen = {text}  # each round gives a text not seen before, so it ends
+        while True:
+            for chain, _ in self.chains_of(text):
+                if chain.read == LOST:  # the letters of this stretch are gone, those of others may not be
+                    continue
+                swap = self._swaps(chain, text)
+                fixed = re.sub(r"[^ \t\r\n]+", lambda m: swap.get(m[0], m[0]), text) if swap else text
+                if fixed not in seen:
+                    break
+            else:
+                return text, used
+            text = fixed
+            seen.add(text)
             used.append(chain.name)
-        return text, used
+
+    def _swaps(self, chain: Chain, text: str) -> dict[str, str]:
+        """The words that speak for the chain, and what they are without it."""
+        swap: dict[str, str] = {}
+        for w in set(wide_words(text)):
+            vector, _ = self.score(w)
+            if vector[self.chains.index(chain)] > 0:
+                fixed = WIDE.sub(lambda m: chain.restore(m[0]) or m[0], w)
+                if fixed != w:
+                    swap[w] = fixed
+        return swap
 
 
 

@@ -53,6 +53,22 @@ def test_signs_written_as_meant_are_no_case(model):
         assert model.find(t) is None, t
 
 
+def test_lost_letters_do_not_keep_others_from_repair(model):
+    bad = next(c for c in model.chains if c.name == "utf-8>cp1252").garble(SENTENCES[0])
+    lost = "\n".join("".join(c if c.isascii() else "�" for c in s) for s in SENTENCES)
+    text = f"{lost}\n{bad}\n{lost}"
+    assert model.find(text)[0].read == "lost"
+    assert model.repair(text)[0] == f"{lost}\n{SENTENCES[0]}\n{lost}"
+    assert model.repair(lost) == (lost, [])
+
+
+def test_more_than_four_chains(model):
+    names = ["utf-8>cp1252", "utf-8>mac_roman", "utf-8>cp437", "utf-8>cp1251", "utf-8>cp1252x2", "utf-8>cp1250"]
+    text = "\n".join(next(c for c in model.chains if c.name == n).garble(SENTENCES[0]) for n in names)
+    restored, used = model.repair(text)
+    assert len(used) > 4 and restored.split("\n").count(SENTENCES[0]) > 4, used
+
+
 def test_table(spark, model):
     chain = model.chains[1]
     rows = [(1, SENTENCES[0], "x"), (2, chain.garble(SENTENCES[0]), "x"), (2, chain.garble(SENTENCES[0]), "x"), (3, None, "x"), (4, "", "x"), (None, "Z�rich", "x"), (5, "ok " * 50000 + chain.garble(SENTENCES[1]), "x")]
