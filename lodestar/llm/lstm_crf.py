@@ -96,43 +96,45 @@ class LstmCrf:
         y += self._states("b", chars, words) @ v[hs:]
         return y + self.p["vb"]
 
-    def decode(self, chars: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The likeliest tags, time × batch, by Viterbi.
+    def path(self, e: np.ndarray) -> np.ndarray:
+        """The likeliest tags of one sequence of emissions (time × tags) of any length, by Viterbi.
 
-        A window is all tag 0 where every other tag lies further behind at every position than two
-        transitions could make up; it needs no search.
+        Where tag 0 leads every other by more than any two transitions could make up, every best path
+        goes through it: there the sequence falls into stretches, which are searched side by side,
+        longest first, with tag 0 fixed before and after each.
         """
-        e, a = self.emissions(chars, words), self.p["A"]
-        gain = 2 * max(0.0, float(a.max() - a[0, 0]))
-        other = e[:, :, 1].copy()
+        a = self.p["A"].astype(np.float32)
+        out = np.zeros(len(e), np.int8)
+        if not len(e):
+            return out
+        other = e[:, 1].copy()
         for k in range(2, self.tags):
-            np.maximum(other, e[:, :, k], out=other)
-        open_ = (other - e[:, :, 0] + gain >= 0).any(axis=0)
-        out = np.zeros(e.shape[:2], np.int8)
-        if open_.any():
-            out[:, open_] = self._viterbi(e[:, open_], a)
-        return out
-
-    @staticmethod
-    def _viterbi(e: np.ndarray, a: np.ndarray) -> np.ndarray:
-        steps, batch, k = e.shape
-        back = np.empty((steps, batch, k), np.int8)
-        s = e[0]
-        for t in range(1, steps):
-            best = s[:, 0, None] + a[0]
-            arg = np.zeros((batch, k), np.int8)
-            for j in range(1, k):
-                x = s[:, j, None] + a[j]
-                better = x > best
-                best = np.where(better, x, best)
-                arg[better] = j
-            back[t] = arg
-            s = best + e[t]
-        out = np.empty((steps, batch), np.int8)
-        out[-1] = s.argmax(axis=1)
-        rows = np.arange(batch)
-        for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t][rows, out[t]]
+            np.maximum(other, e[:, k], out=other)
+        # of a path x, k, y over x, 0, y
+        gain = (a[:, 1:, None] + a[None, 1:, :] - a[:, :1, None] - a[None, :1, :]).max()
+        open_ = (other - e[:, 0] + max(0.0, float(gain)) >= 0).astype(np.int8)
+        edge = np.diff(open_, prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        size = last - first
+        order = np.argsort(-size, kind="stable")
+        first, size = first[order], size[order]
+        if not len(size):
+            return out
+        longest = int(size[0])
+        active = np.searchsorted(-size, -np.arange(longest), "left")  # stretches longer than t
+        back = []
+        score = e[first] + a[0]
+        for t in range(1, longest):
+            k = active[t]
+            s = score[:k, :, None] + a[None]
+            back.append(s.argmax(axis=1).astype(np.int8))
+            score[:k] = s.max(axis=1) + e[first[:k] + t]
+        state = (score + a[:, 0]).argmax(axis=1)  # where each stretch ends
+        for t in range(longest - 1, -1, -1):
+            k = active[t]
+            out[first[:k] + t] = state[:k]
+            if t:
+                state[:k] = back[t - 1][np.arange(k), state[:k]]
         return out
 
     def gradients(self, chars: np.ndarray, words: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:

@@ -1,11 +1,10 @@
 """Personal information in free text: found by a character-level LSTM with CRF, replaced by placeholders.
 
-Overlapping windows over the whole text are decoded, each giving the tags of its middle, and a found
-span is then fitted to the exact form of its type. The network is trained on spans labelled in a
-bounded sample: known people's names and the written forms of the other types, with names, case and
-encoding varied. Only the draw of training windows without a span looks at what the text holds: places
-where personal information often stands (an at-sign, many digits close together, a number beside a
-capitalised word, two capitalised words in a row) are drawn more often, as they are harder to tell.
+Every character of every text is read in overlapping windows; where two overlap, their emissions are
+blended, and one Viterbi path over the whole text then gives the spans. No pattern proposes, vetoes or
+replaces a span: what follows only completes words that a span cuts, strips marks at its ends and drops
+what cannot be of its type at all (a phone number of four digits). The network is trained on spans
+labelled in a bounded sample and on phrases with invented values (see `pii_labels`).
 """
 
 from __future__ import annotations
@@ -23,102 +22,30 @@ from pyspark.sql import functions as F
 from ..tables import load
 from .gru import Adam
 from .lstm_crf import LstmCrf
-from .mojibake import Chain
+from .models import digest, trained
+from .pii_labels import TYPES, NameForms, form_spans, variant
 
-TYPES = ["name", "email", "phone", "id", "address"]
 #: Texts of each table, and known names, that the labelled sample holds at most about.
 TRAIN_TEXTS, TRAIN_NAMES = 900, 4_000
 #: Longer texts stay out of the labelled sample, and only there.
 TRAIN_CHARS = 50_000
-EPOCHS, BATCH, RATE = 5, 64, 8e-3
-#: Characters of a window, and of those on each side that only give context.
-WINDOW, MARGIN = 80, 8
-#: Shares of the training windows without a span that are drawn: with a trigger near, and others.
-DRAWN_NEAR, DRAWN_FAR = 0.35, 0.08
-#: Times a word must stand in the sample, never in a name or an address, to be plain in the draw.
-PLAIN = 3
-#: Characters around a trigger that count as near.
-REACH = 30
+EPOCHS, BATCH, RATE = 6, 96, 1e-2
+HIDDEN = 20
+#: Characters of a window, and of the blend where two meet.
+WINDOW, BLEND = 192, 24
+STRIDE = WINDOW - BLEND
+#: Characters of a training window.
+TRAIN_WINDOW = 80
+#: Share of the training windows without a span that are drawn, beside those the network gets wrong.
+DRAWN = 0.12
 WORDS = 1 << 14
-#: Buckets of the plain words, many more than there are words, so that few share one.
-GATE = 1 << 20
 CHUNK = 1 << 19
-
-# ------------------------------------------------------------------ written forms of the types
-
-#: Words for identity documents, whose number follows.
-ID_CAPTIONS = (
-    r"National Insurance|NI number|Passport(?: No)?|Passeport|Reisepass|Pasaporte|Passaporto|NIF|SSN|Tax ID|DNI|"
-    r"National ID|ID card|Social security no\.?|Social Security Number|Steuer-?ID|Personalausweis|Codice fiscale|ID"
-)
-#: Kinds of streets.
-STREETS = r"Road|Rd|Street|St|Avenue|Ave|Lane|Ln|Close|Court|Ct|Drive|Dr|Terrace|Place|Pl|Square|Sq|Way|Gardens|Grove|Crescent|Hill|Row|Mews|Walk|Park"
-_CAP = r"[^\W\d_][\w’'\-]+"
-#: The sign of an ordinal, or what a wrong encoding has made of it.
-_ORDINAL = r"[^\s\d,;|.]{1,8}"
-FORMS = {
-    "email": re.compile(
-        r"(?<![\w.%+\-])[\w.%+\-]+(?:[ ]?[\[(]at[\])][ ]?|[ ]?@[ ]?)[A-Za-z0-9\-]+(?:(?:\.|[ ]?[\[(]dot[\])][ ]?)[A-Za-z0-9\-]+)+", re.I
-    ),
-    "phone": re.compile(
-        r"(?<![\w./+\-])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,5}(?:[ .\-]?\d{2,6}){1,5}|00\d{2}[ .\-]\d{2,5}(?:[ .\-]\d{2,6}){1,4}"
-        r"|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}|0\d{2,4} \d{3,4} \d{4})(?![\w/]|[.\-]\d)"
-    ),
-    "id": re.compile(rf"(?<![\w])(?:{ID_CAPTIONS})[ :]{{1,2}}(?=[A-Z\d ]*\d)((?:[A-Z]{{1,3}} ?)?\d(?:[ \-]?\d){{5,12}}(?: ?[A-Z])?)(?![\w]|[.\-/]\d)", re.I),
-    "address": re.compile(
-        rf"(?<![\w/])(?:(?:(?:Flat|Apt|Unit|Suite) \d{{1,4}}[A-Za-z]?, )?\d{{1,4}}[a-z]? {_CAP}(?: {_CAP})? (?:(?:St|Rd|Ave|Ln|Ct|Dr|Pl|Sq)\.|(?:{STREETS})\b)"
-        rf"|\d{{1,4}}(?: bis| ter)? (?:rue|avenue|boulevard|place|chemin|quai) (?:(?:de la|de l[’']|des|du|de|d[’']) ?)?{_CAP}(?:-{_CAP})*"
-        rf"|(?:C/|Calle|Avda\.?|Plaza) (?:(?:de la|de los|de las|del|de) )?{_CAP},? \d{{1,4}}(?:, \d{{1,2}}{_ORDINAL}(?: [A-Z]\b)?)?"
-        rf"|(?:Rua|Avenida|Travessa|Largo) (?:(?:da|do|das|dos|de) )?{_CAP},? \d{{1,4}}(?:, \d{{1,2}}{_ORDINAL}(?: [A-Z]\b)?)?"
-        rf"|(?:Via|Viale|Piazza|Corso) (?:(?:della|delle|degli|dello|dei|del|di) )?{_CAP},? \d{{1,4}}"
-        r"|(?-i:[A-ZÀ-Þ])[\w\-]*(?:stra[^\s\d]{1,8}e|gasse|weg|platz|allee) \d{1,4}[a-z]?)(?![\w])",
-        re.I,
-    ),
-}
-
-
-def form_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans in the written forms of the types other than name, longest first where they overlap."""
-    out = []
-    for kind, pattern in FORMS.items():
-        for m in pattern.finditer(text):
-            a, b = m.span(1) if kind == "id" else m.span()
-            if kind == "phone" and not 7 <= sum(map(str.isdigit, text[a:b])) <= 15:
-                continue
-            out.append((a, b, kind))
-    out.sort(key=lambda s: (s[0] - s[1], s[0]))
-    kept: list[tuple[int, int, str]] = []
-    for s in out:
-        if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-            kept.append(s)
-    return sorted(kept)
-
-
-class NameForms:
-    """Labels the names of known people, in the ways a name is written, for training."""
-
-    def __init__(self, full_names: list[str]) -> None:
-        given, family = set(), set()
-        for n in full_names:
-            words = [w for w in n.split() if len(w.strip(".")) > 1]
-            if len(words) > 1:
-                given |= set(words[0].split("-"))
-                family |= set(words[1:])
-        self.given, self.family = sorted(given), sorted(family)
-        both = lambda ws: "|".join(re.escape(v) for w in sorted(ws, key=len, reverse=True) for v in (w, w.upper())) or "(?!)"
-        g, f, gap = rf"(?:{both(given)})(?:-(?:{both(given)}))?", rf"(?:{both(family)})", "[ \xa0]"
-        initial = rf"(?:{gap}[A-ZÀ-Þ]\.)?"
-        self.pattern = re.compile(
-            rf"(?<![\w&-])(?<!& )(?:{g}{initial}{gap}{f}(?:{gap}{f})?|{f},{gap}{g}{initial}|[A-ZÀ-Þ]\.{gap}{f})(?![\w-])(?!{gap}(?:&|and){gap}[A-ZÀ-Þ])"
-        )
-
-    def spans(self, text: str) -> list[tuple[int, int, str]]:
-        return [(*m.span(), "name") for m in self.pattern.finditer(text)]
-
+#: Windows run through the network at once.
+RUN = 1024
 
 # ------------------------------------------------------------------ characters
 
-_LETTER, _UPPER, _DIGIT, _AT, _BLANK = 1, 2, 4, 8, 16
+_LETTER = 1
 _SIZE = 0x3000
 CHARS = 256
 PAD_CHAR, NEWLINE = 255, 10
@@ -133,14 +60,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = chr(cp)
         if c.isalpha() or c in "'’":
             kind[cp] |= _LETTER
-        if c.isupper():
-            kind[cp] |= _UPPER
-        if c.isdigit():
-            kind[cp] |= _DIGIT
-        if c == "@":
-            kind[cp] |= _AT
-        if c in " \t\r\n\xa0":
-            kind[cp] |= _BLANK
         lower = c.lower()
         low[cp] = numbers[ord(lower) if len(lower) == 1 and ord(lower) < _SIZE else cp]
         base = unicodedata.normalize("NFKD", c)[:1]
@@ -175,6 +94,7 @@ class Encoded:
 
     def __init__(self, texts: list[str]) -> None:
         self.begin = np.cumsum([0, *(len(t) + 2 for t in texts)])
+        self.length = np.array([len(t) for t in texts], np.int64)
         joined = "\n\n".join([*texts, ""])
         cp = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), _SIZE)
         self.kind, self.ids = KIND[cp], CHAR_ID[cp]
@@ -188,84 +108,34 @@ class Encoded:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         self.word = ((h >> np.uint64(40)) % np.uint64(WORDS - 1) + np.uint64(1)).astype(np.int32)  # 0: no word
-        self.gate = (h & np.uint64(GATE - 1)).astype(np.int32)
         self.word_of = np.zeros(len(cp), np.int32)
         self.word_of[letter > 0] = np.repeat(self.word, self.last - self.first)
 
-    def triggers(self, plain: np.ndarray) -> np.ndarray:
-        """Characters where personal information often stands, for the draw; `plain`: words never in a name, by hash."""
-        k = self.kind
-        n = len(k)
-        mark = (k & _AT) > 0
-        digit = ((k & _DIGIT) > 0).astype(np.int8)
-        # at-signs in words: `at` in brackets
-        word_len = self.last - self.first
-        two = self.first[(word_len == 2) & (self.first > 0)]
-        two = two[two + 2 < n]
-        at = two[((self.ids[two] | 32) == 97) & ((self.ids[two + 1] | 32) == 116) & np.isin(self.ids[two - 1], (40, 91))]
-        mark[at] = True
-        # runs of digits: length, and whether a year with a month or alone
-        edge = np.diff(digit, prepend=0, append=0)
-        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        size = b - a
-        months = np.zeros(len(a), bool)
-        if len(a) > 1:
-            pair = (size[:-1] == 4) & (size[1:] == 2) & (a[1:] == b[:-1] + 1) & (self.ids[b[:-1]] == 45)
-            pair[1:] &= a[1:-1] - b[:-2] > 1  # no digits right before
-            months[:-1] |= pair
-            months[1:] |= pair
-        counted = np.zeros(n + 1, np.int32)
-        keep = ~months
-        np.add.at(counted, a[keep], size[keep])
-        run = np.concatenate([[0], np.cumsum(counted)])
-        many = keep & (run[np.minimum(a + 18, n)] - run[a] >= 6)
-        mark[a[many]] = True
-        # a short number beside a capitalised word, or `rue` or `bis`, unless it is a plain word
-        up = (k[self.first] & _UPPER) > 0
-        safe = plain[self.gate]
-        three = self.first[word_len == 3]
-        low = [self.ids[np.minimum(three + i, n - 1)] | 32 for i in range(3)]
-        street = three[((low[0] == 114) & (low[1] == 117) & (low[2] == 101)) | ((low[0] == 98) & (low[1] == 105) & (low[2] == 115))]
-        beside = np.zeros(n + 3, bool)
-        beside[self.first[up & ~safe]] = True
-        beside[street] = True
-        short = size <= 4
-        after = short & (beside[np.minimum(b + 1, n)] | beside[np.minimum(b + 2, n)])
-        prev = np.maximum(np.searchsorted(self.last, a, "right") - 1, 0) if len(self.last) else np.zeros(len(a), int)
-        if len(self.last):
-            gap = a - self.last[prev]
-            before = short & (gap >= 1) & (gap <= 2) & up[prev] & ~safe[prev] & (self.ids[np.maximum(a - 1, 0)] == 32)
-            after |= before
-        mark[a[after & ~months]] = True
-        # two capitalised words in a row, unless both are plain
-        if len(self.first) > 1:
-            close = self.first[1:] - self.last[:-1]
-            joint = up[:-1] & up[1:] & (close <= 2) & ~(safe[:-1] & safe[1:])
-            mark[self.first[:-1][joint]] = True
-            mark[self.first[1:][joint]] = True
-        return mark
-
-    def windows(self) -> np.ndarray:
-        """Starts of overlapping windows, whose middles together are all characters."""
-        return np.arange(-MARGIN, len(self.ids), WINDOW - 2 * MARGIN)
-
-    def near(self, starts: np.ndarray, plain: np.ndarray) -> np.ndarray:
-        """Whether a trigger is in or near the middle of each window."""
-        n = len(self.ids)
-        run = np.concatenate([[0], np.cumsum(self.triggers(plain))])
-        return run[np.clip(starts + WINDOW - MARGIN + REACH, 0, n)] > run[np.clip(starts + MARGIN - REACH, 0, n)]
-
-    def cut(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, words and places (time × batch) of windows."""
-        where = starts[None, :] + np.arange(WINDOW)[:, None]
-        inside = (where >= 0) & (where < len(self.ids))
-        clipped = np.clip(where, 0, len(self.ids) - 1)
+    def windows(self, window: int = WINDOW, blend: int = BLEND, shift: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of windows over each text by itself, in order, and the text of each.
+
+        A window blends with the next over `blend` characters; the first begins `blend` before its
+        text and the last ends as much after it, so what a text gives does not depend on its neighbours.
+        """
+        per = np.where(self.length > 0, 1 + np.maximum(0, -(-(self.length - window + 2 * blend) // (window - blend))), 0)
+        owner = np.repeat(np.arange(len(self.length)), per)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        return self.begin[owner] - blend + nth * (window - blend) + shift, owner
+
+    def cut(self, starts: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, words and places (time × batch) of windows; what lies outside the own text is padding, at place -1."""
+        where = starts[None, :] + np.arange(window)[:, None]
+        begin = self.begin[owner]
+        inside = (where >= begin[None, :]) & (where < (begin + self.length[owner])[None, :])
+        clipped = np.where(inside, where, 0)
         return np.where(inside, self.ids[clipped], PAD_CHAR), np.where(inside, self.word_of[clipped], 0), np.where(inside, where, -1)
 
 
-# ------------------------------------------------------------------ the tagger
+#: What a character of a window weighs where the window blends with its neighbours.
+_RAMP = np.minimum(1.0, np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (BLEND + 1)).astype(np.float32)
 
-_EDGE = " \t\r\n\xa0,;:|/()[]{}<>\"“”«»•·✉—–*-'’"
+
+# ------------------------------------------------------------------ the tagger
 
 
 class Tagger:
@@ -274,61 +144,86 @@ class Tagger:
     def __init__(self, net: LstmCrf) -> None:
         self.net = net
 
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Tagger:
+        net = LstmCrf(1 + len(TYPES), CHARS, 1, HIDDEN)
+        net.p = arrays
+        return cls(net)
+
+    def emissions(self, enc: Encoded) -> np.ndarray:
+        """Of every character, blended from the windows that hold it."""
+        total = np.zeros((len(enc.ids), self.net.tags), np.float32)
+        starts, owner = enc.windows()
+        for i in range(0, len(starts), RUN):
+            chars, words, where = enc.cut(starts[i : i + RUN], owner[i : i + RUN])
+            e = self.net.emissions(chars, words) * _RAMP[:, None, None]
+            for odd in (0, 1):  # windows next but one never overlap, so no place comes twice
+                place = where[:, odd::2]
+                keep = place >= 0
+                total[place[keep]] += e[:, odd::2][keep]
+        return total
+
+    def tags(self, enc: Encoded) -> np.ndarray:
+        e = self.emissions(enc)
+        outside = np.ones(len(e), bool)
+        for b, n in zip(enc.begin, enc.length):
+            outside[b : b + n] = False
+        e[outside] = 0
+        e[outside, 0] = 1e4  # between texts there is nothing
+        return self.net.path(e)
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, type) of each text."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         enc = Encoded(texts)
-        starts = enc.windows()
-        tags = np.zeros(len(enc.ids), np.int8)
-        for i in range(0, len(starts), 1536):
-            chars, words, where = enc.cut(starts[i : i + 1536])
-            got = self.net.decode(chars, words)[MARGIN : WINDOW - MARGIN]
-            place = where[MARGIN : WINDOW - MARGIN]
-            keep = place >= 0
-            tags[place[keep]] = got[keep]
-        change = np.flatnonzero(np.diff(tags)) + 1
-        bounds = np.concatenate([[0], change, [len(tags)]])
+        tags = self.tags(enc)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(tags)) + 1, [len(tags)]])
         kinds = tags[bounds[:-1]]
         for j in np.flatnonzero(kinds):
             d = int(np.searchsorted(enc.begin, bounds[j], "right") - 1)
-            if d < len(texts):
-                b = int(enc.begin[d])
-                out[d].append((int(bounds[j]) - b, int(bounds[j + 1]) - b, TYPES[int(kinds[j]) - 1]))
-        return [fitted(t, s) if s else [] for t, s in zip(texts, out)]
+            b = int(enc.begin[d])
+            out[d].append((int(bounds[j]) - b, int(bounds[j + 1]) - b, TYPES[int(kinds[j]) - 1]))
+        return [tidied(t, s) if s else [] for t, s in zip(texts, out)]
+
+
+_EDGE = " \t\r\n\xa0,;:|/()[]{}<>\"“”«»•·✉—–*-'’"
+#: What a span of each type may hold at its ends beside letters and digits.
+_AT_START = {"email": "", "phone": "+(", "id": "", "address": ""}
+_AT_END = {"email": "", "phone": "", "id": "", "address": "ºª°"}
+#: Characters at which no word of the type ends.
+_INSIDE = {"email": "._%+-@", "phone": "", "id": "", "address": "'’"}
+#: Least and most digits of a span of each type.
+_DIGITS = {"email": (0, 99), "phone": (7, 15), "id": (4, 14), "address": (1, 20)}
 
 
-def fitted(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Found spans in the exact form of their type; what has no such form is dropped.
+def tidied(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans with whole words and without marks at their ends; impossible ones are dropped.
 
-    Parts of a name that only blanks, commas or points part are one name; a name gives way to the
-    other types where they meet.
+    Parts of a name that only blanks, commas or points part are one span, and parts of an address for
+    mail that only marks part; where two spans come to overlap, a name gives way, else the later one.
     """
-    forms: list[tuple[int, int, str]] = []
-    near: list[list[int]] = []
-    for a, b, kind in spans:
-        if kind != "name":
-            if near and a - 60 <= near[-1][1]:
-                near[-1][1] = b + 60
-            else:
-                near.append([max(0, a - 60), b + 60])
-    for lo, hi in near:
-        forms += [(x + lo, y + lo, k) for x, y, k in form_spans(text[lo:hi])]
     kept: list[tuple[int, int, str]] = []
     names: list[list[int]] = []
+    joined: list[tuple[int, int, str]] = []
     for a, b, kind in spans:
+        if joined and kind == joined[-1][2] == "email" and a - joined[-1][1] <= 3 and not any(map(str.isalnum, text[joined[-1][1] : a])):
+            joined[-1] = (joined[-1][0], b, kind)
+        else:
+            joined.append((a, b, kind))
+    for a, b, kind in joined:
         if kind == "name":
             if names and a - names[-1][1] <= 3 and not text[names[-1][1] : a].strip(" .,\xa0"):
                 names[-1][1] = b
             else:
-                names.append([a, min(b, len(text))])
+                names.append([a, b])
             continue
-        # the most characters in common decide; a found span may miss its ends, and numbers their exact type
-        common = [(min(b, y) - max(a, x), x, y, k) for x, y, k in forms if min(b, y) > max(a, x)]
-        if common:
-            n, x, y, k = max(common)
-            if (k == kind or {k, kind} == {"id", "phone"}) and n * 2 >= min(b - a, y - x):
-                kept.append((x, y, k))
-    kept = sorted(set(kept))
+        s = _whole(text, a, b, kind)
+        if s:
+            if kept and s[0] < kept[-1][1]:
+                if kept[-1][2] == kind:
+                    kept[-1] = (kept[-1][0], max(kept[-1][1], s[1]), kind)
+                continue
+            kept.append(s)
     for a, b in names:
         for x, y, _ in kept:
             if x <= a < y:
@@ -339,7 +234,58 @@ def fitted(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int,
         s = fit_name(text, a, b, lower) if b > a else None
         if s and all(s[1] <= x or s[0] >= y for x, y, _ in kept):
             kept.append(s)
-    return sorted(set(kept))
+    return sorted(s for s in set(kept) if s[2] != "email" or _AT.search(text, s[0], s[1]))
+
+
+#: Short words for kinds of streets, to which a point belongs.
+_SHORT = re.compile(r"\b(?:St|Rd|Ave|Ln|Ct|Dr|Pl|Sq)\Z", re.I)
+#: Fixed value: what stands for the sign that every address for mail has.
+_AT = re.compile(r"[@＠]|\bat\b", re.I)
+
+
+def _one_line(text: str, a: int, b: int) -> tuple[int, int]:
+    """The longest line of a span."""
+    part = text[a:b]
+    if "\n" in part or "\r" in part:
+        longest = max(re.split(r"[\r\n]+", part), key=len)
+        a += part.index(longest)
+        b = a + len(longest)
+    return a, b
+
+
+def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
+    """The span with its words completed and its ends stripped, or None where it cannot be of its type."""
+    a, b = _one_line(text, a, b)
+    while a < b and not (text[a].isalnum() or ord(text[a]) > 127 and not text[a].isspace() and text[a] not in _EDGE or text[a] in _AT_START[kind]):
+        a += 1
+    while b > a and not (text[b - 1].isalnum() or ord(text[b - 1]) > 127 and not text[b - 1].isspace() and text[b - 1] not in _EDGE or text[b - 1] in _AT_END[kind]):
+        b -= 1
+    if a == b:
+        return None
+    if kind == "phone":
+        while a < b and not (text[a].isdigit() or text[a] in "+("):
+            a += 1
+        while b > a and not text[b - 1].isdigit():
+            b -= 1
+        while a > 0 and a < b and (text[a - 1].isdigit() or (text[a - 1] in "+(" and text[a].isdigit())):
+            a -= 1
+        while b < len(text) and text[b].isdigit():
+            b += 1
+    else:
+        joins = _INSIDE[kind]
+        part = lambda c: c.isalnum() or c in joins or (kind == "address" and _word_char(c))
+        while a > 0 and part(text[a - 1]) and part(text[a]):
+            a -= 1
+        while b < len(text) and part(text[b]) and part(text[b - 1]) and not (text[b] in joins and (b + 1 == len(text) or not text[b + 1].isalnum())):
+            b += 1
+        if kind == "address" and text[b : b + 1] == "." and _SHORT.search(text, a, b):
+            b += 1
+        while kind == "email" and a < b and text[a] in joins:
+            a += 1
+    least, most = _DIGITS[kind]
+    found = text[a:b]
+    letters = kind in ("email", "address") and not any(map(str.isalpha, found))
+    return None if letters or len(found) < 5 or not least <= sum(map(str.isdigit, found)) <= most else (a, b, kind)
 
 
 def _word_char(c: str) -> bool:
@@ -356,12 +302,8 @@ def fit_name(text: str, a: int, b: int, lower: int = 0) -> tuple[int, int, str]
         a -= 1
     while b < len(text) and (_word_char(text[b]) or (text[b] == "-" and b + 1 < len(text) and _word_char(text[b + 1]) and text[b + 1].isupper())):
         b += 1
+    a, b = _one_line(text, a, b)
     part = text[a:b]
-    if "\n" in part or "\r" in part:
-        lines = re.split(r"[\r\n]+", part)
-        longest = max(lines, key=len)
-        a += part.index(longest)
-        part, b = longest, a + len(longest)
     words = re.findall(r"[^\W\d_][\w’'.\-]*", part)
     if len(words) < 2 or any(c.isdigit() for c in part) or "@" in part or "&" in part:
         return None
@@ -381,91 +323,55 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 # ------------------------------------------------------------------ training
 
-_SYLLABLES = "ba cor del fen gar hal ir jan kel lor mon nav or pel quen ras sel tor ul van wen xi yor zan bri cas dun eth".split()
 
-
-def _variant(text: str, spans: list[tuple[int, int, str]], rng: np.random.Generator) -> tuple[str, np.ndarray]:
-    """A text with some names invented, some case changed, some garbled, and its tags."""
-    pieces: list[tuple[str, int]] = []
-    last = 0
-    invent = rng.random() < 0.3
-    for a, b, kind in spans:
-        pieces.append((text[last:a], 0))
-        part = text[a:b]
-        if kind == "name" and not invent and rng.random() < 0.1:
-            part = re.sub(r"^([^\W\d_])[\w’'-]+(?: [^\W\d_]\.)? (?=[^\W\d_]+$)", r"\1. ", part)
-        if kind == "address" and rng.random() < 0.5:
-            part = re.sub(r"\b[^\W\d_]{3,}?(?=(?:straße|strasse|gasse|weg|platz|allee)\b)", lambda m: _invented(m[0], rng), part)
-        if kind == "name" and invent:
-            part = re.sub(r"[^\W\d_]{3,}", lambda m: _invented(m[0], rng), part)
-        pieces.append((part, 1 + TYPES.index(kind)))
-        last = b
-    pieces.append((text[last:], 0))
-    draw = rng.random()
-    if draw < 0.05:
-        pieces = [(p.upper(), k) for p, k in pieces]
-    elif draw < 0.13:
-        chain = Chain(*[("utf-8", "cp1252", 1), ("utf-8", "latin-1", 1), ("utf-8", "mac_roman", 1), ("utf-8", "cp1251", 1), ("utf-8", "cp437", 1), ("utf-8", "cp1252", 2), ("mac_roman", "cp1252", 1), ("cp1252", "cp1251", 1), ("utf-8", "cp1250", 1), ("cp1252", "lost", 1)][int(rng.integers(10))])
-        pieces = [(chain.garble(p), k) for p, k in pieces]
-    return "".join(p for p, _ in pieces), np.concatenate([np.full(len(p), k, np.int8) for p, k in pieces]) if pieces else np.zeros(0, np.int8)
-
-
-def _invented(word: str, rng: np.random.Generator) -> str:
-    made = "".join(_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), int(rng.integers(2, 4))))
-    return made.upper() if word.isupper() else made.capitalize()
+def labelled(texts: list[str], names: NameForms) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts of the sample with their spans: known names, and the commonest written forms of the other types."""
+    out = []
+    for t in texts:
+        spans = form_spans(t)
+        spans += [s for s in names.spans(t) if all(s[1] <= k[0] or s[0] >= k[1] for k in spans)]
+        out.append((t, sorted(spans)))
+    return out
 
 
 def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int = 21) -> Tagger:
-    """Train on the labelled spans of `texts`."""
+    """Train on the labelled spans of `texts` and on invented phrases."""
     rng = np.random.default_rng(seed)
-    names = NameForms(full_names)
-    labelled = []
-    for t in texts:
-        spans = form_spans(t)
-        spans += [s for s in names.spans(t) if all(s[1] <= k[0] or s[0] >= k[1] for k in spans)]
-        labelled.append((t, sorted(spans)))
-    # plain words: those that stand in the sample often, and never in a name or an address
-    inside, often = np.zeros(GATE, np.int64), np.zeros(GATE, np.int64)
-    for i in range(0, len(labelled), 200):
-        part = labelled[i : i + 200]
-        enc = Encoded([t for t, _ in part])
-        tag = np.zeros(len(enc.ids), np.int8)
-        for (_, spans), b in zip(part, enc.begin):
-            for x, y, kind in spans:
-                tag[b + x : b + y] = kind in ("name", "address")
-        np.add.at(often, enc.gate, 1)
-        np.add.at(inside, enc.gate, tag[enc.first])
-    plain = (often >= PLAIN) & (inside == 0)
-    net = LstmCrf(1 + len(TYPES), CHARS, WORDS)
-    tagger = Tagger(net)
+    sample = labelled(texts, NameForms(full_names))
+    net = LstmCrf(1 + len(TYPES), CHARS, WORDS, HIDDEN)
     adam = Adam(net.p, RATE)
+    half = (TRAIN_WINDOW - BLEND) // 2
     for epoch in range(epochs):
         windows: list[tuple[np.ndarray, ...]] = []
-        order = rng.permutation(len(labelled))
+        order = rng.permutation(len(sample))
         for i in range(0, len(order), 200):
-            varied = [_variant(*labelled[j], rng) for j in order[i : i + 200]]
+            varied = [variant(*sample[j], full_names, rng) for j in order[i : i + 200]]
             enc = Encoded([t for t, _ in varied])
             tag = np.zeros(len(enc.ids), np.int8)
             for (_, own), b in zip(varied, enc.begin):
                 tag[b : b + len(own)] = own
-            starts = enc.windows()
-            starts += rng.integers(-8, 9, len(starts))
-            chars, words, where = enc.cut(starts)
+            starts, owner = enc.windows(TRAIN_WINDOW, BLEND)
+            starts = starts + rng.integers(-half, half + 1, len(starts))
+            chars, words, where = enc.cut(starts, owner, TRAIN_WINDOW)
             gold = np.where(where >= 0, tag[np.maximum(where, 0)], 0)
             some = gold.any(axis=0)
+            wrong = np.zeros(len(some), bool)
+            if epoch:  # windows without a span where the network as it is sees one
+                empty = np.flatnonzero(~some)
+                wrong[empty] = (net.emissions(chars[:, empty], words[:, empty]).argmax(axis=2) > 0).any(axis=0)
             # the rarer types count twice, addresses three times
             rare, place = np.flatnonzero((gold > 2).any(axis=0)), np.flatnonzero((gold == 1 + TYPES.index("address")).any(axis=0))
-            use = np.concatenate([np.flatnonzero(some | (rng.random(len(starts)) < np.where(enc.near(starts, plain), DRAWN_NEAR, DRAWN_FAR))), rare, place])
+            use = np.concatenate([np.flatnonzero(some | wrong | (rng.random(len(starts)) < DRAWN)), np.flatnonzero(wrong), rare, place])
             words = np.where(rng.random(words.shape[1]) < 0.15, 0, words)  # some windows by letters alone
             windows.append((chars[:, use], words[:, use], gold[:, use]))
-        chars, words, gold = (np.concatenate(x, axis=1) for x in zip(*windows)) if windows else (np.zeros((WINDOW, 0), int),) * 3
+        chars, words, gold = (np.concatenate(x, axis=1) for x in zip(*windows)) if windows else (np.zeros((TRAIN_WINDOW, 0), int),) * 3
         mixed = rng.permutation(chars.shape[1])
-        adam.rate = RATE * (1 - 0.75 * epoch / max(1, epochs - 1))
+        adam.rate = RATE * (1 - 0.85 * epoch / max(1, epochs - 1))
         for i in range(0, len(mixed), BATCH):
             pick = mixed[i : i + BATCH]
             _, grads = net.gradients(chars[:, pick], words[:, pick], gold[:, pick].astype(np.int64))
             adam.step(grads)
-    return tagger
+    return Tagger(net)
 
 
 def _drawn(df: DataFrame, key: str, text: str, most: int) -> list[str]:
@@ -554,8 +460,11 @@ def redact_texts(df: DataFrame, key: str, text: str, tagger: Tagger) -> DataFram
 
 
 def train(documents: DataFrame, run_states: DataFrame, candidates: DataFrame) -> Tagger:
+    """The tagger of a bounded sample of these tables; an equal sample is trained on only once (see `models`)."""
     texts = _drawn(documents, "doc_id", "text", TRAIN_TEXTS) + _drawn(run_states, "state_id", "raw_text", TRAIN_TEXTS)
-    return fit(texts, known_names(candidates))
+    names = known_names(candidates)
+    key = digest([*texts, *names], ("pii", "pii_labels", "lstm_crf", "gru"))
+    return Tagger.of(trained(documents.sparkSession, "pii", key, lambda: fit(texts, names).net.p))
 
 
 def _tables_and_tagger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Tagger]:

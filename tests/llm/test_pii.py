@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 
 from lodestar.llm.lstm_crf import LstmCrf
-from lodestar.llm.pii import MARGIN, TYPES, WINDOW, Encoded, NameForms, find_pii, fit, form_spans, redact, redact_texts
+from lodestar.llm.models import digest, read, save, trained
+from lodestar.llm.pii import _RAMP, Encoded, Tagger, find_pii, fit, redact, redact_texts, tidied
+from lodestar.llm.pii_labels import TYPES, NameForms, form_spans
 
 GIVEN = "Ada Bruno Clara Dario Edda Falk Greta Hugo Ilka Jonas Karin Lorenz".split()
 FAMILY = "Brinkmoor Castellay Dornwick Esterhal Fenwyck Galbrand Harrowin Isenford".split()
@@ -63,10 +65,27 @@ def test_gradients_and_viterbi():
             got = g[k][at]
         assert abs((out[0] - out[1]) / 2e-3 - got) < 5e-3, k
     e, a = net.emissions(chars, words), net.p["A"]
-    got = net.decode(chars, words)
     for b in range(2):
-        score = lambda p: sum(e[t, b, x] for t, x in enumerate(p)) + sum(a[x, y] for x, y in zip(p, p[1:]))
-        assert abs(score(got[:, b]) - max(map(score, itertools.product(range(3), repeat=5)))) < 1e-4
+        score = lambda p: sum(e[t, b, x] for t, x in enumerate(p)) + sum(a[x, y] for x, y in zip([0, *p], [*p, 0]))
+        assert abs(score(net.path(e[:, b])) - max(map(score, itertools.product(range(3), repeat=5)))) < 1e-4
+
+
+def test_path_of_a_long_sequence_is_the_best_of_all():
+    """Falls into stretches at sure zeros; compared with a plain Viterbi over the whole."""
+    net, rng = LstmCrf(4, 7, 5, hidden=3), np.random.default_rng(4)
+    net.p["A"] = rng.normal(size=(4, 4)).astype(np.float32)
+    e = rng.normal(size=(3000, 4)).astype(np.float32) * 2
+    e[rng.random(3000) < 0.2, 0] += 30
+    best, back = e[0].astype(float) + net.p["A"][0], []
+    for t in range(1, len(e)):
+        s = best[:, None] + net.p["A"]
+        back.append(s.argmax(axis=0))
+        best = s.max(axis=0) + e[t]
+    path = [int((best + net.p["A"][:, 0]).argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    assert net.path(e).tolist() == path[::-1]
+    assert net.path(e[:0]).tolist() == []
 
 
 def test_held_out_accuracy(tagger):
@@ -132,12 +151,49 @@ def test_names_garbled_in_their_first_word():
     assert sum(n in g for n, g in zip(wanted, got)) >= 0.9 * len(wanted), [n for n, g in zip(wanted, got) if n not in g]
 
 
-def test_windows_leave_nothing_out():
-    for n in (0, 1, 63, 64, 65, 1000):
+def test_windows_blend_to_one_everywhere():
+    for n in (0, 1, 63, 144, 145, 168, 169, 1000):
         enc = Encoded(["x" * n, "", "y" * n])
-        _, _, where = enc.cut(enc.windows())
-        middle = where[MARGIN : WINDOW - MARGIN].ravel()
-        assert sorted(middle[middle >= 0]) == list(range(len(enc.ids)))
+        _, _, where = enc.cut(*enc.windows())
+        weight = np.zeros(len(enc.ids))
+        np.add.at(weight, where[where >= 0], np.broadcast_to(_RAMP[:, None], where.shape)[where >= 0])
+        for b, m in zip(enc.begin, enc.length):
+            assert np.allclose(weight[b : b + m], 1)
+
+
+def test_a_text_gives_the_same_beside_any_other(tagger):
+    texts = [t for t, _ in made(20, 8)]
+    assert tagger.spans(texts) == [tagger.spans([t])[0] for t in texts]
+
+
+def test_ends_come_from_the_network_alone():
+    """Spans that no pattern knows stay; only marks, cut words and what cannot be of the type go."""
+    for text, part, kind in (
+        ("Lives Am Markt 5.", "Am Markt 5", "address"), ("at 12 Baker Boulevard now", "12 Baker Boulevard", "address"), ("Driving licence D1234567", "D1234567", "id"),
+        ("no. 4471234", "4471234", "id"), ("write jane at example dot com!", "jane at example dot com", "email"), ("12 Gannet Rd. then", "12 Gannet Rd.", "address"), ("(0)30 23125 240", "(0)30 23125 240", "phone"),
+    ):
+        a = text.index(part)
+        assert tidied(text, [(a, a + len(part), kind)]) == [(a, a + len(part), kind)], part
+    assert tidied("Call 0123456 now", [(5, 8, "phone")]) == [(5, 12, "phone")]  # a number cut in two
+    assert tidied("Call 0123 now", [(5, 9, "phone")]) == []  # four digits
+    assert tidied("seen (ann (at) post.example) today", [(6, 10, "email"), (11, 27, "email")]) == [(6, 27, "email")]
+    assert tidied("a maulowe b", [(2, 9, "email")]) == []  # nothing that stands for the sign
+
+
+def test_networks_are_kept(spark, tagger):
+    key = digest(["a", str(np.random.default_rng().random())], ("pii", "gru"), 1)
+    calls = []
+    train = lambda: calls.append(1) or tagger.net.p
+    first, second = trained(spark, "pii", key, train), trained(spark, "pii", key, train)
+    assert len(calls) == 1 and first is second
+    from lodestar.session import shared_dir
+
+    path = f"{shared_dir(spark)}/models/test-{key}.npz"
+    save(spark, path, tagger.net.p)
+    again = read(spark, path)
+    assert read(spark, path + "x") is None and all((again[k] == v).all() for k, v in tagger.net.p.items())
+    text = made(1, 3)[0][0]
+    assert Tagger.of(again).spans([text]) == tagger.spans([text])
 
 
 def test_states_without_gradients_are_the_same():
