@@ -1,30 +1,34 @@
 """Freely typed values mapped to a reference list.
 
-Distinct values are normalised (accents, look-alike letters, separators, misspelt, abbreviated and
-joined words of the list's own vocabulary), candidates come from an inverted index of character
-n-grams, are scored by cosine weighted with inverse document frequency, and the best is accepted
-above a threshold and a margin over the best entry of another id. An exact check of the words that
-tell entries apart follows.
+Distinct values are normalised (accents, look-alike letters, separators); candidates come from an
+inverted index of the character n-grams of the typed words as they stand. Each candidate is then read
+word by word: a misspelt, abbreviated or joined word counts as the word of the candidate it stands for,
+unless it is, or is closer to, another word of the list. The reading is scored by cosine weighted with
+inverse document frequency; the best is accepted above a threshold and a margin over the best entry of
+another id, if all the words that tell entries apart are there.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import product
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from ..tables import load
 
 GRAM = 3
 THRESHOLD = 0.6
 MARGIN = 0.04
+#: Least cosine of the typed n-grams with a form's for it to be a candidate, as such and beside the best.
+RETRIEVE, RETRIEVE_SHARE = 0.1, 0.4
 
 #: Entries of the reference list in one index; a longer list is searched block by block.
 BLOCK_ENTRIES = 50_000
@@ -92,135 +96,166 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+def grams(words: list[str], n: int = GRAM) -> dict[str, int]:
+    """Character n-grams within words, whose order doesn't count."""
+    out: dict[str, int] = defaultdict(int)
+    for w in words:
+        padded = f" {w} "
+        for i in range(len(padded) - n + 1):
+            out[padded[i : i + n]] += 1
+    return out
+
+
+def sought(words: list[str]) -> dict[str, int]:
+    """What forms are retrieved by: the n-grams within words, and those of the words' initials, which abbreviations keep."""
+    return grams(words) | grams(["\x01".join(["", "".join(w[0] for w in words), ""])])
+
+
+Entry = tuple[int, str, list[str]]
+
+
+def forms_of(entries: Iterable[Entry]) -> Iterator[tuple[int, list[str]]]:
+    """(id, words) of each name and alias that has any."""
+    for ref, name, aliases in entries:
+        for form in (name, *aliases):
+            words = tokens_of(form or "")
+            if words:
+                yield ref, words
+
+
+class ListStatistics:
+    """What the whole list knows of its words and n-grams, however it is cut into blocks afterwards."""
+
+    def __init__(self, entries: Iterable[Entry]) -> None:
+        front, later, df, n = set(), set(), Counter(), 0
+        for _, words in forms_of(entries):
+            n += 1
+            front.update(words[:2])
+            later.update(words[2:])
+            df.update(sought(words).keys())
+        # words that never stand at the front of a form of more than two words tell no entries apart
+        self.generic = later - front
+        self.idf = {g: math.log(1 + n / d) for g, d in df.items()}
+        self.vocabulary = sorted(front | later)
+        self.known = set(self.vocabulary)
+        postings: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.vocabulary):
+            for g in grams([w], 2):
+                postings[g].append(i)
+        self.postings = {g: np.array(x, np.int32) for g, x in postings.items()}
+        self.length = np.array([len(w) for w in self.vocabulary], np.int32)
+        self._spelt: dict[str, tuple[int, frozenset[str]]] = {}
+
+    def spelt(self, token: str) -> tuple[int, frozenset[str]]:
+        """The distance of the list's closest words by spelling, and these words; none beyond what is allowed.
+
+        Candidates share enough pairs of letters: one edit, a swap of neighbours included, spoils three at most.
+        """
+        found = self._spelt.get(token)
+        if found is None:
+            if len(self._spelt) > 300_000:
+                self._spelt.clear()
+            found = self._spelt[token] = (0, frozenset([token])) if token in self.known else self._closest(token)
+        return found
+
+    def _closest(self, token: str) -> tuple[int, frozenset[str]]:
+        most = allowed(token)
+        hits = [self.postings[g] for g in grams([token], 2) if g in self.postings]
+        if not most or not hits:
+            return 3, frozenset()
+        words, shared = np.unique(np.concatenate(hits), return_counts=True)
+        size = self.length[words]
+        pairs = len(grams([token], 2))
+        near = (np.abs(size - len(token)) <= most) & (shared >= np.maximum(1, pairs - 3 * most))
+        best, found = most, []
+        for i in words[near]:
+            w = self.vocabulary[i]
+            e = edits(token, w, best)
+            if e <= min(best, allowed(w)):
+                found = [w] if e < best else [*found, w]
+                best = e
+        return (best, frozenset(found)) if found else (3, frozenset())
+
+
 class GramIndex:
-    """Inverted index over the forms (names and aliases) of a block of entries."""
+    """Inverted index of character n-grams over the forms (names and aliases) of a block of entries."""
 
-    def __init__(self, entries: list[tuple[int, str, list[str]]]) -> None:
+    def __init__(self, entries: list[Entry], statistics: ListStatistics | None = None) -> None:
+        self.statistics = statistics or ListStatistics(entries)
         self.ids: list[int] = []
         self.words: list[list[str]] = []
-        for ref, name, aliases in entries:
-            for form in (name, *aliases):
-                words = tokens_of(form or "")
-                if words:
-                    self.ids.append(ref)
-                    self.words.append(words)
-        self.vocabulary = {w for ws in self.words for w in ws}
-        # words that never stand at the front of a form of more than two words tell no entries apart
-        front = {w for ws in self.words for w in ws[:2]}
-        self.generic = {w for ws in self.words for w in ws[2:]} - front
-        # initials of what follows the front, such as `am` for asset management
-        self.initials = {"".join(w[0] for w in ws[2:]): ws[2:] for ws in self.words if len(ws) > 3 and set(ws[2:]) <= self.generic}
-        self.exact: dict[str, set[int]] = defaultdict(set)
-        for ref, ws in zip(self.ids, self.words):
-            self.exact["".join(ws)].add(ref)
-        self.by_length: dict[int, list[str]] = defaultdict(list)
-        for w in self.vocabulary:
-            self.by_length[len(w)].append(w)
-        grams = [self.grams(ws) for ws in self.words]
-        df: dict[str, int] = defaultdict(int)
-        for g in grams:
-            for x in g:
-                df[x] += 1
-        n = len(grams)
-        self.unseen = np.log(1 + n)
-        self.idf = {g: float(np.log(1 + n / d)) for g, d in df.items()}
+        for ref, words in forms_of(entries):
+            self.ids.append(ref)
+            self.words.append(words)
+        self.weights: list[dict[str, float]] = []
         postings: dict[str, tuple[list[int], list[float]]] = defaultdict(lambda: ([], []))
-        for form, g in enumerate(grams):
-            weights = {x: c * self.idf[x] for x, c in g.items()}
-            size = sum(w * w for w in weights.values()) ** 0.5
-            for x, w in weights.items():
-                postings[x][0].append(form)
-                postings[x][1].append(w / size)
-        self.postings = {g: (np.array(f), np.array(w)) for g, (f, w) in postings.items()}
-        self._snapped: dict[str, list[str]] = {}
-
-    @staticmethod
-    def grams(words: list[str]) -> dict[str, int]:
-        """Character n-grams within words, whose order doesn't count."""
-        out: dict[str, int] = defaultdict(int)
-        for w in words:
-            padded = f" {w} "
-            for i in range(len(padded) - GRAM + 1):
-                out[padded[i : i + GRAM]] += 1
+        for form, words in enumerate(self.words):
+            self.weights.append(self._unit(grams(words)))
+            for g, w in self._unit(sought(words)).items():
+                postings[g][0].append(form)
+                postings[g][1].append(w)
+        self.postings = {g: (np.array(f, np.int64), np.array(w)) for g, (f, w) in postings.items()}
+
+    def _unit(self, counts: dict[str, int]) -> dict[str, float]:
+        """N-grams, each by its count and rarity, as a vector of length one."""
+        idf = self.statistics.idf
+        rarest = max(idf.values(), default=1.0)
+        own = {g: c * idf.get(g, rarest) for g, c in counts.items()}
+        size = sum(w * w for w in own.values()) ** 0.5
+        return {g: w / size for g, w in own.items()}
+
+    def retrieve(self, tokens: list[str]) -> list[int]:
+        """Forms whose n-grams are like the typed ones: by weighted cosine, over the postings of these n-grams only."""
+        hits = [(self.postings[g], w) for g, w in self._unit(sought(tokens)).items() if g in self.postings]
+        if not hits:
+            return []
+        forms = np.concatenate([f for (f, _), _ in hits])
+        scores = np.concatenate([x * w for (_, x), w in hits])
+        found, where = np.unique(forms, return_inverse=True)
+        total = np.bincount(where, scores)
+        return found[total >= max(RETRIEVE, RETRIEVE_SHARE * float(total.max()))].tolist()
+
+    def reading(self, tokens: list[str], form: list[str], others: list[str]) -> list[str]:
+        """The typed words as words of the list, a word of the form wherever one may be meant, else one of the
+        `others` that were retrieved; words unlike all are left out."""
+        out: list[str] = []
+        names = self.statistics
+        have = set(form)
+        shortened = lambda t, ws: [w for w in ws if (w in names.generic or not names.generic) and abbreviates(t, w)][:1]
+        for t in tokens:
+            distance, close = names.spelt(t)
+            if t in have:
+                out.append(t)
+            elif t in LEGAL_FORMS and distance:
+                continue
+            elif distance == 0:
+                out.append(next((w for w in form if len(t) > 3 and w.startswith(t)), t))
+            elif close & have:
+                out += close & have
+            elif len(form) > 3 and t == "".join(w[0] for w in form[2:]) and names.generic.issuperset(form[2:]):
+                out += form[2:]
+            elif distance == 1:
+                out.append(min(close))
+            else:
+                # where some words only describe, the others, which are names, are not abbreviated
+                pair = next(((x, y) for x, y in zip(form, form[1:]) if len(t) >= 7 and edits(t, x + y, 2) <= min(2, allowed(x) + allowed(y))), None)
+                out += shortened(t, form) or pair or shortened(t, others) or sorted(close)[:1]
         return out
 
-    def snap(self, token: str) -> list[str]:
-        """Words of the vocabulary that a typed word may stand for; none for a word unlike all."""
-        if token not in self._snapped:
-            if len(self._snapped) > 200_000:
-                self._snapped.clear()
-            self._snapped[token] = self._snap(token)
-        return self._snapped[token]
-
-    def _spelt(self, token: str) -> tuple[int, list[str]]:
-        """The vocabulary's closest words by spelling, and their distance."""
-        if token in self.vocabulary:
-            return 0, [token]
-        best, found = 3, []
-        for n in range(len(token) - 2, len(token) + 3):
-            for w in self.by_length.get(n, ()):
-                most = min(allowed(w), allowed(token))
-                e = edits(token, w, min(most, best))
-                if e <= most and e <= best:
-                    found = [w] if e < best else [*found, w]
-                    best = e
-        return best, sorted(found)
-
-    def _snap(self, token: str) -> list[str]:
-        best, found = self._spelt(token)
-        if best == 0:
-            return found + sorted(w for w in self.vocabulary if w != token and len(token) > 3 and w.startswith(token))
-        if found and best == 1:
-            return found
-        # where some words only describe, the others, which are names, are not abbreviated
-        short = sorted(w for w in self.generic or self.vocabulary if abbreviates(token, w))
-        return short or found
-
-    def parts(self, token: str) -> list[list[str]]:
-        """What a typed token stands for: one word, the words it has the initials of, or two that lost their blank."""
-        if token in self.vocabulary:
-            return [self.snap(token)]
-        if token in LEGAL_FORMS:
-            return [[]]
-        if token in self.initials:
-            return [[w] for w in self.initials[token]]
-        words = self.snap(token)
-        if words or len(token) < 7:
-            return [words]
-        cuts = []
-        for i in range(3, len(token) - 2):
-            (d, a), (e, b) = self._spelt(token[:i]), self._spelt(token[i:])
-            if a and b:
-                cuts.append((d + e, i, a, b))
-        if not cuts:
-            return [[]]
-        _, _, a, b = min(cuts)
-        return [a, b]
-
-    def readings(self, text: str) -> list[list[str]]:
-        """The ways to read a typed value in the vocabulary; words unlike all of it are left out."""
-        tokens = tokens_of(text)
-        choices = [w for t in tokens for w in self.parts(t) if w]
-        return [list(x) for x in product(*choices)] if choices else []
-
     def match(self, text: str) -> tuple[int, float, float]:
         """(id, score, score of the best other id); id 0 where nothing is meant."""
-        squeezed = "".join(tokens_of(text))
-        if len(self.exact.get(squeezed, ())) == 1:
-            return next(iter(self.exact[squeezed])), 1.0, 0.0
+        tokens = tokens_of(text)
         top: dict[int, float] = {}
-        for words in self.readings(text):
-            own = {g: c * self.idf.get(g, self.unseen) for g, c in self.grams(words).items()}
-            size = sum(w * w for w in own.values()) ** 0.5
-            scores = np.zeros(len(self.ids))
-            for g, w in own.items():
-                if g in self.postings:
-                    forms, weights = self.postings[g]
-                    scores[forms] += weights * (w / size)
-            for form in np.flatnonzero(scores >= THRESHOLD - MARGIN):
-                if self.whole(words, self.words[form]):
+        retrieved = self.retrieve(tokens) if tokens else []
+        others = sorted({w for form in retrieved for w in self.words[form]})
+        for form in retrieved:
+            words = self.reading(tokens, self.words[form], others)
+            if words and self.whole(words, self.words[form]):
+                own = self.weights[form]
+                score = sum(w * own.get(g, 0.0) for g, w in self._unit(grams(words)).items())
+                if score >= THRESHOLD - MARGIN:
                     ref = self.ids[form]
-                    top[ref] = max(top.get(ref, 0.0), float(scores[form]))
+                    top[ref] = max(top.get(ref, 0.0), score)
         order = sorted(top.items(), key=lambda x: (-x[1], x[0]))
         if not order:
             return 0, 0.0, 0.0
@@ -231,7 +266,7 @@ class GramIndex:
     def whole(self, words: list[str], form: list[str]) -> bool:
         """Whether every word of the form that tells entries apart is among the typed words."""
         have = set(words)
-        return all(w in have for w in form if w not in self.generic)
+        return all(w in have for w in form if w not in self.statistics.generic)
 
 
 def _match_values(batches: Iterator[pa.RecordBatch], index: GramIndex) -> Iterator[pa.RecordBatch]:
@@ -250,8 +285,11 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, ref_id: str,
     meant; an empty list leaves all unmatched; entries of two ids with one name are a tie, which is
     unmatched; very long values are read whole. Other columns are not read.
 
-    Values are deduplicated before anything else. The list is read in blocks of `block_entries`,
-    each broadcast as an index; the best of all blocks counts, under the same threshold and margin.
+    Values are deduplicated before anything else. What words and n-grams weigh is counted over the whole
+    list; the list is then read in blocks of `block_entries`, each broadcast as an index, used on all
+    values, written and released before the next. The best of all blocks counts, under the same threshold
+    and margin, so the answer does not depend on the blocks. The statistics grow with the different words
+    of the list, which is a list of names, not with the values.
     """
     distinct = values.select(F.col(value).alias("value")).where(F.regexp_like("value", F.lit(r"\S"))).distinct()
     # few bytes a value, but much work: a fixed number of partitions, which AQE doesn't coalesce. By the
@@ -259,13 +297,22 @@ def map_values(values: DataFrame, value: str, reference: DataFrame, ref_id: str,
     distinct = distinct.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("value"))
     columns = [F.col(ref_id).cast("int"), F.col(name), F.col(aliases) if aliases else F.array().cast("array<string>")]
     spark, parts = values.sparkSession, []
-    for block in _blocks(reference.select(*columns), block_entries):
-        sent = spark.sparkContext.broadcast(GramIndex(block))
+    entries = reference.select(*columns)
+    statistics = ListStatistics(e for block in _blocks(entries, block_entries) for e in block)
+    blocks = _blocks(entries, block_entries)
+    block, following = next(blocks, None), next(blocks, None)
+    while block:
+        sent = spark.sparkContext.broadcast(GramIndex(block, statistics))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             return _match_values(batches, sent.value)
 
-        parts.append(distinct.mapInArrow(run, "value string, ref_id int, score double, second double"))
+        part = distinct.mapInArrow(run, "value string, ref_id int, score double, second double")
+        if following or parts:
+            part = materialise(part, "matches")
+            sent.destroy()
+        parts.append(part)
+        block, following = following, next(blocks, None)
     if not parts:
         return distinct.select("value", F.lit(0).alias("ref_id"), F.lit(0.0).alias("score"), F.lit(0.0).alias("second"))
     if len(parts) == 1:

@@ -1,6 +1,6 @@
 import random
 
-from lodestar.llm.canonical import GramIndex, abbreviates, edits, fold, map_values
+from lodestar.llm.canonical import GramIndex, ListStatistics, abbreviates, allowed, edits, fold, map_values
 
 FIRMS = [
     (1, "Yewdale Pinnace Consulting", ["YPCQ"]), (2, "Northgale Foundry Securities", []), (3, "Larkhill Orchard Asset Management", ["Lunstow Trust"]), (4, "Mavroux & Jarovec Bank", []),
@@ -52,3 +52,34 @@ def test_table(spark):
     assert map_values(twin, "value", reference, "employer_id", "name", "aliases").first().ref_id == 0
     assert map_values(values, "value", reference.limit(0), "employer_id", "name", "aliases").where("ref_id <> 0").count() == 0
     assert map_values(values.limit(0), "value", reference, "employer_id", "name").count() == 0
+
+
+def test_closest_words_are_those_of_a_scan():
+    """The pairs of letters lose no word that a comparison with the whole vocabulary finds."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(400)})
+    names = ListStatistics([(1, w, []) for w in words])
+    for _ in range(400):
+        token = list(rng.choice(words))
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(token))
+            token[i : i + 1] = rng.choice([[], ["a"], token[i : i + 1] * 2])
+            if len(token) < 3:
+                break
+        token = "".join(token)
+        near = [(edits(token, w, 2), w) for w in words if edits(token, w, 2) <= min(2, allowed(token), allowed(w))]
+        if token in words:
+            assert names.spelt(token) == (0, {token})
+        elif near:
+            assert names.spelt(token) == (min(near)[0], {w for e, w in near if e == min(near)[0]}), token
+        else:
+            assert names.spelt(token)[1] == frozenset()
+
+
+def test_blocks_change_nothing(spark):
+    """Rarity and the words that tell apart are those of the whole list, in every block."""
+    typed = ["Yewdale Pinnace", "Northgale Fndry Securities", "Orchard Bank", "Larkhill Orchard Asset Mgmt", "Northgale Orchard", "Castellan Meridian", "Northgale"]
+    values = spark.createDataFrame([(t,) for t in typed], "value string")
+    reference = spark.createDataFrame(FIRMS, "employer_id int, name string, aliases array<string>")
+    one, *rest = ({tuple(r) for r in map_values(values, "value", reference, "employer_id", "name", "aliases", n).select("value", "ref_id", "score").collect()} for n in (50_000, 4, 1))
+    assert len(one) == len(typed) and all({(v, r) for v, r, _ in one} == {(v, r) for v, r, _ in x} for x in rest)
