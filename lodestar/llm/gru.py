@@ -1,28 +1,26 @@
 """A bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-A position is a block of up to BLOCK bytes, cut at blanks; a block enters as its bytes, by place, and
-its byte bigrams. Equal blocks share their input, so it is computed once for each different block.
+Every byte is a position. It enters by its value and by the hash of the three bytes that end with it,
+through tables that are the gates' input projections themselves. Both directions run side by side in
+the same arrays: the backward one reads each sequence from its end.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 12
-BIGRAMS = 4096
-PAD = BLOCK * 256 + BIGRAMS
-FEATURES = 2 * BLOCK + 1
+#: Buckets of the hashed three bytes.
+BUCKETS = 1 << 15
 
-#: Letters in lower case, every digit as 0: what byte stands for a byte.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
 
-
-def block_features(block: bytes) -> list[int]:
-    """Rows of the embedding of a folded block, padded."""
-    edged = b"^" + block + b"$"
-    out = [i * 256 + b for i, b in enumerate(block)]
-    out += [BLOCK * 256 + ((x * 257 + y) * 2654435761 >> 9) % BIGRAMS for x, y in zip(edged, edged[1:])]
-    return out + [PAD] * (FEATURES - len(out))
+def trigrams(data: np.ndarray) -> np.ndarray:
+    """The bucket of the three bytes that end with each byte; before the first stand blanks."""
+    x = data.astype(np.uint32)
+    one, two = np.empty_like(x), np.empty_like(x)
+    one[:1], two[:2] = 32, 32
+    one[1:], two[2:] = x[:-1], x[:-2]
+    h = (x | one << np.uint32(8) | two << np.uint32(16)) * np.uint32(2654435761)
+    return (h >> np.uint32(17)).astype(np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -35,61 +33,99 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class ByteGRU:
-    """Class logits of every position of a batch of windows."""
+    """Class logits of every byte of sequences."""
 
-    def __init__(self, classes: int, embed: int = 40, hidden: int = 20, seed: int = 7) -> None:
+    def __init__(self, classes: int, hidden: int = 16, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         normal = lambda *shape, by: (rng.normal(size=shape) * by).astype(np.float32)
         self.hidden = hidden
-        self.p = {"E": normal(PAD + 1, embed, by=0.1), "eb": np.zeros(embed, np.float32)}
-        for d in "fb":
-            self.p[f"W{d}"] = normal(embed, 3 * hidden, by=embed**-0.5)
-            self.p[f"c{d}"] = np.zeros(3 * hidden, np.float32)
-            self.p[f"U{d}"] = normal(hidden, 3 * hidden, by=hidden**-0.5)
-        self.p["V"] = normal(2 * hidden, classes, by=(2 * hidden) ** -0.5)
-        self.p["vb"] = np.zeros(classes, np.float32)
-        self.p["E"][PAD] = 0
-
-    def inputs(self, features: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Embeddings of blocks and what they bring to the gates of both directions."""
-        a = np.zeros((len(features), self.p["E"].shape[1]), np.float32)
-        for j in range(features.shape[1]):
-            a += self.p["E"][features[:, j]]
-        a = np.tanh(a + self.p["eb"])
-        return a, {d: a @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
-
-    def _run(self, d: str, x: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States after each position; x: time × batch × 3 hidden."""
-        h_size, u = self.hidden, self.p[f"U{d}"]
-        steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        out = np.empty((len(x), x.shape[1], h_size), np.float32)
-        h = np.zeros((x.shape[1], h_size), np.float32)
-        for t in steps:
-            hu = h @ u
-            gates = sigmoid(x[t][:, : 2 * h_size] + hu[:, : 2 * h_size])
-            z, r = gates[:, :h_size], gates[:, h_size:]
-            n = np.tanh(x[t][:, 2 * h_size :] + r * hu[:, 2 * h_size :])
-            if kept is not None:
-                kept.append((t, h, z, r, n, hu[:, 2 * h_size :]))
-            h = n + z * (h - n)
-            out[t] = h
+        self.p = {
+            "B": normal(2, 256, 3 * hidden, by=0.2),
+            "T": normal(2 * BUCKETS, 3 * hidden, by=0.02),  # the backward direction's rows follow the forward one's
+            "U": normal(2, hidden, 3 * hidden, by=hidden**-0.5),
+            "c": np.zeros((2, 1, 3 * hidden), np.float32),
+            "V": normal(2 * hidden, classes, by=(2 * hidden) ** -0.5),
+            "vb": np.zeros(classes, np.float32),
+        }
+
+    def states(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """States of both directions (bytes × 2 hidden) of the sequences data[begin : begin + size], one after the other.
+
+        Sequences come longest first, so that at each step the running ones are the first of them. With s
+        the tangents of the half arguments of the gates, r u is (s_r u + u) / 2 and the new state is
+        n + s_z d + d with d = (h - n) / 2, so that no gate is ever rescaled.
+        """
+        out = np.empty((int(size.sum()), 2 * self.hidden), np.float32)
+        if len(size):
+            tri = trigrams(data)
+            at = np.cumsum(size) - size
+            running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+            for d in (0, 1):
+                self._direction(d, data, tri, begin, size, at, running, out[:, d * self.hidden : (d + 1) * self.hidden])
         return out
 
-    def logits(self, proj: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """time × batch × classes of windows of block ids (time × batch)."""
-        v, h = self.p["V"], self.hidden
-        out = self._run("f", proj["f"][ids]) @ v[:h]
-        out += self._run("b", proj["b"][ids]) @ v[h:]
-        return out + self.p["vb"]
-
-    def gradients(self, features: np.ndarray, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy and its gradients. target, weight: time × batch."""
+    def _direction(self, d: int, data: np.ndarray, tri: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, running: np.ndarray, out: np.ndarray) -> None:
+        hs, p, n = self.hidden, self.p, len(size)
+        both, new = slice(0, 2 * hs), slice(2 * hs, 3 * hs)
+        bytes_, threes = p["B"][d] + p["c"][d], p["T"][d * BUCKETS : (d + 1) * BUCKETS]
+        u_gates, u_new = np.ascontiguousarray(p["U"][d][:, both]) * np.float32(0.5), np.ascontiguousarray(p["U"][d][:, new]) * np.float32(0.5)
+        b_gates, t_gates = bytes_[:, both] * np.float32(0.5), threes[:, both] * np.float32(0.5)
+        b_new, t_new = np.ascontiguousarray(bytes_[:, new]), np.ascontiguousarray(threes[:, new])
+        every = [np.empty((n, w * hs), np.float32) for w in (2, 2, 1, 1, 1)] + [np.zeros((n, hs), np.float32)]
+        ends = size - 1
+        for t, k in enumerate(running):
+            g, x, v, w, y, h = (e[:k] for e in every)
+            where = t if d == 0 else ends[:k] - t
+            place = begin[:k] + where
+            byte, three = data[place], tri[place]
+            np.matmul(h, u_gates, out=g)
+            np.take(b_gates, byte, axis=0, out=x, mode="clip")
+            g += x
+            np.take(t_gates, three, axis=0, out=x, mode="clip")
+            g += x
+            np.tanh(g, out=g)
+            np.matmul(h, u_new, out=v)
+            np.multiply(g[:, hs:], v, out=w)
+            w += v
+            np.take(b_new, byte, axis=0, out=y, mode="clip")
+            w += y
+            np.take(t_new, three, axis=0, out=y, mode="clip")
+            w += y
+            np.tanh(w, out=w)
+            h -= w
+            h *= 0.5
+            np.multiply(g[:, :hs], h, out=y)
+            h += y
+            h += w
+            out[at[:k] + where] = h
+
+    def logits(self, states: np.ndarray) -> np.ndarray:
+        return states @ self.p["V"] + self.p["vb"]
+
+    def gradients(self, data: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+        """Mean cross entropy of windows of bytes (time × batch), and its gradients.
+
+        Those of the table of three bytes are (rows, values) of the rows that the batch touches.
+        """
         p, hs = self.p, self.hidden
-        a, proj = self.inputs(features)
-        kept: dict[str, list] = {"f": [], "b": []}
-        states = {d: self._run(d, proj[d][ids], kept[d]) for d in "fb"}
-        both = np.concatenate([states["f"], states["b"]], axis=2)
-        y = both @ p["V"] + p["vb"]
+        steps, batch = data.shape
+        tri = trigrams(data.T.ravel()).reshape(batch, steps).T  # the first two of a window see the last of another: noise
+        both = np.stack([data, data[::-1]], axis=1)  # time × direction × batch
+        tri = np.stack([tri, tri[::-1] + BUCKETS], axis=1)
+        byte = both.astype(np.int64) + np.array([0, 256])[None, :, None]
+        x = p["T"][tri] + p["B"].reshape(512, -1)[byte] + p["c"]
+        h = np.zeros((2, batch, hs), np.float32)
+        kept, states = [], np.empty((steps, 2, batch, hs), np.float32)
+        for t in range(steps):
+            hu = np.matmul(h, p["U"])
+            gates = sigmoid(x[t][..., : 2 * hs] + hu[..., : 2 * hs])
+            z, r, un = gates[..., :hs], gates[..., hs:], hu[..., 2 * hs :]
+            n = np.tanh(x[t][..., 2 * hs :] + r * un)
+            kept.append((h, z, r, n, un))
+            h = n + z * (h - n)
+            states[t] = h
+        joined = np.concatenate([states[:, 0], states[::-1, 1]], axis=2)
+        y = joined @ p["V"] + p["vb"]
         y -= y.max(axis=2, keepdims=True)
         prob = np.exp(y)
         prob /= prob.sum(axis=2, keepdims=True)
@@ -99,35 +135,43 @@ class ByteGRU:
         dy = prob
         np.put_along_axis(dy, target[..., None], picked[..., None] - 1, 2)
         dy *= (weight / total)[..., None]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["V"] = both.reshape(-1, 2 * hs).T @ dy.reshape(-1, dy.shape[2])
-        g["vb"] = dy.sum(axis=(0, 1))
-        dboth = dy @ p["V"].T
-        da = np.zeros_like(a)
-        for k, d in enumerate("fb"):
-            dx = np.zeros((len(ids), ids.shape[1], 3 * hs), np.float32)
-            dh = np.zeros((ids.shape[1], hs), np.float32)
-            for t, h, z, r, n, un in reversed(kept[d]):
-                dh = dh + dboth[t][:, k * hs : (k + 1) * hs]
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (h - n) * z * (1 - z)
-                dr = dn * un * r * (1 - r)
-                dx[t] = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                g[f"U{d}"] += h.T @ du
-                dh = dh * z + du @ p[f"U{d}"].T
-            dproj = np.zeros_like(proj[d])
-            np.add.at(dproj, ids.ravel(), dx.reshape(-1, 3 * hs))
-            g[f"W{d}"] = a.T @ dproj
-            g[f"c{d}"] = dproj.sum(axis=0)
-            da += dproj @ p[f"W{d}"].T
-        da *= 1 - a * a
-        g["eb"] = da.sum(axis=0)
-        np.add.at(g["E"], features.ravel(), np.repeat(da, features.shape[1], axis=0))
-        g["E"][PAD] = 0
+        dy = dy.astype(np.float32)
+        g = {"V": joined.reshape(-1, 2 * hs).T @ dy.reshape(-1, dy.shape[2]), "vb": dy.sum(axis=(0, 1)), "U": np.zeros_like(p["U"])}
+        djoined = dy @ p["V"].T
+        dstates = np.stack([djoined[..., :hs], djoined[::-1, :, hs:]], axis=1)
+        dx = np.empty((steps, 2, batch, 3 * hs), np.float32)
+        ut = p["U"].transpose(0, 2, 1)
+        dh = np.zeros((2, batch, hs), np.float32)
+        for t in range(steps - 1, -1, -1):
+            h, z, r, n, un = kept[t]
+            dh = dh + dstates[t]
+            dn = dh * (1 - z) * (1 - n * n)
+            d = dx[t]
+            d[..., :hs] = dh * (h - n) * z * (1 - z)
+            d[..., hs : 2 * hs] = dn * un * r * (1 - r)
+            d[..., 2 * hs :] = dn
+            du = d.copy()
+            du[..., 2 * hs :] *= r
+            g["U"] += np.matmul(h.transpose(0, 2, 1), du)
+            dh = dh * z + np.matmul(du, ut)
+        flat = dx.reshape(-1, 3 * hs)
+        g["c"] = dx.sum(axis=(0, 2))[:, None]
+        rows, sums = touched_rows(byte.ravel(), flat)
+        table = np.zeros((512, 3 * hs), np.float32)
+        table[rows] = sums
+        g["B"] = table.reshape(2, 256, -1)
+        g["T"] = touched_rows(tri.ravel(), flat)
         return loss, g
 
 
+def touched_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different indexes and the sums of their `rows`."""
+    order = np.argsort(index, kind="stable")
+    sorted_index = index[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_index[1:] != sorted_index[:-1]]))
+    return sorted_index[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
 class Adam:
     def __init__(self, params: dict[str, np.ndarray], rate: float) -> None:
         self.params, self.rate, self.t = params, rate, 0

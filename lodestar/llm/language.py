@@ -1,7 +1,7 @@
 """The language of every document and of every passage of mixed ones, with a confidence.
 
-A bidirectional gated recurrent network over bytes labels every word; the labels of a document are
-smoothed by the likeliest path under a cost for changing the language; passages are the path's runs,
+A bidirectional gated recurrent network over bytes labels every byte, and the bytes of a word together
+give the word's; the labels of a document are smoothed by the likeliest path under a cost for changing the language; passages are the path's runs,
 and the document's probabilities are pooled from its words. Words that all languages share, such as
 names and titles, get no clear label and so end no passage and begin none.
 """
@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from .gru import BLOCK, FOLD, Adam, ByteGRU, block_features
+from .gru import Adam, ByteGRU
+from .models import digest, trained
 
 LANGUAGES = ["en", "fr", "de", "es", "pt", "it"]
 
@@ -35,13 +37,22 @@ TRAIN_TEXTS = 220
 #: Longer texts stay out of the labelled sample, and only there.
 TRAIN_CHARS = 50_000
 MIN_WORDS = 25
-#: Positions of a window, and of those on each side that only give context.
-WINDOW, MARGIN = 88, 6
+#: Classes: the languages, and any other.
+NAMES = [*LANGUAGES, "other"]
+CLASSES = len(NAMES)
+#: Bytes of a segment, and of those on each side that only give context; segments run at once.
+SEGMENT, CONTEXT, RUN = 480, 24, 1024
 #: Log cost of changing the language between two words.
 SWITCH = 9.0
 #: Log probability over the second best from which a word is clearly of its language.
-CLEAR = 1.0
-EPOCHS, BATCH, RATE = 4, 128, 1e-2
+CLEAR = 3.0
+HIDDEN = 16
+#: Bytes of text labelled at once.
+GROUP_BYTES = 1 << 20
+#: Batches of training, their windows, and the bytes of a window.
+BATCHES, BATCH, TRAIN_WINDOW, RATE = 240, 128, 160, 1e-2
+#: Share of the training windows that are made of no known language.
+OTHER_SHARE = 0.06
 
 
 def known_language(label: Column) -> Column:
@@ -53,43 +64,27 @@ def known_language(label: Column) -> Column:
     return F.coalesce(F.try_element_at(table, text), F.try_element_at(table, head))
 
 
-class Blocks(dict):
-    """Words by number, and their blocks; a word met for the first time is entered by `__missing__`."""
+class Words(dict):
+    """The bytes of words by number; a word met for the first time is entered by `__missing__`."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.known: dict[bytes, int] = {}
-        self.features: list[list[int]] = []
-        self.flat: list[int] = []  # block ids of all words, one after the other
+        self.flat = bytearray()  # of all words, one after the other
         self.first: list[int] = []
         self.count: list[int] = []
 
     def __missing__(self, word: str) -> int:
-        blocks = self.of(word)
+        """A blank and the word's letters in lower case; a word without letters has no bytes, as signs and numbers have no language."""
+        letters = "".join(c for c in word.lower() if c.isalpha() or c in "'’").strip("'’")
+        data = b" " + letters.encode("utf-8", "surrogatepass") if letters else b""
         self.first.append(len(self.flat))
-        self.count.append(len(blocks))
-        self.flat += blocks
+        self.count.append(len(data))
+        self.flat += data
         self[word] = n = len(self.first) - 1
         return n
 
-    def of(self, word: str) -> list[int]:
-        """Blocks of a word's letters; a word without ASCII letters has none, as signs and numbers have no language."""
-        word = "".join(c for c in word if c.isalpha() or c in "'’")
-        if not any(map(str.isascii, word.strip("'’"))):
-            return []
-        data = word.encode("utf-8", "surrogatepass").translate(FOLD)
-        out = []
-        for i in range(0, len(data), BLOCK):
-            block = data[i : i + BLOCK]
-            k = self.known.get(block)
-            if k is None:
-                k = self.known[block] = len(self.features)
-                self.features.append(block_features(block))
-            out.append(k)
-        return out
-
     def sequences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Block ids of all texts, the number of blocks of each word, and the number of words of each text."""
+        """The bytes of all texts, the number of bytes of each word, and the number of words of each text."""
         number = self.__getitem__
         ids, lengths = [], []
         for t in texts:
@@ -100,59 +95,62 @@ class Blocks(dict):
         counts = np.array(self.count, np.int64)[word] if len(word) else np.zeros(0, np.int64)
         starts = np.cumsum(counts) - counts
         at = np.repeat(np.array(self.first, np.int64)[word] - starts if len(word) else counts, counts) + np.arange(counts.sum())
-        return np.array(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32), counts, np.array(lengths, np.int64)
-
-    def table(self) -> np.ndarray:
-        return np.array(self.features, np.int32).reshape(-1, len(block_features(b"")))
+        flat = np.frombuffer(bytes(self.flat), np.uint8)
+        return flat[at] if len(at) else np.zeros(0, np.uint8), counts, np.array(lengths, np.int64)
 
 
 class LanguageModel:
     def __init__(self, net: ByteGRU) -> None:
         self.net = net
+        self.words = Words()
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> LanguageModel:
+        net = ByteGRU(CLASSES, HIDDEN)
+        net.p = arrays
+        return cls(net)
+
+    def __getstate__(self) -> dict:
+        return {"net": self.net, "words": Words()}
 
     def log_probabilities(self, texts: list[str]) -> list[np.ndarray]:
-        """Log probabilities of the languages for each word (by its first block) of each text."""
-        blocks = Blocks()
-        flat, counts, words = blocks.sequences(texts)
-        even = np.full((len(counts), len(LANGUAGES)), -np.log(len(LANGUAGES)), np.float32)  # words without a block favour none
-        if len(flat):
-            starts = np.cumsum(counts) - counts
+        """Log probabilities of the languages, and of any other, for each word of each text: every byte is
+        labelled, and a word's logits are the mean of its bytes'."""
+        if len(self.words) > 300_000:
+            self.words = Words()
+        data, counts, words = self.words.sequences(texts)
+        logp = np.full((len(counts), CLASSES), -np.log(CLASSES), np.float32)  # words without letters favour none
+        if len(data):
             text_of = np.repeat(np.arange(len(texts)), words)
-            lengths = np.bincount(text_of, counts, len(texts)).astype(np.int64)
-            logp = self._windows(self._inputs(blocks.table()), flat, lengths)
-            some = counts > 0
-            even[some] = logp[starts[some]]
-        return np.split(even, np.cumsum(words)[:-1]) if len(texts) else []
-
-    def _inputs(self, features: np.ndarray) -> dict[str, np.ndarray]:
-        parts = [self.net.inputs(features[i : i + 20_000])[1] for i in range(0, len(features), 20_000)]
-        pad = len(features)  # the block of padding brings nothing
-        proj = {d: np.concatenate([*(p[d] for p in parts), self.net.p[f"c{d}"][None]]) for d in "fb"}
-        assert pad == len(proj["f"]) - 1
-        return proj
-
-    def _windows(self, proj: dict[str, np.ndarray], flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """All positions in windows of equal length that overlap by their context."""
-        core = WINDOW - 2 * MARGIN
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        begin = np.cumsum([0, *lengths[:-1]])
-        per = -(-lengths // core)
-        at = np.concatenate([b + core * np.arange(n) for b, n in zip(begin, per)]) if len(lengths) else np.zeros(0, int)
+            y = self._pooled(data, np.bincount(text_of, counts, len(texts)).astype(np.int64), counts[counts > 0])
+            y -= y.max(axis=1, keepdims=True)
+            y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
+            logp[counts > 0] = y
+        return np.split(logp, np.cumsum(words)[:-1]) if len(texts) else []
+
+    def _pooled(self, data: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Mean logits of each word. Texts are cut into segments that overlap by their context; each gives its middle."""
+        per = np.maximum(1, -(-lengths // SEGMENT)) * (lengths > 0)
         owner = np.repeat(np.arange(len(lengths)), per)
-        pad = len(proj["f"]) - 1
-        out = np.empty((len(flat), len(LANGUAGES)), np.float32)
-        offsets = np.arange(-MARGIN, WINDOW - MARGIN)
-        for i in range(0, len(at), 1024):
-            where = at[i : i + 1024][None, :] + offsets[:, None]
-            inside = (where >= 0) & (where < len(flat))
-            clipped = np.clip(where, 0, len(flat) - 1)
-            inside &= doc[clipped] == owner[i : i + 1024][None, :]
-            y = self.net.logits(proj, np.where(inside, flat[clipped], pad))[MARGIN : MARGIN + core]
-            y -= y.max(axis=2, keepdims=True)
-            y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
-            keep = inside[MARGIN : MARGIN + core]
-            out[clipped[MARGIN : MARGIN + core][keep]] = y[keep]
-        return out
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        begin_of = np.cumsum(lengths) - lengths
+        end = begin_of[owner] + lengths[owner]
+        core = begin_of[owner] + nth * SEGMENT
+        core_end = np.minimum(core + SEGMENT, end)
+        begin, stop = np.maximum(core - CONTEXT, begin_of[owner]), np.minimum(core_end + CONTEXT, end)
+        order = np.argsort(-(stop - begin), kind="stable")
+        out = np.empty((CLASSES, len(data)), np.float32)
+        for i in range(0, len(order), RUN):
+            pick = order[i : i + RUN]
+            size = stop[pick] - begin[pick]
+            y = np.ascontiguousarray(self.net.logits(self.net.states(data, begin[pick], size)).T)
+            own = core_end[pick] - core[pick]
+            within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            to = np.repeat(core[pick], own) + within
+            source = np.repeat(np.cumsum(size) - size + core[pick] - begin[pick], own) + within
+            for c in range(CLASSES):
+                out[c, to] = y[c, source]
+        return (np.add.reduceat(out, np.cumsum(counts) - counts, axis=1) / counts.astype(np.float32)).T
 
 
 def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
@@ -163,7 +161,7 @@ def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
     order = sorted(range(len(logp)), key=lambda i: -len(logp[i]))
     lengths = np.array([len(logp[i]) for i in order])
     longest = int(lengths[0]) if len(order) else 0
-    n = len(LANGUAGES)
+    n = CLASSES
     out = [np.zeros(len(x), np.int8) for x in logp]
     if not longest:
         return out
@@ -214,70 +212,98 @@ def passages(logp: np.ndarray, path: np.ndarray) -> list[tuple[int, int, int, fl
     return out
 
 
-def _training_windows(blocks: Blocks, texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of block ids (-1: padding) and their texts' languages."""
+def _training_windows(texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of bytes (rows; 0 pads) and their texts' languages."""
     rows, langs = [], []
+    words = Words()
     for lang, t in texts:
-        seq = blocks.sequences([t])[0].tolist()
-        for i in range(0, len(seq), WINDOW):
-            part = seq[i : i + WINDOW]
-            if len(part) >= 8:
-                rows.append(part + [-1] * (WINDOW - len(part)))
+        data = words.sequences([t])[0]
+        for i in range(0, len(data), TRAIN_WINDOW):
+            part = data[i : i + TRAIN_WINDOW]
+            if len(part) >= 40:
+                rows.append(np.pad(part, (0, TRAIN_WINDOW - len(part))))
                 langs.append(lang)
-    return np.array(rows, np.int32).reshape(-1, WINDOW), np.array(langs, np.int64)
-
-
-def fit(texts: list[tuple[int, str]], epochs: int = EPOCHS, seed: int = 11) -> LanguageModel:
-    """Train on (language, text) pairs, twice: labels may be wrong and texts mixed, so a second network
-    learns only from the passages for which the first agrees with the label."""
-    first = LanguageModel(ByteGRU(len(LANGUAGES)))
-    _epochs(first.net, texts, max(1, epochs // 2), seed)
-    clean = []
-    logp = first.log_probabilities([t for _, t in texts])
-    for (lang, t), lp, path in zip(texts, logp, paths(logp)):
-        words = t.split()
-        if len(words) and (path == lang).mean() > 0.5:
-            edges = np.flatnonzero(np.diff(path)) + 1
-            clean += [(lang, " ".join(words[a:b])) for a, b in zip([0, *edges], [*edges, len(path)]) if path[a] == lang]
-    model = LanguageModel(ByteGRU(len(LANGUAGES), seed=seed))
-    _epochs(model.net, clean or texts, epochs, seed + 1)
+    return np.array(rows, np.uint8).reshape(-1, TRAIN_WINDOW), np.array(langs, np.int64)
+
+
+#: First and last letters of scripts that none of the languages is written in.
+_SCRIPTS = [(0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3042, 0x3093), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+
+
+def _foreign(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows of no known language: words of other scripts, or the letters of windows put in another order."""
+    out = []
+    for row in rows:
+        if rng.random() < 0.5:
+            words = row.tobytes().rstrip(b"\0").split(b" ")
+            letters = rng.permutation(np.frombuffer(b"".join(words), np.uint8))
+            cut = np.cumsum([len(w) for w in words])[:-1]
+            data = b" ".join(x.tobytes() for x in np.split(letters, cut))
+        else:
+            a, b = _SCRIPTS[int(rng.integers(len(_SCRIPTS)))]
+            codes = rng.integers(a, b + 1, TRAIN_WINDOW)
+            data = "".join(" " if x else chr(c) for c, x in zip(codes, rng.random(TRAIN_WINDOW) < 0.15)).encode()
+        out.append(np.frombuffer(data[:TRAIN_WINDOW].ljust(TRAIN_WINDOW, b"\0"), np.uint8))
+    return np.array(out, np.uint8).reshape(-1, TRAIN_WINDOW)
+
+
+def fit(texts: list[tuple[int, str]], batches: int = BATCHES, seed: int = 11) -> LanguageModel:
+    """Train on (language, text) pairs. Labels may be wrong and texts mixed: after a third of the batches
+    only those windows stay whose likeliest language by the network so far is their label."""
+    model = LanguageModel(ByteGRU(CLASSES, HIDDEN, seed))
+    net, rng = model.net, np.random.default_rng(seed)
+    adam = Adam(net.p, RATE)
+    rows, langs = _training_windows(texts)
+    if not len(rows):
+        return model
+    order = np.zeros(0, np.int64)
+    for step in range(batches):
+        if step == batches // 3:
+            agree = _guesses(net, rows) == langs
+            if agree.any():
+                rows, langs, order = rows[agree], langs[agree], order[:0]
+        if not step or step == batches // 3:
+            share = np.bincount(langs, minlength=CLASSES) / len(langs)
+            balance = np.where(share > 0, 1 / np.maximum(share * len(LANGUAGES), 1e-3), 1).astype(np.float32)
+        while len(order) < BATCH:
+            order = np.concatenate([order, rng.permutation(len(rows))])
+        pick, order = order[:BATCH], order[BATCH:]
+        adam.rate = RATE * (1 - 0.9 * step / batches)
+        ids, own = rows[pick].T.copy(), np.repeat(langs[pick][None], TRAIN_WINDOW, axis=0)
+        other = np.flatnonzero(rng.random(BATCH) < OTHER_SHARE)
+        ids[:, other], own[:, other] = _foreign(ids[:, other].T, rng).T, CLASSES - 1
+        ids, own = _spliced(ids, own, rng)
+        _, grads = net.gradients(ids, own, ((ids > 0) * balance[own]).astype(np.float32))
+        adam.step(grads)
     return model
 
 
+def _guesses(net: ByteGRU, rows: np.ndarray) -> np.ndarray:
+    """The likeliest language of each window as a whole."""
+    out = []
+    for i in range(0, len(rows), 1024):
+        part = rows[i : i + 1024]
+        n = len(part)
+        states = net.states(part.ravel(), np.arange(n) * TRAIN_WINDOW, np.full(n, TRAIN_WINDOW))
+        y = net.logits(states).reshape(n, TRAIN_WINDOW, CLASSES)
+        y -= y.max(axis=2, keepdims=True)
+        y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
+        out.append((y * (part > 0)[..., None]).sum(axis=1).argmax(axis=1))
+    return np.concatenate(out)
+
+
 def _spliced(ids: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Half the windows with a stretch of another one put in, so that the network learns where languages change."""
     ids, own = ids.copy(), own.copy()
     partner = rng.permutation(ids.shape[1])
     for k in np.flatnonzero(rng.random(ids.shape[1]) < 0.5):
-        a = int(rng.integers(0, WINDOW - 8))
-        b = min(WINDOW, a + int(rng.integers(8, WINDOW)))
-        ids[a:b, k], own[a:b, k] = ids[a:b, partner[k]], own[a:b, partner[k]]
+        blanks = np.flatnonzero(ids[:, partner[k]] == 32)  # whole words of the other
+        if len(blanks) > 2:
+            a, b = sorted(rng.choice(blanks, 2, replace=False))
+            ids[a:b, k], own[a:b, k] = ids[a:b, partner[k]], own[a:b, partner[k]]
     return ids, own
 
 
-def _epochs(net: ByteGRU, texts: list[tuple[int, str]], epochs: int, seed: int) -> None:
-    rng, adam = np.random.default_rng(seed), Adam(net.p, RATE)
-    blocks = Blocks()
-    rows, langs = _training_windows(blocks, texts)
-    if not len(rows):
-        return
-    table = np.vstack([blocks.table(), np.full((1, len(blocks.features[0])), block_features(b"")[-1], np.int32)])
-    share = np.bincount(langs, minlength=len(LANGUAGES)) / len(langs)
-    balance = np.where(share > 0, 1 / np.maximum(share * len(LANGUAGES), 1e-3), 0).astype(np.float32)
-    for epoch in range(epochs):
-        adam.rate = RATE * (1 - 0.8 * epoch / max(1, epochs))
-        order = rng.permutation(len(rows))
-        for i in range(0, len(order), BATCH):
-            pick = order[i : i + BATCH]
-            ids, own = rows[pick].T, np.broadcast_to(langs[pick], (WINDOW, len(pick)))
-            ids, own = _spliced(ids, own, rng)
-            used, local = np.unique(ids, return_inverse=True)
-            features = table[np.where(used < 0, len(table) - 1, used)]
-            weight = (ids >= 0) * balance[own]
-            _, grads = net.gradients(features, local.reshape(ids.shape), own, weight.astype(np.float32))
-            adam.step(grads)
-
-
 def train(df: DataFrame, key: str, text: str, label: str, texts: int = TRAIN_TEXTS) -> LanguageModel:
     """Fit on at most about `texts` labelled texts of each language, drawn by a hash of the key."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), known_language(F.col(label)).alias("l")).where("l is not null").where(F.length("t").between(1, TRAIN_CHARS))
@@ -287,7 +313,21 @@ def train(df: DataFrame, key: str, text: str, label: str, texts: int = TRAIN_TEX
     for code, n in counts.items():
         share = F.when(F.col("l") == code, min(scale, -(-scale * texts // n))).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64("k"), F.lit(scale)) < share).select("l", "t").limit(3 * texts * len(LANGUAGES))
-    return fit([(LANGUAGES.index(lang), t) for lang, t in sorted(map(tuple, drawn.collect()))])
+    sample = sorted((LANGUAGES.index(lang), t) for lang, t in drawn.collect())
+    return LanguageModel.of(trained(df.sparkSession, "language", digest(sample, ("language", "gru")), lambda: fit(sample).net.p))
+
+
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First rows and numbers of rows of groups of texts of about GROUP_BYTES; a longer text is a group of its own."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > GROUP_BYTES:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
 
 
 _SCHEMA = "lang string, first_word int, words int, confidence double, doc_lang string, doc_confidence double, mixed boolean"
@@ -310,8 +350,8 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at, n in _groups(batch.column(3)):
+                part = batch.slice(at, n)
                 where, out = [], []
                 logp = own.log_probabilities(part.column(3).to_pylist())
                 for i, (lp, path) in enumerate(zip(logp, paths(logp))):
@@ -320,10 +360,10 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
                         continue
                     pooled = np.exp(lp.mean(axis=0) - lp.mean(axis=0).max())
                     pooled /= pooled.sum()
-                    long = {p[0] for p in found if p[2] - p[1] >= MIN_WORDS}
+                    long = {p[0] for p in found if p[2] - p[1] >= MIN_WORDS and p[0] < len(LANGUAGES)}
                     for lang, a, b, conf in found:
                         where.append(i)
-                        out.append((LANGUAGES[lang], a, b - a, conf, LANGUAGES[int(pooled.argmax())], float(pooled.max()), len(long) > 1))
+                        out.append((NAMES[lang], a, b - a, conf, NAMES[int(pooled.argmax())], float(pooled.max()), len(long) > 1))
                 if out:
                     types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
                     names = ["k", "label", "known", *(x.split()[0] for x in _SCHEMA.split(", "))]
@@ -336,7 +376,7 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_passages(load(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     wrong = F.col("known").isNull() | (F.col("known") != F.col("lang")) | F.col("mixed")
-    return found.where(F.col("words") >= MIN_WORDS).where(wrong).select("doc_id", "lang").distinct()
+    return found.where((F.col("words") >= MIN_WORDS) & F.col("lang").isin(LANGUAGES)).where(wrong).select("doc_id", "lang").distinct()
 
 
 def p10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

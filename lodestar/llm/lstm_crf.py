@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .gru import touched_rows
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     x *= 0.5
@@ -63,37 +65,53 @@ class LstmCrf:
             out[t] = h
         return out
 
-    def _states(self, d: str, chars: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The same states as `_run`, without what the gradients need: sigmoids as halved tanh, arrays used again."""
-        hs, n = self.hidden, chars.shape[1]
+    def _states(self, d: str, chars: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """The same states as `_run` for sequences of any length, into `out`: one sequence after the other.
+
+        Sequences come longest first, so the running ones are always the first of them. Nothing is kept for
+        the gradients. A sigmoid is (tanh of half + 1) / 2: with s the tangents of the gates and states
+        doubled, the cell is (s_f c + c + s_i n + n) / 2 and the doubled state s_o tanh c + tanh c, so that
+        no gate is ever rescaled.
+        """
+        hs, n = self.hidden, len(begin)
         scale = np.ones(4 * hs, np.float32)
         scale[: 3 * hs] = 0.5
-        u, table_c, table_w = self.p[f"U{d}"] * scale, (self.p[f"C{d}"] + self.p[f"b{d}"]) * scale, self.p[f"W{d}"] * scale
-        out = np.empty((*chars.shape, hs), np.float32)
-        g, x = np.empty((n, 4 * hs), np.float32), np.empty((n, 4 * hs), np.float32)
-        h, c, y = (np.zeros((n, hs), np.float32) for _ in range(3))
-        for t in range(len(chars)) if d == "f" else range(len(chars) - 1, -1, -1):
+        u, table_c, table_w = self.p[f"U{d}"] * scale * 0.5, (self.p[f"C{d}"] + self.p[f"b{d}"]) * scale, self.p[f"W{d}"] * scale
+        every_g, every_x = np.empty((n, 4 * hs), np.float32), np.empty((n, 4 * hs), np.float32)
+        every_h, every_c, every_y = (np.zeros((n, hs), np.float32) for _ in range(3))
+        to = np.cumsum(size) - size
+        ends = size - 1
+        running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
+        for t, k in enumerate(running):
+            g, x, h, c, y = every_g[:k], every_x[:k], every_h[:k], every_c[:k], every_y[:k]
+            at = t if d == "f" else ends[:k] - t
+            place = begin[:k] + at
             np.matmul(h, u, out=g)
-            np.take(table_c, chars[t], axis=0, out=x, mode="clip")
+            np.take(table_c, chars[place], axis=0, out=x, mode="clip")
             g += x
-            np.take(table_w, words[t], axis=0, out=x, mode="clip")
+            np.take(table_w, words[place], axis=0, out=x, mode="clip")
             g += x
             np.tanh(g, out=g)
-            gates = g[:, : 3 * hs]
-            gates *= 0.5
-            gates += 0.5
-            c *= g[:, hs : 2 * hs]
+            np.multiply(g[:, hs : 2 * hs], c, out=y)
+            c += y
             np.multiply(g[:, :hs], g[:, 3 * hs :], out=y)
             c += y
+            c += g[:, 3 * hs :]
+            c *= 0.5
             np.tanh(c, out=y)
             np.multiply(g[:, 2 * hs : 3 * hs], y, out=h)
-            out[t] = h
-        return out
+            h += y
+            out[to[:k] + at] = h
+        out *= 0.5
 
-    def emissions(self, chars: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def emissions(self, chars: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of each position of the sequences [begin : begin + size], longest first, one after the other."""
         v, hs = self.p["V"], self.hidden
-        y = self._states("f", chars, words) @ v[:hs]
-        y += self._states("b", chars, words) @ v[hs:]
+        states = np.empty((int(size.sum()), hs), np.float32)
+        self._states("f", chars, words, begin, size, states)
+        y = states @ v[:hs]
+        self._states("b", chars, words, begin, size, states)
+        y += states @ v[hs:]
         return y + self.p["vb"]
 
     def path(self, e: np.ndarray) -> np.ndarray:
@@ -183,21 +201,13 @@ class LstmCrf:
             flat = dx.reshape(-1, 4 * hs)
             g[f"U{d}"], g[f"b{d}"] = gu, flat.sum(axis=0)
             g[f"C{d}"] = _rows_summed(chars.ravel(), flat, len(p[f"C{d}"]))
-            g[f"W{d}"] = _touched_rows(words.ravel(), flat)
+            g[f"W{d}"] = touched_rows(words.ravel(), flat)
         return loss, g
 
 
 def _rows_summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of `rows` by `index`, as an array of `n` rows."""
     out = np.zeros((n, rows.shape[1]), np.float32)
-    at, sums = _touched_rows(index, rows)
+    at, sums = touched_rows(index, rows)
     out[at] = sums
     return out
-
-
-def _touched_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different indexes and the sums of their `rows`."""
-    order = np.argsort(index, kind="stable")
-    sorted_index = index[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_index[1:] != sorted_index[:-1]]))
-    return sorted_index[starts], np.add.reduceat(rows[order], starts, axis=0)

@@ -32,7 +32,7 @@ TRAIN_CHARS = 50_000
 EPOCHS, BATCH, RATE = 6, 96, 1e-2
 HIDDEN = 20
 #: Characters of a window, and of the blend where two meet.
-WINDOW, BLEND = 192, 24
+WINDOW, BLEND = 512, 32
 STRIDE = WINDOW - BLEND
 #: Characters of a training window.
 TRAIN_WINDOW = 80
@@ -111,18 +111,15 @@ class Encoded:
         self.word_of = np.zeros(len(cp), np.int32)
         self.word_of[letter > 0] = np.repeat(self.word, self.last - self.first)
 
-    def windows(self, window: int = WINDOW, blend: int = BLEND, shift: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows over each text by itself, in order, and the text of each.
-
-        A window blends with the next over `blend` characters; the first begins `blend` before its
-        text and the last ends as much after it, so what a text gives does not depend on its neighbours.
-        """
-        per = np.where(self.length > 0, 1 + np.maximum(0, -(-(self.length - window + 2 * blend) // (window - blend))), 0)
+    def segments(self, window: int = WINDOW, blend: int = BLEND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins and sizes of overlapping windows over each text by itself, and the text of each."""
+        per = np.where(self.length > 0, 1 + np.maximum(0, -(-(self.length - window) // (window - blend))), 0)
         owner = np.repeat(np.arange(len(self.length)), per)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-        return self.begin[owner] - blend + nth * (window - blend) + shift, owner
+        begin = self.begin[owner] + nth * (window - blend)
+        return begin, np.minimum(window, self.begin[owner] + self.length[owner] - begin), owner
 
-    def cut(self, starts: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, starts: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, words and places (time × batch) of windows; what lies outside the own text is padding, at place -1."""
         where = starts[None, :] + np.arange(window)[:, None]
         begin = self.begin[owner]
@@ -130,9 +127,12 @@ class Encoded:
         clipped = np.where(inside, where, 0)
         return np.where(inside, self.ids[clipped], PAD_CHAR), np.where(inside, self.word_of[clipped], 0), np.where(inside, where, -1)
 
-
-#: What a character of a window weighs where the window blends with its neighbours.
-_RAMP = np.minimum(1.0, np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)) / (BLEND + 1)).astype(np.float32)
+    def weights(self, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, place: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """What each place of a segment weighs: less and less towards an end where another segment goes on."""
+        after, before = place - begin[segment], begin[segment] + size[segment] - 1 - place
+        first, last = begin == self.begin[owner], begin + size == self.begin[owner] + self.length[owner]
+        w = np.where(first[segment], 1.0, np.minimum(1.0, (after + 1) / (BLEND + 1)))
+        return (w * np.where(last[segment], 1.0, np.minimum(1.0, (before + 1) / (BLEND + 1)))).astype(np.float32)
 
 
 # ------------------------------------------------------------------ the tagger
@@ -153,14 +153,17 @@ class Tagger:
     def emissions(self, enc: Encoded) -> np.ndarray:
         """Of every character, blended from the windows that hold it."""
         total = np.zeros((len(enc.ids), self.net.tags), np.float32)
-        starts, owner = enc.windows()
-        for i in range(0, len(starts), RUN):
-            chars, words, where = enc.cut(starts[i : i + RUN], owner[i : i + RUN])
-            e = self.net.emissions(chars, words) * _RAMP[:, None, None]
-            for odd in (0, 1):  # windows next but one never overlap, so no place comes twice
-                place = where[:, odd::2]
-                keep = place >= 0
-                total[place[keep]] += e[:, odd::2][keep]
+        begin, size, owner = enc.segments()
+        order = np.argsort(-size, kind="stable")
+        nth = begin - enc.begin[owner]
+        for odd in (0, 1):  # windows next but one never overlap, so no place comes twice
+            own = order[(nth[order] // STRIDE) % 2 == odd]
+            for i in range(0, len(own), RUN):
+                b, n = begin[own[i : i + RUN]], size[own[i : i + RUN]]
+                e = self.net.emissions(enc.ids, enc.word_of, b, n)
+                segment = np.repeat(np.arange(len(b)), n)
+                place = b[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
+                total[place] += e * enc.weights(b, n, owner[own[i : i + RUN]], place, segment)[:, None]
         return total
 
     def tags(self, enc: Encoded) -> np.ndarray:
@@ -340,7 +343,7 @@ def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int
     sample = labelled(texts, NameForms(full_names))
     net = LstmCrf(1 + len(TYPES), CHARS, WORDS, HIDDEN)
     adam = Adam(net.p, RATE)
-    half = (TRAIN_WINDOW - BLEND) // 2
+    half = TRAIN_WINDOW // 3
     for epoch in range(epochs):
         windows: list[tuple[np.ndarray, ...]] = []
         order = rng.permutation(len(sample))
@@ -350,7 +353,7 @@ def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int
             tag = np.zeros(len(enc.ids), np.int8)
             for (_, own), b in zip(varied, enc.begin):
                 tag[b : b + len(own)] = own
-            starts, owner = enc.windows(TRAIN_WINDOW, BLEND)
+            starts, _, owner = enc.segments(TRAIN_WINDOW, TRAIN_WINDOW // 3)
             starts = starts + rng.integers(-half, half + 1, len(starts))
             chars, words, where = enc.cut(starts, owner, TRAIN_WINDOW)
             gold = np.where(where >= 0, tag[np.maximum(where, 0)], 0)
@@ -358,7 +361,9 @@ def fit(texts: list[str], full_names: list[str], epochs: int = EPOCHS, seed: int
             wrong = np.zeros(len(some), bool)
             if epoch:  # windows without a span where the network as it is sees one
                 empty = np.flatnonzero(~some)
-                wrong[empty] = (net.emissions(chars[:, empty], words[:, empty]).argmax(axis=2) > 0).any(axis=0)
+                found = np.append(0, np.cumsum(Tagger(net).emissions(enc).argmax(axis=1) > 0))
+                a, z = (np.clip(starts[empty] + x, 0, len(enc.ids)) for x in (0, TRAIN_WINDOW))
+                wrong[empty] = found[z] > found[a]
             # the rarer types count twice, addresses three times
             rare, place = np.flatnonzero((gold > 2).any(axis=0)), np.flatnonzero((gold == 1 + TYPES.index("address")).any(axis=0))
             use = np.concatenate([np.flatnonzero(some | wrong | (rng.random(len(starts)) < DRAWN)), np.flatnonzero(wrong), rare, place])

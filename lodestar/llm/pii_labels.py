@@ -94,7 +94,7 @@ class NameForms:
 _SYLLABLES = "ba cor del fen gar hal ir jan kel lor mon nav or pel quen ras sel tor ul van wen xi yor zan bri cas dun eth".split()
 #: Words around the values in invented phrases.
 _CONTACT = ["contact {}", "Contact: {}", "call {}", "Call {} or write.", "Spoke to {} today", "Referee: {}", "regards, {}", "Dear {}", "ask for {}", "Assistant is {}.", "met {} at the fair", "signed {}", "c/o {}", "Reference from {}, who knows the desk", "References {}", "Referencias {}", "Références {}", "Referenzen {}", "Referenze {}, Desk Head", "{} Leeds", "{} London | home", "{} for details"]
-_MAIL = ["Email: {}", "E-mail {}", "mail {}", "write to {} soon", "{}", "<{}>", "{} | home", "({})", "reach me via {}.", "E: {}", "e {} m none", "Mail {} or call", "Lorven Quill {}", "Lorven ({})"]
+_MAIL = ["Email: {}", "E-mail {}", "mail {}", "write to {} soon", "{}", "<{}>", "{} | home", "({})", "reach me via {}.", "E: {}", "e {} m none", "Mail {} or call"]
 _CALL = ["Tel. {}", "Phone: {}", "Mobile {}", "call {} after six", "{}", "{} ext. 41", "T: {} | F: none", "({})", "Ring {}.", "tel:{}", "{}  #3", "{}   #2 of #2", "#2. {}"]
 _CAPTIONS = ["Driving licence", "Driver's license no.", "Passport", "ID", "ID no.", "NI number", "Tax ID", "Tax number", "National ID", "Residence permit", "Work permit no", "Identity card", "Social security", "CPF", "Codice fiscale", "Führerschein", "Carte d'identité", "DNI", "NIE", "Visa no."]
 _LIVES = ["Lives at {}", "Address: {}", "Wohnhaft {}", "{}", "{}, London", "based in {}, Porto", "Home: {}", "Sitz {} | Berlin", "moved to {} last year.", "Post an {}."]
@@ -159,6 +159,7 @@ def phrase(names: list[str], rng: np.random.Generator) -> list[Piece]:
     if kind == 3:
         return [(_pick(rng, _CAPTIONS) + _pick(rng, [" ", ": ", " "]), 0), (_identity(rng), 4), (_pick(rng, ["", ".", ", seen", " | ok"]), 0)]
     frame = _pick(rng, [_CONTACT, _MAIL, _CALL, [], _LIVES][kind])
+    beside: list[Piece] = []
     if kind == 0:
         value = _pick(rng, names) if names and rng.random() < 0.4 else f"{invented_word(rng).capitalize()} {invented_word(rng).capitalize()}"
         draw = rng.random()
@@ -168,10 +169,13 @@ def phrase(names: list[str], rng: np.random.Generator) -> list[Piece]:
             value = value.upper()
     else:
         value = (_email, _phone, None, _address)[kind - 1](rng)
+        if rng.random() < 0.35:  # whose it is, right before it
+            whose = _pick(rng, names) if names else f"{invented_word(rng).capitalize()} {invented_word(rng).capitalize()}"
+            beside, frame = [(whose, 1), (_pick(rng, [" ", "  ", ", ", " (", " – ", ": ", "\n", " | "]), 0)], _pick(rng, ["{}", "{}", "{})", "{}."])
     if value.endswith("."):  # one point, which ends the street's kind
         frame = frame.replace("{}.", "{}")
     before, after = (re.sub(r"#(\d)", lambda m: _digits(rng, int(m[1])), x) for x in frame.split("{}"))
-    return [(before, 0), (value, 1 + kind), (after, 0)]
+    return [*beside, (before, 0), (value, 1 + kind), (after, 0)]
 
 
 Span = tuple[int, int, str]

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm.gru import ByteGRU, block_features
-from lodestar.llm.language import LANGUAGES, fit, known_language, language_passages, passages, paths
+from lodestar.llm.gru import ByteGRU
+from lodestar.llm.language import LANGUAGES, NAMES, SEGMENT, fit, known_language, language_passages, passages, paths
 
 SENTENCES = {
     "en": "the team kept a record of every mistake and followed the rules which were written before it started with care",
@@ -26,24 +26,55 @@ def sentence(lang, rng):
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(3)
-    return fit([(LANGUAGES.index(k), ". ".join(sentence(k, rng) for _ in range(4))) for k in LANGUAGES for _ in range(40)], epochs=4)
+    return fit([(LANGUAGES.index(k), ". ".join(sentence(k, rng) for _ in range(4))) for k in LANGUAGES for _ in range(40)])
 
 
 def test_gradients():
-    net, rng = ByteGRU(3, embed=5, hidden=4), np.random.default_rng(0)
+    net, rng = ByteGRU(3, hidden=4), np.random.default_rng(0)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    features = np.array([block_features(b) for b in (b"ab", b"cde", b"x")])
-    ids, target, weight = rng.integers(0, 3, (6, 2)), rng.integers(0, 3, (6, 2)), np.ones((6, 2))
-    _, g = net.gradients(features, ids, target, weight)
-    for k in ("Uf", "Wb", "V", "eb", "cf"):
-        at = tuple(rng.integers(0, s) for s in net.p[k].shape)
+    data, target, weight = rng.integers(97, 105, (7, 2)).astype(np.uint8), rng.integers(0, 3, (7, 2)), np.ones((7, 2))
+    _, g = net.gradients(data, target, weight)
+    for k in ("U", "B", "T", "V", "vb", "c"):
+        values = g[k]
+        if isinstance(values, tuple):
+            rows, sums = values
+            at, got = (int(rows[1]), 2), sums[1][2]
+        else:
+            at = tuple(int(x[0]) for x in np.nonzero(values))
+            got = values[at]
         old, out = net.p[k][at], []
         for d in (1e-3, -1e-3):
             net.p[k][at] = old + d
-            out.append(net.gradients(features, ids, target, weight)[0])
+            out.append(net.gradients(data, target, weight)[0])
         net.p[k][at] = old
-        assert abs((out[0] - out[1]) / 2e-3 - g[k][at]) < 2e-3, k
+        assert abs((out[0] - out[1]) / 2e-3 - got) < 2e-3, k
+
+
+def test_states_of_many_sequences_are_those_of_each():
+    net, rng = ByteGRU(3, hidden=4), np.random.default_rng(5)
+    data = rng.integers(97, 123, 200).astype(np.uint8)
+    begin, size = np.array([10, 100, 60, 180]), np.array([50, 40, 30, 1])
+    at = np.cumsum(size) - size
+    many = net.states(data, begin, size)
+    for a, b, n in zip(at, begin, size):
+        assert np.allclose(many[a : a + n], net.states(data, np.array([b]), np.array([n])), atol=1e-6)
+
+
+def test_long_texts_by_segments_are_as_in_one_go(model):
+    rng = random.Random(6)
+    text = ". ".join(sentence("es", rng) for _ in range(40))
+    (lp,) = model.log_probabilities([text])
+    data, counts, _ = model.words.sequences([text])
+    states = model.net.states(data, np.array([0]), np.array([len(data)]))
+    own = counts[counts > 0]
+    whole = model.net.logits(np.add.reduceat(states, np.cumsum(own) - own, axis=0) / own[:, None]).argmax(axis=1)
+    assert (lp.argmax(axis=1) == whole).mean() > 0.99 and len(data) > SEGMENT * 3
+
+
+def test_other_scripts_are_no_known_language(model):
+    (lp,) = model.log_probabilities(["рынок облигаций вырос на прошлой неделе несмотря на решение банка " * 4])
+    assert NAMES[int(lp.sum(axis=0).argmax())] == "other"
 
 
 def test_held_out_accuracy(model):
@@ -65,7 +96,7 @@ def test_mixed_text_gives_its_passages(model):
 
 def test_paths_same_as_one_by_one():
     rng = np.random.default_rng(2)
-    logp = [np.log(rng.dirichlet(np.ones(6), n)).astype(np.float32) for n in (0, 1, 7, 30, 3)]
+    logp = [np.log(rng.dirichlet(np.ones(7), n)).astype(np.float32) for n in (0, 1, 7, 30, 3)]
     for many, x in zip(paths(logp), logp):
         assert (paths([x])[0] == many).all()
 
