@@ -220,6 +220,10 @@ def tidied(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int,
             else:
                 names.append([a, b])
             continue
+        if kind == "email" and (m := _PLAIN.search(text, a, b)):  # no blank stands in it, so words before it are no part
+            if names and a - names[-1][1] <= 1 and m.start() > a:
+                names[-1][1] = m.start()
+            a, b = m.span()
         s = _whole(text, a, b, kind)
         if s:
             if kept and s[0] < kept[-1][1]:
@@ -242,6 +246,8 @@ def tidied(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int,
 
 #: Short words for kinds of streets, to which a point belongs.
 _SHORT = re.compile(r"\b(?:St|Rd|Ave|Ln|Ct|Dr|Pl|Sq)\Z", re.I)
+#: An undisguised address for mail: what stands without a blank around the sign.
+_PLAIN = re.compile(r"[^\s()<>]+@[^\s()<>]+")
 #: Fixed value: what stands for the sign that every address for mail has.
 _AT = re.compile(r"[@＠]|\bat\b", re.I)
 
@@ -287,8 +293,9 @@ def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
             a += 1
     least, most = _DIGITS[kind]
     found = text[a:b]
-    letters = kind in ("email", "address") and not any(map(str.isalpha, found))
-    return None if letters or len(found) < 5 or not least <= sum(map(str.isdigit, found)) <= most else (a, b, kind)
+    without = kind in ("email", "address") and not any(map(str.isalpha, found))
+    without |= kind == "address" and len(found.split()) < 2
+    return None if without or len(found) < 5 or not least <= sum(map(str.isdigit, found)) <= most else (a, b, kind)
 
 
 def _word_char(c: str) -> bool:

@@ -98,7 +98,7 @@ _MAIL = ["Email: {}", "E-mail {}", "mail {}", "write to {} soon", "{}", "<{}>",
 _CALL = ["Tel. {}", "Phone: {}", "Mobile {}", "call {} after six", "{}", "{} ext. 41", "T: {} | F: none", "({})", "Ring {}.", "tel:{}", "{}  #3", "{}   #2 of #2", "#2. {}"]
 _CAPTIONS = ["Driving licence", "Driver's license no.", "Passport", "ID", "ID no.", "NI number", "Tax ID", "Tax number", "National ID", "Residence permit", "Work permit no", "Identity card", "Social security", "CPF", "Codice fiscale", "Führerschein", "Carte d'identité", "DNI", "NIE", "Visa no."]
 _LIVES = ["Lives at {}", "Address: {}", "Wohnhaft {}", "{}", "{}, London", "based in {}, Porto", "Home: {}", "Sitz {} | Berlin", "moved to {} last year.", "Post an {}."]
-_NO_CASE = ["ISSN {4}-{4}", "Invoice {7}", "Order {6}", "Working paper no. {4}.{4}", "Ref {8}", "Ticket {3}-{5}", "page {2} of {3}", "v{1}.{2}.{3}", "Desk code {4}/{4}, seat {2}", "ISBN 978-{1}-{4}-{4}-{1}", "Book value {2} {4} 000", "Build {2}.{2}.{2}.{2}", "room {2}", "list v{2} @ close {4}", "fund {3} series {2}", "Req. ref {4}-{4}-{2}", "worth {3},{3},000", "pp. {2}-{4}", "@ {2}.{2} per share", "EUR {3} {3}"]
+_NO_CASE = ["ISSN {4}-{4}", "Invoice {7}", "Order {6}", "Working paper no. {4}.{4}", "Ref {8}", "Ticket {3}-{5}", "page {2} of {3}", "v{1}.{2}.{3}", "Desk code {4}/{4}, seat {2}", "ISBN 978-{1}-{4}-{4}-{1}", "Book value {2} {4} 000", "Build {2}.{2}.{2}.{2}", "room {2}", "list v{2} @ close {4}", "fund {3} series {2}", "Req. ref {4}-{4}-{2}", "worth {3},{3},000", "pp. {2}-{4}", "@ {2}.{2} per share", "EUR {3} {3}", "#{h}", "ref {h}", "#{h} Lyon", "(20{2}-0{1} – 20{2}-1{1})", "20{2}-0{1} – present", "Sept.20{2}"]
 _STREET_WORDS = "Road Street Avenue Lane Close Court Drive Terrace Place Square Way Gardens Boulevard Rise Parade Quay Mews Hill Rd. St. Ave. Ln.".split()
 
 
@@ -155,7 +155,8 @@ def phrase(names: list[str], rng: np.random.Generator) -> list[Piece]:
     """An invented phrase as pieces, each with its tag."""
     kind = int(rng.integers(0, 7))
     if kind >= 5:
-        return [(re.sub(r"\{(\d)\}", lambda m: _digits(rng, int(m[1])), _pick(rng, _NO_CASE)), 0)]
+        frame = re.sub(r"\{(\d)\}", lambda m: _digits(rng, int(m[1])), _pick(rng, _NO_CASE))
+        return [(frame.replace("{h}", f"{int(rng.integers(2**40)):010x}"), 0)]
     if kind == 3:
         return [(_pick(rng, _CAPTIONS) + _pick(rng, [" ", ": ", " "]), 0), (_identity(rng), 4), (_pick(rng, ["", ".", ", seen", " | ok"]), 0)]
     frame = _pick(rng, [_CONTACT, _MAIL, _CALL, [], _LIVES][kind])
@@ -163,7 +164,7 @@ def phrase(names: list[str], rng: np.random.Generator) -> list[Piece]:
     if kind == 0:
         value = _pick(rng, names) if names and rng.random() < 0.4 else f"{invented_word(rng).capitalize()} {invented_word(rng).capitalize()}"
         draw = rng.random()
-        if draw < 0.35:  # nobody types capitals in a hurry
+        if draw < 0.4:  # nobody types capitals in a hurry
             value, frame = value.lower(), frame.lower()
         elif draw < 0.45:
             value = value.upper()

@@ -180,6 +180,8 @@ def test_ends_come_from_the_network_alone():
     assert tidied("Call 0123456 now", [(5, 8, "phone")]) == [(5, 12, "phone")]  # a number cut in two
     assert tidied("Call 0123 now", [(5, 9, "phone")]) == []  # four digits
     assert tidied("seen (ann (at) post.example) today", [(6, 10, "email"), (11, 27, "email")]) == [(6, 27, "email")]
+    text = "Ada Brinkmoor ada@post.example"
+    assert tidied(text, [(0, 3, "name"), (4, len(text), "email")]) == [(0, 13, "name"), (14, len(text), "email")]
     assert tidied("a maulowe b", [(2, 9, "email")]) == []  # nothing that stands for the sign
 
 
