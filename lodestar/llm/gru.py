@@ -1,8 +1,7 @@
 """A bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Every byte is a position. It enters by its value and by the hash of the three bytes that end with it,
-through tables that are the gates' input projections themselves. Both directions run side by side in
-the same arrays: the backward one reads each sequence from its end.
+Every byte is a position. It enters with the two bytes before it, hashed, through a table of each
+direction that is the gates' input projection itself.
 """
 
 from __future__ import annotations
@@ -39,8 +38,8 @@ class ByteGRU:
         rng = np.random.default_rng(seed)
         normal = lambda *shape, by: (rng.normal(size=shape) * by).astype(np.float32)
         self.hidden = hidden
+        self._ready: list[tuple[np.ndarray, ...]] = []
         self.p = {
-            "B": normal(2, 256, 3 * hidden, by=0.2),
             "T": normal(2 * BUCKETS, 3 * hidden, by=0.02),  # the backward direction's rows follow the forward one's
             "U": normal(2, hidden, 3 * hidden, by=hidden**-0.5),
             "c": np.zeros((2, 1, 3 * hidden), np.float32),
@@ -48,47 +47,54 @@ class ByteGRU:
             "vb": np.zeros(classes, np.float32),
         }
 
-    def states(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """States of both directions (bytes × 2 hidden) of the sequences data[begin : begin + size], one after the other.
+    def logits(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Class logits (bytes × classes) of the sequences data[begin : begin + size], one after the other.
 
         Sequences come longest first, so that at each step the running ones are the first of them. With s
         the tangents of the half arguments of the gates, r u is (s_r u + u) / 2 and the new state is
-        n + s_z d + d with d = (h - n) / 2, so that no gate is ever rescaled.
+        n + s_z d + d with d = (h - n) / 2, so that no gate is ever rescaled. States become logits at once, as
+        writing them out would cost more than the network.
         """
-        out = np.empty((int(size.sum()), 2 * self.hidden), np.float32)
+        out = np.empty((int(size.sum()), len(self.p["vb"])), np.float32)
         if len(size):
             tri = trigrams(data)
             at = np.cumsum(size) - size
             running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
             for d in (0, 1):
-                self._direction(d, data, tri, begin, size, at, running, out[:, d * self.hidden : (d + 1) * self.hidden])
+                self._direction(d, tri, begin, size, at, running, out)
         return out
 
-    def _direction(self, d: int, data: np.ndarray, tri: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, running: np.ndarray, out: np.ndarray) -> None:
-        hs, p, n = self.hidden, self.p, len(size)
-        both, new = slice(0, 2 * hs), slice(2 * hs, 3 * hs)
-        bytes_, threes = p["B"][d] + p["c"][d], p["T"][d * BUCKETS : (d + 1) * BUCKETS]
-        u_gates, u_new = np.ascontiguousarray(p["U"][d][:, both]) * np.float32(0.5), np.ascontiguousarray(p["U"][d][:, new]) * np.float32(0.5)
-        b_gates, t_gates = bytes_[:, both] * np.float32(0.5), threes[:, both] * np.float32(0.5)
-        b_new, t_new = np.ascontiguousarray(bytes_[:, new]), np.ascontiguousarray(threes[:, new])
-        every = [np.empty((n, w * hs), np.float32) for w in (2, 2, 1, 1, 1)] + [np.zeros((n, hs), np.float32)]
+    def _tables(self) -> list[tuple[np.ndarray, ...]]:
+        """For each direction what the gates and the new state take from the state and from the input; for
+        the network as it is at the first call, which must be done with training."""
+        if not self._ready:
+            hs, half = self.hidden, np.float32(0.5)
+            for d in (0, 1):
+                u, t = self.p["U"][d], self.p["T"][d * BUCKETS : (d + 1) * BUCKETS] + self.p["c"][d]
+                self._ready.append((u[:, : 2 * hs] * half, u[:, 2 * hs :] * half, t[:, : 2 * hs] * half, np.ascontiguousarray(t[:, 2 * hs :])))
+        return self._ready
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_ready": []}
+
+    def _direction(self, d: int, tri: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, running: np.ndarray, out: np.ndarray) -> None:
+        hs, n = self.hidden, len(size)
+        u_gates, u_new, t_gates, t_new = self._tables()[d]
+        v_own, bias = self.p["V"][d * hs : (d + 1) * hs], self.p["vb"]
+        every = [np.empty((n, w), np.float32) for w in (2 * hs, 2 * hs, hs, hs, hs, len(bias))] + [np.zeros((n, hs), np.float32)]
         ends = size - 1
         for t, k in enumerate(running):
-            g, x, v, w, y, h = (e[:k] for e in every)
+            g, x, v, w, y, z, h = (e[:k] for e in every)
             where = t if d == 0 else ends[:k] - t
             place = begin[:k] + where
-            byte, three = data[place], tri[place]
+            three = tri[place]
             np.matmul(h, u_gates, out=g)
-            np.take(b_gates, byte, axis=0, out=x, mode="clip")
-            g += x
             np.take(t_gates, three, axis=0, out=x, mode="clip")
             g += x
             np.tanh(g, out=g)
             np.matmul(h, u_new, out=v)
             np.multiply(g[:, hs:], v, out=w)
             w += v
-            np.take(b_new, byte, axis=0, out=y, mode="clip")
-            w += y
             np.take(t_new, three, axis=0, out=y, mode="clip")
             w += y
             np.tanh(w, out=w)
@@ -97,10 +103,13 @@ class ByteGRU:
             np.multiply(g[:, :hs], h, out=y)
             h += y
             h += w
-            out[at[:k] + where] = h
-
-    def logits(self, states: np.ndarray) -> np.ndarray:
-        return states @ self.p["V"] + self.p["vb"]
+            np.matmul(h, v_own, out=z)
+            place = at[:k] + where
+            if d:
+                z += out[place]
+            else:
+                z += bias
+            out[place] = z
 
     def gradients(self, data: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
         """Mean cross entropy of windows of bytes (time × batch), and its gradients.
@@ -108,12 +117,11 @@ class ByteGRU:
         Those of the table of three bytes are (rows, values) of the rows that the batch touches.
         """
         p, hs = self.p, self.hidden
+        self._ready = []
         steps, batch = data.shape
         tri = trigrams(data.T.ravel()).reshape(batch, steps).T  # the first two of a window see the last of another: noise
-        both = np.stack([data, data[::-1]], axis=1)  # time × direction × batch
-        tri = np.stack([tri, tri[::-1] + BUCKETS], axis=1)
-        byte = both.astype(np.int64) + np.array([0, 256])[None, :, None]
-        x = p["T"][tri] + p["B"].reshape(512, -1)[byte] + p["c"]
+        tri = np.stack([tri, tri[::-1] + BUCKETS], axis=1)  # time × direction × batch
+        x = p["T"][tri] + p["c"]
         h = np.zeros((2, batch, hs), np.float32)
         kept, states = [], np.empty((steps, 2, batch, hs), np.float32)
         for t in range(steps):
@@ -156,10 +164,6 @@ class ByteGRU:
             dh = dh * z + np.matmul(du, ut)
         flat = dx.reshape(-1, 3 * hs)
         g["c"] = dx.sum(axis=(0, 2))[:, None]
-        rows, sums = touched_rows(byte.ravel(), flat)
-        table = np.zeros((512, 3 * hs), np.float32)
-        table[rows] = sums
-        g["B"] = table.reshape(2, 256, -1)
         g["T"] = touched_rows(tri.ravel(), flat)
         return loss, g
 

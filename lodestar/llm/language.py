@@ -107,7 +107,7 @@ class LanguageModel:
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray]) -> LanguageModel:
         net = ByteGRU(CLASSES, HIDDEN)
-        net.p = arrays
+        net.p, net._ready = arrays, []
         return cls(net)
 
     def __getstate__(self) -> dict:
@@ -143,7 +143,7 @@ class LanguageModel:
         for i in range(0, len(order), RUN):
             pick = order[i : i + RUN]
             size = stop[pick] - begin[pick]
-            y = np.ascontiguousarray(self.net.logits(self.net.states(data, begin[pick], size)).T)
+            y = np.ascontiguousarray(self.net.logits(data, begin[pick], size).T)
             own = core_end[pick] - core[pick]
             within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
             to = np.repeat(core[pick], own) + within
@@ -284,8 +284,7 @@ def _guesses(net: ByteGRU, rows: np.ndarray) -> np.ndarray:
     for i in range(0, len(rows), 1024):
         part = rows[i : i + 1024]
         n = len(part)
-        states = net.states(part.ravel(), np.arange(n) * TRAIN_WINDOW, np.full(n, TRAIN_WINDOW))
-        y = net.logits(states).reshape(n, TRAIN_WINDOW, CLASSES)
+        y = net.logits(part.ravel(), np.arange(n) * TRAIN_WINDOW, np.full(n, TRAIN_WINDOW)).reshape(n, TRAIN_WINDOW, CLASSES)
         y -= y.max(axis=2, keepdims=True)
         y -= np.log(np.exp(y).sum(axis=2, keepdims=True))
         out.append((y * (part > 0)[..., None]).sum(axis=1).argmax(axis=1))

@@ -65,8 +65,8 @@ class LstmCrf:
             out[t] = h
         return out
 
-    def _states(self, d: str, chars: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
-        """The same states as `_run` for sequences of any length, into `out`: one sequence after the other.
+    def _emit(self, d: str, chars: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, out: np.ndarray) -> None:
+        """Add what the states of one direction give the tags to `out`: one sequence after the other.
 
         Sequences come longest first, so the running ones are always the first of them. Nothing is kept for
         the gradients. A sigmoid is (tanh of half + 1) / 2: with s the tangents of the gates and states
@@ -79,11 +79,14 @@ class LstmCrf:
         u, table_c, table_w = self.p[f"U{d}"] * scale * 0.5, (self.p[f"C{d}"] + self.p[f"b{d}"]) * scale, self.p[f"W{d}"] * scale
         every_g, every_x = np.empty((n, 4 * hs), np.float32), np.empty((n, 4 * hs), np.float32)
         every_h, every_c, every_y = (np.zeros((n, hs), np.float32) for _ in range(3))
+        every_z = np.empty((n, self.tags), np.float32)
+        v = self.p["V"][:hs] if d == "f" else self.p["V"][hs:]
+        v = v * np.float32(0.5)
         to = np.cumsum(size) - size
         ends = size - 1
         running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
         for t, k in enumerate(running):
-            g, x, h, c, y = every_g[:k], every_x[:k], every_h[:k], every_c[:k], every_y[:k]
+            g, x, h, c, y, z = every_g[:k], every_x[:k], every_h[:k], every_c[:k], every_y[:k], every_z[:k]
             at = t if d == "f" else ends[:k] - t
             place = begin[:k] + at
             np.matmul(h, u, out=g)
@@ -101,18 +104,18 @@ class LstmCrf:
             np.tanh(c, out=y)
             np.multiply(g[:, 2 * hs : 3 * hs], y, out=h)
             h += y
-            out[to[:k] + at] = h
-        out *= 0.5
+            np.matmul(h, v, out=z)
+            place = to[:k] + at
+            z += out[place]
+            out[place] = z
 
     def emissions(self, chars: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of each position of the sequences [begin : begin + size], longest first, one after the other."""
-        v, hs = self.p["V"], self.hidden
-        states = np.empty((int(size.sum()), hs), np.float32)
-        self._states("f", chars, words, begin, size, states)
-        y = states @ v[:hs]
-        self._states("b", chars, words, begin, size, states)
-        y += states @ v[hs:]
-        return y + self.p["vb"]
+        out = np.empty((int(size.sum()), self.tags), np.float32)
+        out[:] = self.p["vb"]
+        for d in "fb":
+            self._emit(d, chars, words, begin, size, out)
+        return out
 
     def path(self, e: np.ndarray) -> np.ndarray:
         """The likeliest tags of one sequence of emissions (time × tags) of any length, by Viterbi.

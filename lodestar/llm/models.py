@@ -1,4 +1,8 @@
-"""Trained networks kept in the folder that all executors share, so that equal samples train once."""
+"""Trained networks kept by what decides them, so that equal samples train once a process.
+
+Where the setting `spark.lodestar.models.dir` names a folder, they are also written there and read by
+later applications; without it every application trains anew.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,6 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import SparkSession
 
-from ..session import shared_dir
-
 Arrays = dict[str, np.ndarray]
 #: Networks of this process, by digest.
 _known: dict[str, Arrays] = {}
@@ -62,12 +64,14 @@ def read(spark: SparkSession, path: str) -> Arrays | None:
 
 
 def trained(spark: SparkSession, name: str, key: str, train: Callable[[], Arrays]) -> Arrays:
-    """The arrays of this name and digest: of the process, of the shared folder, or trained now and kept in both."""
+    """The arrays of this name and digest: of the process, of the folder of models, or trained now and kept."""
     if key not in _known:
-        path = f"{shared_dir(spark).rstrip('/')}/models/{name}-{key}.npz"
-        arrays = read(spark, path)
+        folder = spark.conf.get("spark.lodestar.models.dir", "") or ""
+        path = f"{folder.rstrip('/')}/{name}-{key}.npz"
+        arrays = read(spark, path) if folder else None
         if arrays is None:
             arrays = train()
-            save(spark, path, arrays)
+            if folder:
+                save(spark, path, arrays)
         _known[key] = arrays
     return _known[key]

@@ -35,7 +35,7 @@ def test_gradients():
         net.p[k] = net.p[k].astype(np.float64)
     data, target, weight = rng.integers(97, 105, (7, 2)).astype(np.uint8), rng.integers(0, 3, (7, 2)), np.ones((7, 2))
     _, g = net.gradients(data, target, weight)
-    for k in ("U", "B", "T", "V", "vb", "c"):
+    for k in ("U", "T", "V", "vb", "c"):
         values = g[k]
         if isinstance(values, tuple):
             rows, sums = values
@@ -51,14 +51,14 @@ def test_gradients():
         assert abs((out[0] - out[1]) / 2e-3 - got) < 2e-3, k
 
 
-def test_states_of_many_sequences_are_those_of_each():
+def test_logits_of_many_sequences_are_those_of_each():
     net, rng = ByteGRU(3, hidden=4), np.random.default_rng(5)
     data = rng.integers(97, 123, 200).astype(np.uint8)
     begin, size = np.array([10, 100, 60, 180]), np.array([50, 40, 30, 1])
     at = np.cumsum(size) - size
-    many = net.states(data, begin, size)
+    many = net.logits(data, begin, size)
     for a, b, n in zip(at, begin, size):
-        assert np.allclose(many[a : a + n], net.states(data, np.array([b]), np.array([n])), atol=1e-6)
+        assert np.allclose(many[a : a + n], net.logits(data, np.array([b]), np.array([n])), atol=1e-6)
 
 
 def test_long_texts_by_segments_are_as_in_one_go(model):
@@ -66,9 +66,9 @@ def test_long_texts_by_segments_are_as_in_one_go(model):
     text = ". ".join(sentence("es", rng) for _ in range(40))
     (lp,) = model.log_probabilities([text])
     data, counts, _ = model.words.sequences([text])
-    states = model.net.states(data, np.array([0]), np.array([len(data)]))
+    logits = model.net.logits(data, np.array([0]), np.array([len(data)]))
     own = counts[counts > 0]
-    whole = model.net.logits(np.add.reduceat(states, np.cumsum(own) - own, axis=0) / own[:, None]).argmax(axis=1)
+    whole = (np.add.reduceat(logits, np.cumsum(own) - own, axis=0) / own[:, None]).argmax(axis=1)
     assert (lp.argmax(axis=1) == whole).mean() > 0.99 and len(data) > SEGMENT * 3
 
 
