@@ -146,7 +146,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(some):
                 continue
             starts = offsets[:-1][some]
-            name = _mix(np.add.reduceat(_mix(hashes), starts) + size[some].astype(_U64)).view(np.int64)
+            name = _names(hashes, starts, size[some])
             new = np.zeros(len(some), bool)
             for i, pair in enumerate(zip(name.tolist(), size[some].tolist())):
                 if pair not in seen:
@@ -203,11 +203,12 @@ def _agreement(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
 def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes (`a` < `b`) that share a band and whose signatures pass the estimate.
 
-    A bucket's pairs come from an equi-join on the band's key, which AQE splits where a key is hot;
-    agreeing on a whole band of minima, they are mostly links that the result holds anyway.
+    Classes are deduplicated before they are exploded into bands, and lie in a table: both sides of the
+    join on the band's key are then plain shuffles, which AQE splits where a key is hot. Agreeing on a whole
+    band of minima, a bucket's pairs are mostly links that the result holds anyway.
     """
-    once = sig.where(F.size("keys") > 0)
-    rows = once.select("class", F.explode("keys").alias("k")).repartition("k").dropDuplicates(["k", "class"])
+    once = materialise(sig.where(F.size("keys") > 0).groupBy("class").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketches")
+    rows = once.select("class", F.explode("keys").alias("k"))
     shared = (
         rows.select("k", F.col("class").alias("a"))
         .join(rows.select("k", F.col("class").alias("b")), "k")
@@ -215,7 +216,7 @@ def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
-    sketches = once.select("class", "sketch").dropDuplicates(["class"])
+    sketches = once.select("class", "sketch")
     with_both = (
         shared.join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("x")), "a")
         .join(sketches.select(F.col("class").alias("b"), F.col("sketch").alias("y")), "b")
@@ -226,12 +227,27 @@ def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
     return with_both.mapInArrow(lambda batches: _agreement(batches, least), "a bigint, b bigint")
 
 
+def _names(hashes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class of each set of shingles."""
+    return _mix(np.add.reduceat(_mix(hashes), starts) + size.astype(_U64)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class and members of each text that has any."""
     for batch in batches:
-        for where, texts in _chunks(batch.column(1).to_pylist()):
+        for _, texts in _chunks(batch.column(0).to_pylist()):
             hashes, offsets = shingle_sets(texts)
-            sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), sets], ["class", "members"])
+            some = np.flatnonzero(np.diff(offsets))
+            if len(some):
+                bounds = np.append(offsets[:-1][some], len(hashes)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_names(hashes, offsets[:-1][some], np.diff(offsets)[some])), sets], ["class", "members"])
+
+
+def _direct(df: DataFrame, key: str) -> DataFrame:
+    """`df` with an exchange of its own: what is aggregated by `key` would else be joined where it lies, and AQE
+    only splits a hot key of a join whose sides both come straight from a shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key))
 
 
 def linked_classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -239,9 +255,10 @@ def linked_classes(df: DataFrame, key: str, text: str, threshold: float) -> tupl
     sig = classes(df, key, text)
     pairs = materialise(candidate_pairs(sig, threshold), "candidates")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    speakers = sig.select("class", "doc").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc"))
-    texts = df.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(speakers, "doc").dropDuplicates(["class"])
-    sets = texts.select("class", "t").mapInArrow(_sets, "class bigint, members array<bigint>")
+    # one text of each wanted class: by its key, but the class is taken from the text itself, as keys may repeat
+    speakers = sig.select("class", "doc").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc")).select("doc").distinct()
+    texts = df.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(speakers.withColumnRenamed("doc", "speaker"), F.col("doc").eqNullSafe(F.col("speaker")), "left_semi")
+    sets = texts.select("t").mapInArrow(_sets, "class bigint, members array<bigint>").dropDuplicates(["class"])
     sets = materialise(sets, "sets")
     common = F.size(F.array_intersect("x", "y"))
     links = (
@@ -276,21 +293,32 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """One row per distinct non-null key: `group_id` (the least key of its group) and `n_links`, the
-    number of other classes its text is linked with. Texts without shingles are groups of their own."""
+    """One row per distinct non-null key: `class_id` (equal for texts of equal shingle sets, 0 for texts without
+    shingles), `group_id` (the least key of its group) and `n_links`, the number of other classes its text is
+    linked with. Texts without shingles are groups of their own. Grows with the rows, not with their pairs.
+
+    A key that comes with different texts takes the least of their groups, and that class.
+    """
     sig, links = linked_classes(df, key, text, threshold)
     links = materialise(links, "links")
     component = connected_components(links, "a", "b").select(F.col("node").alias("class"), "component")
     degree = (
         links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     )
-    members = sig.select("class", "doc").join(component, "class", "left").join(degree, "class", "left")
-    members = members.withColumn("component", F.coalesce("component", "class"))
-    least = members.groupBy("component").agg(F.min("doc").alias("group_id"))
-    placed = members.join(least, "component").groupBy("doc").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links"))
+    members = sig.select("class", "doc").where("doc is not null")
+    # from documents to classes before anything else, so a group of copies is one row in all that follows
+    least = members.groupBy("class").agg(F.min("doc").alias("least"))
+    placed = least.join(component, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = materialise(placed, "placed")
+    group = placed.groupBy("component").agg(F.min("least").alias("group_id"))
+    classes_placed = placed.join(_direct(group, "component"), "component").select("class", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = members.join(materialise(classes_placed, "groups"), "class").groupBy("doc").agg(F.min(F.struct("group_id", "class", "n_links")).alias("r"))
     everyone = df.select(F.col(key).alias("doc")).where("doc is not null").distinct()
-    return everyone.join(placed, "doc", "left").select(
-        F.col("doc").alias(key), F.coalesce("group_id", "doc").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return everyone.join(rows, "doc", "left").select(
+        F.col("doc").alias(key),
+        F.coalesce("r.class", F.lit(0)).alias("class_id"),
+        F.coalesce("r.group_id", "doc").alias("group_id"),
+        F.coalesce("r.n_links", F.lit(0)).alias("n_links"),
     )
 
 
