@@ -63,6 +63,38 @@ def month_index(parsed: Column, as_of: str) -> Column:
     return F.substring(s, 1, 4).cast("int") * 12 + F.coalesce(F.substring(s, 6, 2).try_cast("int"), F.lit(6))
 
 
+#: An end that has not come yet, where nothing else stands.
+OPEN_END = ["present", "till date", "current"]
+
+
+def read_month(raw: Column, as_of: str) -> Column:
+    """Month index of a text that is a month or a year as a whole; NULL of anything else.
+
+    Read are `YYYY-MM`, `M/YYYY`, a month's name or its beginning with a year of four or two digits
+    (20xx), a bare year (its June), each after `since` or not, and OPEN_END (`as_of`), in any case.
+    Months beyond 12, other orders and text beside a date make it unreadable.
+    """
+    name = "|".join(MONTHS)
+    year = r"(?:19|20)[0-9]{2}"
+
+    def forms(text: Column) -> Column:
+        t = F.regexp_replace(text, r"^since ", "")
+        named = rf"^({name})[a-z]{{0,6}}[ .\-']*({year}|[0-9]{{2}})$"
+        digits = F.regexp_extract(t, named, 2)
+        of_name = F.floor(F.instr(F.lit("".join(f" {m}" for m in MONTHS)), F.regexp_extract(t, named, 1)) / 4).cast("int") + 1
+        full = F.when(F.length(digits) == 2, F.concat(F.lit("20"), digits)).otherwise(digits).try_cast("int")
+        as_index = lambda y, m: y.try_cast("int") * 12 + m.try_cast("int")
+        return (
+            F.when(F.regexp_like(t, F.lit(rf"^{year}-(?:0[1-9]|1[0-2])$")), as_index(F.substring(t, 1, 4), F.substring(t, 6, 2)))
+            .when(F.regexp_like(t, F.lit(rf"^(?:0?[1-9]|1[0-2])/{year}$")), as_index(F.substring_index(t, "/", -1), F.substring_index(t, "/", 1)))
+            .when(F.regexp_like(t, F.lit(rf"^{year}$")), t.try_cast("int") * 12 + 6)
+            .when(digits != "", full * 12 + of_name)
+            .when(t.isin(OPEN_END), F.lit(int(as_of[:4]) * 12 + int(as_of[5:])))
+        )
+
+    return let(F.translate(F.lower(F.trim(F.regexp_replace(raw, r"\s+", " "))), "’‘", "''"), forms)
+
+
 def month_label(index: Column) -> Column:
     """`YYYY-MM` of a month index, NULL of NULL; December stays in its own year."""
     zero = index - 1

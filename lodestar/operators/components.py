@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 
 
+def _direct(least: DataFrame) -> DataFrame:
+    """The least neighbours with an exchange of their own. Without it they would be joined where they were
+    aggregated, and AQE only splits a hub's rows where both sides of a join come straight from a shuffle."""
+    return least.repartition(int(least.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("u"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its greater neighbours to its least neighbour or itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(_direct(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its lesser neighbours and itself to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = down.join(_direct(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

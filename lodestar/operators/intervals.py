@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import let, month_index, month_label, parse_date
+from ..functions.dates import month_label, read_month
 from ..tables import load
 
 #: What `present` means in the tables of employment.
@@ -66,12 +66,11 @@ def periods_and_gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame
 def employment_months(employment: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """(`candidate_id`, `from_index`, `to_index`) of each role, null where a side is unreadable.
 
-    Two-digit years are 20xx. A null or blank end of a current role is `as_of`.
+    Sides are read by `read_month`. A null or empty end of a current role is `as_of`.
     """
-    blank = F.coalesce(F.trim("end"), F.lit("")) == ""
-    ended = F.when(blank & F.col("is_current"), F.lit("present")).otherwise(F.col("end"))
-    index = lambda text: let(parse_date(text, century_pivot=100, latest_year=2099), lambda x: month_index(x, as_of))
-    return employment.select("candidate_id", index(F.col("start")).alias("from_index"), index(ended).alias("to_index"))
+    empty = F.coalesce(F.trim("end"), F.lit("")) == ""
+    ended = F.when(empty & F.col("is_current"), F.lit("present")).otherwise(F.col("end"))
+    return employment.select("candidate_id", read_month(F.col("start"), as_of).alias("from_index"), read_month(ended, as_of).alias("to_index"))
 
 
 def employment_periods(employment: DataFrame, as_of: str = AS_OF) -> DataFrame:

@@ -1,14 +1,16 @@
 """Deeply nested JSON records as related flat tables with Merkle identities.
 
 Every object and array element is hashed bottom-up over its canonical form, so that equal
-subtrees have equal ids wherever they stand. `nodes` holds each distinct subtree once; `links`
-holds every occurrence with its place: the record, the branch, the position and the parent's.
+subtrees have equal ids wherever they stand. `nodes` holds each distinct element once, with the ids of
+its child elements in place of them; `links` holds every occurrence with its place: the record, the
+branch, the position and the parent's.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +23,9 @@ from ..tables import load
 #: The branches of a candidate's profile that become child tables.
 PROFILE_BRANCHES = ("strategies", "strategies[].triggers", "employment", "employment[].highlights")
 
+#: Levels of nesting that are followed; deeper text is unreadable, as the JSON reader itself gives up.
+DEPTH = 50_000
+
 _SHRED_SCHEMA = (
     "record_id string, branch string, parent_pos int, pos int, place string, "
     "parent_id string, node_id string, node_kind string, body string"
@@ -40,25 +45,46 @@ def _digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
 
-def _part(value) -> str:
-    """What a value adds to its parent's form: a scalar itself, a subtree its identity after `#`."""
+def _scalar(value) -> str:
     kind = type(value)
     if kind is str:
         return _text(value)
-    if kind is dict or kind is list:
-        return "#" + merkle(value)
     if kind is float and value - value == 0:  # finite
         return repr(value)
     return _encode(value)
 
 
+class Subtree:
+    """An object or array with its identity, and the subtrees right below it by field or position."""
+
+    __slots__ = ("id", "parts")
+
+    def __init__(self, value: dict | list) -> None:
+        parts = {}
+        form = []
+        if isinstance(value, dict):
+            for k in sorted(value):
+                v = value[k]
+                if type(v) is dict or type(v) is list:
+                    parts[k] = part = Subtree(v)
+                    form.append(f"{_text(k)}:#{part.id}")
+                else:
+                    form.append(f"{_text(k)}:{_scalar(v)}")
+            text = "{" + ",".join(form)
+        else:
+            for i, v in enumerate(value):
+                if type(v) is dict or type(v) is list:
+                    parts[i] = part = Subtree(v)
+                    form.append(f"#{part.id}")
+                else:
+                    form.append(_scalar(v))
+            text = "[" + ",".join(form)
+        self.id, self.parts = _digest(text), parts
+
+
 def merkle(value) -> str:
-    """Identity of a subtree, from its scalars and the identities of its subtrees."""
-    if isinstance(value, dict):
-        return _digest("{" + ",".join([f"{_text(k)}:{_part(value[k])}" for k in sorted(value)]))
-    if isinstance(value, list):
-        return _digest("[" + ",".join(map(_part, value)))
-    return _digest(canonical(value))
+    """Identity of a value, from its scalars and the identities of its subtrees."""
+    return Subtree(value).id if isinstance(value, (dict, list)) else _digest(canonical(value))
 
 
 def read_profile(payload: str | None):
@@ -68,9 +94,7 @@ def read_profile(payload: str | None):
     where `data` is absent.
     """
     value = payload
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # each time shorter, so it ends
         try:
             value = json.loads(value)
         except (ValueError, RecursionError):
@@ -80,54 +104,87 @@ def read_profile(payload: str | None):
     return value if isinstance(value, dict) else None
 
 
-def _elements(value) -> list:
-    """A lone value stands for an array of one, null for none."""
-    return value if isinstance(value, list) else [] if value is None else [value]
+class Walk:
+    """The elements of the wanted branches of one record, from subtrees that are hashed once, bottom-up."""
+
+    def __init__(self, branches: tuple[str, ...] | None) -> None:
+        self.wanted = None if branches is None else frozenset(branches)
+        self.inner = None if branches is None else frozenset("[].".join(b.split("[].")[: i + 1]) for b in branches for i in range(b.count("[].") + 1))
+
+    def follows(self, branch: str, value) -> bool:
+        """Whether a field's elements have rows. Without a list of branches all objects and arrays do."""
+        return isinstance(value, (dict, list)) if self.inner is None else branch in self.inner
+
+    @staticmethod
+    def elements(value, own: Subtree | None) -> list[tuple]:
+        """(element, its subtree) of a field; a lone value stands for an array of one, null for none."""
+        if isinstance(value, list):
+            return [(v, own.parts.get(i)) for i, v in enumerate(value)]
+        return [] if value is None else [(value, own)]
+
+    def body(self, value, own: Subtree | None, prefix: str) -> str:
+        """Canonical JSON of an element; elements that have rows of their own stand as their identities, in their order."""
+        if not isinstance(value, dict):
+            return canonical(value)
+        out = []
+        for k in sorted(value):
+            v = value[k]
+            if self.follows(prefix + k, v):
+                ids = ",".join(f'"#{e.id if e else merkle(x)}"' for x, e in self.elements(v, own.parts.get(k)))
+                out.append(f"{_text(k)}:[{ids}]")
+            else:
+                out.append(f"{_text(k)}:{canonical(v)}")
+        return "{" + ",".join(out) + "}"
+
+    def rows(self, value: dict, own: Subtree, prefix: str = "", parent_pos: int = -1, place: str = "") -> Iterator[tuple]:
+        """(branch, parent_pos, pos, place, parent_id, node_id, element, subtree) below an object."""
+        for field, inner in value.items():
+            branch = prefix + field
+            if not self.follows(branch, inner):
+                continue
+            for pos, (child, subtree) in enumerate(self.elements(inner, own.parts.get(field))):
+                here = f"{place}/{field}:{pos}"
+                if self.wanted is None or branch in self.wanted:
+                    yield branch, parent_pos, pos, here, own.id, subtree.id if subtree else merkle(child), child, subtree
+                if isinstance(child, dict):
+                    yield from self.rows(child, subtree, branch + "[].", pos, here)
 
 
-def _walk(parent, parent_id, prefix: str, parent_pos: int, place: str, wanted: frozenset, inner: frozenset) -> Iterator[tuple]:
-    """Occurrences below `parent`; a branch is followed only where some wanted branch lies on it."""
-    for field in parent:
-        branch = prefix + field
-        if branch not in inner:
-            continue
-        for pos, child in enumerate(_elements(parent[field])):
-            node = merkle(child)
-            here = f"{place}/{field}:{pos}"
-            if branch in wanted:
-                yield branch, parent_pos, pos, here, parent_id, node, child
-            if isinstance(child, dict):
-                yield from _walk(child, node, branch + "[].", pos, here, wanted, inner)
+_KINDS = {dict: "object", list: "array", str: "string", int: "number", float: "number", bool: "boolean", type(None): "null"}
 
 
-def shred(df: DataFrame, record_id: str, payload: str, branches: tuple[str, ...] = PROFILE_BRANCHES) -> DataFrame:
-    """One row for each element of each of `branches` in each record.
+def shred(df: DataFrame, record_id: str, payload: str, branches: tuple[str, ...] | None = PROFILE_BRANCHES) -> DataFrame:
+    """One row for each element of each of `branches` in each record; of every array and object where `branches` is None.
 
     Columns: `record_id`, `branch`, `parent_pos` (−1 below the root), `pos`, `place` (the path of
-    positions from the root), `parent_id` and `node_id` (Merkle identities), `node_kind`
-    (object, array, string, number, boolean, null) and `body` (canonical JSON).
+    positions from the root), `parent_id` and `node_id` (Merkle identities), and `node_kind` (object,
+    array, string, number, boolean, null) and `body` (canonical JSON, in which elements with rows of their
+    own stand as their identities). Kind and body are there only where the node is met for the first time
+    in an Arrow batch: an object is written once a batch, and once at all by `nodes`.
 
     Null, blank, truncated and non-object payloads give no rows; a null record id stays null.
     Records are independent, so nothing is shuffled. Other columns of `df` are not read.
     """
-    wanted = frozenset(branches)
-    inner = frozenset("[].".join(b.split("[].")[: i + 1]) for b in branches for i in range(b.count("[].") + 1))
-    kinds = {dict: "object", list: "array", str: "string", int: "number", float: "number", bool: "boolean", type(None): "null"}
+    walk = Walk(branches)
     names = [x.split()[0] for x in _SHRED_SCHEMA.split(", ")]
     types = [pa.int32() if x.endswith(" int") else pa.string() for x in _SHRED_SCHEMA.split(", ")]
 
     def batch_rows(batch: pa.RecordBatch) -> list[tuple]:
-        rows = []
+        rows, seen = [], set()
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             profile = read_profile(text)
             if profile is None:
                 continue
-            root = "root"
-            for branch, parent_pos, pos, place, parent_id, node, child in _walk(profile, root, "", -1, "", wanted, inner):
-                rows.append((rid, branch, parent_pos, pos, place, parent_id, node, kinds[type(child)], canonical(child)))
+            for branch, parent_pos, pos, place, parent_id, node, child, own in walk.rows(profile, Subtree(profile)):
+                if node in seen:
+                    rows.append((rid, branch, parent_pos, pos, place, parent_id, node, None, None))
+                else:
+                    seen.add(node)
+                    rows.append((rid, branch, parent_pos, pos, place, parent_id, node, _KINDS[type(child)], walk.body(child, own, branch + "[].")))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
         for batch in batches:
             rows = batch_rows(batch)
             if rows:
@@ -137,12 +194,12 @@ def shred(df: DataFrame, record_id: str, payload: str, branches: tuple[str, ...]
 
 
 def nodes(shredded: DataFrame) -> DataFrame:
-    """Each distinct subtree once: `node_id`, `node_kind`, `body`."""
-    return shredded.groupBy("node_id").agg(F.first("node_kind").alias("node_kind"), F.first("body").alias("body"))
+    """Each distinct element once: `node_id`, `node_kind`, `body`."""
+    return shredded.where("body is not null").groupBy("node_id").agg(F.first("node_kind").alias("node_kind"), F.first("body").alias("body"))
 
 
 def links(shredded: DataFrame) -> DataFrame:
-    """Every occurrence, by identities only."""
+    """Every occurrence, by identities, places and ordinals only."""
     return shredded.drop("node_kind", "body")
 
 
@@ -160,6 +217,8 @@ def profile_children(candidates: DataFrame) -> DataFrame:
     """
     newest = latest(candidates, "candidate_id", "updated_at", "payload")
     shredded = materialise(shred(newest, "candidate_id", "payload"), "shredded")
+    # a table of its own, so that a node met very often is a skewed join AQE can split
+    once = materialise(nodes(shredded), "nodes")
     child = F.element_at(
         F.create_map(*[F.lit(x) for pair in zip(PROFILE_BRANCHES, ("strategy", "trigger", "role", "highlight")) for x in pair]),
         F.col("branch"),
@@ -167,21 +226,16 @@ def profile_children(candidates: DataFrame) -> DataFrame:
     label = F.when(F.col("node_kind") == "string", F.get_json_object(F.concat(F.lit('{"v":'), "body", F.lit("}")), "$.v")).otherwise(
         F.get_json_object("body", "$.label")
     )
-    labels = (
-        nodes(shredded.where(F.col("branch") == "strategies"))
-        .select(F.col("node_id").alias("strategy_id"), F.coalesce(label, F.lit("")).alias("label"))
-        .where("label <> ''")
-    )
-    strategy = F.when(F.col("branch") == "strategies", F.col("node_id")).when(F.col("branch") == "strategies[].triggers", F.col("parent_id"))
-    labelled = links(shredded).withColumn("strategy_id", strategy)
-    has_label = labelled.where("strategy_id is not null").join(labels, "strategy_id", "left")
-    no_label = labelled.where("strategy_id is null").withColumn("label", F.lit(""))
-    return has_label.unionByName(no_label).select(
+    # a trigger is read through the strategy it belongs to, all others through themselves
+    read = F.when(F.col("branch") == "strategies[].triggers", F.col("parent_id")).otherwise(F.col("node_id"))
+    labelled = F.col("branch").startswith("strategies")
+    found = links(shredded).withColumn("read", read).join(once.select(F.col("node_id").alias("read"), label.alias("own")), "read")
+    return found.select(
         F.col("record_id").alias("candidate_id"),
         child.alias("child"),
         "parent_pos",
         "pos",
-        F.coalesce("label", F.lit("")).alias("label"),
+        F.when(labelled, F.coalesce("own", F.lit(""))).otherwise(F.lit("")).alias("label"),
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +27,20 @@ def language_guess(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def lines_with_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(`key`, `line_no`, `char_start`, `char_end`, `line`) of every line, offsets in code points of the text."""
-    starts = F.aggregate(
-        F.split(text, "\n"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,line:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x) + 1).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), (acc["at"] + F.length(x)).alias("e"), x.alias("line")))).alias("out"),
-        ),
-    )["out"]
-    return df.where(F.col(text).isNotNull()).select(key, F.posexplode(starts).alias("line_no", "x")).select(
-        key, "line_no", F.col("x.s").alias("char_start"), F.col("x.e").alias("char_end"), F.col("x.line").alias("line")
-    )
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    return rows.mapInArrow(_lines, f"k {kind}, line_no int, char_start int, char_end int, line string").withColumnRenamed("k", key)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of each text. A running sum of lengths over an array is quadratic by lambdas, and a window would shuffle."""
+    for batch in batches:
+        for i, t in enumerate(batch.column(1).to_pylist()):
+            lines = t.split("\n")
+            size = np.fromiter(map(len, lines), np.int32, len(lines))
+            start = np.cumsum(size + 1, dtype=np.int32) - size - 1
+            columns = [batch.column(0).take(pa.array(np.full(len(lines), i))), *(pa.array(x, pa.int32()) for x in (np.arange(len(lines)), start, start + size)), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "line_no", "char_start", "char_end", "line"])
 
 
 #: Headings of the sections of a résumé, in lower case without marks.

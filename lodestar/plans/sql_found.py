@@ -23,14 +23,30 @@ def _month(column: str) -> str:
         END"""
 
 
+def _whole_month(column: str) -> str:
+    """DuckDB: the month index of a text that is a month or a year as a whole, as the statement lists them."""
+    t = f"regexp_replace(replace(replace(lower(trim(regexp_replace({column}, '[ \\t\\n\\r\\f]+', ' ', 'g'))), '’', ''''), '‘', ''''), '^since ', '')"
+    part = lambda pattern, k: f"CAST(regexp_extract({t}, '{pattern}', {k}) AS INT)"
+    iso, slash, bare = "^((?:19|20)[0-9]{2})-(0[1-9]|1[0-2])$", "^(0?[1-9]|1[0-2])/((?:19|20)[0-9]{2})$", "^((?:19|20)[0-9]{2})$"
+    cases = []
+    for n, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1):
+        for digits, lead in (("(?:19|20)[0-9]{2}", ""), ("[0-9]{2}", "20")):
+            pattern = f"^{m}[a-z]{{0,6}}[ .''-]*({digits})$"
+            cases.append(f"WHEN regexp_matches({t}, '{pattern}') THEN CAST('{lead}' || regexp_extract({t}, '{pattern}', 1) AS INT) * 12 + {n}")
+    return f"""CASE WHEN {t} IN ('present', 'till date', 'current') THEN 2025 * 12 + 12
+        WHEN regexp_matches({t}, '{iso}') THEN {part(iso, 1)} * 12 + {part(iso, 2)}
+        WHEN regexp_matches({t}, '{slash}') THEN {part(slash, 2)} * 12 + {part(slash, 1)}
+        WHEN regexp_matches({t}, '{bare}') THEN {part(bare, 1)} * 12 + 6 {" ".join(cases)} END"""
+
+
 def _label(index: str) -> str:
     return f"lpad(CAST(({index} - 1) // 12 AS VARCHAR), 4, '0') || '-' || lpad(CAST(({index} - 1) % 12 + 1 AS VARCHAR), 2, '0')"
 
 
 P4_FOUND = f"""
 WITH roles AS (
-    SELECT candidate_id, {_month("start")} AS s,
-        CASE WHEN trim(coalesce("end", '')) = '' AND is_current THEN 2025 * 12 + 12 ELSE {_month('"end"')} END AS e
+    SELECT candidate_id, {_whole_month("start")} AS s,
+        CASE WHEN trim(coalesce("end", '')) = '' AND is_current THEN 2025 * 12 + 12 ELSE {_whole_month('"end"')} END AS e
     FROM employment
 ), usable AS (SELECT DISTINCT candidate_id, s, e FROM roles WHERE e > s),
 reach AS (

@@ -3,7 +3,7 @@
 from .sql_found import _month
 
 PROFILES = """profiles AS (
-    SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC NULLS LAST, payload DESC NULLS LAST) AS rn FROM candidates) WHERE rn = 1
+    SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC NULLS LAST, approach DESC NULLS LAST, completeness DESC NULLS LAST, country DESC NULLS LAST, feeder_path DESC NULLS LAST, is_synthetic DESC NULLS LAST, near_duplicate_of DESC NULLS LAST, needs_review DESC NULLS LAST, region DESC NULLS LAST, seniority_level DESC NULLS LAST, source_file DESC NULLS LAST, years_experience DESC NULLS LAST, payload DESC NULLS LAST) AS rn FROM candidates) WHERE rn = 1
 )"""
 
 PARSED = """once AS (SELECT candidate_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM profiles),

@@ -70,3 +70,17 @@ def test_employment(spark):
         ("u", "period", "2019-01", "2022-01"), ("g", "period", "2013-06", "2015-03"), ("g", "gap", "2015-03", "2017-04"), ("g", "period", "2017-04", "2019-09"), ("g", "gap", "2019-09", "2019-10"),
         ("g", "period", "2019-10", "2024-01"), ("n", "period", "2024-01", "2025-12"), ("z", "period", "2020-01", "2021-01"),
     }
+
+
+def test_months_as_the_statement_lists_them(spark):
+    """The statement's forms, and spellings that are none of them."""
+    from lodestar.functions.dates import read_month
+
+    read = {
+        "2019-04": (2019, 4), "2016": (2016, 6), "09/2019": (2019, 9), "9/2019": (2019, 9), "May'22": (2022, 5), "Oct-'20": (2020, 10), "Mayr'23": (2023, 5), "Sept.2021": (2021, 9), "Sept 2021": (2021, 9),
+        "since May 2022": (2022, 5), "Since Sept.2021": (2021, 9), "june’99": (2099, 6), "DECEMBER 1999": (1999, 12), " 2016 ": (2016, 6), "PRESENT": (2025, 12), "Till  Date": (2025, 12), "current": (2025, 12),
+    }
+    unread = ["2001-13", "13/2001", "2003-5", "5.2003", "2009/03", "now", "ongoing", "today", "till now", "presently", "present role", "about 2016", "2016-2017", "garbage", "tbc", "??", "", "  ", None, "May", "'22", "1816", "marching 3", "8 years 10 months"]
+    df = spark.createDataFrame([(x,) for x in [*read, *unread]], "t string")
+    got = {r.t: r.m for r in df.select("t", read_month(F.col("t"), "2025-12").alias("m")).collect()}
+    assert got == {**{k: y * 12 + m for k, (y, m) in read.items()}, **dict.fromkeys(unread)}
