@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Buckets of the hashed three bytes.
-BUCKETS = 1 << 15
+BUCKETS = 1 << 13
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
@@ -19,7 +19,7 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     one[:1], two[:2] = 32, 32
     one[1:], two[2:] = x[:-1], x[:-2]
     h = (x | one << np.uint32(8) | two << np.uint32(16)) * np.uint32(2654435761)
-    return (h >> np.uint32(17)).astype(np.int32)
+    return (h >> np.uint32(19)).astype(np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

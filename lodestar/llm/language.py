@@ -41,14 +41,14 @@ MIN_WORDS = 25
 NAMES = [*LANGUAGES, "other"]
 CLASSES = len(NAMES)
 #: Bytes of a segment, and of those on each side that only give context; segments run at once.
-SEGMENT, CONTEXT, RUN = 480, 24, 1024
+SEGMENT, CONTEXT, RUN = 480, 24, 2048
 #: Log cost of changing the language between two words.
 SWITCH = 9.0
 #: Log probability over the second best from which a word is clearly of its language.
 CLEAR = 3.0
 HIDDEN = 16
 #: Bytes of text labelled at once.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 21
 #: Batches of training, their windows, and the bytes of a window.
 BATCHES, BATCH, TRAIN_WINDOW, RATE = 240, 128, 160, 1e-2
 #: Share of the training windows that are made of no known language.
@@ -74,9 +74,10 @@ class Words(dict):
         self.count: list[int] = []
 
     def __missing__(self, word: str) -> int:
-        """A blank and the word's letters in lower case; a word without letters has no bytes, as signs and numbers have no language."""
+        """The word's letters, the first as a capital, which shows where words begin, the others small; a word
+        without letters has no bytes, as signs and numbers have no language."""
         letters = "".join(c for c in word.lower() if c.isalpha() or c in "'’").strip("'’")
-        data = b" " + letters.encode("utf-8", "surrogatepass") if letters else b""
+        data = (letters[0].upper() + letters[1:]).encode("utf-8", "surrogatepass") if letters else b""
         self.first.append(len(self.flat))
         self.count.append(len(data))
         self.flat += data
@@ -195,13 +196,21 @@ def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def passages(logp: np.ndarray, path: np.ndarray) -> list[tuple[int, int, int, float]]:
+def clear_words(logp: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Words whose likeliest language is the path's, and well ahead of every other."""
+    own = np.take_along_axis(logp, path[:, None].astype(np.int64), 1)[:, 0]
+    ahead = np.full(len(path), np.inf, np.float32)
+    for c in range(CLASSES):
+        np.minimum(ahead, np.where(path == c, np.inf, own - logp[:, c]), out=ahead)
+    return ahead > CLEAR
+
+
+def passages(logp: np.ndarray, path: np.ndarray, clear: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
     """(language, first word, end, confidence) of the runs of a path, cut to their clear words."""
     if not len(path):
         return []
-    top = np.sort(logp, axis=1)
-    clear = (top[:, -1] - top[:, -2] > CLEAR) & (logp.argmax(axis=1) == path)
-    edges = np.flatnonzero(np.diff(path)) + 1
+    clear = clear_words(logp, path) if clear is None else clear
+    edges = np.flatnonzero(path[1:] != path[:-1]) + 1
     out = []
     for a, b in zip([0, *edges], [*edges, len(path)]):
         own = np.flatnonzero(clear[a:b])
@@ -235,14 +244,14 @@ def _foreign(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     out = []
     for row in rows:
         if rng.random() < 0.5:
-            words = row.tobytes().rstrip(b"\0").split(b" ")
-            letters = rng.permutation(np.frombuffer(b"".join(words), np.uint8))
-            cut = np.cumsum([len(w) for w in words])[:-1]
-            data = b" ".join(x.tobytes() for x in np.split(letters, cut))
+            letters = np.frombuffer(row.tobytes().rstrip(b"\0").lower(), np.uint8)
+            starts = (row[: len(letters)] >= 65) & (row[: len(letters)] <= 90)
+            mixed = rng.permutation(letters)
+            data = np.where(starts & (mixed >= 97) & (mixed <= 122), mixed - 32, mixed).astype(np.uint8).tobytes()
         else:
             a, b = _SCRIPTS[int(rng.integers(len(_SCRIPTS)))]
             codes = rng.integers(a, b + 1, TRAIN_WINDOW)
-            data = "".join(" " if x else chr(c) for c, x in zip(codes, rng.random(TRAIN_WINDOW) < 0.15)).encode()
+            data = "".join(chr(c).upper() if x else chr(c) for c, x in zip(codes, rng.random(TRAIN_WINDOW) < 0.15)).encode()
         out.append(np.frombuffer(data[:TRAIN_WINDOW].ljust(TRAIN_WINDOW, b"\0"), np.uint8))
     return np.array(out, np.uint8).reshape(-1, TRAIN_WINDOW)
 
@@ -296,9 +305,9 @@ def _spliced(ids: np.ndarray, own: np.ndarray, rng: np.random.Generator) -> tupl
     ids, own = ids.copy(), own.copy()
     partner = rng.permutation(ids.shape[1])
     for k in np.flatnonzero(rng.random(ids.shape[1]) < 0.5):
-        blanks = np.flatnonzero(ids[:, partner[k]] == 32)  # whole words of the other
-        if len(blanks) > 2:
-            a, b = sorted(rng.choice(blanks, 2, replace=False))
+        starts = np.flatnonzero((ids[:, partner[k]] >= 65) & (ids[:, partner[k]] <= 90))  # whole words of the other
+        if len(starts) > 2:
+            a, b = sorted(rng.choice(starts, 2, replace=False))
             ids[a:b, k], own[a:b, k] = ids[a:b, partner[k]], own[a:b, partner[k]]
     return ids, own
 
@@ -353,11 +362,16 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
                 part = batch.slice(at, n)
                 where, out = [], []
                 logp = own.log_probabilities(part.column(3).to_pylist())
-                for i, (lp, path) in enumerate(zip(logp, paths(logp))):
-                    found = passages(lp, path)
+                path_of = paths(logp)
+                bounds = np.cumsum([len(p) for p in path_of])
+                flat, way = (np.concatenate(x) if len(x) else np.zeros((0, CLASSES)) for x in (logp, path_of))
+                clear = np.split(clear_words(flat, way), bounds[:-1]) if len(flat) else [np.zeros(0, bool)] * len(path_of)
+                for i, (lp, path, own_clear) in enumerate(zip(logp, path_of, clear)):
+                    found = passages(lp, path, own_clear)
                     if not found:
                         continue
-                    pooled = np.exp(lp.mean(axis=0) - lp.mean(axis=0).max())
+                    mean = lp.mean(axis=0)
+                    pooled = np.exp(mean - mean.max())
                     pooled /= pooled.sum()
                     long = {p[0] for p in found if p[2] - p[1] >= MIN_WORDS and p[0] < len(LANGUAGES)}
                     for lang, a, b, conf in found:
