@@ -216,28 +216,38 @@ def profile_children(candidates: DataFrame) -> DataFrame:
     highlights have an empty label.
     """
     newest = latest(candidates, "candidate_id", "updated_at", "payload")
-    shredded = materialise(shred(newest, "candidate_id", "payload"), "shredded")
+    label = F.when(F.col("node_kind") == "string", F.get_json_object(F.concat(F.lit('{"v":'), "body", F.lit("}")), "$.v")).otherwise(
+        F.get_json_object("body", "$.label")
+    )
+    # of a node only its label is asked for here; identities travel as bytes
+    rows = shred(newest, "candidate_id", "payload").select(
+        "record_id", "branch", "parent_pos", "pos", F.unhex("node_id").alias("node"), F.unhex("parent_id").alias("parent"),
+        F.col("body").isNotNull().alias("stored"), F.when(F.col("branch") == "strategies", label).alias("own"),
+    )
+    shredded = materialise(rows, "shredded")
     # a table of its own, so that a node met very often is a skewed join AQE can split
-    once = materialise(nodes(shredded), "nodes")
+    once = materialise(shredded.where("stored").groupBy("node").agg(F.max("own").alias("own")), "nodes")
     child = F.element_at(
         F.create_map(*[F.lit(x) for pair in zip(PROFILE_BRANCHES, ("strategy", "trigger", "role", "highlight")) for x in pair]),
         F.col("branch"),
     )
-    label = F.when(F.col("node_kind") == "string", F.get_json_object(F.concat(F.lit('{"v":'), "body", F.lit("}")), "$.v")).otherwise(
-        F.get_json_object("body", "$.label")
-    )
     # a trigger is read through the strategy it belongs to, all others through themselves
-    read = F.when(F.col("branch") == "strategies[].triggers", F.col("parent_id")).otherwise(F.col("node_id"))
-    labelled = F.col("branch").startswith("strategies")
-    found = links(shredded).withColumn("read", read).join(once.select(F.col("node_id").alias("read"), label.alias("own")), "read")
+    read = F.when(F.col("branch") == "strategies[].triggers", F.col("parent")).otherwise(F.col("node"))
+    found = shredded.select("record_id", "branch", "parent_pos", "pos", read.alias("node")).join(once, "node")
     return found.select(
         F.col("record_id").alias("candidate_id"),
         child.alias("child"),
         "parent_pos",
         "pos",
-        F.when(labelled, F.coalesce("own", F.lit(""))).otherwise(F.lit("")).alias("label"),
+        F.when(F.col("branch").startswith("strategies"), F.coalesce("own", F.lit(""))).otherwise(F.lit("")).alias("label"),
     )
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_children(load(spark, sf_dir, "candidates"))
+
+
+def p6_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct element of the latest profiles' branches once, with the identities of its children in it."""
+    newest = latest(load(spark, sf_dir, "candidates"), "candidate_id", "updated_at", "payload")
+    return nodes(shred(newest, "candidate_id", "payload"))
