@@ -1,11 +1,12 @@
 """Encode every text with a public byte-level tokenizer; very long texts by tree concatenation.
 
-A text longer than `piece_chars` is cut into pieces, each piece is encoded by itself, in
-parallel, and neighbours are joined pairwise, level by level. At a join the tokens of the last
-part of the left side and of the first part of the right side are encoded again, over a window
-that grows until its first token is the left side's and its last token the right side's. As the
-encoding is determined by which neighbouring tokens may stand side by side, the joined ids are
-then those of the whole text.
+A text longer than `piece_chars` is cut into pieces, and each piece is encoded by itself, in parallel,
+together with the seam to its neighbour: the tokens of its last part and of the neighbour's first part
+are encoded again, over a window that grows until its first tokens are the left side's and its last
+tokens the right side's. As the encoding is determined by which neighbouring tokens may stand side by
+side, a seam that agrees on both sides leaves everything beyond it as it was, so the seams of a text are
+independent and its ids are put together in one go. Where a window reaches the far end of a piece, the
+two pieces become one, and its seams are sought anew: the tree grows only there.
 """
 
 from __future__ import annotations
@@ -64,11 +65,15 @@ def _text_start(data: bytes, at: int) -> bool:
     return at >= len(data) or (data[at] & 0xC0) != 0x80
 
 
-def join(enc, left_text: str, left: list[int], right_text: str, right: list[int], size: int = 64) -> list[int]:
-    """Ids of `left_text + right_text` from the ids of both, encoding only a window around the join."""
-    if not left or not right:
-        return left + right
-    a, b = left_text.encode(), right_text.encode()
+Seam = tuple[int, list[int], int]
+
+
+def seam(enc, left_text: str, left: list[int], right_text: str, right: list[int], size: int = 64) -> Seam | None:
+    """How the ids of two neighbours join: ids kept of the left, ids between, ids left out of the right.
+
+    None where no window smaller than both sides agrees with both.
+    """
+    a, b = left_text.encode("utf-8", "surrogatepass"), right_text.encode("utf-8", "surrogatepass")
     while True:
         # window: the last tokens of the left and the first tokens of the right, `size` bytes or more of each
         i, n = len(left), 0
@@ -79,20 +84,46 @@ def join(enc, left_text: str, left: list[int], right_text: str, right: list[int]
         while j < len(right) and (m < size or not _text_start(b, m)):
             m += len(enc.decode_single_token_bytes(right[j]))
             j += 1
-        whole = i == 0 and j == len(right)
-        window = (a[len(a) - n :] + b[:m]).decode()
-        ids = _ordinary(enc, window)
-        if whole:
-            return ids
+        if i == 0 or j == len(right):
+            return None
+        ids = _ordinary(enc, (a[len(a) - n :] + b[:m]).decode("utf-8", "surrogatepass"))
         inner = [0, *_cuts(enc, ids)]
-        # a token that both the left side and the window have, before the join, and one of the right after it
-        first = _agree_left(enc, left[i:], ids, n) if i else (0, 0)
-        last = _agree_right(enc, right[:j], ids, m, inner[-1]) if j < len(right) else (j, len(ids))
+        # tokens that both the left side and the window have before the join, and the right one after it
+        first, last = _agree_left(enc, left[i:], ids, n), _agree_right(enc, right[:j], ids, m, inner[-1])
         if first is not None and last is not None and first[1] <= last[1]:
-            return left[: i + first[0]] + ids[first[1] : last[1]] + right[last[0] :]
+            return i + first[0], ids[first[1] : last[1]], last[0]
         size *= 2
 
 
+def put_together(enc, texts: list[str], ids: list[list[int]], seams: list[Seam | None]) -> list[int]:
+    """Ids of the concatenation of the texts; `seams[k]` joins piece k with the next.
+
+    Pieces whose seam is missing, or whose two seams overlap, become one and are encoded again.
+    """
+    while True:
+        used = [0, *(s[2] if s else 0 for s in seams)]
+        loose = [k for k, s in enumerate(seams) if s is None or s[0] < used[k]]
+        if not loose:
+            out: list[int] = []
+            for k, own in enumerate(ids):
+                s = seams[k] if k < len(seams) else None
+                out += own[used[k] : s[0] if s else None]
+                out += s[1] if s else []
+            return out
+        groups = [[0]]
+        for k in range(1, len(texts)):
+            if k - 1 in set(loose):
+                groups[-1].append(k)
+            else:
+                groups.append([k])
+        merged = ["".join(texts[k] for k in g) for g in groups]
+        again = [ids[g[0]] if len(g) == 1 else _ordinary(enc, t) for g, t in zip(groups, merged)]
+        kept = []
+        for g, h, x, y, p, q in zip(groups, groups[1:], merged, merged[1:], again, again[1:]):
+            kept.append(seams[g[-1]] if len(g) == len(h) == 1 else seam(enc, x, p, y, q))
+        texts, ids, seams = merged, again, kept
+
+
 def _agree_left(enc, own: list[int], ids: list[int], limit: int) -> tuple[int, int] | None:
     """Places (in `own`, in `ids`) after the last two equal tokens in a row that lie side by side at the same bytes.
 
@@ -128,12 +159,14 @@ def _agree_right(enc, own: list[int], ids: list[int], length: int, total: int) -
     return good[-1] if good else None
 
 
-def join_all(enc, parts: list[tuple[str, list[int]]], size: int = 64) -> list[int]:
-    """Ids of the concatenation of encoded parts, joined pairwise, level by level."""
-    while len(parts) > 1:
-        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
-        parts = [(p[0][0] + p[1][0], join(enc, *p[0], *p[1], size)) if len(p) == 2 else p[0] for p in pairs]
-    return parts[0][1] if parts else []
+def _pieces(text: str, size: int) -> list[str]:
+    return [text[i : i + size] for i in range(0, len(text), size)]
+
+
+def join_all(enc, parts: list[tuple[str, list[int]]]) -> list[int]:
+    """Ids of the concatenation of encoded parts."""
+    texts, ids = [t for t, _ in parts], [list(i) for _, i in parts]
+    return put_together(enc, texts, ids, [seam(enc, *x, *y) for x, y in zip(parts, parts[1:])]) if parts else []
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -153,30 +186,48 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
             ids = [_ordinary(enc, t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["k", "ids"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of each text, each with the next, in one walk over the text."""
+        for batch in batches:
+            for i, (row, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                parts = _pieces(t, piece_chars)
+                n = len(parts)
+                columns = [batch.column(0).take(pa.array([i] * n)), pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(parts), pa.array([*parts[1:], None], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "row", "piece", "t", "following"])
+
+    def seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            ids = pa.array([_ordinary(enc, t) for t in batch.column(4).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["k", "h", "n", "piece", "t", "ids"])
+            ids, keep, between, skip = [], [], [], []
+            for t, following in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                own = _ordinary(enc, t)
+                s = seam(enc, t, own, following, _ordinary(enc, following)) if following is not None else None
+                ids.append(own)
+                for column, x in zip((keep, between, skip), s or (None, None, None)):
+                    column.append(x)
+            listed = pa.list_(pa.int32())
+            columns = [*batch.columns[:4], pa.array(ids, listed), pa.array(keep, pa.int32()), pa.array(between, listed), pa.array(skip, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "row", "piece", "t", "ids", "keep", "between", "skip"])
 
     def joined(pdf):
         import pandas as pd
 
-        enc, copies = encoder(path), int((pdf["piece"] == 0).sum())
-        once = pdf.drop_duplicates("piece").sort_values("piece")
-        ids = join_all(enc, [(t, list(i)) for t, i in zip(once["t"], once["ids"])])
-        return pd.DataFrame({"k": pdf["k"].iloc[:1].repeat(copies), "ids": [ids] * copies})
+        rows = pdf.sort_values("piece")
+        found = [None if k != k or k is None else (int(k), [int(x) for x in m], int(s)) for k, m, s in zip(rows["keep"], rows["between"], rows["skip"])][:-1]
+        ids = put_together(encoder(path), list(rows["t"]), [[int(x) for x in i] for i in rows["ids"]], found)
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "ids": [ids]})
 
     short = rows.where((F.length("t") <= piece_chars) | F.col("t").isNull()).mapInArrow(whole, f"k {kind}, ids array<int>")
-    count = F.ceil(F.length("t") / piece_chars).cast("int")
-    cut = (
+    # a text is known by its place in the scan, so that repeated rows stay apart
+    long = (
         rows.where(F.length("t") > piece_chars)
-        .select("k", F.xxhash64("t").alias("h"), F.length("t").alias("n"), "t", F.explode(F.sequence(F.lit(0), count - 1)).alias("piece"))
-        .select("k", "h", "n", "piece", F.substring("t", F.col("piece") * piece_chars + 1, F.lit(piece_chars)).alias("t"))
-        .repartition("k", "h", "piece")
-        .mapInArrow(pieces, f"k {kind}, h bigint, n int, piece int, t string, ids array<int>")
+        .select("k", F.monotonically_increasing_id().alias("row"), "t")
+        .mapInArrow(cut, f"k {kind}, row bigint, piece int, t string, following string")
+        .repartition("row", "piece")
+        .mapInArrow(seams, f"k {kind}, row bigint, piece int, t string, ids array<int>, keep int, between array<int>, skip int")
+        .groupBy("row")
+        .applyInPandas(joined, f"k {kind}, ids array<int>")
     )
-    long = cut.groupBy("k", "h", "n").applyInPandas(joined, f"k {kind}, ids array<int>")
     return short.unionByName(long).select(F.col("k").alias(key), "ids")
 
 

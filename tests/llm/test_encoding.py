@@ -1,26 +1,45 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestar.llm.encoding import encode_corpus, encoder, join, join_all, tokenizer_dir
+from lodestar.llm.encoding import encode_corpus, encoder, join_all, put_together, seam, tokenizer_dir
 
 PATH = f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"
 PARTS = ["the ", "lo", "l", "'s", "'", "  ", " ", "\n\n", "!!", "aaaa", "é", "ß", "日本", "1234", "😀", "x" * 90, " " * 70, "ab" * 60, "=-" * 50, "\t", "<|endoftext|>", "Ünï"]
 
 
+def whole(text):
+    return encoder(PATH).encode_ordinary(text)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(PARTS), max_size=40), st.integers(1, 60), st.integers(1, 40))
-def test_joined_ids_are_those_of_the_whole(parts, piece, size):
-    text, enc = "".join(parts), encoder(PATH)
+@given(st.lists(st.sampled_from(PARTS), max_size=60), st.integers(1, 90))
+def test_joined_ids_are_those_of_the_whole(parts, piece):
+    text = "".join(parts)
     pieces = [text[i : i + piece] for i in range(0, len(text), piece)]
-    assert join_all(enc, [(p, enc.encode_ordinary(p)) for p in pieces], size) == enc.encode_ordinary(text)
+    assert join_all(encoder(PATH), [(p, whole(p)) for p in pieces]) == whole(text)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(min_size=1, max_size=200), st.data())
-def test_one_join(text, data):
+@given(st.text(min_size=1, max_size=300), st.data())
+def test_one_seam(text, data):
     at, enc = data.draw(st.integers(0, len(text))), encoder(PATH)
-    a, b = text[:at], text[at:]
-    assert join(enc, a, enc.encode_ordinary(a), b, enc.encode_ordinary(b), 4) == enc.encode_ordinary(text)
+    a, b = whole(text[:at]), whole(text[at:])
+    s = seam(enc, text[:at], a, text[at:], b, 4)
+    assert s is None or a[: s[0]] + s[1] + b[s[2] :] == whole(text)
+
+
+def test_seams_of_long_pieces_are_local():
+    """Ordinary text needs no piece to be encoded again; a word longer than pieces makes one of them."""
+    rng, enc = random.Random(2), encoder(PATH)
+    words = " ".join("".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(1, 9))) for _ in range(4000))
+    for text in (words, words[:3000] + "x" * 2500 + words[3000:6000] + "\n" * 3000 + words[:2000]):
+        pieces = [text[i : i + 900] for i in range(0, len(text), 900)]
+        ids = [whole(p) for p in pieces]
+        seams = [seam(enc, p, x, q, y) for p, q, x, y in zip(pieces, pieces[1:], ids, ids[1:])]
+        assert (None in seams) == (text is not words)
+        assert put_together(enc, pieces, ids, seams) == whole(text)
 
 
 def test_same_as_the_public_tokenizer(spark):
