@@ -32,7 +32,12 @@ _MATCH_SCHEMA = "doc_key string, item_key string, words int, item_word int, doc_
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Words in the form that ignores case in full: capitals of ß are ss, so it must be so too."""
+    return WORD.findall(text.casefold())
+
+
+#: Pairs of a suffix and an occurrence extended at once.
+PAIRS = 1 << 20
 
 
 class TestBlock:
@@ -131,20 +136,31 @@ def shard_matches(block: TestBlock, texts: list[str | None]) -> Iterator[tuple[i
         return
     keys = _rows(ids, suffixes, n)
     low, high = np.searchsorted(keys, block.prefix, "left"), np.searchsorted(keys, block.prefix, "right")
-    spans: dict[int, dict[int, int]] = {}
-    for s in np.flatnonzero(high > low):
-        t = int(block.at[s])
-        for c in suffixes[low[s] : high[s]]:
-            if t and c and block.ids[t - 1] == ids[c - 1] and ids[c - 1] > 0:
-                continue  # the tail of a match that began one word earlier
-            size = n
-            while ids[c + size] > 0 and ids[c + size] == block.ids[t + size]:
-                size += 1
-            d = int(owner[c])
+    hits = np.flatnonzero(high > low)
+    sums = np.cumsum(high[hits] - low[hits])
+    spans: dict[int, list[int]] = {}
+    start = 0
+    while start < len(hits):
+        # suffixes with about PAIRS occurrences together
+        stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + PAIRS, "right")))
+        own = hits[start:stop]
+        start = stop
+        count = high[own] - low[own]
+        within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        t, c = np.repeat(block.at[own], count), suffixes[np.repeat(low[own], count) + within]
+        # the tail of a match that began one word earlier is none of its own
+        tail = (t > 0) & (c > 0) & (ids[c - 1] > 0) & (block.ids[t - 1] == ids[c - 1])
+        t, c = t[~tail], c[~tail]
+        size = np.full(len(t), n)
+        on = np.arange(len(t))
+        while len(on):  # all matches grow by a word together
+            following = ids[c[on] + size[on]]
+            on = on[(following > 0) & (following == block.ids[t[on] + size[on]])]
+            size[on] += 1
+        for d, item, words, first, place in zip(owner[c].tolist(), block.item[t].tolist(), size.tolist(), t.tolist(), (c - begin[c]).tolist()):
             if d not in spans:
-                spans[d] = {i: m.start() for i, m in enumerate(WORD.finditer(texts[d].lower()))}
-            item = int(block.item[t])
-            yield d, item, size, t - int(block.item_start[item]), spans[d][int(c - begin[c])]
+                spans[d] = [m.start() for m in WORD.finditer(texts[d].casefold())]
+            yield d, item, words, first - int(block.item_start[item]), spans[d][place]
 
 
 def leaked_passages(corpus: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -38,9 +38,9 @@ registry.sql["p1_found"] = f"""WITH {_SHINGLES}, n AS (SELECT doc_id, count(*) A
     SELECT a AS doc_id_a, b AS doc_id_b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i / (x.n + y.n - i) >= 0.55"""
 
 _LEAKS = """g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g
-        FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12),
+        FROM (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 12),
     h AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g
-        FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) >= 12),
+        FROM (SELECT item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) >= 12),
     found AS (SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (g))"""
 registry.sql["p9_found"] = f"WITH {_LEAKS} SELECT doc_id, item_id FROM found"
 registry.sql["p9_clean"] = f"WITH {_LEAKS} SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM found)"

@@ -48,3 +48,21 @@ def test_suffix_order():
     tail = lambda p: [int(x) for x in ids[p : p + list(ids[p:]).index(0)]]
     got = [tail(p) for p in suffix_array(ids, at, 3)]
     assert got == sorted(got)
+
+
+def test_case_is_ignored_in_full(spark):
+    """Capitals of ß are two letters."""
+    text = "die große Straße führt außen am Fluß vorbei und weiter bis zum Schloß hinauf in den Wald"
+    a = spark.createDataFrame([(1, text.upper()), (2, text.lower())], "doc_id bigint, text string")
+    b = spark.createDataFrame([(9, text)], "item_id bigint, text string")
+    assert {r.doc_id for r in leaked_passages(a, "doc_id", "text", b, "item_id", "text").collect()} == {1, 2}
+
+
+def test_many_occurrences_in_small_steps(spark, monkeypatch):
+    """Boilerplate shared by many items and documents, extended a few pairs at a time."""
+    monkeypatch.setattr(leaks, "PAIRS", 7)
+    line = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    items = [(f"i{k}", f"{line} item{k}") for k in range(9)]
+    block = leaks.TestBlock(items, 12)
+    got = list(leaks.shard_matches(block, [f"x{d} {line} tail{d}" for d in range(11)]))
+    assert {(d, i) for d, i, *_ in got} == {(d, i) for d in range(11) for i in range(9)} and {r[2] for r in got} == {13}
