@@ -145,12 +145,9 @@ class LanguageModel:
             pick = order[i : i + RUN]
             size = stop[pick] - begin[pick]
             y = np.ascontiguousarray(self.net.logits(data, begin[pick], size).T)
-            own = core_end[pick] - core[pick]
-            within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-            to = np.repeat(core[pick], own) + within
-            source = np.repeat(np.cumsum(size) - size + core[pick] - begin[pick], own) + within
-            for c in range(CLASSES):
-                out[c, to] = y[c, source]
+            first = np.cumsum(size) - size + core[pick] - begin[pick]
+            for at, end_, source in zip(core[pick].tolist(), core_end[pick].tolist(), first.tolist()):
+                out[:, at:end_] = y[:, source : source + end_ - at]
         return (np.add.reduceat(out, np.cumsum(counts) - counts, axis=1) / counts.astype(np.float32)).T
 
 

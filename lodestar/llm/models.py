@@ -1,7 +1,7 @@
-"""Trained networks kept by what decides them, so that equal samples train once a process.
+"""Trained networks kept by what decides them, so that equal samples train once.
 
-Where the setting `spark.lodestar.models.dir` names a folder, they are also written there and read by
-later applications; without it every application trains anew.
+Where the setting `spark.lodestar.models.dir` names a folder, they are written there and read by later
+queries and applications; without it every query trains anew.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 Arrays = dict[str, np.ndarray]
-#: Networks of this process, by digest.
-_known: dict[str, Arrays] = {}
 
 
 def digest(sample: Iterable, modules: Iterable[str], *parameters) -> str:
@@ -64,14 +62,12 @@ def read(spark: SparkSession, path: str) -> Arrays | None:
 
 
 def trained(spark: SparkSession, name: str, key: str, train: Callable[[], Arrays]) -> Arrays:
-    """The arrays of this name and digest: of the process, of the folder of models, or trained now and kept."""
-    if key not in _known:
-        folder = spark.conf.get("spark.lodestar.models.dir", "") or ""
-        path = f"{folder.rstrip('/')}/{name}-{key}.npz"
-        arrays = read(spark, path) if folder else None
-        if arrays is None:
-            arrays = train()
-            if folder:
-                save(spark, path, arrays)
-        _known[key] = arrays
-    return _known[key]
+    """The arrays of this name and digest from the folder of models, or trained now and kept there."""
+    folder = spark.conf.get("spark.lodestar.models.dir", "") or ""
+    path = f"{folder.rstrip('/')}/{name}-{key}.npz"
+    arrays = read(spark, path) if folder else None
+    if arrays is None:
+        arrays = train()
+        if folder:
+            save(spark, path, arrays)
+    return arrays

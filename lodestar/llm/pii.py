@@ -32,7 +32,7 @@ TRAIN_CHARS = 50_000
 EPOCHS, BATCH, RATE = 6, 96, 1e-2
 HIDDEN = 20
 #: Characters of a window, and of the blend where two meet.
-WINDOW, BLEND = 512, 32
+WINDOW, BLEND = 384, 32
 STRIDE = WINDOW - BLEND
 #: Characters of a training window.
 TRAIN_WINDOW = 80
@@ -41,7 +41,7 @@ DRAWN = 0.12
 WORDS = 1 << 14
 CHUNK = 1 << 19
 #: Windows run through the network at once.
-RUN = 1024
+RUN = 2048
 
 # ------------------------------------------------------------------ characters
 
@@ -117,6 +117,7 @@ class Encoded:
         owner = np.repeat(np.arange(len(self.length)), per)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
         begin = self.begin[owner] + nth * (window - blend)
+        # a window goes on from the one before by `blend`, so the last is longer than that
         return begin, np.minimum(window, self.begin[owner] + self.length[owner] - begin), owner
 
     def cut(self, starts: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,17 +128,14 @@ class Encoded:
         clipped = np.where(inside, where, 0)
         return np.where(inside, self.ids[clipped], PAD_CHAR), np.where(inside, self.word_of[clipped], 0), np.where(inside, where, -1)
 
-    def weights(self, begin: np.ndarray, size: np.ndarray, owner: np.ndarray, place: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """What each place of a segment weighs: less and less towards an end where another segment goes on."""
-        after, before = place - begin[segment], begin[segment] + size[segment] - 1 - place
-        first, last = begin == self.begin[owner], begin + size == self.begin[owner] + self.length[owner]
-        w = np.where(first[segment], 1.0, np.minimum(1.0, (after + 1) / (BLEND + 1)))
-        return (w * np.where(last[segment], 1.0, np.minimum(1.0, (before + 1) / (BLEND + 1)))).astype(np.float32)
-
 
 # ------------------------------------------------------------------ the tagger
 
 
+#: What the characters weigh where a window blends with the one before.
+_RAMP = (np.arange(1, BLEND + 1, dtype=np.float32) / (BLEND + 1))[:, None]
+
+
 class Tagger:
     """The trained network."""
 
@@ -155,15 +153,21 @@ class Tagger:
         total = np.zeros((len(enc.ids), self.net.tags), np.float32)
         begin, size, owner = enc.segments()
         order = np.argsort(-size, kind="stable")
-        nth = begin - enc.begin[owner]
-        for odd in (0, 1):  # windows next but one never overlap, so no place comes twice
-            own = order[(nth[order] // STRIDE) % 2 == odd]
-            for i in range(0, len(own), RUN):
-                b, n = begin[own[i : i + RUN]], size[own[i : i + RUN]]
-                e = self.net.emissions(enc.ids, enc.word_of, b, n)
-                segment = np.repeat(np.arange(len(b)), n)
-                place = b[segment] + np.arange(len(segment)) - np.repeat(np.cumsum(n) - n, n)
-                total[place] += e * enc.weights(b, n, owner[own[i : i + RUN]], place, segment)[:, None]
+        follows = begin > enc.begin[owner]
+        goes_on = begin + size < enc.begin[owner] + enc.length[owner]
+        for i in range(0, len(order), RUN):
+            own = order[i : i + RUN]
+            b, n = begin[own], size[own]
+            e = self.net.emissions(enc.ids, enc.word_of, b, n)
+            start = 0
+            for at, m, after, before in zip(b.tolist(), n.tolist(), follows[own].tolist(), goes_on[own].tolist()):
+                part = e[start : start + m]
+                if after:
+                    part[:BLEND] *= _RAMP
+                if before:
+                    part[-BLEND:] *= _RAMP[::-1]
+                total[at : at + m] += part
+                start += m
         return total
 
     def tags(self, enc: Encoded) -> np.ndarray:
