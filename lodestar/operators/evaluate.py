@@ -39,6 +39,19 @@ def calibration(df: DataFrame, confidence: str, correct: str, bins: int = 5) ->
     )
 
 
+def expected_error(df: DataFrame, confidence: str, correct: str, bins: int = 5) -> DataFrame:
+    """One row: `n`, `ece` and `brier` over equal bins of the observed range; NULLs where nothing has a confidence."""
+    lo, hi = df.agg(F.min(confidence), F.max(confidence)).first()  # two numbers
+    lo, hi = (0.0, 0.0) if lo is None else (lo, hi)
+    width = (hi - lo) / bins or 1.0
+    bin_of = F.least(F.lit(bins - 1), F.floor((F.col(confidence) - lo) / width).cast("int"))
+    per = df.where(F.col(confidence).isNotNull()).groupBy(bin_of.alias("bin")).agg(
+        F.count("*").alias("n"), F.avg(confidence).alias("c"), F.avg(correct).alias("y"), F.sum(F.pow(F.col(confidence) - F.col(correct), 2)).alias("sq")
+    )
+    total = F.sum("n")
+    return per.agg(total.alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("y") - F.col("c"))) / total, 4).alias("ece"), F.round(F.sum("sq") / total, 4).alias("brier"))
+
+
 def nearest_rank(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """Percentiles by the element at round((n - 1) · share), not interpolated; values are counted first, so
     no group is collected."""

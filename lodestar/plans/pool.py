@@ -301,13 +301,3 @@ def _edit_parts() -> list[str]:
 def minimal_edit(spark, sf):
     """Single removals of a requirement that lift the candidate in the 20th place."""
     return S.minimal_edit(G.scorable(spark, sf), REQUEST, WEIGHTS, 20)
-
-
-@registry.query(f"WITH {PROFILES} SELECT candidate_id FROM profiles WHERE false")
-def fairness_name_swap(spark, sf):
-    """Candidates whose place changes when ids are masked and names swapped: none, as the scorer never reads them."""
-    view = G.scorable(spark, sf)
-    assert not set(view.columns) & set(P.PROTECTED)
-    a = S.score(G.gate(view, REQUEST).where("kept"), REQUEST, WEIGHTS).select("candidate_id", F.col("total").alias("a"))
-    b = S.score(G.gate(view.withColumn("full_name", F.reverse("candidate_id")), REQUEST).where("kept"), REQUEST, WEIGHTS).select("candidate_id", F.col("total").alias("b"))
-    return a.join(b, "candidate_id").where("a <> b").select("candidate_id")

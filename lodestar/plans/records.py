@@ -35,14 +35,6 @@ def audit_latest(spark, sf):
     return S.latest_by(_events(spark, sf).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_type", "ts", "event_id")
 
 
-@registry.query("SELECT 'candidates' AS name, candidate_id FROM candidates WHERE false")
-def erasure_residue(spark, sf):
-    """Rows left in any table after the candidates of one region are erased: none."""
-    tables = {n: load(spark, sf, n) for n in ("candidates", "employment", "chunks", "documents", "run_states")}
-    ids = tables["candidates"].where("region = 'apac'").select("candidate_id")
-    return S.residue(S.erase(tables, ids, "candidate_id"), ids, "candidate_id")
-
-
 @registry.query(
     "WITH e AS (SELECT event_type, list_sort(list(value)) AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, n, "
     + ", ".join(f"v[CAST(round((n - 1) * {s}) AS INT) + 1] AS p{round(s * 100)}" for s in (0.5, 0.95, 0.99)) + " FROM e"

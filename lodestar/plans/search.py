@@ -33,10 +33,10 @@ _CHUNKS = """c AS (SELECT * EXCLUDE (rn) FROM (SELECT chunk_id, candidate_id, te
 
 
 def _bm25(docs: str, k: int) -> str:
-    return f"""tok AS (SELECT d, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({docs})), l AS (SELECT d, w, len(w) AS len FROM tok), st AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+    return f"""tok AS (SELECT d, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({docs})), l AS (SELECT d, w, len(w) AS len FROM tok), sizes AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
     asked(query, t) AS (VALUES {_ASKED}), tf AS (SELECT d, len, t, count(*) AS tf FROM (SELECT d, len, unnest(w) AS t FROM l) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
-    df AS (SELECT t, greatest(1e-6, ln(((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf GROUP BY 1),
-    sc AS (SELECT query, d, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM st)))), 4) AS score FROM tf JOIN df USING (t) JOIN asked USING (t) GROUP BY ALL),
+    df AS (SELECT t, greatest(1e-6, ln(((SELECT n FROM sizes) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf GROUP BY 1),
+    sc AS (SELECT query, d, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM sizes)))), 4) AS score FROM tf JOIN df USING (t) JOIN asked USING (t) GROUP BY ALL),
     lexical AS (SELECT query, d, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, d) AS INT) AS place FROM sc QUALIFY place <= {k})"""
 
 
@@ -143,11 +143,11 @@ _EACH = "SELECT doc_id AS query, coalesce(text, '') AS text FROM documents WHERE
 
 
 def _bm25_rows(docs: str, k: int) -> str:
-    return f"""tok AS (SELECT d, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({docs})), l AS (SELECT d, w, len(w) AS len FROM tok), st AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
+    return f"""tok AS (SELECT d, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({docs})), l AS (SELECT d, w, len(w) AS len FROM tok), sizes AS (SELECT count(*) AS n, avg(len) AS mean FROM l),
     each AS (SELECT query, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS t FROM ({_EACH})), asked AS (SELECT * FROM each WHERE length(t) > 1),
     tf AS (SELECT d, len, t, count(*) AS tf FROM (SELECT d, len, unnest(w) AS t FROM l) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
-    df AS (SELECT t, greatest(1e-6, ln(((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf GROUP BY 1),
-    sc AS (SELECT query, d, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM st)))), 4) AS score FROM tf JOIN df USING (t) JOIN asked USING (t) GROUP BY ALL),
+    df AS (SELECT t, greatest(1e-6, ln(((SELECT n FROM sizes) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf GROUP BY 1),
+    sc AS (SELECT query, d, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT mean FROM sizes)))), 4) AS score FROM tf JOIN df USING (t) JOIN asked USING (t) GROUP BY ALL),
     lexical AS (SELECT query, d, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, d) AS INT) AS place FROM sc QUALIFY place <= {k})"""
 
 
