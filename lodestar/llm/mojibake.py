@@ -217,10 +217,11 @@ class Classifier:
 
     def find(self, text: str) -> tuple[Chain, float] | None:
         """The likeliest chain of the text's likeliest garbled stretch, and the log likelihood over clean."""
-        return next(self.chains_of(text), None)
+        return next(((chain, score) for chain, score, _, _ in self.chains_of(text)), None)
 
-    def chains_of(self, text: str) -> Iterator[tuple[Chain, float]]:
-        """Every verified chain with its log likelihood over clean, the likeliest first."""
+    def chains_of(self, text: str) -> Iterator[tuple[Chain, float, int, int]]:
+        """Every verified chain with its log likelihood over clean, the likeliest first, and its stretch: the
+        first and the last of its wide words."""
         words = wide_words(text)
         scored = [self.score(w) for w in words]
         if not any(s for _, s in scored):
@@ -236,7 +237,7 @@ class Classifier:
             begin = int(np.flatnonzero(np.append(0, run[:end, k]) == low[end, k])[-1]) if end else 0
             stretch = words[begin : end + 1]
             if self.verified(chain, stretch):
-                yield chain, float(best[k])
+                yield chain, float(best[k]), begin, end
 
     def verified(self, chain: Chain, words: list[str]) -> bool:
         """Strict decodability. A chain from UTF-8 must decode some word; as the others decode nearly
@@ -267,11 +268,10 @@ class Classifier:
         used: list[str] = []
         seen = {text}  # each round gives a text not seen before, so it ends
         while True:
-            for chain, _ in self.chains_of(text):
+            for chain, _, first, last in self.chains_of(text):
                 if chain.read == LOST:  # the letters of this stretch are gone, those of others may not be
                     continue
-                swap = self._swaps(chain, text)
-                fixed = re.sub(r"[^ \t\r\n]+", lambda m: swap.get(m[0], m[0]), text) if swap else text
+                fixed = self._restored(chain, text, first, last)
                 if fixed not in seen:
                     break
             else:
@@ -280,18 +280,20 @@ class Classifier:
             seen.add(text)
             used.append(chain.name)
 
-    def _swaps(self, chain: Chain, text: str) -> dict[str, str]:
-        """The words that speak for the chain, and what they are without it."""
-        swap: dict[str, str] = {}
-        for w in set(wide_words(text)):
-            vector, _ = self.score(w)
-            if vector[self.chains.index(chain)] > 0:
-                fixed = WIDE.sub(lambda m: chain.restore(m[0]) or m[0], w)
-                if fixed != w:
-                    swap[w] = fixed
-        return swap
-
-
+    def _restored(self, chain: Chain, text: str, first: int, last: int) -> str:
+        """The text with the words that speak for the chain inverted: those of the verified stretch, and, as
+        strict decodability from UTF-8 verifies a word by itself, such words wherever they stand."""
+        out, done, nth, k = [], 0, 0, self.chains.index(chain)
+        for m in re.finditer(r"\S+", text.translate(_HELD)):
+            if m[0].isascii():
+                continue
+            word = text[m.start() : m.end()]
+            inside = first <= nth <= last or (chain.source == "utf-8" and self._decodes(chain, word))
+            nth += 1
+            if inside and self.score(word)[0][k] > 0:
+                out += [text[done : m.start()], WIDE.sub(lambda x: chain.restore(x[0]) or x[0], word)]
+                done = m.end()
+        return "".join([*out, text[done:]])
 
 
 def train(df: DataFrame, key: str, text: str, texts: int = TRAIN_TEXTS) -> Classifier:

@@ -80,3 +80,20 @@ def test_a_hot_group_of_copies_is_one_class(spark):
     assert sig.select("class").distinct().count() == 2 and sig.count() == 401
     assert candidate_pairs(sig, 0.8).count() == 1
     assert {r.group_id for r in near_duplicate_groups(df, "doc_id", "text", 0.8).collect()} == {0}
+
+
+def test_a_hot_band_can_be_split(spark):
+    """Both sides of the join on the band's key come straight from a shuffle, and no class is lost in a hot band."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base[:200] + [f"x{i}"] + base[200:]) for i in range(60)]  # 60 classes that share nearly all bands
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = candidate_pairs(classes(df, "doc_id", "text"), 0.8)
+        plan = [x.lstrip(" :+-*(0123456789)").split(" ")[0].split("(")[0] for x in pairs._jdf.queryExecution().executedPlan().toString().splitlines()]
+        assert all(plan[i + 1] == "Exchange" for i, x in enumerate(plan) if x == "Sort")
+        assert pairs.count() == 60 * 59 // 2
+        got = near_duplicate_groups(df, "doc_id", "text", 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.group_id, r.n_links) for r in got} == {(0, 59)} and len({r.class_id for r in got}) == 60
