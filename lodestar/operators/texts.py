@@ -87,21 +87,40 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.sha2(text, 256).alias("h")).join(groups, "h").select(key, "first_key", "copies")
 
 
+def shingle_sets(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+    """(`id`, `s`): the sorted set of hashes of `k` consecutive `[a-z0-9]` words of each text that has as many."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    listed = df.select(F.col(key).alias("id"), words.alias("w")).where(F.size("w") >= k)
+    tokens = listed.select("id", F.posexplode("w").alias("pos", "w"))
+    by_text = Window.partitionBy("id").orderBy("pos")
+    gram = F.xxhash64(*[F.lead("w", i).over(by_text) if i else F.col("w") for i in range(k)])
+    grams = tokens.select("id", gram.alias("g"), F.lead("w", k - 1).over(by_text).isNotNull().alias("whole")).where("whole").select("id", "g").distinct()
+    return grams.groupBy("id").agg(F.sort_array(F.collect_set("g")).alias("s"))  # one text's own words
+
+
+def shingle_classes(df: DataFrame, key: str, text: str, k: int = 5) -> DataFrame:
+    """(`key`, `class_id`, `copies`) of every text with shingles: texts of equal sets are one class, known by its least key.
+
+    With `shingle_pairs`, whose pairs are those of classes, every link between two documents is there,
+    without expanding copies into pairs. Sets are compared by a hash and their size; a class is one row
+    before it is joined, and that side has an exchange of its own, so a hot class can be split.
+    """
+    named = shingle_sets(df, key, text, k).select("id", F.xxhash64("s").alias("h"), F.size("s").alias("n"))
+    least = named.groupBy("h", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    least = least.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("h"))
+    return named.join(least, ["h", "n"]).select(F.col("id").alias(key), "class_id", "copies")
+
+
 def shingle_pairs(df: DataFrame, key: str, text: str, threshold: float, k: int = 5) -> DataFrame:
-    """All pairs (`key`_a < `key`_b, `jaccard`) of distinct texts' first rows at `threshold` or above, exactly.
+    """All pairs (`key`_a < `key`_b, `jaccard`) of classes at `threshold` or above, exactly; `shingle_classes` tells
+    which documents each class holds.
 
     Texts are reduced to their sets of `k` consecutive `[a-z0-9]` words; equal sets count once, by
     their least key. A set of n shingles can only reach the threshold with another if they share one
     of its n - ceil(threshold * n) + 1 rarest: only these are joined, and as most are unique, hot
     shingles drop out without a cap. Sizes then bound the pairs, and the exact sets decide.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    listed = df.select(F.col(key).alias("id"), words.alias("w")).where(F.size("w") >= k)
-    tokens = listed.select("id", F.posexplode("w").alias("pos", "w"))
-    by_text = Window.partitionBy("id").orderBy("pos")
-    gram = F.xxhash64(*[F.lead("w", i).over(by_text) if i else F.col("w") for i in range(k)])
-    grams = tokens.select("id", gram.alias("g"), F.lead("w", k - 1).over(by_text).isNotNull().alias("whole")).where("whole").select("id", "g").distinct()
-    sets = grams.groupBy("id").agg(F.sort_array(F.collect_set("g")).alias("s"))  # one text's own words
+    sets = shingle_sets(df, key, text, k)
     once = sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s"))
     frequency = once.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
     placed = once.select("id", "n", F.explode("s").alias("g")).join(frequency, "g")

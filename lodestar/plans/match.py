@@ -355,3 +355,81 @@ def fairness_name_swap(spark, sf):
     scorable = G.scorable(spark, path)
     assert not set(scorable.columns) & set(P.PROTECTED)
     return S.score(G.gate(scorable, pool.REQUEST).where("kept"), pool.REQUEST, pool.WEIGHTS).select("candidate_id", "total")
+
+
+# ------------------------------------------------------------------ what careers and documents say together
+
+@registry.query(
+    f"""WITH {ROLES}, g AS ({careers.registry.sql['employment_gaps']}), r AS (SELECT candidate_id, e, min(seq) AS seq FROM roles WHERE e > s AND NOT coalesce(is_internship, false) GROUP BY 1, 2)
+    SELECT g.candidate_id, gap_from, gap_to, months, r.seq AS after_seq FROM g LEFT JOIN r ON r.candidate_id = g.candidate_id AND lpad(CAST((r.e - 1) // 12 AS VARCHAR), 4, '0') || '-' || lpad(CAST((r.e - 1) % 12 + 1 AS VARCHAR), 2, '0') = gap_from"""
+)
+def gap_roles(spark, sf):
+    """Each gap with the role that reached its beginning; of several the least."""
+    from ..functions.dates import month_label
+
+    r = P.roles(spark, sf).where("e > s and not coalesce(is_internship, false)").groupBy("candidate_id", month_label(F.col("e")).alias("gap_from")).agg(F.min("seq").alias("after_seq"))
+    return careers.employment_gaps(spark, sf).join(r, ["candidate_id", "gap_from"], "left").select("candidate_id", "gap_from", "gap_to", "months", "after_seq")
+
+
+_DEGREED = f"""{ROLES}, {PROFILES}, ed AS (SELECT d.candidate_id, min(e.year) AS first_degree FROM ({extraction.registry.sql['education_lines']}) e JOIN documents d USING (doc_id) WHERE e.year IS NOT NULL AND d.candidate_id IS NOT NULL GROUP BY 1),
+    fr AS (SELECT candidate_id, min(s) AS first_start FROM roles WHERE s IS NOT NULL GROUP BY 1), du AS (SELECT candidate_id, count(*) AS twice FROM ({careers.registry.sql['duplicate_entries']}) GROUP BY 1)"""
+
+
+@registry.query(
+    f"""WITH {_DEGREED}, f AS (SELECT profiles.candidate_id, coalesce(fr.first_start < (ed.first_degree - 1) * 12 + 1, false) AS early_role, coalesce(years_experience > 2025 - ed.first_degree + 2, false) AS long_experience, coalesce(du.twice, 0) AS twice
+        FROM profiles LEFT JOIN ed USING (candidate_id) LEFT JOIN fr USING (candidate_id) LEFT JOIN du USING (candidate_id)) SELECT * FROM f WHERE early_role OR long_experience OR twice > 0"""
+)
+def contradictions_degree(spark, sf):
+    """Careers at odds with the first degree a document names: a role more than a year before it, or more years than since then and two; and entries made twice."""
+    d = load(spark, sf, "documents").where("candidate_id is not null")
+    ed = X.education_lines(d, "doc_id", "text").where("year is not null").join(d.select("doc_id", "candidate_id"), "doc_id").groupBy("candidate_id").agg(F.min("year").alias("first_degree"))
+    fr = P.roles(spark, sf).where("s is not null").groupBy("candidate_id").agg(F.min("s").alias("first_start"))
+    du = careers.duplicate_entries(spark, sf).groupBy("candidate_id").agg(F.count("*").alias("twice"))
+    p = P.profiles(spark, sf, "years_experience")
+    for part in (ed, fr, du):
+        p = p.join(part, "candidate_id", "left")
+    no = F.lit(False)
+    f = p.select(
+        "candidate_id", F.coalesce(F.col("first_start") < (F.col("first_degree") - 1) * 12 + 1, no).alias("early_role"),
+        F.coalesce(F.col("years_experience") > 2025 - F.col("first_degree") + 2, no).alias("long_experience"), F.coalesce("twice", F.lit(0)).alias("twice"),
+    )
+    return f.where("early_role or long_experience or twice > 0")
+
+
+@registry.query(
+    "WITH d AS (" + " UNION ALL ".join(f"SELECT '{dim}' AS dim, {c} AS value FROM ({people.registry.sql[name]})" for dim, c, name in (("degree", "highest", "highest_degree"), ("certification", "certification", "certifications_kept"), ("language", "language", "language_union"), ("feeder_path", "label", "feeder_path"), ("approach", "label", "quant_profile"), ("country", "country", "geography_vote")))
+    + ") SELECT dim, value, count(*) AS n FROM d WHERE value IS NOT NULL GROUP BY 1, 2"
+)
+def facet_people(spark, sf):
+    """How often each value of the dimensions read out of documents occurs."""
+    parts = [("degree", "highest", people.highest_degree), ("certification", "certification", people.certifications_kept), ("language", "language", people.language_union), ("feeder_path", "label", people.feeder_path), ("approach", "label", people.quant_profile), ("country", "country", people.geography_vote)]
+    out = None
+    for dim, c, query in parts:
+        part = query(spark, sf).select(F.lit(dim).alias("dim"), F.col(c).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out.where("value is not null").groupBy("dim", "value").agg(F.count("*").alias("n"))
+
+
+#: How a mark is written on a line of education.
+GPA = r"(?i)\b(?:c?gpa)\b[^0-9\n]{0,6}([0-9](?:\.[0-9]{1,2})?(?: ?/ ?[0-9]{1,2}(?:\.0)?)?)"
+PERCENT = r"([0-9]{2}(?:\.[0-9]{1,2})? ?%)"
+
+
+@registry.query(
+    f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+    e AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, nullif(regexp_extract(lower(line), {q(X.DEGREE)}, 1), '') AS degree, nullif(regexp_extract(lower(line), {q(X.INSTITUTION)}, 1), '') AS institution,
+        try_cast(regexp_extract_all(line, '\\b(?:19|20)[0-9]{{2}}\\b')[-1] AS INT) AS year, coalesce(nullif(regexp_extract(line, {q(GPA)}, 1), ''), nullif(regexp_extract(line, {q(PERCENT)}, 1), '')) AS mark FROM l WHERE NOT regexp_matches(line, {q(X.BULLET)}) AND length(line) <= 120)
+    SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS nth FROM e WHERE degree IS NOT NULL OR institution IS NOT NULL QUALIFY nth <= 10"""
+)
+def education_facts(spark, sf):
+    """Lines that name a degree or an institution, with their last year and a mark; the first ten of a document, as surveyed."""
+    from ..operators.texts import lines_with_offsets
+
+    lines = lines_with_offsets(load(spark, sf, "documents"), "doc_id", "text").where(~F.regexp_like("line", F.lit(X.BULLET)) & (F.length("line") <= 120))
+    got = lambda text, p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    years = F.regexp_extract_all("line", F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
+    e = lines.select(
+        "doc_id", "line_no", got(F.lower("line"), X.DEGREE).alias("degree"), got(F.lower("line"), X.INSTITUTION).alias("institution"), F.try_element_at(years, F.lit(-1)).cast("int").alias("year"),
+        F.coalesce(got(F.col("line"), GPA), got(F.col("line"), PERCENT)).alias("mark"),
+    ).where("degree is not null or institution is not null")
+    return e.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).where("nth <= 10")

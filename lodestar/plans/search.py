@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import index as IX
 from ..operators import profiles as P
 from ..operators import search as S
 from ..operators import spans
+from ..session import shared_dir
 from ..tables import load
 from .registry import Registry
 from .views import ALL, PARSED, PROFILES, ROLES
@@ -54,6 +56,23 @@ def bm25_topk(spark, sf):
     return S.bm25(_chunks(spark, sf), "chunk_id", F.col("text"), QUERIES, 50)
 
 
+def _index(spark, sf):
+    """Path and manifest of the index of the chunks: opened where it fits them, else built."""
+    c = _chunks(spark, sf)
+    path = f"{shared_dir(spark).rstrip('/')}/index-chunks-{sf.strip('/').replace('/', '-')}"
+    try:
+        return path, IX.opened(spark, path, c, "chunk_id", "text")
+    except IX.StaleIndex:
+        return path, IX.build(c, "chunk_id", "text", path)
+
+
+@registry.query(_CHUNK_BM25 + " SELECT query, d AS chunk_id, score, place FROM lexical")
+def index_bm25(spark, sf):
+    """The same hits from the kept index, whose manifest is checked against the chunks."""
+    path, manifest = _index(spark, sf)
+    return IX.search(spark, path, manifest, "chunk_id", QUERIES, 50)
+
+
 @registry.query(
     _CHUNK_BM25 + """, h AS (SELECT l.query, c.candidate_id, l.d, l.score, row_number() OVER (PARTITION BY query, candidate_id ORDER BY l.score DESC, d) AS r FROM lexical l JOIN c ON c.chunk_id = l.d)
     SELECT query, candidate_id, max(score) AS score, list(d ORDER BY r) AS items FROM h WHERE r <= 3 GROUP BY 1, 2"""
@@ -192,6 +211,29 @@ def rrf_hybrid_rows(spark, sf):
     return S.rrf([lexical, dense], "doc_id", 25)
 
 
+@registry.query(
+    f"""WITH {_bm25_rows("SELECT doc_id AS d, coalesce(text, '') AS t FROM documents", 50)}, {_DENSE},
+    dense AS (SELECT query, vec_id AS d, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM dn QUALIFY place <= 50),
+    f AS (SELECT query, d, lexical.place AS lexical_place, dense.place AS dense_place, round(coalesce(1 / (60 + lexical.place), 0) + coalesce(1 / (60 + dense.place), 0), 6) AS score FROM lexical FULL JOIN dense USING (query, d)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, d) AS place FROM f QUALIFY place <= 25)
+    SELECT query, d AS doc_id, CASE WHEN lexical_place IS NULL THEN 'dense' WHEN dense_place IS NULL THEN 'lexical' ELSE 'hybrid' END AS mode, score, CAST(place AS INT) AS place,
+        concat_ws('; ', 'lexical ' || lexical_place, 'dense ' || dense_place) AS explanation FROM r"""
+)
+def retrieve_explained(spark, sf):
+    """Hybrid hits with what each side gave: its place there, and which of the modes alone would have found it."""
+    docs = load(spark, sf, "documents")
+    lexical = S.bm25_rows(docs, "doc_id", F.col("text"), _asked_rows(spark, sf), "doc_id", F.coalesce("text", F.lit("")), 50).select("query", "doc_id", F.col("place").alias("lexical_place"))
+    v, q = _vectors(spark, sf)
+    dense = S.dense(v, "vec_id", "embedding", q, 50).select("query", F.col("vec_id").alias("doc_id"), F.col("place").alias("dense_place"))
+    part = lambda c: F.coalesce(1 / (F.lit(60) + F.col(c)), F.lit(0.0))
+    f = lexical.join(dense, ["query", "doc_id"], "full").withColumn("score", F.round(part("lexical_place") + part("dense_place"), 6))
+    sides = ["query", "doc_id", "lexical_place", "dense_place"]
+    r = S.best(f.select("query", "doc_id", "score"), "doc_id", 25).join(f.select(*sides), ["query", "doc_id"])
+    mode = F.when(F.col("lexical_place").isNull(), "dense").when(F.col("dense_place").isNull(), "lexical").otherwise("hybrid")
+    said = F.concat_ws("; ", F.concat(F.lit("lexical "), F.col("lexical_place").cast("string")), F.concat(F.lit("dense "), F.col("dense_place").cast("string")))
+    return r.select("query", "doc_id", mode.alias("mode"), "score", "place", said.alias("explanation"))
+
+
 @registry.query(
     f"""WITH {_CHUNKS}, q AS ({_EACH}), gq AS ({_grams(f"SELECT query AS k, {_HASH_TEXT} AS low FROM q")}), gc AS ({_grams(f"SELECT chunk_id AS k, {_HASH_TEXT} AS low FROM c")}),
     nq AS (SELECT k, sqrt(sum(n * n)) AS size FROM gq GROUP BY 1), nc AS (SELECT k, sqrt(sum(n * n)) AS size FROM gc GROUP BY 1),
@@ -363,6 +405,24 @@ def eval_ndcg(spark, sf):
     return E.ndcg_mrr(judged, F.when(F.col("label") == F.col("own"), 1.0).otherwise(0.0), ideal)
 
 
+@registry.query(
+    f"""WITH {_DENSE}, r AS (SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM dn WHERE query <> vec_id QUALIFY place <= 10),
+    g AS (SELECT query, place, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS g FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = r.vec_id),
+    n AS (SELECT a.vec_id AS query, count(*) - 1 AS n FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0 GROUP BY 1)
+    SELECT query, round(sum(g) FILTER (place <= 5) / 5, 4)::DOUBLE AS precision_5, round(CASE WHEN n > 0 THEN sum(g) / n ELSE 0 END, 6)::DOUBLE AS recall_10 FROM g JOIN n USING (query) GROUP BY query, n"""
+)
+def eval_recall(spark, sf):
+    """Precision of the first five and recall of the first ten of dense search; an item of the query's label is relevant."""
+    v, q = _vectors(spark, sf)
+    hits = S.best(S.dense(v, "vec_id", "embedding", q, 11).where("query <> vec_id").drop("place"), "vec_id", 10)
+    labels = v.select("vec_id", "label")
+    own = labels.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    g = hits.join(labels, "vec_id").join(own, "query").select("query", "place", "own", (F.col("label") == F.col("own")).cast("int").alias("g"))
+    per = g.groupBy("query", "own").agg(F.sum(F.when(F.col("place") <= 5, F.col("g")).otherwise(0)).alias("five"), F.sum("g").alias("ten"))
+    n = v.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("n"))
+    return per.join(n, "own").select("query", F.round(F.col("five") / 5, 4).alias("precision_5"), F.round(F.when(F.col("n") > 0, F.col("ten") / F.col("n")).otherwise(0.0), 6).alias("recall_10"))
+
+
 @registry.query(
     f"""{ALL}, pr AS (SELECT candidate_id, list(DISTINCT strategy) AS a FROM strategies GROUP BY 1), ch AS (SELECT candidate_id, list(DISTINCT skill) AS b FROM skills GROUP BY 1),
     dp AS (SELECT candidate_id, list(DISTINCT skill) AS c FROM skills WHERE depth <> 'mentioned' GROUP BY 1),

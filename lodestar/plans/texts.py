@@ -178,3 +178,13 @@ def exact_duplicates(spark, sf):
 )
 def near_duplicate_pairs(spark, sf):
     return O.shingle_pairs(load(spark, sf, "documents"), "doc_id", "text", 0.55)
+
+
+@registry.query(
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM w WHERE len(w) >= 5)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies FROM s"""
+)
+def near_duplicate_members(spark, sf):
+    """The class of every document with five words or more; `near_duplicate_pairs` links classes."""
+    return O.shingle_classes(load(spark, sf, "documents"), "doc_id", "text")
