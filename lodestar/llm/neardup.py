@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialise
+from ..session import materialise, release
 from ..tables import load
 
 SHINGLE_WORDS = 5
@@ -200,14 +200,19 @@ def _agreement(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
 
-def candidate_pairs(sig: DataFrame, threshold: float) -> DataFrame:
+def deduplicated(sig: DataFrame) -> DataFrame:
+    """Keys and sketch of each class once, as a table."""
+    first = sig.where(F.size("keys") > 0).groupBy("class").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    return materialise(first, "sketches")
+
+
+def candidate_pairs(once: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes (`a` < `b`) that share a band and whose signatures pass the estimate.
 
-    Classes are deduplicated before they are exploded into bands, and lie in a table: both sides of the
-    join on the band's key are then plain shuffles, which AQE splits where a key is hot. Agreeing on a whole
+    `once` holds each class once, in a table (see `deduplicated`): both sides of the join on the band's key
+    are then plain shuffles, which AQE splits where a key is hot. Agreeing on a whole
     band of minima, a bucket's pairs are mostly links that the result holds anyway.
     """
-    once = materialise(sig.where(F.size("keys") > 0).groupBy("class").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sketches")
     rows = once.select("class", F.explode("keys").alias("k"))
     shared = (
         rows.select("k", F.col("class").alias("a"))
@@ -251,9 +256,16 @@ def _direct(df: DataFrame, key: str) -> DataFrame:
 
 
 def linked_classes(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The table of classes, and the pairs of classes (`a`, `b`, `jaccard`) at `threshold` or above."""
-    sig = classes(df, key, text)
-    pairs = materialise(candidate_pairs(sig, threshold), "candidates")
+    """The table of classes (`doc`, `class`), and the pairs of classes (`a`, `b`, `jaccard`) at `threshold` or above.
+
+    Each table goes after its last use: keys and sketches, once the candidates are written.
+    """
+    whole = classes(df, key, text)
+    once = deduplicated(whole)
+    sig = materialise(whole.select("doc", "class"), "members")
+    release(whole)
+    pairs = materialise(candidate_pairs(once, threshold), "candidates")
+    release(once)
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     # one text of each wanted class: by its key, but the class is taken from the text itself, as keys may repeat
     speakers = sig.select("class", "doc").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc")).select("doc").distinct()
@@ -293,9 +305,9 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float =
 
 
 def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """One row per distinct non-null key: `class_id` (equal for texts of equal shingle sets, 0 for texts without
-    shingles), `group_id` (the least key of its group) and `n_links`, the number of other classes its text is
-    linked with. Texts without shingles are groups of their own. Grows with the rows, not with their pairs.
+    """One row per distinct non-null key: `class_id` (the least key of the texts of an equal shingle set),
+    `group_id` (the least key of its group) and `n_links`, the number of other classes its text is
+    linked with. Texts without shingles are classes and groups of their own. Grows with the rows, not with their pairs.
 
     A key that comes with different texts takes the least of their groups, and that class.
     """
@@ -311,12 +323,12 @@ def near_duplicate_groups(df: DataFrame, key: str, text: str, threshold: float =
     placed = least.join(component, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = materialise(placed, "placed")
     group = placed.groupBy("component").agg(F.min("least").alias("group_id"))
-    classes_placed = placed.join(_direct(group, "component"), "component").select("class", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = members.join(materialise(classes_placed, "groups"), "class").groupBy("doc").agg(F.min(F.struct("group_id", "class", "n_links")).alias("r"))
+    classes_placed = placed.join(_direct(group, "component"), "component").select("class", "group_id", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = members.join(materialise(classes_placed, "groups"), "class").groupBy("doc").agg(F.min(F.struct("group_id", "least", "n_links")).alias("r"))
     everyone = df.select(F.col(key).alias("doc")).where("doc is not null").distinct()
     return everyone.join(rows, "doc", "left").select(
         F.col("doc").alias(key),
-        F.coalesce("r.class", F.lit(0)).alias("class_id"),
+        F.coalesce("r.least", "doc").alias("class_id"),
         F.coalesce("r.group_id", "doc").alias("group_id"),
         F.coalesce("r.n_links", F.lit(0)).alias("n_links"),
     )

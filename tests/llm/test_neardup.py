@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from lodestar.llm.neardup import MINIMA, candidate_pairs, classes, minima, near_duplicate_groups, near_duplicate_pairs, shingle_sets
+from lodestar.llm.neardup import MINIMA, candidate_pairs, classes, deduplicated, minima, near_duplicate_groups, near_duplicate_pairs, shingle_sets
 
 
 def sets_of(texts, k=5):
@@ -78,7 +78,7 @@ def test_a_hot_group_of_copies_is_one_class(spark):
     df = spark.createDataFrame([(i, text) for i in range(400)] + [(400, text.replace("w7 ", "z "))], "doc_id bigint, text string")
     sig = classes(df, "doc_id", "text")
     assert sig.select("class").distinct().count() == 2 and sig.count() == 401
-    assert candidate_pairs(sig, 0.8).count() == 1
+    assert candidate_pairs(deduplicated(sig), 0.8).count() == 1
     assert {r.group_id for r in near_duplicate_groups(df, "doc_id", "text", 0.8).collect()} == {0}
 
 
@@ -89,7 +89,7 @@ def test_a_hot_band_can_be_split(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        pairs = candidate_pairs(classes(df, "doc_id", "text"), 0.8)
+        pairs = candidate_pairs(deduplicated(classes(df, "doc_id", "text")), 0.8)
         plan = [x.lstrip(" :+-*(0123456789)").split(" ")[0].split("(")[0] for x in pairs._jdf.queryExecution().executedPlan().toString().splitlines()]
         assert all(plan[i + 1] == "Exchange" for i, x in enumerate(plan) if x == "Sort")
         assert pairs.count() == 60 * 59 // 2
