@@ -59,13 +59,14 @@ SECTIONS = {
 def section_segments(df: DataFrame, key: str, text: str) -> DataFrame:
     """(`key`, `section`, `char_start`, `char_end`): from a heading to the next; repeats extend the section.
 
-    A heading is a line of at most 60 characters whose words are one of SECTIONS, with or without a colon.
+    A heading is a line of at most 60 characters that begins with a capital (title case and capitals throughout do,
+    too) and whose words are one of SECTIONS, with or without a colon.
     """
     from ..functions.text import normalise
 
     lines = lines_with_offsets(df, key, text).withColumn("n", F.regexp_replace(normalise(F.col("line")), " ?:$", ""))
     section = F.coalesce(*[F.when(F.regexp_like("n", F.lit(f"^({p})$")), F.lit(k)) for k, p in SECTIONS.items()])
-    heads = lines.where(F.length("line") <= 60).withColumn("section", section).where("section is not null")
+    heads = lines.where((F.length("line") <= 60) & F.regexp_like("line", F.lit(r"^[^\p{L}]*\p{Lu}"))).withColumn("section", section).where("section is not null")
     ends = df.select(key, F.length(text).alias("text_end"))
     by_key = Window.partitionBy(key).orderBy("char_start")
     spans = heads.withColumn("next_start", F.lead("char_start").over(by_key)).join(ends, key)

@@ -29,19 +29,16 @@ def date_parse(spark, sf):
     return d.select("raw", let(parse_date(F.col("raw"), 100, 2099), lambda x: month_index(x, AS_OF)).alias("month"))
 
 
-_DURATIONS = ["8 years 10 months", "2 months", "none", "1.5 years", "10 yrs", "3 mo", "", None]
-_TEXTS = ", ".join("NULL" if d is None else f"'{d}'" for d in _DURATIONS)
-
-
 @registry.query(
-    f"""WITH d AS (SELECT unnest([{_TEXTS}]) AS raw),
+    f"""WITH d AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL),
     x AS (SELECT raw, try_cast(regexp_extract(lower(raw), '([0-9]+(?:\\.[0-9]+)?)\\s*(?:year|yr)', 1) AS DOUBLE) AS y,
         try_cast(regexp_extract(lower(raw), '([0-9]+)\\s*(?:month|mo\\b)', 1) AS INT) AS m FROM d)
-    SELECT raw, CASE WHEN y IS NOT NULL OR m IS NOT NULL THEN CAST(round(coalesce(y, 0) * 12 + coalesce(m, 0)) AS INT) END AS months FROM x"""
+    SELECT md5(raw) AS line, CAST(round(coalesce(y, 0) * 12 + coalesce(m, 0)) AS INT) AS months FROM x WHERE y IS NOT NULL OR m IS NOT NULL"""
 )
 def duration_parse(spark, sf):
-    d = spark.createDataFrame([(x,) for x in _DURATIONS], "raw string")
-    return d.select("raw", parse_duration(F.col("raw")).alias("months"))
+    """Durations that the lines of all documents state, in months."""
+    d = load(spark, sf, "documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("raw")).distinct()
+    return d.select(F.md5("raw").alias("line"), parse_duration(F.col("raw")).alias("months")).where("months is not null")
 
 
 def _islands(where: str) -> str:

@@ -46,9 +46,13 @@ def education_lines(spark, sf):
 
 @registry.query()
 def strict_skill_hits(spark, sf):
-    """Places of the one-letter skill R with a word of skill lists nearby; look-around is beyond the SQL engine's patterns."""
-    n = X.near_hits(load(spark, sf, "documents"), "doc_id", "text", "R", "skill|programming|tool|python|habilidades|compétences|competenze|fähigkeiten", 90)
-    return load(spark, sf, "documents").select("doc_id", n.alias("hits")).where("hits > 0")
+    """Places of words that are skills only near a word of skill lists; look-around is beyond the SQL engine's patterns."""
+    d, out = load(spark, sf, "documents"), None
+    for label, word in (("r_lang", "R"), ("wind_db", "Wind")):
+        n = X.near_hits(d, "doc_id", "text", word, "skill|programming|tool|python|habilidades|compétences|competenze|fähigkeiten", 90)
+        part = d.select("doc_id", F.lit(label).alias("label"), n.alias("hits")).where("hits > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @registry.query(

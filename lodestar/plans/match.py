@@ -433,3 +433,14 @@ def education_facts(spark, sf):
         F.coalesce(got(F.col("line"), GPA), got(F.col("line"), PERCENT)).alias("mark"),
     ).where("degree is not null or institution is not null")
     return e.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).where("nth <= 10")
+
+
+@registry.query(f"{ALL} SELECT candidate_id, skill, depth FROM skills")
+def long_export_skills(spark, sf):
+    return P.skills(spark, sf)
+
+
+@registry.query(f"SELECT d.candidate_id, e.doc_id, e.line_no, e.degree, e.institution, e.year FROM ({extraction.registry.sql['education_lines']}) e JOIN documents d USING (doc_id) WHERE d.candidate_id IS NOT NULL")
+def long_export_education(spark, sf):
+    d = load(spark, sf, "documents").where("candidate_id is not null")
+    return X.education_lines(d, "doc_id", "text").join(d.select("doc_id", "candidate_id"), "doc_id").select("candidate_id", "doc_id", "line_no", "degree", "institution", "year")

@@ -9,6 +9,7 @@ from ..operators import gating as G
 from ..operators import insight as I
 from ..operators import profiles as P
 from ..operators import scoring as S
+from ..session import materialise
 from ..tables import load
 from .registry import Registry
 from .views import ALL, PROFILES, ROLES
@@ -282,7 +283,8 @@ _WSUM = "round(" + " + ".join(f"w_{k} * c_{k}" for k in WEIGHTS.normalised()) +
     SELECT candidate_id, base_rank, CAST(worst AS INT) AS max_rank_shift, mean_shift AS mean_abs_shift, CASE WHEN worst <= 1 THEN 'robust' WHEN worst <= 3 THEN 'sensitive' ELSE 'unstable' END AS verdict FROM m"""
 )
 def weight_sensitivity(spark, sf):
-    return S.sensitivity(S.components(G.gate(G.scorable(spark, sf), REQUEST).where("kept"), REQUEST), WEIGHTS)
+    comps = S.components(G.gate(G.scorable(spark, sf), REQUEST).where("kept"), REQUEST)
+    return S.sensitivity(materialise(comps, "components"), WEIGHTS)
 
 
 def _edit_parts() -> list[str]:
@@ -295,9 +297,15 @@ def _edit_parts() -> list[str]:
 
 @registry.query(
     f"""{_VIEW}, {_gate_sql(REQUEST)}, comps AS ({_components_sql(REQUEST)} FROM gated WHERE len(reasons) = 0), base AS (SELECT candidate_id, row_number() OVER (ORDER BY {_total_sql(WEIGHTS)} DESC, candidate_id) AS b FROM comps),
-    target AS (SELECT candidate_id, b FROM base WHERE b = 20), e AS ({' UNION ALL '.join(_edit_parts())})
-    SELECT e.edit, CAST(t.b AS INT) AS from_rank, CAST(e.n AS INT) AS new_rank FROM e JOIN target t USING (candidate_id) WHERE e.n < t.b"""
+    target AS (SELECT candidate_id, b FROM base WHERE b = 20), e AS ({' UNION ALL '.join(_edit_parts())}),
+    up AS (SELECT e.edit, CAST(t.b AS INT) AS from_rank, CAST(e.n AS INT) AS new_rank, CAST(row_number() OVER (ORDER BY e.n, NOT starts_with(e.edit, 'drop must'), e.edit) AS INT) AS nth FROM e JOIN target t USING (candidate_id) WHERE e.n < t.b QUALIFY nth <= 8)
+    SELECT *, new_rank <= 3 AND nth = (SELECT min(nth) FROM up WHERE new_rank <= 3) AS minimal FROM up"""
 )
 def minimal_edit(spark, sf):
-    """Single removals of a requirement that lift the candidate in the 20th place."""
-    return S.minimal_edit(G.scorable(spark, sf), REQUEST, WEIGHTS, 20)
+    """Single removals of a requirement that lift the candidate in the 20th place, the eight that lift it most; the first
+    that leads among the three best is the minimal one."""
+    up = S.minimal_edit(materialise(G.scorable(spark, sf), "scorable"), REQUEST, WEIGHTS, 20)
+    order = Window.orderBy("new_rank", ~F.startswith("edit", F.lit("drop must")), "edit")  # a row a removal
+    up = up.withColumn("nth", F.row_number().over(order)).where("nth <= 8")
+    best = F.min(F.when(F.col("new_rank") <= 3, F.col("nth"))).over(Window.partitionBy(F.lit(1)))
+    return up.withColumn("minimal", F.coalesce((F.col("new_rank") <= 3) & (F.col("nth") == best), F.lit(False)))

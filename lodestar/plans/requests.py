@@ -11,10 +11,25 @@ from pyspark.sql import functions as F
 
 from ..operators.gating import Request
 
-#: Words that make a clause a requirement or a preference, and words that negate.
-MUST = r"\b(must|required?|mandatory|essential|minimum|at least|only consider|strictly)\b"
-PREFER = r"\b(prefer(?:red|able)?|nice to have|a plus|bonus|ideally|desirable|would be good|open to)\b"
-NEGATION = r"\b(?:no|not|without|exclud(?:e|ing)|avoid|non)\b[\s\-]*([a-z+#/&' _]{3,40})"
+#: Words that make a clause a requirement, a preference, and words that negate what follows.
+MUST_WORDS = ["must", "required", "require", "mandatory", "essential", "minimum", "at least", "only consider", "strictly"]
+PREFER_WORDS = ["prefer", "preferred", "preferable", "nice to have", "a plus", "bonus", "ideally", "desirable", "would be good", "open to"]
+NEGATING_WORDS = ["no", "not", "without", "exclude", "excluding", "avoid", "non"]
+#: Words before the least and the most years, and after a number of years.
+LEAST_WORDS = ["at least", "minimum", "min", "min.", "over", "more than"]
+MOST_WORDS = ["at most", "maximum", "max", "max.", "under", "less than", "up to", "below"]
+YEAR_WORDS = ["years", "year", "yrs", "yr", "y"]
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of one of the words, whole, the longest first."""
+    return r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?!\w)"
+
+
+MUST, PREFER = any_of(MUST_WORDS), any_of(PREFER_WORDS)
+NEGATION = any_of(NEGATING_WORDS) + r"[\s\-]*([a-z+#/&' _]{3,40})"
+_NUMBER = r"(\d+(?:\.\d+)?)"
+_YEARS = rf"\s*\+?\s*(?:{'|'.join(YEAR_WORDS)})(?!\w)"
 
 
 def clauses(text: str) -> list[str]:
@@ -33,12 +48,11 @@ def hits(text: str, vocabulary: dict[str, dict[str, list[str]]]) -> dict[str, li
 def years(clause: str) -> tuple[float | None, float | None]:
     """(least, most) years that a clause names; both kinds of dash stand in a range."""
     low = clause.lower()
-    number = r"(\d+(?:\.\d+)?)"
-    if m := re.search(rf"{number}\s*(?:-|–|to)\s*{number}\s*(?:years?|yrs?|y)\b", low):
+    if m := re.search(rf"{_NUMBER}\s*(?:-|–|to)\s*{_NUMBER}{_YEARS}", low):
         return float(m[1]), float(m[2])
-    if m := re.search(rf"(?:at most|maximum|max\.?|under|less than|up to|below)\s*{number}", low):
+    if m := re.search(rf"{any_of(MOST_WORDS)}\s*{_NUMBER}", low):
         return None, float(m[1])
-    if m := re.search(rf"(?:at least|minimum|min\.?|over|more than)\s*{number}", low) or re.search(rf"{number}\s*\+?\s*(?:years?|yrs?|y)\b", low):
+    if m := re.search(rf"{any_of(LEAST_WORDS)}\s*{_NUMBER}", low) or re.search(_NUMBER + _YEARS, low):
         return float(m[1]), None
     return None, None
 

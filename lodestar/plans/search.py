@@ -310,14 +310,14 @@ _DEGREES = [("phd", r"\b(ph\.?d|doctor of philosophy|dphil|doctorat|promotion|do
 
 
 @registry.query(
-    "WITH c AS (SELECT candidate_id, lower(text) AS t FROM chunks WHERE kind = 'education' AND text IS NOT NULL) SELECT candidate_id, min(CASE "
+    "WITH c AS (SELECT candidate_id, lower(text) AS t FROM chunks WHERE text IS NOT NULL) SELECT candidate_id, min(CASE "
     + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {i + 1}" for i, (_, p) in enumerate(_DEGREES)) + " END) AS best FROM c GROUP BY 1"
 )
 def degree_level(spark, sf):
-    """Rank of the highest degree of the education chunks: the first pattern that matches a text counts."""
+    """Rank of the highest degree of a candidate's chunks: the first pattern that matches a text counts."""
     t = F.lower("text")
     level = F.coalesce(*[F.when(F.regexp_like(t, F.lit(p)), i + 1) for i, (_, p) in enumerate(_DEGREES)])
-    return load(spark, sf, "chunks").where("kind = 'education' and text is not null").groupBy("candidate_id").agg(F.min(level).alias("best"))
+    return load(spark, sf, "chunks").where("text is not null").groupBy("candidate_id").agg(F.min(level).alias("best"))
 
 
 # ------------------------------------------------------------------ evidence

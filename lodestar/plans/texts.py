@@ -40,7 +40,7 @@ def text_clean_md5(spark, sf):
     return load(spark, sf, "documents").select("doc_id", c.alias("c")).select("doc_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
-_DAMAGED = "[" + "".join(k for k in T.REPLACED if ord(k) > 0x2000 or k in "Ɵƞ") + "]"
+_DAMAGED = f"[{T.DAMAGED}]"
 _HYPHEN = r"[\p{L}\p{N}_]-\n\s*[\p{L}\p{N}_]"
 
 
@@ -156,7 +156,15 @@ def lines_offsets(spark, sf):
     return O.lines_with_offsets(load(spark, sf, "documents"), "doc_id", "text")
 
 
-@registry.query()
+_SECTION = "CASE " + " ".join(f"WHEN regexp_matches(n, {q('^(' + p + ')$')}) THEN '{k}'" for k, p in O.SECTIONS.items()) + " END"
+
+
+@registry.query(
+    f"""WITH o AS ({registry.sql['lines_offsets']}), n AS (SELECT doc_id, char_start, regexp_replace(trim(regexp_replace(translate(lower(translate(line, 'İ', 'I')), {q(T.MARKED)}, {q(T.PLAIN)}), '[ \\t\\n\\f\\r]+', ' ', 'g')), ' ?:$', '') AS n FROM o
+        WHERE length(line) <= 60 AND regexp_matches(line, '^[^\\p{{L}}]*\\p{{Lu}}')),
+    h AS (SELECT doc_id, char_start, section, lead(char_start) OVER (PARTITION BY doc_id ORDER BY char_start) AS following FROM (SELECT *, {_SECTION} AS section FROM n) WHERE section IS NOT NULL)
+    SELECT doc_id, section, CAST(min(char_start) AS INT) AS char_start, CAST(max(coalesce(following, length(text))) AS INT) AS char_end FROM h JOIN documents USING (doc_id) GROUP BY 1, 2"""
+)
 def section_segments(spark, sf):
     return O.section_segments(load(spark, sf, "documents"), "doc_id", "text")
 

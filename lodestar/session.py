@@ -66,7 +66,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _written.append((spark.sparkContext.applicationId, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete what `materialise` wrote for `table`, before the session ends; nothing may read it afterwards."""
+    spark, path = table.sparkSession, table._written_to
+    _delete(spark, path)
+    _written.remove((spark.sparkContext.applicationId, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _written: list[tuple[str, str]] = []
@@ -86,8 +100,6 @@ def cleanup(spark: SparkSession, keep_last: int = 0) -> None:
     """Delete what `materialise` wrote for this application, but for the newest `keep_last`."""
     app = spark.sparkContext.applicationId
     own = [p for a, p in _written if a == app]
-    jvm = spark.sparkContext._jvm
     for path in own[: len(own) - keep_last]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
         _written.remove((app, path))

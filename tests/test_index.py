@@ -50,3 +50,26 @@ def test_classes_lose_no_document(spark):
     assert members == {1: (1, 3), 2: (1, 3), 7: (1, 3), 3: (3, 1)}
     assert {(r.id_a, r.id_b) for r in shingle_pairs(df, "id", "t", 0.5).collect()} == {(1, 3)}
     assert shingle_classes(df.limit(0), "id", "t").count() == 0
+
+
+def test_windows_lose_no_alignment():
+    """Aligning only near unchanged pieces finds what aligning with the whole text finds."""
+    import random
+
+    from lodestar.operators import spans
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 8)))
+    for _ in range(150):
+        quote = " ".join(word() for _ in range(rng.randrange(2, 7)))
+        near = list(quote)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(near))
+            near[i : i + 1] = rng.choice([[], ["z"], near[i : i + 1] * 2])
+        text = " ".join([word() for _ in range(20)] + ["".join(near)] + [word() for _ in range(20)])
+        kind, score, a, b = spans.locate(quote, text)
+        share, lo, hi = spans.align(quote, text)
+        if quote in text:
+            assert kind == "normalized"
+        else:
+            assert (kind, score) == (("fuzzy", round(share, 4)) if share >= spans.THRESHOLD and hi > lo else ("none", 0.0)), (quote, text)
