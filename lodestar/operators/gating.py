@@ -19,6 +19,7 @@ class Request:
     exclude: dict[str, list[str]] = field(default_factory=dict)
     min_years: float | None = None
     max_years: float | None = None
+    min_level: int | None = None
 
     def wanted(self, column: str) -> list[str]:
         return sorted({*self.must.get(column, []), *self.prefer.get(column, [])})
@@ -75,6 +76,9 @@ def gate(view: DataFrame, request: Request) -> DataFrame:
         caveats.append(F.when(F.col("years").isNull(), F.lit(f"years unknown, minimum {request.min_years:g} not confirmed")))
     if request.max_years is not None:
         reasons.append(F.when(F.col("years") > request.max_years, F.lit(f"years above {request.max_years:g}")))
+    if request.min_level is not None:
+        reasons.append(F.when(F.col("level") < request.min_level, F.concat(F.lit("level "), F.col("level").cast("string"), F.lit(f" below {request.min_level}"))))
+        caveats.append(F.when(F.col("level").isNull(), F.lit(f"level unknown, minimum {request.min_level} not confirmed")))
     listed = lambda cs: F.array_compact(F.array(*cs)) if cs else F.array().cast("array<string>")
     out = view.withColumns({"reasons": listed(reasons), "caveats": listed(caveats)})
     return out.withColumn("kept", F.size("reasons") == 0)

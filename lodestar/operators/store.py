@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,14 @@ def latest_by(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("r")).select(key, "r.*")
 
 
+def saved(log: DataFrame, name: str, at: str, tie: str, gone: Column) -> DataFrame:
+    """What a log of saving and deleting by name leaves: the last row of each name, unless it deletes, with its place
+    among the newest (`place`)."""
+    last = log.groupBy(name).agg(F.max_by(F.struct(*[c for c in log.columns if c != name], gone.alias("__gone")), F.struct(at, tie)).alias("r")).select(name, "r.*")
+    order = Window.orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc())  # a row a name
+    return last.where(~F.coalesce("__gone", F.lit(False))).drop("__gone").withColumn("place", F.row_number().over(order))
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """`current` with every row replaced whole whose key is in `incoming`, and new rows added."""
     return current.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming, allowMissingColumns=True)

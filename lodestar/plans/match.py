@@ -444,3 +444,48 @@ def long_export_skills(spark, sf):
 def long_export_education(spark, sf):
     d = load(spark, sf, "documents").where("candidate_id is not null")
     return X.education_lines(d, "doc_id", "text").join(d.select("doc_id", "candidate_id"), "doc_id").select("candidate_id", "doc_id", "line_no", "degree", "institution", "year")
+
+
+# ------------------------------------------------------------------ the whole scorable view
+
+#: The dimensions of the full view beside those of the plain one.
+_MORE = ("countries", "seniorities", "feeders", "tiers", "employers", "certifications", "languages", "degrees")
+FULL_REQUEST = G.Request(
+    must={"regions": ["emea", "apac"], "degrees": ["masters", "phd", "bachelors"]}, prefer={"skills": ["Python"], "tiers": ["pod_shop"], "feeders": ["quant_lab"], "languages": ["french"]},
+    exclude={"tiers": ["regional_broker"], "strategies": ["event_calendar"]}, min_years=2.0, max_years=25.0, min_level=4,
+)
+_ONE = lambda c: f"CASE WHEN {c} IS NULL THEN [] ELSE [{c}] END"
+_FULL_VIEW = f"""{pool._VIEW.replace('v AS (', 'v0 AS (')}, {ROLES}, ro AS (SELECT candidate_id, list_sort(list(DISTINCT employer_tier) FILTER (employer_tier IS NOT NULL)) AS tiers, list_sort(list(DISTINCT employer_canonical) FILTER (employer_canonical IS NOT NULL)) AS employers FROM roles WHERE NOT coalesce(is_internship, false) GROUP BY 1),
+    ce AS (SELECT candidate_id, list_sort(list(DISTINCT certification)) AS certifications FROM ({people.registry.sql['certifications_kept']}) GROUP BY 1), la AS (SELECT candidate_id, list_sort(list(DISTINCT language)) AS languages FROM ({people.registry.sql['language_union']}) GROUP BY 1),
+    hd AS (SELECT candidate_id, [highest] AS degrees FROM ({people.registry.sql['highest_degree']})), sp AS (SELECT candidate_id, level FROM ({people.registry.sql['seniority_person']})),
+    v AS (SELECT v0.*, {_ONE('p.country')} AS countries, {_ONE('p.seniority_level')} AS seniorities, {_ONE('p.feeder_path')} AS feeders, coalesce(tiers, []) AS tiers, coalesce(employers, []) AS employers, coalesce(certifications, []) AS certifications, coalesce(languages, []) AS languages, coalesce(degrees, []) AS degrees, CAST(level AS INT) AS level
+        FROM v0 JOIN profiles p USING (candidate_id) LEFT JOIN ro USING (candidate_id) LEFT JOIN ce USING (candidate_id) LEFT JOIN la USING (candidate_id) LEFT JOIN hd USING (candidate_id) LEFT JOIN sp USING (candidate_id))"""
+
+
+def _full_view(spark, sf):
+    """All that a gate or scorer may see of a candidate: 16 columns, none of them protected; internships lend no employer."""
+    one = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
+    listed = lambda df, c, name: df.groupBy("candidate_id").agg(F.array_sort(F.collect_set(c)).alias(name))
+    p = P.profiles(spark, sf, "country", "seniority_level", "feeder_path").select("candidate_id", one("country").alias("countries"), one("seniority_level").alias("seniorities"), one("feeder_path").alias("feeders"))
+    paid = P.roles(spark, sf).where("not coalesce(is_internship, false)")
+    parts = [
+        paid.groupBy("candidate_id").agg(F.array_sort(F.collect_set("employer_tier")).alias("tiers"), F.array_sort(F.collect_set("employer_canonical")).alias("employers")),
+        listed(people.certifications_kept(spark, sf), "certification", "certifications"), listed(people.language_union(spark, sf), "language", "languages"),
+        people.highest_degree(spark, sf).select("candidate_id", F.array("highest").alias("degrees")), people.seniority_person(spark, sf).select("candidate_id", "level"),
+    ]
+    view = G.scorable(spark, sf).join(p, "candidate_id")
+    for part in parts:
+        view = view.join(part, "candidate_id", "left")
+    empty = F.array().cast("array<string>")
+    return view.withColumns({c: F.coalesce(c, empty) for c in _MORE})
+
+
+@registry.query(f"{_FULL_VIEW} SELECT candidate_id, skills, strategies, regions, approaches, years, quality, level, {', '.join(_MORE)} FROM v")
+def scorable_view_full(spark, sf):
+    return _full_view(spark, sf).select("candidate_id", "skills", "strategies", "regions", "approaches", "years", "quality", "level", *_MORE)
+
+
+@registry.query(f"{_FULL_VIEW}, {pool._gate_sql(FULL_REQUEST)} SELECT candidate_id, len(reasons) = 0 AS kept, reasons, caveats FROM gated")
+def gate_full(spark, sf):
+    """The gate over dimensions of the whole view, with bounds of years and of the level."""
+    return G.gate(_full_view(spark, sf), FULL_REQUEST).select("candidate_id", "kept", "reasons", "caveats")

@@ -192,6 +192,9 @@ def _gate_sql(r: G.Request) -> str:
         caveats.append(f"CASE WHEN years IS NULL THEN 'years unknown, minimum {r.min_years:g} not confirmed' END")
     if r.max_years is not None:
         reasons.append(f"CASE WHEN years > {r.max_years} THEN 'years above {r.max_years:g}' END")
+    if r.min_level is not None:
+        reasons.append(f"CASE WHEN level < {r.min_level} THEN 'level ' || level || ' below {r.min_level}' END")
+        caveats.append(f"CASE WHEN level IS NULL THEN 'level unknown, minimum {r.min_level} not confirmed' END")
     keep = lambda xs: f"list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL)"
     return f"gated AS (SELECT *, {keep(reasons)} AS reasons, {keep(caveats)} AS caveats FROM v)"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import profiles as P
 from ..operators import store as S
+from ..sources import files as FI
 from ..sources import records as R
 from ..streaming.intake import event_windows as windows
 from ..tables import load
@@ -43,14 +44,38 @@ def latency_percentiles(spark, sf):
     return E.nearest_rank(_events(spark, sf), "event_type", "value", [0.5, 0.95, 0.99])
 
 
-@registry.query("SELECT event_type AS stage, count(*) AS n, round(sum(value), 2) AS total, round(sum(value) / 1000000 * 3.5, 4) AS cost, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@registry.query("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 2) AS total, round(sum(value) / 1000000 * 3.5, 4) AS cost, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') > 0 AS alarm FROM events GROUP BY 1")
 def stage_rollup(spark, sf):
-    """Counts, totals and a cost by price a million of each stage of a trace."""
-    return _events(spark, sf).groupBy(F.col("event_type").alias("stage")).agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.sum("value") / 1000000 * 3.5, 4).alias("cost"), F.countDistinct("user_id").alias("users")
+    """Counts, totals, a cost by price a million and failures of each day of a trace; any failure raises the alarm."""
+    failed = F.count_if(F.col("event_type") == "error")
+    return _events(spark, sf).groupBy(F.date_trunc("day", "ts").alias("day")).agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.sum("value") / 1000000 * 3.5, 4).alias("cost"), F.countDistinct("user_id").alias("users"), failed.alias("failures"), (failed > 0).alias("alarm")
     )
 
 
+@registry.query(
+    """WITH l AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    SELECT user_id, event_id, ts, event_type, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM l WHERE rn = 1 AND event_type <> 'error'"""
+)
+def saved_list(spark, sf):
+    """What is saved under each name, newest first; a name whose last entry deletes is gone."""
+    log = _events(spark, sf).select("user_id", "event_id", "ts", "event_type")
+    return S.saved(log, "user_id", "ts", "event_id", F.col("event_type") == "error")
+
+
+@registry.query(
+    f"SELECT doc_id, list_filter([CASE WHEN page_count > {FI.MAX_PAGES} THEN 'pages' END, CASE WHEN strlen(coalesce(text, '')) > {FI.MAX_BYTES} THEN 'bytes' END, CASE WHEN coalesce(file_type, '') NOT IN ('pdf', 'docx') THEN 'kind' END, CASE WHEN coalesce(trim(text), '') = '' THEN 'no text' END], lambda x: x IS NOT NULL) AS problems FROM documents"
+)
+def staging_limits(spark, sf):
+    """What speaks against taking each document in: pages, bytes, kind, no text."""
+    d = load(spark, sf, "documents")
+    why = [
+        F.when(F.col("page_count") > FI.MAX_PAGES, "pages"), F.when(F.octet_length(F.coalesce("text", F.lit(""))) > FI.MAX_BYTES, "bytes"),
+        F.when(~F.coalesce("file_type", F.lit("")).isin("pdf", "docx"), "kind"), F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no text"),
+    ]
+    return d.select("doc_id", F.array_compact(F.array(*why)).alias("problems"))
+
+
 @registry.query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf):
     """The streaming roll-up over the whole table as a batch."""
@@ -114,13 +139,13 @@ def import_flat(spark, sf):
 
 @registry.query(
     """WITH s AS (SELECT doc_id, arg_min(raw_text, (saved_at, state_id)) AS kept FROM run_states WHERE raw_text IS NOT NULL AND raw_text <> '' GROUP BY 1)
-    SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN kept ELSE text END IS NOT NULL AS has_text, coalesce(text, '') = '' AND kept IS NOT NULL AS reattached FROM documents LEFT JOIN s USING (doc_id)"""
+    SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN kept ELSE text END IS NOT NULL AS has_text, coalesce(text, '') = '' AND kept IS NOT NULL AS reattached, md5(CASE WHEN coalesce(text, '') = '' THEN kept ELSE text END) AS digest FROM documents LEFT JOIN s USING (doc_id)"""
 )
 def raw_text_reattach(spark, sf):
     """Texts kept by a run put back where a document has none; the first saved wins."""
     kept = load(spark, sf, "run_states").where("raw_text <> ''").groupBy("doc_id").agg(F.min_by("raw_text", F.struct("saved_at", "state_id")).alias("kept"))
     none = F.coalesce("text", F.lit("")) == ""
-    return load(spark, sf, "documents").join(kept, "doc_id", "left").select("doc_id", F.when(none, F.col("kept")).otherwise(F.col("text")).isNotNull().alias("has_text"), (none & F.col("kept").isNotNull()).alias("reattached"))
+    return load(spark, sf, "documents").join(kept, "doc_id", "left").select("doc_id", F.when(none, F.col("kept")).otherwise(F.col("text")).isNotNull().alias("has_text"), (none & F.col("kept").isNotNull()).alias("reattached"), F.md5(F.when(none, F.col("kept")).otherwise(F.col("text"))).alias("digest"))
 
 
 _GRID = {"region": ["emea", "apac", "latam"], "approach": ["quant", "hybrid"]}

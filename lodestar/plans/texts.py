@@ -146,6 +146,14 @@ def injection_scan_simple(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*").where("hits > 0")
 
 
+@registry.query("WITH c AS (SELECT doc_id, unnest([" + ", ".join(f"{{'family': {q(n)}, 'severity': '{s}', 'place': instr(text, regexp_extract(text, {q(p)})) - 1, 'snippet': substr(regexp_extract(text, {q(p)}), 1, 180)}}" for n, p, s in _SIMPLE) + "]) AS x FROM documents WHERE text IS NOT NULL) SELECT doc_id, x.family AS family, x.severity AS severity, CAST(x.place AS INT) AS place, x.snippet AS snippet FROM c WHERE x.snippet <> ''")
+def injection_places(spark, sf):
+    """The first place of each of these families in each text, with what stands there, up to 180 characters."""
+    found = lambda p: F.regexp_extract("text", p, 0)
+    rows = F.array(*[F.struct(F.lit(n).alias("family"), F.lit(s).alias("severity"), (F.instr(F.col("text"), found(p)) - 1).alias("place"), F.substring(found(p), 1, 180).alias("snippet")) for n, p, s in _SIMPLE])
+    return load(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*").where("snippet <> ''")
+
+
 @registry.query(
     """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
     p AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM l)

@@ -98,20 +98,35 @@ def docx_scan(found: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "path string, doc_id string, text string, header_footer array<string>, problem string")
 
 
+#: Blocks on each side of a column's edge, the part of the page's height each side runs over, and the
+#: part of the shorter side that runs beside the other.
+MIN_BLOCKS, MIN_SPAN, MIN_OVERLAP = 3, 0.30, 0.35
+
+
 def reading_order(blocks: DataFrame, min_gap: float = 70.0, share: float = 0.12, band: float = 6.0) -> DataFrame:
-    """Adds `col` and `place` to page blocks (`doc`, `page`, `width`, `x0`, `y0`, `x1`): columns from left to
-    right, each from top to bottom.
+    """Adds `col` and `place` to page blocks (`doc`, `page`, `width`, `height`, `x0`, `y0`, `x1`, `y1`): columns from
+    left to right, each from top to bottom.
 
-    A column begins where no block reaches into a gap wider than `min_gap` and `share` of the page. All
-    by windows over a page, so no page is compared with itself.
+    A column begins at a left edge that is more than `min_gap` and `share` of the page right of the edge
+    before, where both sides look like columns (MIN_BLOCKS, MIN_SPAN, MIN_OVERLAP); a centred name or a
+    stray label opens none. All by windows over a page, so no page is compared with itself.
     """
-    by_x = Window.partitionBy("doc", "page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("x1").over(by_x)
-    opens = F.when(F.col("x0") - reach > F.greatest(F.lit(min_gap), F.col("width") * share), 1).otherwise(0)
-    column = F.sum("opens").over(Window.partitionBy("doc", "page").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, 0))
-    placed = blocks.withColumn("opens", opens).withColumn("col", column.cast("int")).drop("opens")
+    page = Window.partitionBy("doc", "page")
+    by_x = page.orderBy("__x")
+    left, right = by_x.rangeBetween(Window.unboundedPreceding, -1), by_x.rangeBetween(0, Window.unboundedFollowing)
+    placed = blocks.withColumn("__x", F.round("x0").cast("long"))
+    side = lambda w: (F.count("*").over(w), F.min("y0").over(w), F.max("y1").over(w))
+    (n, top, end), (m, top_, end_) = side(left), side(right)
+    spans = (end - top >= MIN_SPAN * F.col("height")) & (end_ - top_ >= MIN_SPAN * F.col("height"))
+    beside = F.least(end, end_) - F.greatest(top, top_) >= MIN_OVERLAP * F.least(end - top, end_ - top_)
+    far = F.col("__x") - F.max("__x").over(left) > F.greatest(F.lit(min_gap), F.col("width") * share)
+    first = F.col("__nth") == F.min("__nth").over(Window.partitionBy("doc", "page", "__x"))  # of several with one edge
+    numbered = placed.withColumn("__nth", F.row_number().over(page.orderBy("__x", "y0")))
+    opens = numbered.withColumn("__opens", (first & far & (n >= MIN_BLOCKS) & (m >= MIN_BLOCKS) & spans & beside).cast("int"))
+    column = F.sum(F.coalesce("__opens", F.lit(0))).over(by_x.rangeBetween(Window.unboundedPreceding, 0)).cast("int")
+    out = opens.withColumn("col", column).drop("__x", "__nth", "__opens")
     order = Window.partitionBy("doc", "page").orderBy("col", F.floor(F.col("y0") / band), "x0")
-    return placed.withColumn("place", F.row_number().over(order))
+    return out.withColumn("place", F.row_number().over(order))
 
 
 def hidden_spans(spans: DataFrame) -> DataFrame:

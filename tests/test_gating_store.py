@@ -84,9 +84,15 @@ def test_files(spark, tmp_path):
 
 
 def test_reading_order(spark):
-    rows = [("d", 1, 600.0, x, y, x + 200, t) for x, y, t in ((50.0, 10.0, "l1"), (350.0, 12.0, "r1"), (50.0, 40.0, "l2"), (350.0, 45.0, "r2"))]
-    got = files.reading_order(spark.createDataFrame(rows, "doc string, page int, width double, x0 double, y0 double, x1 double, t string")).orderBy("place").collect()
-    assert [r.t for r in got] == ["l1", "l2", "r1", "r2"]
+    schema = "doc string, page int, width double, height double, x0 double, y0 double, x1 double, y1 double, t string"
+    block = lambda doc, x, y, t: (doc, 1, 600.0, 800.0, x, y, x + 200, y + 90, t)
+    two = [block("d", x, y, f"{side}{i}") for i, y in enumerate((10.0, 200.0, 400.0)) for side, x in (("l", 50.0), ("r", 350.0))]
+    # a centred name over one column, and two stray labels at its side
+    one = [block("e", 260.0, 5.0, "name")] + [block("e", 50.0, y, f"b{i}") for i, y in enumerate((100.0, 300.0, 500.0))] + [block("e", 400.0, y, "label") for y in (100.0, 150.0)]
+    got = files.reading_order(spark.createDataFrame(two + one, schema)).orderBy("doc", "place").collect()
+    assert [r.t for r in got if r.doc == "d"] == ["l0", "l1", "l2", "r0", "r1", "r2"]
+    assert {r.col for r in got if r.doc == "e"} == {0} and [r.t for r in got if r.doc == "e"][0] == "name"
+    assert files.reading_order(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_records(spark, tmp_path):
