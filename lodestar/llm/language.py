@@ -154,8 +154,18 @@ class LanguageModel:
 def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
     """The likeliest language of every word of each text, where each change costs SWITCH.
 
-    All texts at once, longest first, word by word from both ends of the recursion.
+    Most texts have one language beyond doubt, which is shown without a search (see `steady`); the others
+    are searched all at once, longest first, word by word from both ends of the recursion.
     """
+    if not logp:
+        return []
+    best, sure = steady(np.concatenate(logp), np.array([len(x) for x in logp]))
+    rest = np.flatnonzero(~sure)
+    found = dict(zip(rest.tolist(), _searched([logp[i] for i in rest])))
+    return [found[i] if i in found else np.full(len(x), best[i], np.int8) for i, x in enumerate(logp)]
+
+
+def _searched(logp: list[np.ndarray]) -> list[np.ndarray]:
     order = sorted(range(len(logp)), key=lambda i: -len(logp[i]))
     lengths = np.array([len(logp[i]) for i in order])
     longest = int(lengths[0]) if len(order) else 0
@@ -193,6 +203,37 @@ def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def steady(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest single language of each text, and whether no path with a change can beat it.
+
+    A detour gains at most the greatest sum of a stretch by which others lead, and costs a change at least.
+    """
+    begin = np.cumsum(lengths) - lengths
+    some = lengths > 0
+    best = np.zeros(len(lengths), np.int64)
+    best[some] = np.add.reduceat(flat, begin[some], axis=0).argmax(axis=1)
+    own = np.repeat(best, lengths)
+    lead = flat.max(axis=1) - np.take_along_axis(flat, own[:, None], 1)[:, 0]
+    # a language leads over itself by nothing: where the own one is the likeliest, the next behind it counts
+    ahead = np.where(lead > 0, lead, _behind(flat, own))
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    drop = float(np.abs(ahead).sum()) + 1.0  # each text begins lower than all before ended, so no stretch spans two
+    run = np.cumsum(ahead, dtype=np.float64) - drop * text
+    low = np.minimum.accumulate(np.concatenate([[0.0], run[:-1]]) - drop * np.diff(text, prepend=0).clip(0, 1))
+    gain = np.zeros(len(lengths))
+    gain[some] = np.maximum.reduceat(run - low, begin[some])
+    return best, gain < SWITCH
+
+
+def _behind(flat: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How far the best other language lies behind the own one, as a negative number."""
+    out = np.full(len(own), -np.inf, np.float32)
+    mine = np.take_along_axis(flat, own[:, None], 1)[:, 0]
+    for c in range(CLASSES):
+        np.maximum(out, np.where(own == c, -np.inf, flat[:, c] - mine), out=out)
+    return out
+
+
 def clear_words(logp: np.ndarray, path: np.ndarray) -> np.ndarray:
     """Words whose likeliest language is the path's, and well ahead of every other."""
     own = np.take_along_axis(logp, path[:, None].astype(np.int64), 1)[:, 0]
@@ -357,8 +398,11 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
         for batch in batches:
             for at, n in _groups(batch.column(3)):
                 part = batch.slice(at, n)
+                texts = part.column(3).dictionary_encode()  # equal texts are labelled once
+                rows_of = np.argsort(texts.indices.to_numpy(), kind="stable")
+                rows_of = np.split(rows_of, np.cumsum(np.bincount(texts.indices.to_numpy(), minlength=len(texts.dictionary)))[:-1])
                 where, out = [], []
-                logp = own.log_probabilities(part.column(3).to_pylist())
+                logp = own.log_probabilities(texts.dictionary.to_pylist())
                 path_of = paths(logp)
                 bounds = np.cumsum([len(p) for p in path_of])
                 flat, way = (np.concatenate(x) if len(x) else np.zeros((0, CLASSES)) for x in (logp, path_of))
@@ -371,9 +415,9 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
                     pooled = np.exp(mean - mean.max())
                     pooled /= pooled.sum()
                     long = {p[0] for p in found if p[2] - p[1] >= MIN_WORDS and p[0] < len(LANGUAGES)}
-                    for lang, a, b, conf in found:
-                        where.append(i)
-                        out.append((NAMES[lang], a, b - a, conf, NAMES[int(pooled.argmax())], float(pooled.max()), len(long) > 1))
+                    for row in rows_of[i].tolist():
+                        where += [row] * len(found)
+                        out += [(NAMES[lang], a, b - a, conf, NAMES[int(pooled.argmax())], float(pooled.max()), len(long) > 1) for lang, a, b, conf in found]
                 if out:
                     types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
                     names = ["k", "label", "known", *(x.split()[0] for x in _SCHEMA.split(", "))]

@@ -428,6 +428,14 @@ def _batches_of(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield start, texts[start:]
 
 
+def _once(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
+    """The different texts of an Arrow batch, and the rows of each: copies are read once."""
+    encoded = texts.dictionary_encode()
+    index = encoded.indices.to_numpy()
+    rows = np.split(np.argsort(index, kind="stable"), np.cumsum(np.bincount(index, minlength=len(encoded.dictionary)))[:-1])
+    return encoded.dictionary.to_pylist(), rows
+
+
 def find_pii(df: DataFrame, key: str, text: str, tagger: Tagger) -> DataFrame:
     """(`key`, `pii_type`, `pii_text`, `char_start`, `char_end`) of every span.
 
@@ -442,12 +450,13 @@ def find_pii(df: DataFrame, key: str, text: str, tagger: Tagger) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            for start, texts in _batches_of(batch.column(1).to_pylist()):
+            once, rows_of = _once(batch.column(1))
+            for start, texts in _batches_of(once):
                 where, out = [], []
-                for i, (t, spans) in enumerate(zip(texts, own.spans(texts))):
-                    for a, b, k in spans:
-                        where.append(start + i)
-                        out.append((k, t[a:b], a, b))
+                for i, (t, spans) in enumerate(zip(texts, own.spans(texts)), start):
+                    for row in rows_of[i].tolist() if spans else ():
+                        where += [row] * len(spans)
+                        out += [(k, t[a:b], a, b) for a, b, k in spans]
                 if out:
                     types = [pa.string(), pa.string(), pa.int32(), pa.int32()]
                     columns = [batch.column(0).take(pa.array(where)), *(pa.array(c, x) for c, x in zip(zip(*out), types))]
@@ -466,10 +475,13 @@ def redact_texts(df: DataFrame, key: str, text: str, tagger: Tagger) -> DataFram
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out: list[str | None] = list(texts)
-            some = [i for i, t in enumerate(texts) if t]
-            for start, part in _batches_of([texts[i] for i in some]):
-                for i, (t, spans) in enumerate(zip(part, own.spans(part))):
-                    out[some[start + i]] = redact(t, spans)
+            some = np.array([i for i, t in enumerate(texts) if t], np.int64)
+            once, rows_of = _once(batch.column(1).take(pa.array(some)))
+            for start, part in _batches_of(once):
+                for i, (t, spans) in enumerate(zip(part, own.spans(part)), start):
+                    done = redact(t, spans)
+                    for row in some[rows_of[i]].tolist():
+                        out[row] = done
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["k", "redacted"])
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, redacted string").withColumnRenamed("k", key)

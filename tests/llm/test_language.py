@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.llm import language
 from lodestar.llm.gru import ByteGRU
 from lodestar.llm.language import LANGUAGES, NAMES, SEGMENT, fit, known_language, language_passages, passages, paths
 
@@ -101,6 +102,24 @@ def test_paths_same_as_one_by_one():
         assert (paths([x])[0] == many).all()
 
 
+def test_texts_of_one_language_need_no_search():
+    """What is shown without a search is what the search gives; both kinds of text occur."""
+    rng = np.random.default_rng(8)
+    logp = []
+    for n in (1, 5, 40, 200, 0, 90, 300, 60):
+        for sharp in (0.05, 0.5, 3.0):
+            lead = np.eye(7)[rng.integers(0, 7)] * 20 * (rng.random() < 0.7)
+            x = rng.dirichlet(np.full(7, sharp) + lead, n) if n else np.zeros((0, 7))
+            if n > 50 and rng.random() < 0.5:
+                x[n // 2 :] = np.roll(x[n // 2 :], 2, axis=1)
+            logp.append(np.log(x + 1e-6).astype(np.float32))
+    best, sure = language.steady(np.concatenate(logp), np.array([len(x) for x in logp]))
+    searched = language._searched(logp)
+    assert sure.any() and not sure.all()
+    for x, b, s, path in zip(logp, best, sure, searched):
+        assert not s or (path == b).all()
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in ["EN", "en-GB", "Deutsch", "fr_CH", " por ", "ca", "und", "??", "", None, "English"]], "l string")
     assert [r[0] for r in df.select(known_language(F.col("l"))).collect()] == ["en", "en", "de", "fr", "pt", None, None, None, None, None, "en"]
