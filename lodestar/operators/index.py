@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .search import K1, B, _plain_terms, best, terms
 
 #: Raised when what is written, or how terms are made, changes.
-VERSION = 1
+VERSION = 2
 #: Folders the postings are spread over by the hash of their term; a search opens only those of its terms.
 BUCKETS = 32
 
@@ -25,6 +26,17 @@ def fingerprint(docs: DataFrame, key: str, text: str) -> str:
     return f"{n}:{total}"
 
 
+def source_of(docs: DataFrame) -> str:
+    """Names, sizes and times of the files behind `docs`: as long as they stay, so do the texts."""
+    spark = docs.sparkSession
+    rows = []
+    for name in sorted(docs.inputFiles()):
+        fs, where = _file(spark, name)
+        status = fs.getFileStatus(where)
+        rows.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(rows).encode()).hexdigest() if rows else ""
+
+
 def _file(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -43,7 +55,7 @@ def build(docs: DataFrame, key: str, text: str, path: str) -> dict:
     postings = postings.withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int"))
     # hot terms are long lists: rows of a bucket may lie in several files
     postings.repartition("bucket", F.pmod(F.xxhash64("d"), F.lit(4))).sortWithinPartitions("bucket", "t", "d").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    manifest = {"version": VERSION, "buckets": BUCKETS, "texts": n, "mean_length": mean or 0.0, "key": docs.schema[key].dataType.simpleString(), "fingerprint": fingerprint(docs, key, text)}
+    manifest = {"version": VERSION, "buckets": BUCKETS, "texts": n, "mean_length": mean or 0.0, "key": docs.schema[key].dataType.simpleString(), "fingerprint": fingerprint(docs, key, text), "source": source_of(docs)}
     fs, where = _file(spark, f"{path}/manifest.json")
     out = fs.create(where, True)
     try:
@@ -54,7 +66,10 @@ def build(docs: DataFrame, key: str, text: str, path: str) -> dict:
 
 
 def opened(spark: SparkSession, path: str, docs: DataFrame | None = None, key: str = "", text: str = "") -> dict:
-    """The manifest of the index at `path`, checked: its version, and against the texts where they are given."""
+    """The manifest of the index at `path`, checked: its version, and against the texts where they are given.
+
+    Files that are as they were when it was built hold the same texts; only otherwise are the texts read.
+    """
     fs, where = _file(spark, f"{path}/manifest.json")
     if not fs.exists(where):
         raise StaleIndex(f"no index at {path}")
@@ -65,7 +80,9 @@ def opened(spark: SparkSession, path: str, docs: DataFrame | None = None, key: s
         stream.close()
     if (manifest.get("version"), manifest.get("buckets")) != (VERSION, BUCKETS):
         raise StaleIndex(f"index at {path} is of version {manifest.get('version')}, wanted is {VERSION}")
-    if docs is not None and manifest["fingerprint"] != fingerprint(docs, key, text):
+    if docs is None or (manifest["source"] and manifest["source"] == source_of(docs)):
+        return manifest
+    if manifest["fingerprint"] != fingerprint(docs, key, text):
         raise StaleIndex(f"index at {path} is of other texts")
     return manifest
 

@@ -34,6 +34,18 @@ def test_other_texts_are_noticed(spark, tmp_path):
     assert IX.search(spark, empty, IX.opened(spark, empty, df.limit(0), "id", "t"), "id", QUERIES, 5).count() == 0
 
 
+def test_files_as_they_were_are_not_read_again(spark, tmp_path, monkeypatch):
+    source, path = f"{tmp_path}/texts", f"{tmp_path}/index"
+    spark.createDataFrame(TEXTS, "id string, t string").write.parquet(source)
+    IX.build(spark.read.parquet(source), "id", "t", path)
+    monkeypatch.setattr(IX, "fingerprint", lambda *_: pytest.fail("the texts were read"))
+    assert IX.opened(spark, path, spark.read.parquet(source), "id", "t")["texts"] == len(TEXTS)
+    monkeypatch.undo()
+    spark.createDataFrame([("z", "new")], "id string, t string").write.mode("append").parquet(source)
+    with pytest.raises(IX.StaleIndex):
+        IX.opened(spark, path, spark.read.parquet(source), "id", "t")
+
+
 def test_search_reads_the_folders_of_its_terms(spark, tmp_path):
     df = spark.createDataFrame(TEXTS, "id string, t string")
     path = f"{tmp_path}/index"
