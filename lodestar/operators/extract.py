@@ -35,6 +35,44 @@ def role_entries(df: DataFrame, key: str, text: str, most_highlights: int = 5) -
     return heads.join(listed, [key, "entry"], "left").withColumn("highlights", F.coalesce("highlights", F.array().cast("array<string>")))
 
 
+#: A month or year as it is written in headers, and a range of two or up to now.
+MOMENT = r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]{0,6}[ .\-']*(?:[0-9]{4}|[0-9]{2})|(?:0?[1-9]|1[0-2])/(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])|(?:19|20)[0-9]{2})"
+DATED = rf"(?i)\b({MOMENT})\s*(?:-|–|—|to)\s*({MOMENT}|present|current|till date|now)\b"
+#: What parts title, employer and place on a line, and what may stand around them.
+PARTED = r"\s+[–—|]\s+|\s{2,}|\t+|,\s+"
+AROUND = " ,|()–—-\t\r"
+
+
+def dated_entries(df: DataFrame, key: str, text: str, title_words: str, org_words: str) -> DataFrame:
+    """(`key`, `entry`, `line_no`, `title`, `employer`, `start`, `end`): one row a dated line that is no bullet, whatever its form.
+
+    Title and employer are the parts of the line beside its dates, told apart by words of titles and of firms;
+    where it has none, of the line above (blank lines and bullets passed over, three lines at most); where only
+    one is there, the other may be the line above or below. Texts are independent; NULL and empty ones have no rows.
+    """
+    like = lambda c, p: F.coalesce(F.regexp_like(c, F.lit(p)), F.lit(False))
+    lines = lines_with_offsets(df, key, text).select(F.col(key), "line_no", F.trim("line", F.lit(" \t\r")).alias("s"), F.regexp_like("line", F.lit(BULLET)).alias("bullet"))
+    dated = ~F.col("bullet") & (F.length("s") <= 160) & F.regexp_like("s", F.lit(DATED))
+    lines = lines.withColumn("dated", dated)
+    plain = F.when((F.col("s") == "") | F.col("bullet"), None).when(F.col("dated") | (F.length("s") > 90), "").otherwise(F.col("s"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    near = lines.withColumn("c", plain)
+    around = near.withColumns({"above": F.nullif(F.coalesce(*[F.lag("c", i).over(w) for i in (1, 2, 3)]), F.lit("")), "below": F.nullif(F.lead("c", 1).over(w), F.lit(""))})
+    heads = around.where("dated").withColumn("rest", F.trim(F.regexp_replace("s", DATED, ""), F.lit(AROUND)))
+    used = F.when(F.col("rest") != "", F.col("rest")).otherwise(F.col("above"))
+    heads = heads.withColumn("parts", F.filter(F.transform(F.split(F.coalesce(used, F.lit("")), PARTED), lambda x: F.trim(x, F.lit(AROUND))), lambda x: x != ""))
+    one, two = F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
+    titled, firm = lambda c: like(c, title_words), lambda c: like(c, org_words)
+    turned = (firm(one) & ~titled(one)) | (titled(two) & ~titled(one))
+    lone_title = titled(one) & ~firm(one)
+    title = F.when(two.isNull(), F.when(lone_title, one).when(titled(F.col("below")), F.col("below"))).when(turned & ~titled(two) & titled(F.col("below")), F.col("below")).when(turned, two).otherwise(one)
+    employer = F.when(two.isNull(), F.when(~lone_title, one).when(F.col("rest") != "", F.col("above"))).when(turned, one).otherwise(two)
+    return heads.select(
+        key, F.row_number().over(w).alias("entry"), "line_no", title.alias("title"), employer.alias("employer"),
+        F.regexp_extract("s", DATED, 1).alias("start"), F.regexp_extract("s", DATED, 2).alias("end"),
+    )
+
+
 def education_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """(`key`, `line_no`, `degree`, `institution`, `year`): lines that name both or either, with the last year on the line."""
     lines = lines_with_offsets(df, key, text)

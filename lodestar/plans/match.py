@@ -489,3 +489,28 @@ def scorable_view_full(spark, sf):
 def gate_full(spark, sf):
     """The gate over dimensions of the whole view, with bounds of years and of the level."""
     return G.gate(_full_view(spark, sf), FULL_REQUEST).select("candidate_id", "kept", "reasons", "caveats")
+
+
+# ------------------------------------------------------------------ roles under headers of any form
+
+_T = lambda c: f"coalesce(regexp_matches({c}, {q(people.TITLE_WORDS)}), false)"
+_F = lambda c: f"coalesce(regexp_matches({c}, {q(people.ORG_WORDS)}), false)"
+_AROUND = "' ,|()–—-' || chr(9) || chr(13)"
+
+
+@registry.query(
+    f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+    s AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, trim(line, ' ' || chr(9) || chr(13)) AS s, regexp_matches(line, {q(X.BULLET)}) AS bullet FROM l), d AS (SELECT *, NOT bullet AND length(s) <= 160 AND regexp_matches(s, {q(X.DATED)}) AS dated FROM s),
+    c AS (SELECT *, CASE WHEN s = '' OR bullet THEN NULL WHEN dated OR length(s) > 90 THEN '' ELSE s END AS c FROM d),
+    a AS (SELECT *, nullif(coalesce(lag(c, 1) OVER w, lag(c, 2) OVER w, lag(c, 3) OVER w), '') AS above, nullif(lead(c, 1) OVER w, '') AS below FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    h AS (SELECT *, trim(regexp_replace(s, {q(X.DATED)}, '', 'g'), {_AROUND}) AS rest FROM a WHERE dated),
+    p AS (SELECT *, list_filter(list_transform(string_split_regex(coalesce(CASE WHEN rest <> '' THEN rest ELSE above END, ''), {q(X.PARTED)}), lambda x: trim(x, {_AROUND})), lambda x: x <> '') AS parts FROM h),
+    o AS (SELECT *, parts[1] AS one, parts[2] AS two FROM p), f AS (SELECT *, ({_F('one')} AND NOT {_T('one')}) OR ({_T('two')} AND NOT {_T('one')}) AS turned, {_T('one')} AND NOT {_F('one')} AS lone FROM o)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS entry, line_no,
+        CASE WHEN two IS NULL THEN CASE WHEN lone THEN one WHEN {_T('below')} THEN below END WHEN turned AND NOT {_T('two')} AND {_T('below')} THEN below WHEN turned THEN two ELSE one END AS title,
+        CASE WHEN two IS NULL THEN CASE WHEN NOT lone THEN one WHEN rest <> '' THEN above END WHEN turned THEN one ELSE two END AS employer,
+        regexp_extract(s, {q(X.DATED)}, 1) AS start, regexp_extract(s, {q(X.DATED)}, 2) AS "end" FROM f"""
+)
+def dated_entries(spark, sf):
+    """Roles of whole documents by their dated lines, whatever form these have."""
+    return X.dated_entries(load(spark, sf, "documents"), "doc_id", "text", people.TITLE_WORDS, people.ORG_WORDS)

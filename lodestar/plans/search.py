@@ -423,6 +423,41 @@ def eval_recall(spark, sf):
     return per.join(n, "own").select("query", F.round(F.col("five") / 5, 4).alias("precision_5"), F.round(F.when(F.col("n") > 0, F.col("ten") / F.col("n")).otherwise(0.0), 6).alias("recall_10"))
 
 
+_RANKED = """ranked AS (SELECT 'lexical' AS mode, query, d, score FROM lexical UNION ALL SELECT 'hashed', query, d, score FROM hashed
+        UNION ALL SELECT 'hybrid', query, d, round(sum(1 / (60 + place)), 6) FROM (SELECT query, d, place FROM lexical UNION ALL SELECT query, d, place FROM hashed) GROUP BY 2, 3),
+    kept AS (SELECT mode, query, d, row_number() OVER (PARTITION BY mode, query ORDER BY score DESC, d) AS place FROM ranked WHERE query <> d QUALIFY place <= 10)"""
+
+
+@registry.query(
+    f"""WITH {_bm25_rows("SELECT doc_id AS d, coalesce(text, '') AS t FROM documents", 50)}, q AS ({_EACH}), gq AS ({_grams(f"SELECT query AS k, {_HASH_TEXT} AS low FROM q")}), gc AS ({_grams(f"SELECT doc_id AS k, {_HASH_TEXT} AS low FROM documents")}),
+    nq AS (SELECT k, sqrt(sum(n * n)) AS size FROM gq GROUP BY 1), nc AS (SELECT k, sqrt(sum(n * n)) AS size FROM gc GROUP BY 1), dots AS (SELECT gq.k AS query, gc.k AS d, sum(gq.n * gc.n) AS dot FROM gq JOIN gc USING (bucket) GROUP BY 1, 2),
+    hs AS (SELECT query, d, CAST(round(CAST(round(dot / (nq.size * nc.size), 6) AS DECIMAL(9, 6)), 4) AS DOUBLE) AS score FROM dots JOIN nq ON nq.k = query JOIN nc ON nc.k = d), hashed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, d) AS place FROM hs QUALIFY place <= 50),
+    {_RANKED}, rel AS (SELECT a.doc_id AS query, b.doc_id AS d FROM documents a JOIN documents b ON a.candidate_id = b.candidate_id AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0), ideal AS (SELECT query, least(10, count(*)) AS n FROM rel GROUP BY 1),
+    dcg AS (SELECT mode, query, sum(1 / log2(place + 1)) AS dcg, min(place) AS first FROM kept JOIN rel USING (query, d) GROUP BY 1, 2), modes(mode) AS (VALUES ('lexical'), ('hashed'), ('hybrid')),
+    per AS (SELECT m.mode, i.query, coalesce(dcg, 0) / (SELECT sum(1 / log2(x + 1)) FROM range(1, i.n + 1) t(x)) AS ndcg, coalesce(1 / first, 0) AS mrr FROM ideal i CROSS JOIN modes m LEFT JOIN dcg ON dcg.mode = m.mode AND dcg.query = i.query)
+    SELECT mode, count(*) AS queries, round(avg(ndcg), 4) AS ndcg, round(avg(mrr), 4) AS mrr FROM per GROUP BY 1"""
+)
+def eval_ablation(spark, sf):
+    """Three ways of search side by side, asked by every document whose id is divisible by 100: what belongs to the same
+    candidate is relevant. Documents without another of their candidate are no queries."""
+    docs = load(spark, sf, "documents")
+    lexical = S.bm25_rows(docs, "doc_id", F.col("text"), _asked_rows(spark, sf), "doc_id", F.coalesce("text", F.lit("")), 50).select("query", "doc_id", "score", "place")
+    vectors = S.hashed_vectors(S.hashed_grams(docs.select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    hashed = S.dense(vectors, "doc_id", "v", vectors.where("doc_id % 100 = 0"), 50).where("score > 0").select("query", "doc_id", "score", "place")
+    modes = {"lexical": lexical, "hashed": hashed, "hybrid": S.rrf([lexical, hashed], "doc_id", 100)}
+    d = docs.where("candidate_id is not null")
+    rel = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "candidate_id").join(d.select("doc_id", "candidate_id"), "candidate_id").where("query <> doc_id").select("query", "doc_id")
+    ideal = rel.groupBy("query").agg(F.least(F.lit(10), F.count("*")).cast("int").alias("n"))
+    best = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    out = None
+    for mode, ranking in modes.items():
+        kept = S.best(ranking.where("query <> doc_id").select("query", "doc_id", "score"), "doc_id", 10)
+        dcg = kept.join(rel, ["query", "doc_id"]).groupBy("query").agg(F.sum(1 / F.log2(F.col("place") + 1)).alias("dcg"), F.min("place").alias("first"))
+        per = ideal.join(dcg, "query", "left").select(F.lit(mode).alias("mode"), (F.coalesce("dcg", F.lit(0.0)) / best).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"))
+        out = per if out is None else out.unionByName(per)
+    return out.groupBy("mode").agg(F.count("*").alias("queries"), F.round(F.avg("ndcg"), 4).alias("ndcg"), F.round(F.avg("mrr"), 4).alias("mrr"))
+
+
 @registry.query(
     f"""{ALL}, pr AS (SELECT candidate_id, list(DISTINCT strategy) AS a FROM strategies GROUP BY 1), ch AS (SELECT candidate_id, list(DISTINCT skill) AS b FROM skills GROUP BY 1),
     dp AS (SELECT candidate_id, list(DISTINCT skill) AS c FROM skills WHERE depth <> 'mentioned' GROUP BY 1),

@@ -51,3 +51,24 @@ def test_overlay_and_union(spark):
     assert {tuple(r) for r in X.overlay(base, fixes, "id", ["v"], "at").collect()} == {("a", "new", 1), ("b", "keep", 2)}
     a, b = spark.createDataFrame([("k", None), ("m", "1")], "k string, v string"), spark.createDataFrame([("k", "2"), ("z", "3")], "k string, v string")
     assert {tuple(r) for r in X.prefer_first(a, b, ["k"], "v").collect()} == {("k", "2", "both"), ("m", "1", "first"), ("z", "3", "second")}
+
+
+def test_dated_entries(spark):
+    from lodestar.plans.people import ORG_WORDS, TITLE_WORDS
+
+    text = """Northgale Bank
+Senior Analyst | 2019-01 – present
+• led a study from 2018 to 2019
+Yewdale Pinnace Group, Porto (Sept.2016 – 2018)
+Junior Analyst
+Castellan Bank
+2014 – 2015
+Portfolio Manager — Larkhill Capital, Lyon (09/2010 - 12/2013)
+nothing dated here"""
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x")], "id int, t string, title string")
+    got = [(r.entry, r.title, r.employer, r.start, r.end) for r in X.dated_entries(df, "id", "t", TITLE_WORDS, ORG_WORDS).orderBy("entry").collect()]
+    assert got == [
+        (1, "Senior Analyst", "Northgale Bank", "2019-01", "present"), (2, "Junior Analyst", "Yewdale Pinnace Group", "Sept.2016", "2018"),
+        (3, None, "Castellan Bank", "2014", "2015"), (4, "Portfolio Manager", "Larkhill Capital", "09/2010", "12/2013"),
+    ]
+    assert X.dated_entries(df.limit(0), "id", "t", TITLE_WORDS, ORG_WORDS).count() == 0
