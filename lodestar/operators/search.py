@@ -221,7 +221,8 @@ def rrf(rankings: list[DataFrame], item: str, k: int) -> DataFrame:
     for r in rankings:
         part = r.select("query", item, "place")
         union = part if union is None else union.unionByName(part)
-    fused = union.groupBy("query", item).agg(F.round(F.sum(1 / (F.lit(RRF_K) + F.col("place"))), 6).alias("score"))
+    # an exchange of its own: see SEMANTIC_CONF, which sessions built elsewhere may lack
+    fused = union.repartition("query", item).groupBy("query", item).agg(F.round(F.sum(1 / (F.lit(RRF_K) + F.col("place"))), 6).alias("score"))
     return best(fused, item, k)
 
 

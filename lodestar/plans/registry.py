@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import settled
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +22,12 @@ class Registry:
     def add(self, name: str, query: Query, sql: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"query {name} is registered twice")
-        self.queries[name] = query
+
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return query(settled(spark), sf_dir)
+
+        self.queries[name] = run
         if sql is not None:
             self.sql[name] = sql
 

@@ -117,3 +117,15 @@ def test_metrics(spark):
     p = E.nearest_rank(spark.createDataFrame([("a", float(i)) for i in range(10)], "g string, v double"), "g", "v", [0.5, 0.95]).first()
     assert (p.p50, p.p95) == (5.0, 9.0) or (p.p50, p.p95) == (4.0, 9.0)
     assert re.match("p", "p50")
+
+
+def test_fusion_under_a_union_that_claims_a_partitioning(spark):
+    """The sides of the fusion come out of aggregates by the same key; every item must be fused all the same."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    try:
+        base = spark.createDataFrame([("q", i, i + 1) for i in range(40)], "query string, id int, place int")
+        side = lambda: base.groupBy("query", "id").agg({"place": "max"}).toDF("query", "id", "place")
+        got = S.rrf([side(), side()], "id", 40).collect()
+    finally:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    assert len(got) == 40 and {r.id: round(r.score, 6) for r in got} == {i: round(2 / (61 + i), 6) for i in range(40)}
