@@ -27,3 +27,16 @@ def test_same_as_sql(spark, name):
     df = registry.queries[name](spark, SF)
     rel = con.sql(registry.sql[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(rel.columns, rel.fetchall())
+
+
+def test_a_session_built_elsewhere():
+    """Queries run in a session that knows none of this package's settings."""
+    import subprocess
+    import sys
+
+    code = f"""from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from lodestar.plans.core import registry
+print("rows", registry.queries["p4_found"](spark, "{SF}").count())"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and int(done.stdout.split("rows")[1]) > 0, done.stderr[-2000:]
