@@ -88,6 +88,22 @@ def test_exact_pairs_same_as_brute_force(spark):
     assert O.shingle_pairs(df.limit(0), "id", "t", 0.55).count() == 0
 
 
+def test_pairs_at_the_threshold_and_few_to_verify(spark, monkeypatch):
+    # 55 of 100 shingles: 0.55 * 100 is a little more than 55, yet 55 / 100 reaches 0.55
+    whole = [f"w{i}" for i in range(104)]
+    docs = [(1, " ".join(whole)), (2, " ".join(whole[:59]))]
+    # nine parts of twenty from a stock of phrases: all share some with others, none reaches the threshold
+    rng = random.Random(3)
+    stock = [" ".join(f"s{p}x{i}" for i in range(12)) for p in range(30)]
+    docs += [(10 + d, " ".join(x for j in range(9) for x in (rng.choice(stock), f"own{d} own{d}x{j} a{d} b{d}x{j} c{d} d{d} e{d} f{d}x{j}"))) for d in range(150)]
+    written = {}
+    keep = O.materialise
+    monkeypatch.setattr(O, "materialise", lambda df, name: written.setdefault(name, keep(df, name)))
+    got = O.shingle_pairs(spark.createDataFrame(docs, "id int, t string"), "id", "t", 0.55)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 0.55)]
+    assert written["pairs"].count() < 1000  # of 11,175, most of which share a phrase
+
+
 def test_components_same_as_union_find(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(i, i + 1) for i in range(300, 360)] + [(7, 7), (None, 3), (3, None), (1, 2), (2, 1)]
