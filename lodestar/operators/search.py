@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,3 +263,58 @@ def hashed_vectors(grams: DataFrame, key: str, dim: int = 384) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["i", "v"])
 
     return lists.mapInArrow(run, f"i {kind}, v array<double>").withColumnRenamed("i", key)
+
+
+#: Words whose buckets are kept at once, and characters folded into counts at once.
+KNOWN_WORDS, GRAM_CHARS = 1 << 18, 1 << 22
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = np.arange(1, 37)
+_SIGNS = b" abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def hashed_text_vectors(df: DataFrame, key: str, text: str, dim: int = 384) -> DataFrame:
+    """The rows of `hashed_vectors(hashed_grams(df, key, text))` in one pass: nothing is exploded or shuffled, and each
+    different group of four characters is hashed once a task. Texts without any word or group have no row."""
+    kind = df.schema[key].dataType.simpleString()
+    low = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9 ]", " ")
+
+    def bucket(gram: bytes) -> int:
+        return int.from_bytes(hashlib.md5(gram).digest()[:4], "big") % dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, words = np.full(37**4, -1, np.int32), {}
+        for whole in batches:
+            size = np.cumsum(pc.binary_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GRAM_CHARS, "right")))
+                batch = whole.slice(at, to - at)
+                at = to
+                v = np.zeros((batch.num_rows, dim))
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    b = t.encode()
+                    own = []
+                    for w in b.split():
+                        n = words.get(w)
+                        if n is None:
+                            if len(words) >= KNOWN_WORDS:
+                                words.clear()
+                            n = words[w] = bucket(w)
+                        own.append(n)
+                    found = np.array(own, np.int64)
+                    if len(b) > 4:
+                        c = _DIGIT[np.frombuffer(b, np.uint8)]
+                        starts = np.arange(0, len(b) - 4, 2)
+                        g = ((c[starts] * 37 + c[starts + 1]) * 37 + c[starts + 2]) * 37 + c[starts + 3]
+                        new = g[groups[g] < 0]
+                        for x in set(new.tolist()):
+                            groups[x] = bucket(bytes((_SIGNS[x // 50653], _SIGNS[x // 1369 % 37], _SIGNS[x // 37 % 37], _SIGNS[x % 37])))
+                        found = np.concatenate([found, groups[g]])
+                    v[i] = np.bincount(found, minlength=dim)
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                some = norm[:, 0] > 0
+                v = v[some] / norm[some]
+                ends = pa.array(np.arange(0, v.size + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["i", "v"])
+
+    return df.select(F.col(key).alias("i"), low.alias("t")).mapInArrow(run, f"i {kind}, v array<double>").withColumnRenamed("i", key)

@@ -10,7 +10,7 @@ from ..operators import index as IX
 from ..operators import profiles as P
 from ..operators import search as S
 from ..operators import spans
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..tables import load
 from .registry import Registry
 from .views import ALL, PARSED, PROFILES, ROLES
@@ -442,8 +442,11 @@ def eval_ablation(spark, sf):
     candidate is relevant. Documents without another of their candidate are no queries."""
     docs = load(spark, sf, "documents")
     lexical = S.bm25_rows(docs, "doc_id", F.col("text"), _asked_rows(spark, sf), "doc_id", F.coalesce("text", F.lit("")), 50).select("query", "doc_id", "score", "place")
-    vectors = S.hashed_vectors(S.hashed_grams(docs.select("doc_id", "text"), "doc_id", "text"), "doc_id")
-    hashed = S.dense(vectors, "doc_id", "v", vectors.where("doc_id % 100 = 0"), 50).where("score > 0").select("query", "doc_id", "score", "place")
+    vectors = S.hashed_text_vectors(docs, "doc_id", "text")
+    asked = S.hashed_text_vectors(_asked_rows(spark, sf), "doc_id", "text")
+    hashed = S.dense(vectors, "doc_id", "v", asked, 50).where("score > 0").select("query", "doc_id", "score", "place")
+    # fifty rows a query, each read by two ways of search
+    lexical, hashed = materialise(lexical, "lexical"), materialise(hashed, "hashed")
     modes = {"lexical": lexical, "hashed": hashed, "hybrid": S.rrf([lexical, hashed], "doc_id", 100)}
     d = docs.where("candidate_id is not null")
     rel = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "candidate_id").join(d.select("doc_id", "candidate_id"), "candidate_id").where("query <> doc_id").select("query", "doc_id")

@@ -85,6 +85,27 @@ def test_batch_best_rounds_as_spark_does(spark):
     assert {(int(q), int(rank[j])) for q, j in zip(which, top)} == want and len(which) == 5 * 17
 
 
+def test_vectors_of_texts_in_one_pass(spark):
+    texts = ["Credit, risk & C++ models", "", None, "a", "ab c", "abcde", "été É 123\t9", "   ", "𝔘nicode 😀 tail", "word " * 4000 + "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = {r.id: r.v for r in S.hashed_vectors(S.hashed_grams(df, "id", "t"), "id").collect()}
+    got = S.hashed_text_vectors(df, "id", "t")
+    assert {r.id: r.v for r in got.collect()} == want and len(want) == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert S.hashed_text_vectors(df.limit(0), "id", "t").count() == 0
+
+
+def test_ablation_searches_once(spark, monkeypatch):
+    from lodestar.plans import search as plans
+    from lodestar.plans.core import registry
+
+    written, keep = [], plans.materialise
+    monkeypatch.setattr(plans, "materialise", lambda df, name: written.append(name) or keep(df, name))
+    plan = registry.queries["eval_ablation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert written == ["lexical", "hashed"] and "MapInArrow" not in plan
+
+
 def test_fusion_is_by_rank_only(spark):
     a = spark.createDataFrame([("q", "a", 1, 900.0), ("q", "b", 2, 1.0)], "query string, id string, place int, score double")
     b = spark.createDataFrame([("q", "b", 1, 0.2), ("q", "a", 2, 0.1)], "query string, id string, place int, score double")
