@@ -1,4 +1,4 @@
-"""A character-level bidirectional LSTM with a conditional random field on top, trained in numpy.
+"""A character-level bidirectional LSTM with a conditional random field on top, trained in numpy, run by `graphs`.
 
 A character enters by its id and by the hash of the word it belongs to, both through tables that are
 the input projections themselves, so no matrix product is needed for the input.
@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import graphs
+from .graphs import node
 from .gru import touched_rows
 
 
@@ -29,6 +31,7 @@ class LstmCrf:
         rng = np.random.default_rng(seed)
         f = lambda x: x.astype(np.float32)
         self.hidden, self.tags = hidden, tags
+        self._ready: list[graphs.Recurrent] = []
         self.p: dict[str, np.ndarray] = {}
         for d in "fb":
             self.p[f"C{d}"] = f(rng.normal(size=(chars, 4 * hidden)) * 0.3)
@@ -109,12 +112,32 @@ class LstmCrf:
             z += out[place]
             out[place] = z
 
+    def _graph(self) -> graphs.Recurrent:
+        """Both directions for the network as it is at the first call, which must be done with training."""
+        if not self._ready:
+            hs, steps = self.hidden, []
+            nodes = [
+                node("Gather", "C chars", "by_char"), node("Gather", "W words", "by_word"), node("Add", "by_char by_word", "x"), node("Gemm", "h U x", "g"),
+                node("Split", "g", "gates new", axis=1, split=[3 * hs, hs]), node("Sigmoid", "gates", "s"), node("Tanh", "new", "n"), node("Split", "s", "i f o", axis=1, split=[hs] * 3),
+                node("Mul", "f c", "fc"), node("Mul", "i n", "in"), node("Add", "fc in", "c_next"), node("Tanh", "c_next", "y"), node("Mul", "o y", "h_next"), node("MatMul", "h_next V", "e"),
+            ]
+            for q, d in enumerate("fb"):
+                steps.append((nodes, {"C": self.p[f"C{d}"] + self.p[f"b{d}"], "W": self.p[f"W{d}"], "U": self.p[f"U{d}"], "V": self.p["V"][q * hs : (q + 1) * hs]}))
+            self._ready.append(graphs.Recurrent(steps, {"h": "h_next", "c": "c_next"}, ["chars", "words"], hs))
+        return self._ready[0]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_ready": []}
+
     def emissions(self, chars: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of each position of the sequences [begin : begin + size], longest first, one after the other."""
         out = np.empty((int(size.sum()), self.tags), np.float32)
         out[:] = self.p["vb"]
-        for d in "fb":
-            self._emit(d, chars, words, begin, size, out)
+        if graphs.AVAILABLE:
+            self._graph().add([chars, words], begin, size, out)
+        else:
+            for d in "fb":
+                self._emit(d, chars, words, begin, size, out)
         return out
 
     def path(self, e: np.ndarray) -> np.ndarray:
@@ -164,6 +187,7 @@ class LstmCrf:
         Those of the large word tables are (rows, values) of the rows that the batch touches.
         """
         p, hs, k = self.p, self.hidden, self.tags
+        self._ready = []
         kept: dict[str, list] = {"f": [], "b": []}
         states = [self._run(d, chars, words, kept[d]) for d in "fb"]
         both = np.concatenate(states, axis=2)

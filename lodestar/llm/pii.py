@@ -491,7 +491,7 @@ def train(documents: DataFrame, run_states: DataFrame, candidates: DataFrame) ->
     """The tagger of a bounded sample of these tables; an equal sample is trained on only once (see `models`)."""
     texts = _drawn(documents, "doc_id", "text", TRAIN_TEXTS) + _drawn(run_states, "state_id", "raw_text", TRAIN_TEXTS)
     names = known_names(candidates)
-    key = digest([*texts, *names], ("pii", "pii_labels", "lstm_crf", "gru"))
+    key = digest([*texts, *names], ("pii", "pii_labels", "lstm_crf", "gru", "graphs"))
     return Tagger.of(trained(documents.sparkSession, "pii", key, lambda: fit(texts, names).net.p))
 
 

@@ -1,9 +1,12 @@
 import itertools
+import pickle
 import random
+import time
 
 import numpy as np
 import pytest
 
+from lodestar.llm import graphs
 from lodestar.llm.lstm_crf import LstmCrf
 from lodestar.llm.models import digest, read, save, trained
 from lodestar.llm.pii import Encoded, Tagger, find_pii, fit, redact, redact_texts, tidied
@@ -211,3 +214,35 @@ def test_emissions_are_those_of_the_states():
     for e, b, n in zip(got, begin, size):
         both = np.concatenate([net._run(d, chars[b : b + n, None], words[b : b + n, None])[:, 0] for d in "fb"], axis=1)
         assert np.allclose(both @ net.p["V"] + net.p["vb"], e, atol=1e-5)
+
+
+def test_graph_gives_what_numpy_gives_in_less_time(monkeypatch):
+    """Windows of all lengths; the time, of the processor, is what the check's budget was exceeded by."""
+    net, rng = LstmCrf(6, 256, 1 << 14, hidden=20), np.random.default_rng(7)
+    size = np.sort(np.concatenate([np.full(600, 384), rng.integers(1, 384, 300)]))[::-1]
+    begin = rng.integers(0, 5000, len(size))
+    chars, words = rng.integers(0, 256, 6000).astype(np.uint8), rng.integers(0, 1 << 14, 6000).astype(np.int32)
+    got, took = {}, {}
+    for there in (True, False):
+        monkeypatch.setattr(graphs, "AVAILABLE", there)
+        net.emissions(chars, words, begin[:1], size[:1])
+        spent = []
+        for _ in range(3):
+            start = time.thread_time()
+            got[there] = net.emissions(chars, words, begin, size)
+            spent.append(time.thread_time() - start)
+        took[there] = min(spent)
+    assert np.allclose(got[True], got[False], atol=1e-5)
+    assert took[True] < 0.65 * took[False], took
+
+
+def test_graph_follows_training():
+    """A network that was run, trained on and run again is run as it is then; it can be sent after it was run."""
+    net, rng = LstmCrf(3, 7, 5, hidden=3), np.random.default_rng(2)
+    chars, words = rng.integers(0, 7, (6, 2)), rng.integers(0, 5, (6, 2))
+    run = lambda n: n.emissions(chars.T.ravel(), words.T.ravel(), np.array([0, 6]), np.array([6, 6]))
+    before = run(net)
+    net.gradients(chars, words, rng.integers(0, 3, (6, 2)))
+    net.p["Uf"] += 0.5
+    after = run(net)
+    assert not np.allclose(before, after) and np.array_equal(run(pickle.loads(pickle.dumps(net))), after)
