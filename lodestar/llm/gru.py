@@ -1,4 +1,4 @@
-"""A bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
+"""A bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time, run by `graphs`.
 
 Every byte is a position. It enters with the two bytes before it, hashed, through a table of each
 direction that is the gates' input projection itself.
@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import graphs
+from .graphs import node
+
 #: Buckets of the hashed three bytes.
 BUCKETS = 1 << 13
 
@@ -38,7 +41,7 @@ class ByteGRU:
         rng = np.random.default_rng(seed)
         normal = lambda *shape, by: (rng.normal(size=shape) * by).astype(np.float32)
         self.hidden = hidden
-        self._ready: list[tuple[np.ndarray, ...]] = []
+        self._ready: list = []
         self.p = {
             "T": normal(2 * BUCKETS, 3 * hidden, by=0.02),  # the backward direction's rows follow the forward one's
             "U": normal(2, hidden, 3 * hidden, by=hidden**-0.5),
@@ -50,13 +53,16 @@ class ByteGRU:
     def logits(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Class logits (bytes × classes) of the sequences data[begin : begin + size], one after the other.
 
-        Sequences come longest first, so that at each step the running ones are the first of them. With s
-        the tangents of the half arguments of the gates, r u is (s_r u + u) / 2 and the new state is
-        n + s_z d + d with d = (h - n) / 2, so that no gate is ever rescaled. States become logits at once, as
-        writing them out would cost more than the network.
+        Sequences come longest first. Without `graphs` they go step by step in numpy, where the running ones are
+        the first of them and, with s the tangents of the half arguments of the gates, r u is (s_r u + u) / 2 and
+        the new state is n + s_z d + d with d = (h - n) / 2, so that no gate is ever rescaled. States become
+        logits at once, as writing them out would cost more than the network.
         """
         out = np.empty((int(size.sum()), len(self.p["vb"])), np.float32)
-        if len(size):
+        if len(size) and graphs.AVAILABLE:
+            out[:] = self.p["vb"]
+            self._graph().add([trigrams(data)], begin, size, out)
+        elif len(size):
             tri = trigrams(data)
             at = np.cumsum(size) - size
             running = np.searchsorted(-size, -np.arange(int(size[0])), "left")
@@ -64,6 +70,21 @@ class ByteGRU:
                 self._direction(d, tri, begin, size, at, running, out)
         return out
 
+    def _graph(self) -> graphs.Recurrent:
+        """Both directions for the network as it is at the first call, which must be done with training."""
+        if not self._ready:
+            hs, steps = self.hidden, []
+            nodes = [
+                node("Gather", "TG three", "to_gates"), node("Gather", "TN three", "to_new"), node("Gemm", "h UG to_gates", "gates"), node("Sigmoid", "gates", "s"),
+                node("Split", "s", "z r", axis=1, split=[hs, hs]), node("MatMul", "h UN", "u"), node("Mul", "r u", "ru"), node("Add", "ru to_new", "new"), node("Tanh", "new", "n"),
+                node("Sub", "h n", "d"), node("Mul", "z d", "zd"), node("Add", "n zd", "h_next"), node("MatMul", "h_next V", "e"),
+            ]
+            for d in (0, 1):
+                u, t = self.p["U"][d], self.p["T"][d * BUCKETS : (d + 1) * BUCKETS] + self.p["c"][d]
+                steps.append((nodes, {"TG": t[:, : 2 * hs], "TN": t[:, 2 * hs :], "UG": u[:, : 2 * hs], "UN": u[:, 2 * hs :], "V": self.p["V"][d * hs : (d + 1) * hs]}))
+            self._ready.append(graphs.Recurrent(steps, {"h": "h_next"}, ["three"], hs, 2 * graphs.BLOCK))
+        return self._ready[0]
+
     def _tables(self) -> list[tuple[np.ndarray, ...]]:
         """For each direction what the gates and the new state take from the state and from the input; for
         the network as it is at the first call, which must be done with training."""

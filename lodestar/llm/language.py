@@ -76,7 +76,9 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         """The word's letters, the first as a capital, which shows where words begin, the others small; a word
         without letters has no bytes, as signs and numbers have no language."""
-        letters = "".join(c for c in word.lower() if c.isalpha() or c in "'’").strip("'’")
+        letters = word.lower()
+        if not letters.isalpha():
+            letters = "".join([c for c in letters if c.isalpha() or c in "'’"]).strip("'’")
         data = (letters[0].upper() + letters[1:]).encode("utf-8", "surrogatepass") if letters else b""
         self.first.append(len(self.flat))
         self.count.append(len(data))
@@ -139,12 +141,12 @@ class LanguageModel:
         core = begin_of[owner] + nth * SEGMENT
         core_end = np.minimum(core + SEGMENT, end)
         begin, stop = np.maximum(core - CONTEXT, begin_of[owner]), np.minimum(core_end + CONTEXT, end)
-        order = np.argsort(-(stop - begin), kind="stable")
         out = np.empty((CLASSES, len(data)), np.float32)
-        for i in range(0, len(order), RUN):
-            pick = order[i : i + RUN]
+        for i in range(0, len(begin), RUN):
+            pick = i + np.argsort(begin[i : i + RUN] - stop[i : i + RUN], kind="stable")
             size = stop[pick] - begin[pick]
-            y = np.ascontiguousarray(self.net.logits(data, begin[pick], size).T)
+            low = max(0, int(begin[i]) - 2)  # the two bytes before belong to a segment's first
+            y = np.ascontiguousarray(self.net.logits(data[low : int(stop[pick].max())], begin[pick] - low, size).T)
             first = np.cumsum(size) - size + core[pick] - begin[pick]
             for at, end_, source in zip(core[pick].tolist(), core_end[pick].tolist(), first.tolist()):
                 out[:, at:end_] = y[:, source : source + end_ - at]
@@ -360,7 +362,7 @@ def train(df: DataFrame, key: str, text: str, label: str, texts: int = TRAIN_TEX
         share = F.when(F.col("l") == code, min(scale, -(-scale * texts // n))).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64("k"), F.lit(scale)) < share).select("l", "t").limit(3 * texts * len(LANGUAGES))
     sample = sorted((LANGUAGES.index(lang), t) for lang, t in drawn.collect())
-    return LanguageModel.of(trained(df.sparkSession, "language", digest(sample, ("language", "gru")), lambda: fit(sample).net.p))
+    return LanguageModel.of(trained(df.sparkSession, "language", digest(sample, ("language", "gru", "graphs")), lambda: fit(sample).net.p))
 
 
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:

@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import language
+from lodestar.llm import graphs, language
 from lodestar.llm.gru import ByteGRU
 from lodestar.llm.language import LANGUAGES, NAMES, SEGMENT, fit, known_language, language_passages, passages, paths
 
@@ -134,3 +135,38 @@ def test_table(spark, model):
     assert {(r.doc_id, r.lang, r.known) for r in got} == {(1, "fr", "en"), (None, "fr", None)} or {r.doc_id for r in got} == {1, None}
     assert all(0 < r.confidence <= 1 for r in got)
     assert language_passages(df.limit(0), "doc_id", "text", "lang", model).count() == 0
+
+
+def test_graph_gives_what_numpy_gives_in_less_time(monkeypatch):
+    """Segments of all lengths; the time, of the processor, is what the check's budget was exceeded by."""
+    net, rng = ByteGRU(7, hidden=16), np.random.default_rng(7)
+    data = np.frombuffer("".join(sentence(k, random.Random(i)).title().replace(" ", "") for i in range(40) for k in LANGUAGES).encode(), np.uint8)[:20_000]
+    size = np.sort(np.concatenate([np.full(1000, 528), rng.integers(1, 528, 300)]))[::-1]
+    begin = rng.integers(0, 19_000, len(size))
+    got, took = {}, {}
+    for there in (True, False):
+        monkeypatch.setattr(graphs, "AVAILABLE", there)
+        net._ready = []
+        net.logits(data, begin[:1], size[:1])
+        spent = []
+        for _ in range(3):
+            start = time.thread_time()
+            got[there] = net.logits(data, begin, size)
+            spent.append(time.thread_time() - start)
+        took[there] = min(spent)
+    assert np.allclose(got[True], got[False], atol=1e-5)
+    assert took[True] < 0.85 * took[False], took
+
+
+def test_segments_read_in_parts_are_as_in_one(model, monkeypatch):
+    rng = random.Random(12)
+    texts = [". ".join(sentence(k, rng) for _ in range(n)) for k, n in zip(LANGUAGES, (1, 9, 0, 30, 4, 17))]
+    whole = model.log_probabilities(texts)
+    monkeypatch.setattr(language, "RUN", 3)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, model.log_probabilities(texts)))
+
+
+def test_letters_of_words():
+    words = language.Words()
+    for word, wanted in (("Grüße,", "Grüße"), ("don’t", "Don’t"), ("'tis'", "Tis"), ("2019", ""), ("İzmir", "Izmir"), ("C3PO", "Cpo"), ("É", "É"), ("—", "")):
+        assert words.sequences([word])[0].tobytes().decode() == wanted, word
