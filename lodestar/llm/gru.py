@@ -70,6 +70,17 @@ class ByteGRU:
                 self._direction(d, tri, begin, size, at, running, out)
         return out
 
+    def add_middles(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, core: np.ndarray, core_end: np.ndarray, out: np.ndarray) -> None:
+        """Write the logits of the positions [core : core_end] of each sequence to `out` (classes × bytes of data), at once
+        from where the graph leaves them: arrays of all bytes in between would cost as much as the network."""
+        bias = self.p["vb"][:, None]
+        places = list(zip(begin.tolist(), core.tolist(), core_end.tolist()))
+        for j, forward, backward in self._graph().pairs([trigrams(data)], begin, size):
+            b, c, e = places[j]
+            part = out[:, c:e]
+            np.add(forward[c - b : e - b].T, backward[c - b : e - b].T, out=part)
+            part += bias
+
     def _graph(self) -> graphs.Recurrent:
         """Both directions for the network as it is at the first call, which must be done with training."""
         if not self._ready:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
+from . import graphs
 from .gru import Adam, ByteGRU
 from .models import digest, trained
 
@@ -146,6 +147,10 @@ class LanguageModel:
             pick = i + np.argsort(begin[i : i + RUN] - stop[i : i + RUN], kind="stable")
             size = stop[pick] - begin[pick]
             low = max(0, int(begin[i]) - 2)  # the two bytes before belong to a segment's first
+            if graphs.AVAILABLE:
+                high = int(stop[pick].max())
+                self.net.add_middles(data[low:high], begin[pick] - low, size, core[pick] - low, core_end[pick] - low, out[:, low:high])
+                continue
             y = np.ascontiguousarray(self.net.logits(data[low : int(stop[pick].max())], begin[pick] - low, size).T)
             first = np.cumsum(size) - size + core[pick] - begin[pick]
             for at, end_, source in zip(core[pick].tolist(), core_end[pick].tolist(), first.tolist()):

@@ -166,6 +166,18 @@ def test_segments_read_in_parts_are_as_in_one(model, monkeypatch):
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(whole, model.log_probabilities(texts)))
 
 
+def test_words_have_the_same_logits_with_and_without_the_graph(model, monkeypatch):
+    rng = random.Random(13)
+    texts = [". ".join(sentence(k, rng) for _ in range(n)) for k, n in zip(LANGUAGES, (2, 11, 0, 25, 1, 6))] + ["", "12 — 34"]
+    got = {}
+    for there in (True, False):
+        monkeypatch.setattr(graphs, "AVAILABLE", there)
+        model.net._ready = []
+        got[there] = model.log_probabilities(texts)
+    model.net._ready = []
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got[True], got[False]))
+
+
 def test_letters_of_words():
     words = language.Words()
     for word, wanted in (("Grüße,", "Grüße"), ("don’t", "Don’t"), ("'tis'", "Tis"), ("2019", ""), ("İzmir", "Izmir"), ("C3PO", "Cpo"), ("É", "É"), ("—", "")):
