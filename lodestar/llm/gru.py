@@ -13,6 +13,8 @@ from .graphs import node
 
 #: Buckets of the hashed three bytes.
 BUCKETS = 1 << 13
+#: What a gate takes to be closed whatever the state, which is within 1 and so adds far less.
+CLOSED = -1000.0
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
@@ -60,8 +62,9 @@ class ByteGRU:
         """
         out = np.empty((int(size.sum()), len(self.p["vb"])), np.float32)
         if len(size) and graphs.AVAILABLE:
-            out[:] = self.p["vb"]
-            self._graph().add([trigrams(data)], begin, size, out)
+            sums, place = self._graph().sums(trigrams(data), begin, size)
+            out[:] = sums[:, np.repeat(place - np.cumsum(size) + size, size) + np.arange(len(out))].T
+            out += self.p["vb"]
         elif len(size):
             tri = trigrams(data)
             at = np.cumsum(size) - size
@@ -70,30 +73,39 @@ class ByteGRU:
                 self._direction(d, tri, begin, size, at, running, out)
         return out
 
-    def add_middles(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, core: np.ndarray, core_end: np.ndarray, out: np.ndarray) -> None:
-        """Write the logits of the positions [core : core_end] of each sequence to `out` (classes × bytes of data), at once
-        from where the graph leaves them: arrays of all bytes in between would cost as much as the network."""
-        bias = self.p["vb"][:, None]
-        places = list(zip(begin.tolist(), core.tolist(), core_end.tolist()))
-        for j, forward, backward in self._graph().pairs([trigrams(data)], begin, size):
-            b, c, e = places[j]
-            part = out[:, c:e]
-            np.add(forward[c - b : e - b].T, backward[c - b : e - b].T, out=part)
-            part += bias
-
-    def _graph(self) -> graphs.Recurrent:
+    def summed(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, pieces: np.ndarray, owner: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sums of logits (classes × pieces) over the pieces of `lengths` bytes from `pieces` on, each in the sequence `owner`,
+        from where the graph leaves them. The pieces of a sequence follow each other without gaps."""
+        sums, place = self._graph().sums(trigrams(data), begin, size)
+        count = np.bincount(owner, minlength=len(size))
+        some = np.argsort(place, kind="stable")
+        some = some[count[some] > 0]  # sequences in the order of their places
+        count, first = count[some], np.searchsorted(owner, some)
+        order = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(owner))  # pieces likewise
+        at = (place[owner] + pieces - begin[owner])[order]
+        last = np.cumsum(count)
+        # behind a sequence's last piece the sum goes on to the next sequence's first, and is not used
+        edges = np.insert(at, last, at[last - 1] + lengths[order][last - 1])
+        out = np.empty((len(sums), len(owner)), np.float32)
+        out[:, order] = np.delete(np.add.reduceat(sums, edges, axis=1), last + np.arange(len(last)), axis=1)
+        out += self.p["vb"][:, None] * lengths.astype(np.float32)
+        return out
+
+    def _graph(self) -> graphs.Lanes:
         """Both directions for the network as it is at the first call, which must be done with training."""
         if not self._ready:
             hs, steps = self.hidden, []
             nodes = [
-                node("Gather", "TG three", "to_gates"), node("Gather", "TN three", "to_new"), node("Gemm", "h UG to_gates", "gates"), node("Sigmoid", "gates", "s"),
+                node("Gather", "TG x", "to_gates"), node("Gather", "TN x", "to_new"), node("Gemm", "h UG to_gates", "gates"), node("Sigmoid", "gates", "s"),
                 node("Split", "s", "z r", axis=1, split=[hs, hs]), node("MatMul", "h UN", "u"), node("Mul", "r u", "ru"), node("Add", "ru to_new", "new"), node("Tanh", "new", "n"),
-                node("Sub", "h n", "d"), node("Mul", "z d", "zd"), node("Add", "n zd", "h_next"), node("MatMul", "h_next V", "e"),
+                node("Sub", "h n", "d"), node("Mul", "z d", "zd"), node("Add", "n zd", "h_next"), node("Gemm", "V h_next", "e", transA=1, transB=1),
             ]
             for d in (0, 1):
                 u, t = self.p["U"][d], self.p["T"][d * BUCKETS : (d + 1) * BUCKETS] + self.p["c"][d]
-                steps.append((nodes, {"TG": t[:, : 2 * hs], "TN": t[:, 2 * hs :], "UG": u[:, : 2 * hs], "UN": u[:, 2 * hs :], "V": self.p["V"][d * hs : (d + 1) * hs]}))
-            self._ready.append(graphs.Recurrent(steps, {"h": "h_next"}, ["three"], hs, 2 * graphs.BLOCK))
+                # the row behind the last bucket's closes both gates and adds nothing: the new state is zero
+                gates, new = (np.vstack([x, np.full_like(x[:1], by)]) for x, by in ((t[:, : 2 * hs], CLOSED), (t[:, 2 * hs :], 0)))
+                steps.append((nodes, {"TG": gates, "TN": new, "UG": u[:, : 2 * hs], "UN": u[:, 2 * hs :], "V": self.p["V"][d * hs : (d + 1) * hs]}))
+            self._ready.append(graphs.Lanes(steps, hs, BUCKETS))
         return self._ready[0]
 
     def _tables(self) -> list[tuple[np.ndarray, ...]]:

@@ -8,6 +8,7 @@ names and titles, get no clear label and so end no passage and begin none.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,8 +72,7 @@ class Words(dict):
     def __init__(self) -> None:
         super().__init__()
         self.flat = bytearray()  # of all words, one after the other
-        self.first: list[int] = []
-        self.count: list[int] = []
+        self.first, self.count = array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
         """The word's letters, the first as a capital, which shows where words begin, the others small; a word
@@ -120,20 +120,26 @@ class LanguageModel:
     def log_probabilities(self, texts: list[str]) -> list[np.ndarray]:
         """Log probabilities of the languages, and of any other, for each word of each text: every byte is
         labelled, and a word's logits are the mean of its bytes'."""
+        logp, words = self._scores(texts)
+        return np.split(logp, np.cumsum(words)[:-1]) if len(texts) else []
+
+    def _scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of all words, one after the other, and the number of words of each text."""
         if len(self.words) > 300_000:
             self.words = Words()
         data, counts, words = self.words.sequences(texts)
-        logp = np.full((len(counts), CLASSES), -np.log(CLASSES), np.float32)  # words without letters favour none
+        # a row a class in memory, as most work goes over all words class by class
+        logp = np.full((CLASSES, len(counts)), -np.log(CLASSES), np.float32)  # words without letters favour none
         if len(data):
-            text_of = np.repeat(np.arange(len(texts)), words)
-            y = self._pooled(data, np.bincount(text_of, counts, len(texts)).astype(np.int64), counts[counts > 0])
-            y -= y.max(axis=1, keepdims=True)
-            y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
-            logp[counts > 0] = y
-        return np.split(logp, np.cumsum(words)[:-1]) if len(texts) else []
+            sums = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(words)]
+            y = self._pooled(data, np.diff(sums, prepend=0), counts[counts > 0])
+            y -= y.max(axis=0)
+            y -= np.log(np.exp(y).sum(axis=0))
+            logp[:, counts > 0] = y
+        return logp.T, words
 
     def _pooled(self, data: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Mean logits of each word. Texts are cut into segments that overlap by their context; each gives its middle."""
+        """Mean logits (classes × words) of each word. Texts are cut into segments that overlap by their context; each gives its middle."""
         per = np.maximum(1, -(-lengths // SEGMENT)) * (lengths > 0)
         owner = np.repeat(np.arange(len(lengths)), per)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
@@ -142,20 +148,51 @@ class LanguageModel:
         core = begin_of[owner] + nth * SEGMENT
         core_end = np.minimum(core + SEGMENT, end)
         begin, stop = np.maximum(core - CONTEXT, begin_of[owner]), np.minimum(core_end + CONTEXT, end)
+        first = np.cumsum(counts) - counts
+        if graphs.AVAILABLE:
+            y = self._in_pieces(data, begin, stop, core, first)
+        else:
+            y = np.add.reduceat(self._middles(data, begin, stop, core, core_end), first, axis=1)
+        y /= counts.astype(np.float32)
+        return y
+
+    def _in_pieces(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, core: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Sums of logits of the words that begin at `first`. A word is a piece, or more where segments meet within it."""
+        word = np.searchsorted(first, core, "right") - 1
+        cut = first[word] != core
+        word, cut = word[cut], core[cut]
+        pieces = np.insert(first, word + 1, cut)
+        lengths = np.diff(pieces, append=len(data))
+        edges = np.searchsorted(pieces, core)
+        owner = np.repeat(np.arange(len(core)), np.diff(edges, append=len(pieces)))
+        sums = np.empty((CLASSES, len(pieces)), np.float32)
+        runs = -(-len(begin) // RUN)
+        many = -(-len(begin) // runs)  # runs of one size, as a small one has no choice of lanes
+        for i in range(0, len(begin), many):
+            own = slice(i, i + many)
+            a, b = edges[i], edges[i + many] if i + many < len(edges) else len(pieces)
+            low = max(0, int(begin[i]) - 2)  # the two bytes before belong to a segment's first
+            high = int(stop[own].max())
+            sums[:, a:b] = self.net.summed(data[low:high], begin[own] - low, (stop - begin)[own], pieces[a:b] - low, owner[a:b] - i, lengths[a:b])
+        if not len(cut):
+            return sums
+        rest = word + 1 + np.arange(len(word))
+        y = np.delete(sums, rest, axis=1)
+        np.add.at(y.T, word, sums[:, rest].T)
+        return y
+
+    def _middles(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, core: np.ndarray, core_end: np.ndarray) -> np.ndarray:
+        """Logits (classes × bytes) of the segments' middles, without the graph."""
         out = np.empty((CLASSES, len(data)), np.float32)
         for i in range(0, len(begin), RUN):
             pick = i + np.argsort(begin[i : i + RUN] - stop[i : i + RUN], kind="stable")
             size = stop[pick] - begin[pick]
             low = max(0, int(begin[i]) - 2)  # the two bytes before belong to a segment's first
-            if graphs.AVAILABLE:
-                high = int(stop[pick].max())
-                self.net.add_middles(data[low:high], begin[pick] - low, size, core[pick] - low, core_end[pick] - low, out[:, low:high])
-                continue
             y = np.ascontiguousarray(self.net.logits(data[low : int(stop[pick].max())], begin[pick] - low, size).T)
             first = np.cumsum(size) - size + core[pick] - begin[pick]
             for at, end_, source in zip(core[pick].tolist(), core_end[pick].tolist(), first.tolist()):
                 out[:, at:end_] = y[:, source : source + end_ - at]
-        return (np.add.reduceat(out, np.cumsum(counts) - counts, axis=1) / counts.astype(np.float32)).T
+        return out
 
 
 def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
@@ -164,49 +201,48 @@ def paths(logp: list[np.ndarray]) -> list[np.ndarray]:
     Most texts have one language beyond doubt, which is shown without a search (see `steady`); the others
     are searched all at once, longest first, word by word from both ends of the recursion.
     """
-    if not logp:
-        return []
-    best, sure = steady(np.concatenate(logp), np.array([len(x) for x in logp]))
+    words = np.array([len(x) for x in logp], np.int64)
+    return np.split(_ways(np.concatenate(logp), words), np.cumsum(words)[:-1]) if logp else []
+
+
+def _ways(flat: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The paths of all texts, one after the other."""
+    best, sure = steady(flat, words)
+    out = np.repeat(best, words).astype(np.int8)
     rest = np.flatnonzero(~sure)
-    found = dict(zip(rest.tolist(), _searched([logp[i] for i in rest])))
-    return [found[i] if i in found else np.full(len(x), best[i], np.int8) for i, x in enumerate(logp)]
+    begin = np.cumsum(words) - words
+    for i, path in zip(rest.tolist(), _searched([flat[begin[i] : begin[i] + words[i]] for i in rest])):
+        out[begin[i] : begin[i] + len(path)] = path
+    return out
 
 
 def _searched(logp: list[np.ndarray]) -> list[np.ndarray]:
+    """Scores of all texts' words stand class by class, the first words of all texts before the second ones; what a step
+    must not decide by itself, where each language comes from, is found for all words at once."""
     order = sorted(range(len(logp)), key=lambda i: -len(logp[i]))
-    lengths = np.array([len(logp[i]) for i in order])
+    lengths = np.array([len(logp[i]) for i in order], np.int64)
     longest = int(lengths[0]) if len(order) else 0
-    n = CLASSES
     out = [np.zeros(len(x), np.int8) for x in logp]
     if not longest:
         return out
     active = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts longer than t
-    flat = np.concatenate([logp[i] for i in order])
-    begin = np.cumsum([0, *lengths[:-1]])
-    back = [np.zeros(0)] * longest
-    score = np.zeros((len(order), n), np.float32)
-    for t in range(longest):
-        k = active[t]
-        s = score[:k]
-        if t:
-            best = s.argmax(axis=1)
-            top = s[np.arange(k), best][:, None] - SWITCH
-            change = s < top
-            back[t] = np.where(change, best[:, None], np.arange(n)[None, :]).astype(np.int8)
-            s = np.where(change, top, s)
-        score[:k] = s + flat[begin[:k] + t]
-    state = np.zeros(len(order), np.int64)
-    path = np.zeros(len(flat), np.int8)
-    started = 0
-    for t in range(longest - 1, -1, -1):
-        k = active[t]
-        state[started:k] = score[started:k].argmax(axis=1)
-        started = max(started, k)
-        path[begin[:k] + t] = state[:k]
-        if t:
-            state[:k] = back[t][np.arange(k), state[:k]]
-    for j, i in enumerate(order):
-        out[i] = path[begin[j] : begin[j] + lengths[j]]
+    ends = np.cumsum(active)
+    nth = np.repeat(np.arange(len(order)), lengths)
+    begin = np.cumsum(lengths) - lengths
+    at = (ends - active)[np.arange(len(nth)) - begin[nth]] + nth
+    score = np.empty((CLASSES, len(at)), np.float32)
+    score[:, at] = np.concatenate([logp[i] for i in order]).T
+    edges = [0, *ends.tolist()]
+    for a, b, c in zip(edges, edges[1:], edges[2:]):
+        before = score[:, a : a + c - b]
+        score[:, b:c] += np.maximum(before, before.max(axis=0) - SWITCH)
+    best = score.argmax(axis=0)
+    source = np.where(score < score.max(axis=0) - SWITCH, best, np.arange(CLASSES)[:, None]).astype(np.int8)
+    path = best.astype(np.int8)
+    for a, b, c in zip(edges[-3::-1], edges[-2::-1], edges[:0:-1]):
+        path[a : a + c - b] = source[path[b:c], np.arange(a, a + c - b)]
+    for i, own in zip(order, np.split(path[at], begin[1:])):
+        out[i] = own
     return out
 
 
@@ -252,18 +288,24 @@ def clear_words(logp: np.ndarray, path: np.ndarray) -> np.ndarray:
 
 def passages(logp: np.ndarray, path: np.ndarray, clear: np.ndarray | None = None) -> list[tuple[int, int, int, float]]:
     """(language, first word, end, confidence) of the runs of a path, cut to their clear words."""
-    if not len(path):
-        return []
     clear = clear_words(logp, path) if clear is None else clear
-    edges = np.flatnonzero(path[1:] != path[:-1]) + 1
-    out = []
-    for a, b in zip([0, *edges], [*edges, len(path)]):
-        own = np.flatnonzero(clear[a:b])
-        if len(own):
-            a, b = a + int(own[0]), a + int(own[-1]) + 1
-            lang = int(path[a])
-            out.append((lang, a, b, float(np.exp(logp[a:b, lang][clear[a:b]]).mean())))
-    return out
+    _, *found = _runs(logp, path, np.array([len(path)]), clear)
+    return list(zip(*(x.tolist() for x in found)))
+
+
+def _runs(flat: np.ndarray, way: np.ndarray, words: np.ndarray, clear: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Text, language, first word, end and confidence of the passages of all texts."""
+    begin = np.cumsum(words) - words
+    new = np.diff(way, prepend=-1) != 0
+    new[begin[words > 0]] = True
+    at = np.flatnonzero(clear)
+    first = np.flatnonzero(np.diff(np.cumsum(new)[at], prepend=0))  # of the clear words, each run's first
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    lang = way[at]
+    sure = np.exp(flat[at, lang].astype(np.float64))
+    confidence = np.add.reduceat(sure, first) / (last - first + 1) if len(at) else sure
+    text = np.repeat(np.arange(len(words)), words)[at[first]]
+    return text, lang[first], at[first] - begin[text], at[last] + 1 - begin[text], confidence
 
 
 def _training_windows(texts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -406,30 +448,31 @@ def language_passages(df: DataFrame, key: str, text: str, label: str, model: Lan
             for at, n in _groups(batch.column(3)):
                 part = batch.slice(at, n)
                 texts = part.column(3).dictionary_encode()  # equal texts are labelled once
-                rows_of = np.argsort(texts.indices.to_numpy(), kind="stable")
-                rows_of = np.split(rows_of, np.cumsum(np.bincount(texts.indices.to_numpy(), minlength=len(texts.dictionary)))[:-1])
-                where, out = [], []
-                logp = own.log_probabilities(texts.dictionary.to_pylist())
-                path_of = paths(logp)
-                bounds = np.cumsum([len(p) for p in path_of])
-                flat, way = (np.concatenate(x) if len(x) else np.zeros((0, CLASSES)) for x in (logp, path_of))
-                clear = np.split(clear_words(flat, way), bounds[:-1]) if len(flat) else [np.zeros(0, bool)] * len(path_of)
-                for i, (lp, path, own_clear) in enumerate(zip(logp, path_of, clear)):
-                    found = passages(lp, path, own_clear)
-                    if not found:
-                        continue
-                    mean = lp.mean(axis=0)
-                    pooled = np.exp(mean - mean.max())
-                    pooled /= pooled.sum()
-                    long = {p[0] for p in found if p[2] - p[1] >= MIN_WORDS and p[0] < len(LANGUAGES)}
-                    for row in rows_of[i].tolist():
-                        where += [row] * len(found)
-                        out += [(NAMES[lang], a, b - a, conf, NAMES[int(pooled.argmax())], float(pooled.max()), len(long) > 1) for lang, a, b, conf in found]
-                if out:
-                    types = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.float64(), pa.bool_()]
+                text_of = texts.indices.to_numpy()
+                flat, words = own._scores(texts.dictionary.to_pylist())
+                if not len(flat):
+                    continue
+                way = _ways(flat, words)
+                text, lang, first, end, confidence = _runs(flat, way, words, clear_words(flat, way))
+                some = words > 0
+                mean = np.zeros((len(words), CLASSES))
+                mean[some] = np.add.reduceat(flat, (np.cumsum(words) - words)[some], axis=0) / words[some][:, None]
+                pooled = np.exp(mean - mean.max(axis=1, keepdims=True))
+                pooled /= pooled.sum(axis=1, keepdims=True)
+                long = (end - first >= MIN_WORDS) & (lang < len(LANGUAGES))
+                mixed = np.bincount(np.unique(text[long] * CLASSES + lang[long]) // CLASSES, minlength=len(words)) > 1
+                # a row of each passage for each row of its text
+                by_text = np.argsort(text_of, kind="stable")
+                count = np.bincount(text, minlength=len(words))
+                each = count[text_of[by_text]]
+                where = np.repeat(by_text, each)
+                row = np.arange(len(where)) - np.repeat(np.cumsum(each) - each - (np.cumsum(count) - count)[text_of[by_text]], each)
+                if len(where):
                     names = ["k", "label", "known", *(x.split()[0] for x in _SCHEMA.split(", "))]
+                    doc, named = text[row], lambda x: pa.array(NAMES).take(pa.array(x))
                     columns = [part.column(c).take(pa.array(where)) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, x) for c, x in zip(zip(*out), types))], names)
+                    columns += [named(lang[row]), pa.array(first[row], pa.int32()), pa.array((end - first)[row], pa.int32()), pa.array(confidence[row])]
+                    yield pa.RecordBatch.from_arrays([*columns, named(pooled.argmax(axis=1)[doc]), pa.array(pooled.max(axis=1)[doc]), pa.array(mixed[doc])], names)
 
     return rows.mapInArrow(run, f"k {kind}, label string, known string, {_SCHEMA}").withColumnRenamed("k", key)
 

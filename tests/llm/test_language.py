@@ -1,3 +1,4 @@
+import itertools
 import random
 import time
 
@@ -182,3 +183,59 @@ def test_letters_of_words():
     words = language.Words()
     for word, wanted in (("Grüße,", "Grüße"), ("don’t", "Don’t"), ("'tis'", "Tis"), ("2019", ""), ("İzmir", "Izmir"), ("C3PO", "Cpo"), ("É", "É"), ("—", "")):
         assert words.sequences([word])[0].tobytes().decode() == wanted, word
+
+
+def test_graph_takes_few_steps_of_many_lanes(model):
+    """Texts of all lengths. A step costs as much as about a hundred lanes besides, so narrow steps of short segments,
+    and what fills them up, took a good part of the check's budget."""
+    rng = random.Random(14)
+    texts = [" ".join(sentence(rng.choice(LANGUAGES), rng) for _ in range(rng.randint(1, 40))) for _ in range(600)]
+    model.net._ready = []
+    graph, fed = model.net._graph(), []
+    run = graph.session.run
+    graph.session = type("Counted", (), {"run": lambda self, names, given: fed.append(next(x.shape for x in given.values() if x.dtype == np.int32)) or run(names, given)})()
+    model.log_probabilities(texts)
+    model.net._ready = []
+    data, counts, words = language.Words().sequences(texts)
+    lengths = [int(x.sum()) for x in np.split(counts, np.cumsum(words)[:-1])]
+    context = sum(2 * language.CONTEXT * ((n - 1) // SEGMENT) for n in lengths)
+    assert len(data) + context <= sum(t * n for t, n in fed)
+    assert sum(t * (n + 100) for t, n in fed) < 1.25 * (len(data) + context)
+
+
+def test_dealt_sequences_share_no_place():
+    rng = np.random.default_rng(15)
+    for size in (np.array([1]), np.array([7, 7, 7]), np.array([1, 900]), rng.integers(1, 529, 3000), np.full(2048, 528)):
+        lane, start, lanes, length = graphs.dealt(size)
+        taken = np.zeros((lanes, length), np.int64)
+        for a, b, n in zip(lane, start, size):
+            taken[a, b : b + n + 1] += 1  # with the place that belongs to none
+            assert b + n < length
+        assert taken.max() == 1 and taken.sum() == (size + 1).sum()
+
+
+def test_paths_are_the_best_of_all():
+    """Against every path, and against the recursion word by word in floating point."""
+    rng = np.random.default_rng(16)
+    logp = [np.log(rng.dirichlet(np.full(7, 0.05), n) + 1e-9).astype(np.float32) for n in (1, 2, 60, 4, 250, 3, 90)]
+    value = lambda x, path: sum(float(x[t, c]) for t, c in enumerate(path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+    for x, found in zip(logp, language._searched(logp)):
+        if len(x) < 5:
+            assert value(x, found) >= max(value(x, p) for p in itertools.product(range(7), repeat=len(x))) - 1e-4
+        s = x[0].astype(np.float64)
+        for row in x[1:]:
+            s = np.maximum(s, s.max() - language.SWITCH) + row
+        assert abs(value(x, found) - s.max()) < 1e-2
+
+
+def test_passages_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(17)
+    logp = [np.log(rng.dirichlet(np.full(7, 0.1), n) + 1e-9).astype(np.float32) for n in (0, 1, 30, 0, 200, 5)] + [np.full((9, 7), -np.log(7), np.float32)]
+    words = np.array([len(x) for x in logp])
+    way = paths(logp)
+    flat, whole = np.concatenate(logp), np.concatenate(way)
+    found = list(zip(*(x.tolist() for x in language._runs(flat, whole, words, language.clear_words(flat, whole)))))
+    assert found == [(i, *p) for i, (x, w) in enumerate(zip(logp, way)) for p in passages(x, w)]
+    for _, lang, a, b, confidence in found:
+        assert a < b and 0 < confidence <= 1
+    assert not passages(logp[-1], way[-1])
